@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference processes two static files in one batch run: it has no
+stream source, watermark, event-time window or state.  Nothing is built
+here on purpose (see README, "Not built").  The batch operators are plain
+DataFrame transformations, so the stateless ones (calendar parts, ratios,
+reset/impute) would apply unchanged to a ``readStream`` DataFrame.
+"""
