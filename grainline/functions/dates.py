@@ -45,7 +45,7 @@ def parse_dates(df: DataFrame, cols: Sequence[str], formats: Sequence[str] = DAY
             out[name] = F.to_date(col)
         else:
             txt = F.trim(col.cast(StringType()))
-            tries = [F.try_to_date(txt, F.lit(fmt)) for fmt in formats]
+            tries = [F.try_to_date(txt, fmt) for fmt in formats]
             parsed = F.coalesce(*tries) if len(tries) > 1 else tries[0]
             if strict:
                 parsed = F.when(txt.isNull() | (txt == ""), F.lit(None).cast(DateType())) \

@@ -33,17 +33,24 @@ def describe_by(df: DataFrame, col: str, by: Sequence[str] = (),
         q = exact_quantiles(df, col, probs, by)
         q = q.withColumnsRenamed({f"q{i}": n for i, n in enumerate(names)})
         if by:
-            return base.join(q, by, "left")
+            return _join_null_safe(base, q, by)
         return (base.withColumn("_k", F.lit(1)).join(q.withColumn("_k", F.lit(1)), "_k", "left")
                 .drop("_k"))
     approx = df.groupBy(*by).agg(F.percentile_approx(col, list(probs), 10000).alias("_q"))
     approx = approx.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     if by:
-        return base.join(approx, by, "left")
+        return _join_null_safe(base, approx, by)
     return (base.withColumn("_k", F.lit(1)).join(approx.withColumn("_k", F.lit(1)), "_k", "left")
             .drop("_k"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on group keys where a NULL key is a group of its own."""
+    r = right.withColumnsRenamed({b: f"_r_{b}" for b in by})
+    cond = [left[b].eqNullSafe(r[f"_r_{b}"]) for b in by]
+    return left.join(r, cond, "left").drop(*[f"_r_{b}" for b in by])
+
+
 def visits_per_entity(df: DataFrame, entity: str, probs: Sequence[float] = QUARTILES) -> DataFrame:
     """Distribution of the number of rows per entity (how many visits a
     member has); the reference chose its lag depth from this."""
@@ -67,18 +74,19 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     )
 
 
-def profile_nulls(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def profile_nulls(df: DataFrame, cols: Sequence[str] | None = None,
+                  with_types: bool = True) -> DataFrame:
     """One row per column: type, rows, nulls, null share.  One pass over
     the data (a single global aggregate), then ``unpivot`` of that row."""
     cols = list(cols or df.columns)
     types = dict(df.dtypes)
     agg = df.agg(F.count(F.lit(1)).alias("__rows"),
                  *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols])
-    long = agg.unpivot("__rows", cols, "column", "nulls")
+    long = agg.unpivot("__rows", cols, "column_name", "nulls")
     tmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(types[c]))])
     return long.select(
-        "column",
-        tmap[F.col("column")].alias("dtype"),
+        "column_name",
+        *([tmap[F.col("column_name")].alias("dtype")] if with_types else []),
         F.col("__rows").alias("rows"),
         F.col("nulls").cast("long").alias("nulls"),
         F.try_divide(F.col("nulls").cast("double"), F.col("__rows").cast("double")).alias("null_share"),
@@ -100,15 +108,15 @@ def frequency_compare(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
     parts = []
     for c in cols:
         parts.append(df.groupBy(F.col(c).cast("string").alias("value"), F.col(by).alias("_s"))
-                     .agg(F.count(F.lit(1)).alias("_n")).withColumn("column", F.lit(c)))
+                     .agg(F.count(F.lit(1)).alias("_n")).withColumn("attribute", F.lit(c)))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    wide = u.groupBy("column", "value").agg(
+    wide = u.groupBy("attribute", "value").agg(
         F.sum(F.when(F.col("_s") == 1, F.col("_n")).otherwise(0)).cast("long").alias("n_train"),
         F.sum(F.when(F.col("_s") == 0, F.col("_n")).otherwise(0)).cast("long").alias("n_test"))
-    totals = wide.groupBy("column").agg(F.sum("n_train").alias("_tt"), F.sum("n_test").alias("_te"))
-    return (wide.join(totals, "column")
+    totals = wide.groupBy("attribute").agg(F.sum("n_train").alias("_tt"), F.sum("n_test").alias("_te"))
+    return (wide.join(totals, "attribute")
             .withColumn("share_train", F.try_divide(F.col("n_train").cast("double"), F.col("_tt").cast("double")))
             .withColumn("share_test", F.try_divide(F.col("n_test").cast("double"), F.col("_te").cast("double")))
             .drop("_tt", "_te"))
