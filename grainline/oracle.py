@@ -370,18 +370,19 @@ FROM long GROUP BY reservation_id""")
 
 _GAIN_CTE = PREP_CTE + """,
 gains AS (
-  SELECT resort_id, sum(amount_spent_per_room_night_scaled) AS gain_sum
+  SELECT resort_id, CAST(sum(total_pax) AS BIGINT) AS gain_sum
   FROM prep WHERE train_set = 1 GROUP BY resort_id
 ),
 pct AS (
-  SELECT resort_id, gain_sum, gain_sum * 100.0 / nullif((SELECT sum(gain_sum) FROM gains), 0) AS gain
+  SELECT resort_id, gain_sum,
+         CAST(gain_sum AS DOUBLE) * CAST(100 AS DOUBLE)
+           / nullif(CAST((SELECT sum(gain_sum) FROM gains) AS DOUBLE), 0.0) AS gain
   FROM gains
 )"""
 
 
 def _percent_of_total() -> str:
-    return with_cte(_GAIN_CTE, f"SELECT resort_id, {round6('gain_sum')} AS gain_sum, "
-                               f"{round6('gain')} AS gain FROM pct")
+    return with_cte(_GAIN_CTE, f"SELECT resort_id, gain_sum, {round6('gain')} AS gain FROM pct")
 
 
 def _top_importance() -> str:

@@ -217,13 +217,15 @@ def q_average_predictions(spark, sf_dir):
 
 
 def _gain_table(spark, sf_dir):
+    """Stand-in importance table: an integer total per resort (exact in
+    both engines, so the percentages compare bit for bit)."""
     p = prepared(spark, sf_dir).where(F.col("train_set") == 1)
-    return p.groupBy("resort_id").agg(F.sum(TARGET_COL).alias("gain_sum"))
+    return p.groupBy("resort_id").agg(F.sum("total_pax").alias("gain_sum"))
 
 
 def q_percent_of_total(spark, sf_dir):
     g = percent_of_total(_gain_table(spark, sf_dir), "gain_sum", "gain")
-    return g.select("resort_id", round6("gain_sum").alias("gain_sum"), round6("gain").alias("gain"))
+    return g.select("resort_id", "gain_sum", round6("gain").alias("gain"))
 
 
 def q_top_importance(spark, sf_dir):
