@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.operators.folds import FOLD_COL, average_predictions, fold_split, rmse
-from grainline.session import ensure_checkpoint_dir, materialize
+from grainline.session import ensure_checkpoint_dir, ensure_codegen_width, materialize
 
 FEATURES_COL = "features"
 MISSING_FILL = -999.0
@@ -67,6 +67,7 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
     """``keep`` columns plus one vector column.  The tree learner rejects
     NaN, so NULL / NaN become ``fill`` (choose it below every column's
     range)."""
+    ensure_codegen_width(df.sparkSession, len(keep) + 2 * len(features))
     filled = df.select(*keep, *[
         F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
                    F.lit(fill)).alias(c) for c in features])

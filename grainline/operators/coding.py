@@ -17,6 +17,7 @@ distinct values are then numbered by first position:
 
 from __future__ import annotations
 
+import concurrent.futures as cf
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,25 +50,35 @@ def _number(firsts: DataFrame, small_max_rows: int,
     return global_rank(firsts, [F.col("_first").asc()], "code", num_partitions), False
 
 
+def code_table(src: DataFrame, col: str, order_by: Sequence[str | Order],
+               small_max_rows: int = DEFAULT_SMALL_MAX_ROWS,
+               num_partitions: int | None = None) -> tuple[DataFrame, bool]:
+    """(value -> code table, fits broadcast) for one column."""
+    firsts = (src.where(F.col(col).isNotNull())
+              .groupBy(col).agg(F.min(position_key(order_by)).alias("_first")))
+    firsts = materialize(firsts, "firsts")
+    coded, small = _number(firsts, small_max_rows, num_partitions)
+    return coded.select(F.col(col).alias("_v"), F.col("code").alias("_code")), small
+
+
 def first_seen_index(df: DataFrame, cols: Sequence[str], order_by: Sequence[str | Order],
                      fit_on: DataFrame | None = None, missing: int = -1,
                      small_max_rows: int = DEFAULT_SMALL_MAX_ROWS,
-                     num_partitions: int | None = None, suffix: str = "") -> DataFrame:
+                     num_partitions: int | None = None, suffix: str = "",
+                     parallelism: int = 8) -> DataFrame:
     """Replace each column in ``cols`` (or add ``col + suffix``) by its
-    first-appearance code.  Codes are fitted on ``fit_on`` (default ``df``)."""
+    first-appearance code.  Codes are fitted on ``fit_on`` (default ``df``);
+    the code tables of different columns are built concurrently."""
     src = fit_on if fit_on is not None else df
+    with cf.ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(cols)))) as pool:
+        tables = list(pool.map(
+            lambda c: code_table(src, c, order_by, small_max_rows, num_partitions), cols))
     out = df
-    for col in cols:
-        firsts = (src.where(F.col(col).isNotNull())
-                  .groupBy(col).agg(F.min(position_key(order_by)).alias("_first")))
-        firsts = materialize(firsts, "firsts")
-        coded, small = _number(firsts, small_max_rows, num_partitions)
-        mapping = coded.select(F.col(col).alias("_v"), F.col("code").alias("_code"))
+    for col, (mapping, small) in zip(cols, tables):
         if small:
             mapping = F.broadcast(mapping)
-        target = col + suffix
         out = (out.join(mapping, out[col] == mapping["_v"], "left")
-               .withColumn(target, F.coalesce(F.col("_code"), F.lit(missing).cast("long"))
+               .withColumn(col + suffix, F.coalesce(F.col("_code"), F.lit(missing).cast("long"))
                            .cast("long"))
                .drop("_v", "_code"))
     return out

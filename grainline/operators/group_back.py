@@ -13,8 +13,9 @@ Plan, per call:
    different key sets run concurrently from a small driver thread pool.
 3. The row count of each written aggregate (Parquet metadata, no scan)
    decides the join: at most ``broadcast_max_rows`` rows and
-   ``broadcast_max_bytes`` estimated bytes -> broadcast hash join, map-side,
-   no shuffle of the detail.  Larger aggregates -> the narrow projection
+   ``broadcast_max_bytes`` estimated bytes, and all broadcast tables of the
+   call together within ``broadcast_total_bytes`` -> broadcast hash join,
+   map-side, no shuffle of the detail.  Larger aggregates -> the narrow projection
    ``(id, keys)`` is joined to the aggregate (sort-merge; AQE splits skewed
    partitions), and the narrow ``(id, features)`` result is joined back on
    the unique id.  The wide detail row is shuffled at most once.
@@ -39,12 +40,15 @@ from pyspark.sql.types import (
     ShortType,
 )
 
-from grainline.session import materialize
+from grainline.session import ensure_codegen_width, materialize
 
 STATS = ("min", "max", "mean", "std")
 
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
-DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+DEFAULT_BROADCAST_MAX_BYTES = 128 * 1024 * 1024
+# All broadcast aggregates of one call are probed in the same stage, so
+# every executor holds all of them at once: cap their sum as well.
+DEFAULT_BROADCAST_TOTAL_BYTES = 1024 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -177,8 +181,26 @@ class MaterializedAgg:
     table: DataFrame
     rows: int
 
+    @property
+    def est_bytes(self) -> int:
+        return self.rows * estimated_row_bytes(self.table)
+
     def fits_broadcast(self, max_rows: int, max_bytes: int) -> bool:
-        return self.rows <= max_rows and self.rows * estimated_row_bytes(self.table) <= max_bytes
+        return self.rows <= max_rows and self.est_bytes <= max_bytes
+
+
+def split_by_size(aggs: Sequence[MaterializedAgg], max_rows: int, max_bytes: int,
+                  total_bytes: int) -> tuple[list[MaterializedAgg], list[MaterializedAgg]]:
+    """(broadcast, shuffle): smallest aggregates first while each fits the
+    per-table bound and their sum fits the per-stage budget."""
+    small, large, used = [], [], 0
+    for a in sorted(aggs, key=lambda a: a.est_bytes):
+        if a.fits_broadcast(max_rows, max_bytes) and used + a.est_bytes <= total_bytes:
+            small.append(a)
+            used += a.est_bytes
+        else:
+            large.append(a)
+    return small, large
 
 
 def materialize_aggregates(df: DataFrame, plans: Sequence[KeySetPlan],
@@ -196,10 +218,11 @@ def materialize_aggregates(df: DataFrame, plans: Sequence[KeySetPlan],
 
 def attach(df: DataFrame, aggs: Sequence[MaterializedAgg], id_col: str,
            broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-           broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
+           broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
+           broadcast_total_bytes: int = DEFAULT_BROADCAST_TOTAL_BYTES) -> DataFrame:
     """Join materialised aggregates back onto the detail (see module doc)."""
-    small = [a for a in aggs if a.fits_broadcast(broadcast_max_rows, broadcast_max_bytes)]
-    large = [a for a in aggs if not a.fits_broadcast(broadcast_max_rows, broadcast_max_bytes)]
+    small, large = split_by_size(aggs, broadcast_max_rows, broadcast_max_bytes,
+                                 broadcast_total_bytes)
 
     out = df
     for a in large:
@@ -219,6 +242,7 @@ def attach(df: DataFrame, aggs: Sequence[MaterializedAgg], id_col: str,
 def group_back(df: DataFrame, specs: Sequence[Spec], id_col: str = "reservation_id",
                broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
+               broadcast_total_bytes: int = DEFAULT_BROADCAST_TOTAL_BYTES,
                parallelism: int = 8) -> DataFrame:
     """Attach grouped counts / statistics to every row of ``df``.
 
@@ -228,8 +252,10 @@ def group_back(df: DataFrame, specs: Sequence[Spec], id_col: str = "reservation_
     output, in the order of ``specs``.
     """
     plans = plan_key_sets(specs)
+    ensure_codegen_width(df.sparkSession, len(df.columns) + len(output_names(specs)))
     aggs = materialize_aggregates(df, plans, parallelism)
-    out = attach(df, aggs, id_col, broadcast_max_rows, broadcast_max_bytes)
+    out = attach(df, aggs, id_col, broadcast_max_rows, broadcast_max_bytes,
+                 broadcast_total_bytes)
     return out.select(*df.columns, *output_names(specs))
 
 

@@ -92,6 +92,9 @@ def row_features(df: DataFrame, cfg: BookingsConfig = BookingsConfig()) -> DataF
 def prepare(train: DataFrame, test: DataFrame, cfg: BookingsConfig = BookingsConfig(),
             write: bool = True) -> DataFrame:
     out = row_features(clean(train, test, cfg), cfg)
+    if write:
+        # every code table scans these rows: compute the fixture joins once
+        out = materialize(out, "rows")
     out = first_seen_index(out, M.CODED_COLS, POSITION)
     return materialize(out, "prepared") if write else out
 

@@ -30,7 +30,7 @@ _cv_lock = threading.RLock()
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "features",
-                 lambda: B.group_features(sequenced(spark, sf_dir)))
+                 lambda: materialize(B.group_features(sequenced(spark, sf_dir)), "features"))
 
 
 def model_inputs(spark: SparkSession, sf_dir: str):
