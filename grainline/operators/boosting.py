@@ -138,13 +138,38 @@ class CVResult:
     importance: DataFrame | None = None
 
 
+def prefix_predictions(model: GBTRegressionModel, df: DataFrame, rounds: dict,
+                       keep: Sequence[str]) -> DataFrame:
+    """One pass: per-tree predictions once, then one weighted prefix sum per
+    entry of ``rounds`` ({label: n_trees}); long output ``keep + (label,
+    prediction)``."""
+    n = max(rounds.values())
+    weights = model.treeWeights
+    cur = df
+    for i in range(n):
+        t = model.trees[i].copy().setFeaturesCol(model.getFeaturesCol()).setPredictionCol(f"_t{i}")
+        cur = t.transform(cur)
+    sums = []
+    for label, k in rounds.items():
+        total = F.lit(0.0)
+        for i in range(k):
+            total = total + F.lit(float(weights[i])) * F.col(f"_t{i}")
+        sums.append(F.struct(F.lit(label).alias("_label"), total.alias("prediction")))
+    return (cur.select(*keep, F.explode(F.array(*sums)).alias("_p"))
+            .select(*keep, F.col("_p._label").alias("_label"), F.col("_p.prediction").alias("prediction")))
+
+
 def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label: str,
                    params: BoostParams = BoostParams(), k: int = 10,
                    fold_col: str = FOLD_COL, refit_seed: int = 2018, parallelism: int = 4,
                    feature_names: Sequence[str] | None = None) -> CVResult:
-    """Group-wise CV: for each fold fit on dev, stop early on val, predict
-    val with the best prefix, refit on all train rows with that many trees
-    and predict test; average the refits' test predictions.
+    """Group-wise CV: for each fold fit on dev, stop early on val and
+    predict val with the best prefix; refit on all train rows and predict
+    test with each fold's best round count; average those predictions.
+
+    All refits use the same rows and seed and differ only in the number of
+    trees, and a Spark GBT fit with fewer rounds is a prefix of a longer one
+    (tested), so one refit with the largest best count serves every fold.
 
     ``train`` holds ``id_col, fold_col, label, features``; ``test`` holds
     ``id_col, features``.  Both should be materialised."""
@@ -157,13 +182,7 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
         val_pred = predict_rounds(model, val, best).select(id_col, fold_col, label, "prediction")
         val_pred = materialize(val_pred, "oof")
         score = rmse(val_pred, label, "prediction").first()["rmse"]
-        test_pred = None
-        refit = None
-        if test is not None:
-            refit = fit_boosted(train, label, replace(params), rounds=best, seed=refit_seed)
-            test_pred = materialize(refit.transform(test).select(
-                id_col, F.lit(f).alias(fold_col), "prediction"), "test_pred")
-        return f, best, score, val_pred, test_pred, refit
+        return f, best, score, val_pred
 
     with cf.ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(one, folds))
@@ -171,15 +190,15 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
     oof = results[0][3]
     for r in results[1:]:
         oof = oof.unionByName(r[3])
-    test_avg = None
-    if test is not None:
-        tp = results[0][4]
-        for r in results[1:]:
-            tp = tp.unionByName(r[4])
-        test_avg = average_predictions(tp, id_col)
-    imp = None
-    if feature_names is not None and results and results[-1][5] is not None:
-        imp = importance(results[-1][5], feature_names)
+    best = {r[0]: r[1] for r in results}
+    test_avg, imp = None, None
+    if test is not None or feature_names is not None:
+        refit = fit_boosted(train, label, params, rounds=max(best.values()), seed=refit_seed)
+        if test is not None:
+            long = prefix_predictions(refit, test, best, [id_col])
+            test_avg = average_predictions(long, id_col)
+        if feature_names is not None:
+            imp = importance(refit, feature_names, n_trees=best[folds[-1]])
     return CVResult(oof=oof, test=test_avg,
                     folds=[{"fold": r[0], "best_rounds": r[1], "rmse": r[2]} for r in results],
                     importance=imp)

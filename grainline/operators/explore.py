@@ -34,14 +34,20 @@ def describe_by(df: DataFrame, col: str, by: Sequence[str] = (),
         q = q.withColumnsRenamed({f"q{i}": n for i, n in enumerate(names)})
         if by:
             return _join_null_safe(base, q, by)
-        return (base.withColumn("_k", F.lit(1)).join(q.withColumn("_k", F.lit(1)), "_k", "left")
-                .drop("_k"))
+        return _with_scalars(base, q)
     approx = df.groupBy(*by).agg(F.percentile_approx(col, list(probs), 10000).alias("_q"))
     approx = approx.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     if by:
         return _join_null_safe(base, approx, by)
-    return (base.withColumn("_k", F.lit(1)).join(approx.withColumn("_k", F.lit(1)), "_k", "left")
-            .drop("_k"))
+    return _with_scalars(base, approx)
+
+
+def _with_scalars(base: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a global (single-row) aggregate as literals."""
+    row = one_row.first()
+    vals = row.asDict() if row is not None else {c: None for c in one_row.columns}
+    types = dict(one_row.dtypes)
+    return base.withColumns({c: F.lit(v).cast(types[c]) for c, v in vals.items()})
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

@@ -44,15 +44,13 @@ def rmse(df: DataFrame, y: str, p: str, by: Sequence[str] = (), name: str = "rms
 
 def cv_report(df: DataFrame, y: str, p: str, fold_col: str = FOLD_COL) -> DataFrame:
     """Per-fold RMSE plus the mean of fold scores and the pooled RMSE,
-    as rows ``(fold, rmse, mean_fold_rmse, overall_rmse)``."""
-    per = rmse(df, y, p, [fold_col])
-    summary = per.agg(F.avg("rmse").alias("mean_fold_rmse"))
-    overall = rmse(df, y, p).select(F.col("rmse").alias("overall_rmse"))
-    # both sides are single-row aggregates joined on a constant key
-    return (per.withColumn("_k", F.lit(1))
-            .join(summary.withColumn("_k", F.lit(1)), "_k")
-            .join(overall.withColumn("_k", F.lit(1)), "_k")
-            .drop("_k", "n_rows"))
+    as rows ``(fold, rmse, mean_fold_rmse, overall_rmse)``.  The two
+    summary numbers are global aggregates brought back as scalars."""
+    per = rmse(df, y, p, [fold_col]).drop("n_rows")
+    mean_fold = per.agg(F.avg("rmse")).first()[0]
+    overall = rmse(df, y, p).first()["rmse"]
+    return per.withColumns({"mean_fold_rmse": F.lit(mean_fold).cast("double"),
+                            "overall_rmse": F.lit(overall).cast("double")})
 
 
 def average_predictions(preds: DataFrame, id_col: str, pred_col: str = "prediction",

@@ -111,3 +111,12 @@ def test_cross_validate_covers_train_once(spark, model_data):
     imp = res.importance.collect()
     assert {r.feature for r in imp} == {"x1", "x2"}
     assert abs(sum(r.gain for r in imp if r.gain is not None) - 100.0) < 1e-6
+
+
+def test_shorter_fit_is_prefix_of_longer(spark, model_data):
+    params = BoostParams(max_rounds=8, min_rows_per_leaf=5, learning_rate=0.3)
+    short = fit_boosted(model_data, "y", params, rounds=3, seed=2018)
+    long = fit_boosted(model_data, "y", params, rounds=8, seed=2018)
+    a = predict_rounds(short, model_data).orderBy("id").select("prediction").collect()
+    b = predict_rounds(long, model_data, 3).orderBy("id").select("prediction").collect()
+    assert a == b
