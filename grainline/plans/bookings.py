@@ -26,7 +26,8 @@ from grainline.operators.cleaning import (
     SOURCE_COL, impute, reset_rows, round_columns, tag_source)
 from grainline.operators.coding import first_seen_index
 from grainline.operators.group_back import group_back
-from grainline.operators.sequence import Order, sequence_shift, visit_gaps
+from grainline.operators.sequence import (
+    DEFAULT_HOT_GROUP_ROWS, Order, max_group_rows, sequence_shift, visit_gaps)
 from grainline.plans import manifest as M
 from grainline.session import materialize
 from grainline.sources.bookings import ID_COL, MEMBER_COL, TARGET_COL
@@ -100,7 +101,10 @@ def prepare(train: DataFrame, test: DataFrame, cfg: BookingsConfig = BookingsCon
 
 
 def sequences(df: DataFrame, cfg: BookingsConfig = BookingsConfig(), write: bool = True) -> DataFrame:
-    kw = {} if cfg.hot_group_rows is None else {"hot_group_rows": cfg.hot_group_rows}
+    # one pre-aggregated size check decides the strategy for all orderings
+    limit = DEFAULT_HOT_GROUP_ROWS if cfg.hot_group_rows is None else cfg.hot_group_rows
+    hot = max_group_rows(df, [MEMBER_COL]) > limit
+    kw = {"strategy": "ranges" if hot else "window"}
     out = visit_gaps(df, MEMBER_COL, "checkin_ord", M.LAG_DEPTH_DATES, ORD_CHECKIN, **kw)
     out = visit_gaps(out, MEMBER_COL, "booking_ord", M.LAG_DEPTH_DATES, ORD_BOOKING, **kw)
     offsets = list(range(1, M.LAG_DEPTH_ATTRS + 1)) + [-k for k in range(1, M.LAG_DEPTH_ATTRS + 1)]

@@ -137,3 +137,15 @@ def test_global_rank_and_quantiles(spark):
     qg = {r.g: r for r in exact_quantiles(df, "x", [0.5], ["g"], num_partitions=4).collect()}
     for g in range(3):
         assert np.isclose(qg[g].q0, np.median([v for i, v in enumerate(vals) if i % 3 == g]))
+
+
+def test_bookings_sequences_hot_member_path(spark):
+    """The preset's sequences stage gives the same result when every member
+    is treated as hot (range partitions) as with the window plan."""
+    from grainline.plans import bookings as B
+    from grainline.plans.queries import prepared
+    base = prepared(spark, "/root/testdata/sf0.001")
+    a = B.sequences(base, B.BookingsConfig(), write=False).orderBy("reservation_id").toPandas()
+    b = B.sequences(base, B.BookingsConfig(hot_group_rows=1), write=False) \
+        .orderBy("reservation_id").toPandas()
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
