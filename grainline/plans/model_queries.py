@@ -38,10 +38,13 @@ def model_inputs(spark: SparkSession, sf_dir: str):
     def build():
         feats = feature_table(spark, sf_dir)
         names = B.feature_columns(feats)
-        tr = group_kfold(feats.where(F.col("train_set") == 1), MEMBER_COL, N_FOLDS, FOLD_SEED)
-        train = materialize(assemble(tr, names, keep=[ID_COL, FOLD_COL, TARGET_COL]), "train_x")
-        te = feats.where(F.col("train_set") == 0)
-        test = materialize(assemble(te, names, keep=[ID_COL]), "test_x")
+        # one pass: assemble train and test rows together, split by filter
+        folded = group_kfold(feats, MEMBER_COL, N_FOLDS, FOLD_SEED).withColumn(
+            FOLD_COL, F.when(F.col("train_set") == 1, F.col(FOLD_COL)))
+        xy = materialize(assemble(folded, names, keep=[ID_COL, "train_set", FOLD_COL, TARGET_COL]),
+                         "model_x")
+        train = xy.where(F.col("train_set") == 1).drop("train_set")
+        test = xy.where(F.col("train_set") == 0).select(ID_COL, "features")
         return train, test, names
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "model_inputs")
     return _memo_obj(key, build)
