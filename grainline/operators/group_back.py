@@ -6,11 +6,14 @@ Plan, per call:
 1. Specs are fused by key set (order of keys ignored) and identical
    aggregates are computed once and aliased (the reference groups 134 times
    over 87 distinct key sets and repeats three statistics verbatim).
-2. One ``groupBy(keys).agg(...)`` per key set, with partial aggregation
-   map-side, so a hot key costs one row per map task.  Rows with a NULL key
-   never form a group (pandas drops NaN keys), so they get NULL features.
-   Each aggregate is written as Parquet to the checkpoint folder; jobs for
-   different key sets run concurrently from a small driver thread pool.
+2. One pass of HyperLogLog sketches estimates the group count of every
+   key set.  Small key sets that share an aggregate list are computed in
+   one scan with ``GROUPING SETS`` (79 count-only key sets -> one scan);
+   large ones get their own ``groupBy(keys).agg(...)``.  Partial
+   aggregation runs map-side, so a hot key costs one row per map task.
+   Rows with a NULL key never match the join back (pandas drops NaN keys),
+   so they get NULL features.  Aggregates are written as Parquet to the
+   checkpoint folder; jobs run concurrently from a driver thread pool.
 3. The row count of each written aggregate (Parquet metadata, no scan)
    decides the join: at most ``broadcast_max_rows`` rows and
    ``broadcast_max_bytes`` estimated bytes, and all broadcast tables of the
@@ -203,17 +206,79 @@ def split_by_size(aggs: Sequence[MaterializedAgg], max_rows: int, max_bytes: int
     return small, large
 
 
-def materialize_aggregates(df: DataFrame, plans: Sequence[KeySetPlan],
-                           parallelism: int = 8) -> list[MaterializedAgg]:
-    """Compute and write one aggregate per key set; concurrent Spark jobs."""
-    def run(plan: KeySetPlan) -> MaterializedAgg:
-        t = materialize(aggregate_key_set(df, plan), "agg")
-        return MaterializedAgg(plan, t, t.count())
+def estimate_groups(df: DataFrame, plans: Sequence[KeySetPlan]) -> list[int]:
+    """Approximate group count of every key set, all in one pass (one
+    HyperLogLog sketch per key set; one result row)."""
+    exprs = [F.approx_count_distinct(F.struct(*p.keys), 0.05).alias(f"_e{i}")
+             for i, p in enumerate(plans)]
+    row = df.agg(*exprs).first()
+    return [int(row[f"_e{i}"]) for i in range(len(plans))]
+
+
+def _grouping_id(cols: Sequence[str], keys: Sequence[str]) -> int:
+    """Spark's grouping_id(): one bit per grouping column, most significant
+    first, set when the column is not part of the grouping set."""
+    n, ks = len(cols), set(keys)
+    return sum(1 << (n - 1 - i) for i, c in enumerate(cols) if c not in ks)
+
+
+def shared_scan_aggregates(df: DataFrame, family: Sequence[KeySetPlan]) -> list[MaterializedAgg]:
+    """Key sets with the same aggregate list computed in ONE scan with
+    ``GROUPING SETS``; partial aggregation keeps the shuffle to one row per
+    (set, group) and map task.  NULL-key groups appear in the result but
+    never match an equi-join, so they leave the features NULL as required."""
+    aggs = list(family[0].aggs.keys())
+    cols = sorted({k for p in family for k in p.keys})
+    exprs = [_agg_expr(df, stat, col).alias(f"_f{j}") for j, (stat, col) in enumerate(aggs)]
+    g = df.groupingSets([list(p.keys) for p in family], *cols).agg(
+        F.grouping_id().alias("_gid"), *exprs)
+    table = materialize(g, "aggsets")
+    counts = {r["_gid"]: r["count"] for r in table.groupBy("_gid").count().collect()}
+    out = []
+    for p in family:
+        gid = _grouping_id(cols, p.keys)
+        sub = table.where(F.col("_gid") == gid).select(
+            *p.keys, *[F.col(f"_f{j}").alias(p.aggs[a]) for j, a in enumerate(aggs)])
+        out.append(MaterializedAgg(p, sub, int(counts.get(gid, 0))))
+    return out
+
 
-    if parallelism <= 1 or len(plans) <= 1:
-        return [run(p) for p in plans]
-    with cf.ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(run, plans))
+def materialize_aggregates(df: DataFrame, plans: Sequence[KeySetPlan], parallelism: int = 8,
+                           shared_max_groups: int | None = DEFAULT_BROADCAST_MAX_ROWS
+                           ) -> list[MaterializedAgg]:
+    """Compute and write the aggregate of every key set.
+
+    Key sets whose estimated group count is at most ``shared_max_groups``
+    and that share an aggregate list are computed together in one scan
+    (grouping sets); the others get their own ``groupBy``.  Jobs run
+    concurrently from a driver thread pool."""
+    def single(plan: KeySetPlan) -> list[MaterializedAgg]:
+        t = materialize(aggregate_key_set(df, plan), "agg")
+        return [MaterializedAgg(plan, t, t.count())]
+
+    tasks = []
+    if shared_max_groups is None or len(plans) <= 1:
+        tasks = [(single, p) for p in plans]
+    else:
+        est = estimate_groups(df, plans)
+        families: dict[tuple, list[KeySetPlan]] = {}
+        for p, e in zip(plans, est):
+            if e <= shared_max_groups:
+                families.setdefault(tuple(p.aggs.keys()), []).append(p)
+            else:
+                tasks.append((single, p))
+        for fam in families.values():
+            tasks.append((lambda f: shared_scan_aggregates(df, f), fam) if len(fam) > 1
+                         else (single, fam[0]))
+
+    if parallelism <= 1 or len(tasks) <= 1:
+        results = [fn(arg) for fn, arg in tasks]
+    else:
+        with cf.ThreadPoolExecutor(max_workers=parallelism) as pool:
+            results = list(pool.map(lambda t: t[0](t[1]), tasks))
+    order = {id(p): i for i, p in enumerate(plans)}
+    flat = [m for r in results for m in r]
+    return sorted(flat, key=lambda m: order[id(m.plan)])
 
 
 def attach(df: DataFrame, aggs: Sequence[MaterializedAgg], id_col: str,

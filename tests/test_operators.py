@@ -149,3 +149,23 @@ def test_bookings_sequences_hot_member_path(spark):
     b = B.sequences(base, B.BookingsConfig(hot_group_rows=1), write=False) \
         .orderBy("reservation_id").toPandas()
     pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+
+
+def test_group_back_shared_scan_matches_separate(detail):
+    """Grouping-sets scan (several key sets, one aggregate list) equals one
+    groupBy per key set, NULL keys included."""
+    specs = [CountBy(("k",), "id"), CountBy(("j",), "id"), CountBy(("k", "j"), "id"),
+             StatsBy(("k",), "m", prefix="sk"), StatsBy(("j",), "m", prefix="sj")]
+    shared = group_back(detail, specs, "id").orderBy("id").collect()
+    import importlib
+    G = importlib.import_module("grainline.operators.group_back")
+    plans = G.plan_key_sets(specs)
+    aggs = G.materialize_aggregates(detail, plans, shared_max_groups=None)
+    sep = G.attach(detail, aggs, "id").select(*detail.columns, *G.output_names(specs)) \
+        .orderBy("id").collect()
+    norm = lambda rows: [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r)
+                         for r in rows]
+    assert norm(shared) == norm(sep)
+    got = {r["id"]: r for r in shared}
+    assert got[5]["cnt__by__k"] is None and got[5]["cnt__by__j"] == 4
+    assert got[6]["cnt__by__j"] is None and got[6]["cnt__by__k__j"] is None
