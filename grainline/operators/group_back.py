@@ -209,7 +209,7 @@ def split_by_size(aggs: Sequence[MaterializedAgg], max_rows: int, max_bytes: int
 def estimate_groups(df: DataFrame, plans: Sequence[KeySetPlan]) -> list[int]:
     """Approximate group count of every key set, all in one pass (one
     HyperLogLog sketch per key set; one result row)."""
-    exprs = [F.approx_count_distinct(F.struct(*p.keys), 0.05).alias(f"_e{i}")
+    exprs = [F.approx_count_distinct(F.xxhash64(*p.keys), 0.05).alias(f"_e{i}")
              for i, p in enumerate(plans)]
     row = df.agg(*exprs).first()
     return [int(row[f"_e{i}"]) for i in range(len(plans))]
