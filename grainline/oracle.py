@@ -4,8 +4,8 @@ Each query re-derives the reservations from the test tables with the same
 fixed mapping as ``grainline.sources.tables`` and then computes the
 feature in plain SQL (GROUP BY + LEFT JOIN, window LAG/LEAD, ...), written
 independently of the Spark code path.  Floating statistics are rounded to
-6 decimals on both sides (``rint(x * 1e6) / 1e6`` in Spark,
-``round_even(x * 1e6, 0) / 1e6`` here) because summation order differs.
+6 decimals on both sides (snapped to 9 decimals, then ``rint(x * 1e6) /
+1e6`` in Spark and ``round_even`` here) because summation order differs.
 """
 
 from __future__ import annotations
@@ -212,7 +212,9 @@ def with_cte(cte: str, body: str) -> str:
 
 
 def round6(expr: str) -> str:
-    return f"round_even(({expr}) * 1000000.0, 0) / 1000000.0"
+    """Same two-step rounding as the Spark side (snap to 9 decimals first)."""
+    snapped = f"(round_even(({expr}) * 1000000000.0, 0) / 1000000000.0)"
+    return f"round_even({snapped} * 1000000.0, 0) / 1000000.0"
 
 
 _SQL_AGG = {"count": "count({m})", "min": "min({m})", "max": "max({m})",
