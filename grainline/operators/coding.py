@@ -27,7 +27,8 @@ from grainline.operators.ranking import global_rank
 from grainline.operators.sequence import Order, as_orders
 from grainline.session import materialize
 
-DEFAULT_SMALL_MAX_ROWS = 1_000_000
+# Up to this many distinct values are numbered in one task (a few MB).
+DEFAULT_SMALL_MAX_ROWS = 100_000
 
 
 def position_key(order_by: Sequence[str | Order]) -> Column:
