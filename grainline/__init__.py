@@ -12,6 +12,6 @@ Sub-packages:
 * ``streaming``  – intentionally empty (the reference has no streaming)
 """
 
-from grainline.session import cut_lineage, ensure_checkpoint_dir, get_session, materialize
+from grainline.session import ensure_checkpoint_dir, get_session, materialize, release
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "cut_lineage", "materialize"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "materialize", "release"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -48,8 +48,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``.  When it is unset, a
+    session in one process (``local``, as in tests) gets a fresh scratch
+    folder; on a cluster that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -57,6 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir is not set: stage tables need a folder that all executors share "
+                               f"(master {master})")
         configured = tempfile.mkdtemp(prefix="grainline-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -70,17 +75,6 @@ def ensure_codegen_width(spark: SparkSession, n_fields: int) -> None:
         spark.conf.set("spark.sql.codegen.maxFields", str(max(4000, n_fields + 16)))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the shared checkpoint folder and return a
-    DataFrame whose plan starts from the written data.
-
-    Reliable checkpoints survive executor loss (unlike local checkpoints)
-    and keep the plans of long feature chains small.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back.  Unlike ``checkpoint()`` the copy is columnar, so later scans that
@@ -90,9 +84,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/grainline-tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def scratch_dir(prefix: str = "grainline-") -> str:
-    """Fresh scratch folder for tests and local benches only."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("GRAINLINE_SCRATCH"))
+    out = spark.read.parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more
+    (frames from elsewhere are left alone)."""
+    for df in tables:
+        path = df.__dict__.pop("_stage_path", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
