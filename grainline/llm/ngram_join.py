@@ -11,11 +11,11 @@ per document with its component, so links are followed, not listed.
 * **Heavy sets**: inverted lists over the ``n - ceil(0.75 n) + 1`` first
   shingles of each set in one global order (any pair that links shares one).
   The order puts the most frequent shingles of the corpus last, so a passage
-  that many texts share stays out of nearly all lists.  A list is scanned
-  against one pivot (the class with the smallest share of rare shingles);
-  then entries whose sizes and places still allow a link between two
-  components are compared with each other.  Members that a verified link has
-  joined already are not.  Nothing is capped.
+  that many texts share stays out of nearly all lists.  First each
+  class is compared with one pivot of its lists (a class with a small share
+  of rare shingles); then all entries whose sizes and places still allow a
+  link between two components are compared with each other.  Members that a
+  verified link has joined already are not.  Nothing is capped.
 * The boundary is chosen by cost: subsets to enumerate against list entries
   times ``SCAN_COST``, from the size histogram of all classes.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from grainline.llm.components import connected_components
 from grainline.llm.textnum import chunks, lower_ascii_table, mix64, word_bounds, word_hashes
-from grainline.session import materialize
+from grainline.session import materialize, release
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -55,6 +55,9 @@ SCAN_COST = 4.0
 #: each); with more, the texts are joined to the ids instead.
 FILTER_IDS = 2_000_000
 
+#: Buckets of a sketch (16 times as many for sets of over 8 a bucket).
+BUCKETS = 256
+
 _SPACES = (0x20, 9, 10, 11, 12, 13)
 
 
@@ -195,6 +198,7 @@ def _signer(keys_b, counts_b):
                 sets, ids = text_sets(data, offs)
                 first = []
                 rare, listed = np.zeros(len(sets), np.int32), np.zeros(len(sets), np.int32)
+                sketch = [None] * len(sets)
                 for i, (s, c) in enumerate(zip(sets, ids.tolist())):
                     if not len(s) or c in seen:
                         first.append(s[:0])
@@ -205,12 +209,15 @@ def _signer(keys_b, counts_b):
                     p, listed[i] = _in_order(s, keys, counts, k)
                     rare[i] = 1000 * (len(s) - listed[i]) // len(s)
                     first.append(p)
+                    width = BUCKETS if len(s) < 8 * BUCKETS else 16 * BUCKETS
+                    sketch[i] = np.bincount((s >> _u(7)).astype(np.int64) % width, minlength=width).astype(np.uint16).tobytes()
                 k = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in first]), pa.int32()),
                                              pa.array(np.concatenate(first).view(np.int64)))
                 size = np.array([len(s) for s in sets], np.int32)
                 node = pa.array(ids.view(np.int64), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), node, pa.array(size), pa.array(rare), pa.array(listed), k],
-                                                 ["doc_id", "node", "n", "rare", "listed", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), node, pa.array(size), pa.array(rare), pa.array(listed), k,
+                                                  pa.array(sketch, pa.binary())],
+                                                 ["doc_id", "node", "n", "rare", "listed", "keys", "sketch"])
     return run
 
 
@@ -240,6 +247,21 @@ def _sets_of(ids_b):
     return run
 
 
+def _possible(batches: Iterator) -> Iterator:
+    """Pairs whose sketches allow a link."""
+    import pyarrow as pa
+
+    for batch in batches:
+        hit = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())):
+            x, y = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+            if len(x) != len(y):  # fold the finer one
+                x, y = (z.reshape(-1, BUCKETS).sum(0) for z in (x, y))
+            o = int(np.minimum(x, y).sum())
+            hit[i] = DEN * o >= NUM * (int(x.sum()) + int(y.sum()) - o)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit)), batch.column("b").filter(pa.array(hit))], ["a", "b"])
+
+
 def _overlaps(batches: Iterator) -> Iterator:
     """Exact overlap of each pair of sorted sets."""
     import pyarrow as pa
@@ -260,25 +282,33 @@ def _overlaps(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(hit)], ["a", "b", "linked"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the (a, b) pairs whose sets link.  Sets are built again from
-    the texts of the classes that occur in a pair, once a class."""
+def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """(a, b, sa, sb): each pair with its two classes' values."""
+    return (pairs.join(table.select(F.col("node").alias("a"), F.col(value).alias("sa")), "a")
+            .join(table.select(F.col("node").alias("b"), F.col(value).alias("sb")), "b").select("a", "b", "sa", "sb"))
+
+
+def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the (a, b) pairs whose sets link, written.  Sets are built
+    again from the texts of the classes that occur in a pair, once a class."""
     spark = docs.sparkSession
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-ids")
+    open_pairs = materialize(_both(pairs, sketches, "sketch").mapInArrow(_possible, "a long, b long"), "join-pairs")
+    ids = materialize(open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-ids")
     n = ids.count()
-    if not n:
-        return pairs
     texts = docs.select(F.col("text").cast("string").alias("text"))
     wanted = None
     if n <= FILTER_IDS:
         wanted = spark.sparkContext.broadcast(np.sort(ids.toPandas()["node"].to_numpy(np.int64).view(np.uint64)))
+    if not n:
+        return open_pairs
     sets = texts.mapInArrow(_sets_of(wanted), "node long, shingles array<long>").dropDuplicates(["node"])
     if wanted is None:
         sets = sets.join(ids, "node", "left_semi")
     sets = materialize(sets, "join-sets")
-    full = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"))
-    return full.mapInArrow(_overlaps, "a long, b long, linked boolean").filter("linked").select("a", "b")
+    out = materialize(_both(open_pairs, sets, "shingles").mapInArrow(_overlaps, "a long, b long, linked boolean")
+                      .filter("linked").select("a", "b"), "join-found")
+    release(open_pairs, ids, sets)
+    return out
 
 
 def _light_subsets(boundary: int):
@@ -322,10 +352,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys, counts = frequent_shingles(docs)
     bk, bc = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(counts)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialize(docs.mapInArrow(_signer(bk, bc), f"doc_id {id_type}, node long, n int, rare int, listed int, keys array<long>"),
+    signed = materialize(docs.mapInArrow(_signer(bk, bc), f"doc_id {id_type}, node long, n int, rare int, listed int, keys array<long>, sketch binary"),
                          "join-signed")
     members = signed.select("doc_id", "node", "n")
     classes = signed.filter(F.size("keys") > 0)
+    sketches = materialize(classes.select("node", "sketch").dropDuplicates(["node"]), "join-sketches")
     small = classes.filter(F.col("n") <= LIGHT_MAX).select("node", "n", "keys").distinct()
     histogram = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
     boundary = choose_boundary(histogram)
@@ -356,52 +387,60 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     short = (entries.filter("not listed").withColumn("top", F.first(entry).over(w))
              .withColumn("prev", F.lag("node").over(w)).withColumn("next", F.lead("node").over(w))
              .filter("node <> top.node or next is not null").filter("prev is null or prev <> node"))
-    cols = ["key", "node", "n", "most", "top"]
+    cols = ["key", "rare", "node", "n", "most", "top"]
     shared = materialize(short.select(*cols).union(hot_lists.select(*cols)), "join-lists")
 
-    # first scan: each list against its pivot, the class with the smallest
-    # share of rare shingles
-    scan = shared.select(F.col("top.node").alias("a"), F.col("top.n").alias("na"), F.col("top.most").alias("ma"),
-                         F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-    links = _found(docs, scan)
+    # first scan: the pivot of a list is the class with the smallest share of
+    # rare shingles; each class is compared with the best pivot of its lists
+    near = _best_pivots(shared.select("node", "n", "most", "top"))
+    links = _found(docs, sketches, near)
     if edges:
         links = links.union(edges[0])
     links = materialize(links.distinct(), "join-links")
     roots = materialize(connected_components(links, "a", "b"), "join-roots")
 
-    # second scan: what may still join two components.  One side is outside
-    # its list's main component, so a group that is joined already is not
+    # second scan: all that is left, pair by pair.  One side is outside its
+    # list's main component, so a group that is joined already is not
     # compared within itself.
     lists = _open(shared, roots)
-    x, y = (lists.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "most", "root", "pivot", "main")]) for s in "ab")
+    x, y = (lists.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "most", "root", "main")]) for s in "ab")
     pairs = x.filter("root_a <> main_a").join(y, "key").filter(
         (F.col("root_a") != F.col("root_b")) & _fits("n_a", "most_a", "n_b", "most_b")
-        & ((F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b")))
-        & (F.col("node_a") != F.col("pivot_a")) & (F.col("node_b") != F.col("pivot_b")))
+        & ((F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))))
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("n_a").alias("na"), F.col("most_a").alias("ma"),
                          F.col("node_b").alias("b"), F.col("n_b").alias("nb"), F.col("most_b").alias("mb"))
-    more = materialize(_found(docs, pairs), "join-links")
+    more = _found(docs, sketches, pairs)
     roots = materialize(connected_components(links.union(more), "a", "b"), "join-roots")
+    release(shared, lists, sketches, links, more)
     return members, roots
 
 
-def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _best_pivots(rows: DataFrame) -> DataFrame:
+    """One candidate pair a class: with the best of its pivots (top) that its
+    size and place allow."""
+    fit = rows.filter((F.col("node") != F.col("top.node")) & _fits("n", "most", "top.n", "top.most"))
+    best = fit.groupBy("node").agg(F.min(F.struct("top", "n", "most")).alias("p"))
+    return best.select(F.col("p.top.node").alias("a"), F.col("p.top.n").alias("na"), F.col("p.top.most").alias("ma"),
+                       F.col("node").alias("b"), F.col("p.n").alias("nb"), F.col("p.most").alias("mb"))
+
+
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Entries that may still join two components: of lists with several, and
     with a list member small enough for the entry's largest partner size."""
     r = roots.select("node", F.col("root").alias("r"))
-    rows = (shared.join(r, "node", "left")
-            .select("key", "node", "n", "most", F.col("top.node").alias("pivot"), F.coalesce("r", "node").alias("root")))
+    rows = (lists.join(r, "node", "left")
+            .select("key", "rare", "node", "n", "most", F.coalesce("r", "node").alias("root")))
     per = rows.groupBy("key").agg(F.min("n").alias("least"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    rows = materialize(rows.join(per.select("key", "least"), "key").filter("most >= least").drop("least"), "join-open")
+    rows = rows.join(per.select("key", "least"), "key").filter("most >= least").drop("least")
     several = (rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
                .agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1"))
     return materialize(rows.join(several.select("key", "main"), "key"), "join-open")
 
 
-def _found(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _found(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     """Linked pairs among candidates (a, na, ma, b, nb, mb)."""
     pairs = pairs.filter((F.col("a") != F.col("b")) & _fits("na", "ma", "nb", "mb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _verified(docs, materialize(pairs, "join-pairs"))
+    return _verified(docs, sketches, pairs)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
