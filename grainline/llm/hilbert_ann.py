@@ -201,7 +201,7 @@ def _search(k: int):
                     out["class"] += [q["class"].iloc[lo + i]] * len(best)
                     out["vec_id"] += [int(v) for _, v in best]
                     out["score"] += [s for s, _ in best]
-        return pd.DataFrame(out).astype({"vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(out).astype({"class": object, "vec_id": "int64", "score": "float64"})
     return run
 
 

@@ -453,3 +453,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return members.join(table, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest
+    doc_id (rows that repeat an id and a text count once).  Rows without words
+    are no copies of each other and stay; so do the rows of a component
+    without any doc_id."""
+    members = materialize(ngram_components(docs, id_col, text_col), "join-members")
+    gone = materialize(members.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "join-gone")
+    if gone.count() <= FILTER_IDS:  # 8 bytes each
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
+    if members.groupBy("doc_id").count().filter("count > 1").head(1):
+        kept = kept.dropDuplicates([id_col, text_col])  # rows that repeat an id and a text
+    return kept

@@ -55,8 +55,8 @@ def _positions(text: str, pattern: str) -> str:
     """SQL for array<struct<start,end,hit>> of all matches in ``text``."""
     p = pattern.replace("\\", "\\\\")
     return f"""aggregate(
-        arrays_zip(regexp_extract_all({text}, '{p}', 0) as hits,
-                   slice(split({text}, '{p}', -1), 1, size(regexp_extract_all({text}, '{p}', 0))) as gaps),
+        zip_with(regexp_extract_all({text}, '{p}', 0), slice(split({text}, '{p}', -1), 1, size(regexp_extract_all({text}, '{p}', 0))),
+                 (h, g) -> named_struct('hits', h, 'gaps', g)),
         named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
         (a, x) -> named_struct('at', a.at + length(x.gaps) + length(x.hits), 'out', concat(a.out, array(named_struct(
             'start', a.at + length(x.gaps), 'end', a.at + length(x.gaps) + length(x.hits), 'hit', x.hits)))),

@@ -8,9 +8,11 @@ every position the hashes of all substrings that end there are looked up in
 the sorted piece hashes, the best score of each word is one vectorised
 maximum, and the chosen piece is the backpointer.  Of equal scores the longer
 last piece wins.  A character without a piece costs the lowest score minus
-10 and is written as its UTF-8 bytes.  Scores are the model file's own, so a
-model of any type is read as a unigram model; for a BPE model the pieces are
-those of the best score sum, not of the merge order.
+10 and is written as its UTF-8 bytes.  Scores are the model file's log
+probabilities; a BPE model holds merge ranks instead, which are read as a
+Zipf distribution over the ranks (log p = -log(rank + 2) - log H).  Its
+pieces are then the most probable ones, which are not always those that the
+merge order gives.
 
 Decoding joins piece bytes and removes the space in front: the round trip is
 exact for every text (U+2581 itself is written as bytes).
@@ -92,11 +94,22 @@ def read_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
     keys = np.array(hashes, np.uint64)[order]
     if (keys[1:] == keys[:-1]).any():
         raise ValueError("two pieces have one hash")
-    s = np.array(scores, np.float64)
+    s = log_probabilities(np.array(scores, np.float64))
     return Vocabulary(keys, np.array(ids, np.int64)[order], s[order], longest, float(s.min()) - UNKNOWN_PENALTY, byte_ids,
                       np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(b) for b in raw]))
 
 
+def log_probabilities(scores: np.ndarray) -> np.ndarray:
+    """The scores, or for merge ranks (whole numbers down to minus the number
+    of pieces; far lower ones mark pieces without a merge) those of a Zipf
+    distribution."""
+    if not (scores == np.round(scores)).all() or len(scores) < 2 or scores.min() > -len(scores) / 2:
+        return scores
+    rank = np.minimum(-scores, len(scores))
+    # in steps of 2**-16, so that sums are exact and ties do not hang on order
+    return np.round((-np.log(rank + 2) - np.log((1 / (rank + 2)).sum())) * 65536) / 65536
+
+
 def viterbi(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Best pieces of equally long words (k x length code points): flat ids
     and where each word's begin (k + 1)."""

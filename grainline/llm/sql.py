@@ -1,3 +1,89 @@
 """DuckDB SQL for the operators that SQL can express exactly."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+_HOST = r"'^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)'"
+_PATH = r"'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)'"
+
+
+def _n(text: str, at: int) -> str:
+    return f"CAST('0x' || substr(md5({text}), {at}, 6) AS BIGINT)"
+
+
+_DAY0 = 1672531200  # 2023-01-01 UTC
+
+# every rule of every capture by equality, no time buckets
+_OP3 = f"""
+WITH caps AS (
+  SELECT page_id, url, {_DAY0} + ({_n("CAST(page_id AS VARCHAR)", 1)} % 365) * 86400 + {_n("CAST(page_id AS VARCHAR)", 7)} % 86400 AS t,
+         lower(regexp_extract(url, {_HOST}, 1)) AS host, rtrim(lower(regexp_extract(url, {_PATH}, 1)), '/') AS path FROM pages),
+hosts AS (SELECT DISTINCT host, {_n("host", 1)} % 5 AS kind, {_n("host", 7)} % 200 AS d, {_n("host", 13)} % 40 AS e FROM caps WHERE host <> ''),
+log AS (
+  SELECT host AS rule, 'block' AS action, 'spam' AS category, d AS day FROM hosts WHERE kind <= 1
+  UNION ALL SELECT host, 'remove', 'spam', d + 20 + e FROM hosts WHERE kind <= 1
+  UNION ALL SELECT host, 'block', 'malware', d + 100 FROM hosts WHERE kind <= 1
+  UNION ALL SELECT host || '/en', 'block', 'adult', d FROM hosts WHERE kind = 2
+  UNION ALL SELECT host, 'allow', 'reviewed', d + 30 FROM hosts WHERE kind = 2
+  UNION ALL SELECT array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:3]), '.'), 'block', 'parked', d FROM hosts WHERE kind = 3),
+one AS (SELECT rule, day, max(struct_pack(s := CASE action WHEN 'remove' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END, action := action, category := category)) AS x
+        FROM log GROUP BY rule, day),
+valid AS (SELECT rule, x.action AS verdict, x.category AS category, {_DAY0} + day * 86400 AS since,
+                 {_DAY0} + lead(day) OVER (PARTITION BY rule ORDER BY day) * 86400 AS until FROM one),
+live AS (SELECT * FROM valid WHERE verdict <> 'remove'),
+keys AS (
+  SELECT page_id, url, t, array_to_string(list_reverse(list_reverse(p)[1:k]), '.') AS rule
+  FROM (SELECT *, string_split(host, '.') AS p FROM caps WHERE host <> ''), range(1, 200) AS r(k) WHERE k <= len(p)
+  UNION SELECT page_id, url, t, host || '/' || string_split(path, '/')[2] FROM caps WHERE host <> '' AND len(string_split(path, '/')) >= 2
+  UNION SELECT page_id, url, t, array_to_string(list_reverse(list_reverse(p)[1:k]), '.') || '/' || string_split(path, '/')[2]
+  FROM (SELECT *, string_split(host, '.') AS p FROM caps WHERE host <> ''), range(1, 200) AS r(k) WHERE k < len(p) AND len(string_split(path, '/')) >= 2),
+hit AS (
+  SELECT page_id, url, t, rule, verdict, category, since,
+         row_number() OVER (PARTITION BY page_id, url, t ORDER BY len(string_split(rule, '/')) DESC, len(string_split(rule, '.')) DESC,
+                            length(rule) DESC, rule DESC, verdict DESC, category DESC, since DESC) AS r
+  FROM keys JOIN live USING (rule) WHERE since <= t AND (until IS NULL OR t < until))
+SELECT c.page_id, c.t AS fetched_s, coalesce(h.verdict, 'none') AS verdict, h.rule, h.category, h.since AS since_s
+FROM caps c LEFT JOIN hit h ON h.r = 1 AND c.page_id = h.page_id AND c.url = h.url AND c.t = h.t
+"""
+
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest FROM p),
+o AS (SELECT digest, max(page_id) AS original, count(*) AS c FROM d GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < original THEN original END AS refers_to
+FROM d JOIN o USING (digest)
+"""
+
+_WORDS = r"string_split_regex(lower(coalesce({c}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# token by token on every shift of every pair that has five words in a row in common or not: all shifts
+_OP2 = f"""
+WITH i AS (SELECT DISTINCT item_id, list_filter({_WORDS.format(c='text')}, lambda x: x <> '') AS item FROM benchmark),
+it AS (SELECT item_id, item, len(item) AS m, unnest(range(1, len(item) + 1)) AS j FROM i WHERE len(item) >= 5),
+itw AS (SELECT item_id, m, j, item[j] AS w FROM it),
+dw AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, ws FROM (SELECT doc_id, {_WORDS.format(c='text')} AS ws FROM documents)),
+dp AS (SELECT doc_id, p, ws[p] AS w FROM dw),
+same AS (SELECT doc_id, item_id, m, p - j AS shift, j FROM dp JOIN itw USING (w)),
+runs AS (SELECT doc_id, item_id, m, shift, count(*) AS c FROM same GROUP BY ALL HAVING count(*) >= 0.5 * m)
+SELECT doc_id, item_id, CAST(m AS BIGINT) AS n_item, CAST(count(DISTINCT j) AS BIGINT) AS n_matched, count(DISTINCT j) / m AS overlap
+FROM same JOIN runs USING (doc_id, item_id, m, shift) GROUP BY doc_id, item_id, m HAVING count(DISTINCT j) >= 0.75 * m
+"""
+
+# all pairs that share a shingle, counted, then components by label spreading
+_OP10 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM g),
+e AS (SELECT doc_id, md5(unnest(s)) AS k FROM g),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 75 * (nx.n + ny.n - o)),
+sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, sym.y FROM reach JOIN sym ON sym.x = reach.b)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = n.doc_id) AS component_id FROM n
+"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_url_lists": _OP3, "op8_warc": _OP8, "op10_ngram_join": _OP10}
