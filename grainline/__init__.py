@@ -9,9 +9,8 @@ Sub-packages:
   label coding, folds, metrics, exploration, boosting)
 * ``plans``      – the bookings preset: full feature manifest and the staged
   job that materialises it
-* ``streaming``  – intentionally empty (the reference has no streaming)
 """
 
-from grainline.session import ensure_checkpoint_dir, get_session, materialize, release
+from grainline.session import clear_stages, ensure_checkpoint_dir, get_session, materialize, release
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "materialize", "release"]
+__all__ = ["clear_stages", "get_session", "ensure_checkpoint_dir", "materialize", "release"]

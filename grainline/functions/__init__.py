@@ -10,7 +10,6 @@ from grainline.functions.dates import (
     to_day,
 )
 from grainline.functions.numeric import (
-    nan_to_null,
     ratio,
     round_even,
     zero_of,
@@ -23,7 +22,6 @@ __all__ = [
     "days_between",
     "parse_dates",
     "to_day",
-    "nan_to_null",
     "ratio",
     "round_even",
     "zero_of",

@@ -44,12 +44,6 @@ def ratio(num: str | Column, den: str | Column, digits: int | None = 2) -> Colum
     return q if digits is None else round_even(q, digits)
 
 
-def nan_to_null(c: str | Column) -> Column:
-    """NaN -> NULL, so aggregates skip it as pandas does."""
-    x = _c(c)
-    return F.nanvl(x, F.lit(None).cast(DoubleType()))
-
-
 def zero_of(dtype: DataType) -> Column:
     """The value a masked "set to 0" assignment leaves in a column."""
     if isinstance(dtype, (IntegralType, FloatType, DoubleType, DecimalType)):

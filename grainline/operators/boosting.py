@@ -4,10 +4,12 @@ early stopping, refit and ensemble averaging — Spark ML underneath.
 * Trees are grown by ``pyspark.ml.regression.GBTRegressor`` (distributed
   histogram search per level).  It grows level-wise, so ``max_depth`` also
   caps the leaf count; it has no L1/L2 leaf penalty (documented gap).
-* Early stopping: fit ``max_rounds`` trees, score every prefix on the
-  validation rows with ``evaluateEachIteration`` and keep the best prefix.
-  Predictions of a prefix are a weighted sum of the first trees (one
-  projection pass, JVM only).
+* Early stopping: Spark's own validation indicator.  Fitting stops when a
+  round lowers the validation loss by less than ``validation_tol`` (relative)
+  and the model keeps the rounds up to the best loss.  There is no patience
+  window as in other learners (documented gap).
+* A model of fewer rounds is the same model with fewer trees, so it predicts
+  in one transform.
 * Folds come from ``group_kfold`` (a column), so dev/val rows are filters.
 * Fold fits run concurrently from a driver thread pool (as
   ``CrossValidator(parallelism=...)`` does).
@@ -18,15 +20,17 @@ from __future__ import annotations
 import concurrent.futures as cf
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.operators.folds import FOLD_COL, average_predictions, fold_split, rmse
-from grainline.session import ensure_checkpoint_dir, ensure_codegen_width, materialize
+from grainline.operators.folds import FOLD_COL, fold_split, mean_of_columns, rmse
+from grainline.session import ensure_checkpoint_dir, materialize
 
 FEATURES_COL = "features"
 MISSING_FILL = -999.0
@@ -34,11 +38,12 @@ MISSING_FILL = -999.0
 
 @dataclass(frozen=True)
 class BoostParams:
-    """Defaults follow the reference's learner settings where Spark has an
-    equivalent (min rows per leaf 150, bagging 0.7, feature share 0.7);
-    depth 4 stands for its 15-leaf cap; the learning rate is larger because
-    Spark fits far fewer rounds."""
+    """Learner settings.  Fixed values where Spark has an equivalent: min
+    rows per leaf 150, bagging 0.7, feature share 0.7.  Depth 4 stands for a
+    cap of 15 leaves, 64 bins bound the histograms; the learning rate is
+    larger because Spark fits far fewer rounds."""
     max_rounds: int = 200
+    validation_tol: float = 0.01
     max_depth: int = 4
     min_rows_per_leaf: int = 150
     learning_rate: float = 0.05
@@ -49,7 +54,8 @@ class BoostParams:
     extra: dict = field(default_factory=dict)
 
     def estimator(self, label: str, features: str = FEATURES_COL,
-                  rounds: int | None = None, seed: int | None = None) -> GBTRegressor:
+                  rounds: int | None = None, seed: int | None = None,
+                  val_col: str | None = None) -> GBTRegressor:
         est = GBTRegressor(
             featuresCol=features, labelCol=label, lossType="squared",
             maxIter=rounds or self.max_rounds, maxDepth=self.max_depth,
@@ -57,6 +63,8 @@ class BoostParams:
             subsamplingRate=self.subsample, featureSubsetStrategy=self.feature_fraction,
             maxBins=self.max_bins, seed=self.seed if seed is None else seed,
             cacheNodeIds=True, checkpointInterval=10)
+        if val_col:
+            est = est.setParams(validationIndicatorCol=val_col, validationTol=self.validation_tol)
         if self.extra:
             est = est.setParams(**self.extra)
         return est
@@ -67,7 +75,6 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
     """``keep`` columns plus one vector column.  The tree learner rejects
     NaN, so NULL / NaN become ``fill`` (choose it below every column's
     range)."""
-    ensure_codegen_width(df.sparkSession, len(keep) + 2 * len(features))
     filled = df.select(*keep, *[
         F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
                    F.lit(fill)).alias(c) for c in features])
@@ -77,45 +84,47 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
 
 def fit_boosted(df: DataFrame, label: str, params: BoostParams = BoostParams(),
                 rounds: int | None = None, seed: int | None = None,
-                features: str = FEATURES_COL) -> GBTRegressionModel:
+                features: str = FEATURES_COL, val_col: str | None = None) -> GBTRegressionModel:
+    """Fit on ``df``; with ``val_col`` (boolean) on the rows where it is
+    false, stopping early on those where it is true."""
     ensure_checkpoint_dir(df.sparkSession)   # node-id cache checkpoints
-    return params.estimator(label, features, rounds, seed).fit(df)
+    return params.estimator(label, features, rounds, seed, val_col).fit(df)
 
 
-def best_rounds(model: GBTRegressionModel, val: DataFrame) -> tuple[int, list[float]]:
-    """(best number of trees, validation loss of every prefix)."""
-    losses = list(model.evaluateEachIteration(val, "squared"))
-    best = min(range(len(losses)), key=lambda i: losses[i]) + 1
-    return best, losses
+def truncated(model: GBTRegressionModel, n: int | None) -> GBTRegressionModel:
+    """The model of the first ``n`` trees (the model itself for None)."""
+    trees = model._java_obj.trees()
+    if n is None or n >= len(trees):
+        return model
+    sc = SparkContext._active_spark_context
+    package = sc._jvm.org.apache.spark.ml.regression
+    first = sc._gateway.new_array(package.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, w in enumerate(model.treeWeights[:n]):
+        first[i], weights[i] = trees[i], float(w)
+    java = package.GBTRegressionModel(model.uid, first, weights, model.numFeatures)
+    java.setFeaturesCol(model.getFeaturesCol())
+    return GBTRegressionModel(java)
 
 
 def predict_rounds(model: GBTRegressionModel, df: DataFrame, n: int | None = None,
                    out: str = "prediction") -> DataFrame:
     """Prediction of the first ``n`` trees (all when ``n`` is None)."""
-    trees = model.trees
-    n = len(trees) if n is None else n
-    if n == len(trees):
-        return model.copy().setPredictionCol(out).transform(df)
-    weights = model.treeWeights
-    cur = df
-    for i in range(n):
-        t = trees[i].copy().setFeaturesCol(model.getFeaturesCol()).setPredictionCol(f"_t{i}")
-        cur = t.transform(cur)
-    total = F.lit(0.0)
-    for i in range(n):
-        total = total + F.lit(float(weights[i])) * F.col(f"_t{i}")
-    return cur.withColumn(out, total).drop(*[f"_t{i}" for i in range(n)])
-
-
-def importance(model: GBTRegressionModel, feature_names: Sequence[str],
+    return truncated(model, n).copy().setPredictionCol(out).transform(df)
+
+
+def node_table(model: GBTRegressionModel, spark: SparkSession) -> DataFrame:
+    """The model's nodes, one row each, as Spark writes them."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-models/gbt-{uuid.uuid4().hex}"
+    model.write().session(spark).overwrite().save(path)
+    return spark.read.parquet(f"{path}/data")
+
+
+def importance(model: GBTRegressionModel, feature_names: Sequence[str], spark: SparkSession,
                n_trees: int | None = None) -> DataFrame:
     """Per feature: number of splits and summed gain (plus gain percent),
     read from the model's saved node table."""
-    spark = SparkSession.getActiveSession()
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/grainline-models/gbt-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
+    nodes = node_table(model, spark)
     if n_trees is not None:
         nodes = nodes.where(F.col("treeID") < n_trees)
     splits = (nodes.where(F.col("nodeData.leftChild") >= 0)
@@ -133,30 +142,9 @@ def importance(model: GBTRegressionModel, feature_names: Sequence[str],
 @dataclass
 class CVResult:
     oof: DataFrame            # id, fold, label, prediction (validation rows)
-    test: DataFrame           # id, prediction (mean of refits)
+    test: DataFrame           # id, prediction (mean of refits), n_models
     folds: list[dict]         # fold, best_rounds, rmse
-    importance: DataFrame | None = None
-
-
-def prefix_predictions(model: GBTRegressionModel, df: DataFrame, rounds: dict,
-                       keep: Sequence[str]) -> DataFrame:
-    """One pass: per-tree predictions once, then one weighted prefix sum per
-    entry of ``rounds`` ({label: n_trees}); long output ``keep + (label,
-    prediction)``."""
-    n = max(rounds.values())
-    weights = model.treeWeights
-    cur = df
-    for i in range(n):
-        t = model.trees[i].copy().setFeaturesCol(model.getFeaturesCol()).setPredictionCol(f"_t{i}")
-        cur = t.transform(cur)
-    sums = []
-    for label, k in rounds.items():
-        total = F.lit(0.0)
-        for i in range(k):
-            total = total + F.lit(float(weights[i])) * F.col(f"_t{i}")
-        sums.append(F.struct(F.lit(label).alias("_label"), total.alias("prediction")))
-    return (cur.select(*keep, F.explode(F.array(*sums)).alias("_p"))
-            .select(*keep, F.col("_p._label").alias("_label"), F.col("_p.prediction").alias("prediction")))
+    importance: DataFrame | None = None   # fold, stage, feature, split, gain_sum, gain
 
 
 def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label: str,
@@ -164,41 +152,47 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
                    fold_col: str = FOLD_COL, refit_seed: int = 2018, parallelism: int = 4,
                    feature_names: Sequence[str] | None = None) -> CVResult:
     """Group-wise CV: for each fold fit on dev, stop early on val and
-    predict val with the best prefix; refit on all train rows and predict
-    test with each fold's best round count; average those predictions.
+    predict val; refit on all train rows and predict test with each fold's
+    round count; average those predictions.
 
     All refits use the same rows and seed and differ only in the number of
     trees, and a Spark GBT fit with fewer rounds is a prefix of a longer one
-    (tested), so one refit with the largest best count serves every fold.
+    (tested), so one refit with the largest count serves every fold.  The
+    importance report has a row per feature for each fold and stage (``dev``:
+    the fold's fit, ``refit``: the refit with the fold's rounds).
 
     ``train`` holds ``id_col, fold_col, label, features``; ``test`` holds
     ``id_col, features``.  Both should be materialised."""
+    spark = train.sparkSession
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect() if r[0] is not None)
 
+    def report(model, fold, stage, n=None):
+        rep = importance(model, feature_names, spark, n)
+        return rep.select(F.lit(fold).alias(fold_col), F.lit(stage).alias("stage"), "feature", "split", "gain_sum", "gain")
+
     def one(f: int):
-        dev, val = fold_split(train, f, fold_col)
-        model = fit_boosted(dev, label, params)
-        best, _ = best_rounds(model, val)
-        val_pred = predict_rounds(model, val, best).select(id_col, fold_col, label, "prediction")
-        val_pred = materialize(val_pred, "oof")
+        rows = train.where(F.col(fold_col).isNotNull()).withColumn("_val", F.col(fold_col) == f)
+        model = fit_boosted(rows, label, params, val_col="_val")
+        val = fold_split(train, f, fold_col)[1]
+        val_pred = materialize(predict_rounds(model, val).select(id_col, fold_col, label, "prediction"), "oof")
         score = rmse(val_pred, label, "prediction").first()["rmse"]
-        return f, best, score, val_pred
+        return f, model.getNumTrees, score, val_pred, report(model, f, "dev") if feature_names is not None else None
 
     with cf.ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(one, folds))
 
-    oof = results[0][3]
-    for r in results[1:]:
-        oof = oof.unionByName(r[3])
+    oof = reduce(DataFrame.unionByName, [r[3] for r in results])
     best = {r[0]: r[1] for r in results}
     test_avg, imp = None, None
     if test is not None or feature_names is not None:
         refit = fit_boosted(train, label, params, rounds=max(best.values()), seed=refit_seed)
         if test is not None:
-            long = prefix_predictions(refit, test, best, [id_col])
-            test_avg = average_predictions(long, id_col)
+            cur = test
+            for f, n in best.items():
+                cur = predict_rounds(refit, cur, n, f"_p{f}")
+            test_avg = mean_of_columns(cur, [f"_p{f}" for f in best]).select(id_col, "prediction", "n_models")
         if feature_names is not None:
-            imp = importance(refit, feature_names, n_trees=best[folds[-1]])
+            imp = reduce(DataFrame.unionByName, [r[4] for r in results] + [report(refit, f, "refit", n) for f, n in best.items()])
     return CVResult(oof=oof, test=test_avg,
                     folds=[{"fold": r[0], "best_rounds": r[1], "rmse": r[2]} for r in results],
                     importance=imp)

@@ -4,32 +4,26 @@ The code of a value is the rank of its first position in a given order;
 missing values get ``-1`` (and so form one shared group afterwards), as do
 values never seen in the rows the codes are fitted on.
 
-Plan: ``groupBy(value).agg(min(position))`` reduces the detail to one row
-per distinct value (partial aggregation, hot values cost nothing).  The
-distinct values are then numbered by first position:
-
-* few values (``<= small_max_rows``, checked on the materialised table):
-  ``row_number`` over that small table and a broadcast join back;
-* many values (member ids): ``global_rank`` (range partitions plus
-  per-partition offsets, no single task sees all values) and a shuffle
-  join back.
+Plan: one pass unpivots the coded columns to (column, value, position) and
+``groupBy(column, value).agg(min(position))`` reduces it to one row per distinct
+value (combined map-side, so hot values cost nothing).  These rows are
+numbered by ``running_count`` (ranges plus offsets; no task sees all values)
+in the order (column, first position); a column's first number is taken off.
+The code tables are joined back and AQE chooses the join from their real
+sizes.
 """
 
 from __future__ import annotations
 
-import concurrent.futures as cf
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainline.operators.ranking import global_rank
 from grainline.operators.sequence import Order, as_orders
 from grainline.session import materialize
 
-# Up to this many distinct values are numbered in one task (a few MB).
-DEFAULT_SMALL_MAX_ROWS = 100_000
-
 
 def position_key(order_by: Sequence[str | Order]) -> Column:
     """A struct whose ascending order is the given order (numeric columns
@@ -41,45 +35,27 @@ def position_key(order_by: Sequence[str | Order]) -> Column:
     return F.struct(*parts)
 
 
-def _number(firsts: DataFrame, small_max_rows: int,
-            num_partitions: int | None) -> tuple[DataFrame, bool]:
-    """Add ``code`` = 0-based rank of ``_first`` (unique per row)."""
-    if firsts.count() <= small_max_rows:
-        # size checked: a single-partition window over a small table
-        w = Window.orderBy("_first")
-        return firsts.withColumn("code", (F.row_number().over(w) - 1).cast("long")), True
-    return global_rank(firsts, [F.col("_first").asc()], "code", num_partitions), False
-
-
-def code_table(src: DataFrame, col: str, order_by: Sequence[str | Order],
-               small_max_rows: int = DEFAULT_SMALL_MAX_ROWS,
-               num_partitions: int | None = None) -> tuple[DataFrame, bool]:
-    """(value -> code table, fits broadcast) for one column."""
-    firsts = (src.where(F.col(col).isNotNull())
-              .groupBy(col).agg(F.min(position_key(order_by)).alias("_first")))
-    firsts = materialize(firsts, "firsts")
-    coded, small = _number(firsts, small_max_rows, num_partitions)
-    return coded.select(F.col(col).alias("_v"), F.col("code").alias("_code")), small
+def code_tables(src: DataFrame, cols: Sequence[str], order_by: Sequence[str | Order]) -> DataFrame:
+    """(column number, value as text, code) of all columns, written."""
+    items = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("string").alias("_v")) for i, c in enumerate(cols)])
+    long = src.select(position_key(order_by).alias("_p"), F.explode(items).alias("_e")).select("_p", "_e._c", "_e._v")
+    firsts = long.where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.min("_p").alias("_first"))
+    ranked = materialize(global_rank(firsts, [F.col("_c").asc(), F.col("_first").asc()], "_r").drop("_first"), "codes")
+    base = ranked.groupBy("_c").agg(F.min("_r").alias("_r0"))  # one row per column
+    return ranked.join(F.broadcast(base), "_c").select("_c", "_v", (F.col("_r") - F.col("_r0")).cast("long").alias("_code"))
 
 
 def first_seen_index(df: DataFrame, cols: Sequence[str], order_by: Sequence[str | Order],
                      fit_on: DataFrame | None = None, missing: int = -1,
-                     small_max_rows: int = DEFAULT_SMALL_MAX_ROWS,
-                     num_partitions: int | None = None, suffix: str = "",
-                     parallelism: int = 8) -> DataFrame:
+                     suffix: str = "") -> DataFrame:
     """Replace each column in ``cols`` (or add ``col + suffix``) by its
-    first-appearance code.  Codes are fitted on ``fit_on`` (default ``df``);
-    the code tables of different columns are built concurrently."""
-    src = fit_on if fit_on is not None else df
-    with cf.ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(cols)))) as pool:
-        tables = list(pool.map(
-            lambda c: code_table(src, c, order_by, small_max_rows, num_partitions), cols))
+    first-appearance code.  Codes are fitted on ``fit_on`` (default ``df``).
+    Values are told apart by their text form."""
+    tables = code_tables(fit_on if fit_on is not None else df, cols, order_by)
     out = df
-    for col, (mapping, small) in zip(cols, tables):
-        if small:
-            mapping = F.broadcast(mapping)
-        out = (out.join(mapping, out[col] == mapping["_v"], "left")
-               .withColumn(col + suffix, F.coalesce(F.col("_code"), F.lit(missing).cast("long"))
-                           .cast("long"))
+    for i, col in enumerate(cols):
+        mapping = tables.where(F.col("_c") == i).select("_v", "_code")
+        out = (out.join(mapping, out[col].cast("string") == mapping["_v"], "left")
+               .withColumn(col + suffix, F.coalesce(F.col("_code"), F.lit(missing).cast("long")))
                .drop("_v", "_code"))
     return out

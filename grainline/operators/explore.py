@@ -1,6 +1,6 @@
 """Exploratory reports: distributions, per-entity visit counts, key overlap,
-missing values and train/test category frequencies.  Each is one or two
-aggregations; nothing is collected except where noted."""
+missing values and train/test category frequencies.  Each reads its input
+once (distributions twice) and collects nothing but single summary rows."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainline.operators.ranking import exact_quantiles
+from grainline.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -18,7 +19,7 @@ def describe_by(df: DataFrame, col: str, by: Sequence[str] = (),
                 probs: Sequence[float] = QUARTILES, exact: bool = True) -> DataFrame:
     """count, mean, sample std, min, quantiles, max of ``col`` per group.
 
-    ``exact=True`` ranks the values with range partitions (no group is
+    ``exact=True`` takes quantiles from counted values (no group is
     collected); ``exact=False`` uses ``percentile_approx`` (one pass)."""
     by = list(by)
     base = df.groupBy(*by).agg(
@@ -64,20 +65,13 @@ def visits_per_entity(df: DataFrame, entity: str, probs: Sequence[float] = QUART
     return describe_by(per, "visits", (), probs)
 
 
-def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Counts of distinct keys only in a, only in b, and in both.
-    Distinct keys first (partial aggregation), then one full outer join."""
-    ka = a.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_a", F.lit(1))
-    kb = b.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_b", F.lit(1))
-    j = ka.join(kb, key, "full_outer")
-    return j.agg(
-        F.sum(F.when(F.col("_a").isNotNull() & F.col("_b").isNull(), 1).otherwise(0))
-        .cast("long").alias("only_left"),
-        F.sum(F.when(F.col("_a").isNull() & F.col("_b").isNotNull(), 1).otherwise(0))
-        .cast("long").alias("only_right"),
-        F.sum(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1).otherwise(0))
-        .cast("long").alias("both"),
-    )
+def key_overlap(df: DataFrame, key: str, side: str) -> DataFrame:
+    """Counts of distinct keys only on the left (``side`` = 1), only on the
+    right (0) and on both; one scan, one row per key and task is shuffled."""
+    per = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max((F.col(side) == 1).cast("int")).alias("_a"), F.max((F.col(side) == 0).cast("int")).alias("_b"))
+    count = lambda a, b: F.coalesce(F.sum(((F.col("_a") == a) & (F.col("_b") == b)).cast("long")), F.lit(0).cast("long"))
+    return per.agg(count(1, 0).alias("only_left"), count(0, 1).alias("only_right"), count(1, 1).alias("both"))
 
 
 def profile_nulls(df: DataFrame, cols: Sequence[str] | None = None,
@@ -108,21 +102,15 @@ def profile_schema(df: DataFrame) -> DataFrame:
 
 def frequency_compare(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
     """For every (column, value): rows with ``by`` = 1 and = 0, and each
-    count's share of its side.  Values are stringified so all columns fit
-    one long table; the unpivot happens after a first per-column
-    aggregation, so only (column, value) groups reach the shuffle."""
-    parts = []
-    for c in cols:
-        parts.append(df.groupBy(F.col(c).cast("string").alias("value"), F.col(by).alias("_s"))
-                     .agg(F.count(F.lit(1)).alias("_n")).withColumn("attribute", F.lit(c)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    wide = u.groupBy("attribute", "value").agg(
-        F.sum(F.when(F.col("_s") == 1, F.col("_n")).otherwise(0)).cast("long").alias("n_train"),
-        F.sum(F.when(F.col("_s") == 0, F.col("_n")).otherwise(0)).cast("long").alias("n_test"))
+    count's share of its side.  One scan: each row is unpivoted to its
+    (column, value as text) pairs, which are counted map-side, and the totals
+    come from that written table of one row per (column, value)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in cols])
+    long = df.select(F.col(by).alias("_s"), F.explode(pairs).alias("_e")).select("_s", "_e.attribute", "_e.value")
+    wide = materialize(long.groupBy("attribute", "value").agg(
+        F.sum((F.col("_s") == 1).cast("long")).alias("n_train"), F.sum((F.col("_s") == 0).cast("long")).alias("n_test")), "freq")
     totals = wide.groupBy("attribute").agg(F.sum("n_train").alias("_tt"), F.sum("n_test").alias("_te"))
-    return (wide.join(totals, "attribute")
+    return (wide.join(F.broadcast(totals), "attribute")  # one row per column
             .withColumn("share_train", F.try_divide(F.col("n_train").cast("double"), F.col("_tt").cast("double")))
             .withColumn("share_test", F.try_divide(F.col("n_test").cast("double"), F.col("_te").cast("double")))
             .drop("_tt", "_te"))

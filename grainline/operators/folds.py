@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainline.session import materialize
+
 FOLD_COL = "fold"
 
 
@@ -43,14 +45,17 @@ def rmse(df: DataFrame, y: str, p: str, by: Sequence[str] = (), name: str = "rms
 
 
 def cv_report(df: DataFrame, y: str, p: str, fold_col: str = FOLD_COL) -> DataFrame:
-    """Per-fold RMSE plus the mean of fold scores and the pooled RMSE,
-    as rows ``(fold, rmse, mean_fold_rmse, overall_rmse)``.  The two
-    summary numbers are global aggregates brought back as scalars."""
-    per = rmse(df, y, p, [fold_col]).drop("n_rows")
-    mean_fold = per.agg(F.avg("rmse")).first()[0]
-    overall = rmse(df, y, p).first()["rmse"]
-    return per.withColumns({"mean_fold_rmse": F.lit(mean_fold).cast("double"),
-                            "overall_rmse": F.lit(overall).cast("double")})
+    """Per-fold RMSE and row count plus the mean of fold scores and the
+    pooled RMSE, as rows ``(fold, rmse, n_rows, mean_fold_rmse,
+    overall_rmse)``.  The scored rows are read once: squared errors are summed
+    per fold, and the summary numbers come from that table of one row per
+    fold."""
+    per = materialize(df.groupBy(fold_col).agg(F.sum(F.pow(F.col(y) - F.col(p), 2)).alias("_sq"),
+                                               F.count(F.lit(1)).alias("n_rows")), "folds")
+    per = per.withColumn("rmse", F.sqrt(F.try_divide("_sq", "n_rows")))
+    total = per.agg(F.avg("rmse").alias("m"), F.sqrt(F.try_divide(F.sum("_sq"), F.sum("n_rows"))).alias("o")).first()
+    return per.drop("_sq").withColumns({"mean_fold_rmse": F.lit(total["m"]).cast("double"),
+                                        "overall_rmse": F.lit(total["o"]).cast("double")})
 
 
 def average_predictions(preds: DataFrame, id_col: str, pred_col: str = "prediction",
@@ -59,6 +64,18 @@ def average_predictions(preds: DataFrame, id_col: str, pred_col: str = "predicti
     return preds.groupBy(id_col).agg(F.avg(pred_col).alias(name), F.count(pred_col).alias("n_models"))
 
 
+def mean_of_columns(df: DataFrame, cols: Sequence[str], name: str = "prediction",
+                    count_name: str = "n_models") -> DataFrame:
+    """Mean of the non-null ``cols`` of each row, in one projection, and how
+    many there were (k models' predictions side by side need no shuffle)."""
+    known = [F.when(F.col(c).isNotNull(), F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in cols]
+    n = [F.col(c).isNotNull().cast("long") for c in cols]
+    count, total = n[0], known[0]
+    for c, t in zip(n[1:], known[1:]):
+        count, total = count + c, total + t
+    return df.withColumns({count_name: count, name: F.try_divide(total, count.cast("double"))})
+
+
 def percent_of_total(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """``100 * col / sum(col)``; the total is one number computed by a
     global aggregate, so no row travels to a single task."""
@@ -67,7 +84,8 @@ def percent_of_total(df: DataFrame, col: str, name: str | None = None) -> DataFr
     return df.withColumn(name or f"{col}_pct", val)
 
 
-def top_k(df: DataFrame, col: str, k: int = 25) -> DataFrame:
-    """Largest ``k`` rows by ``col`` (TakeOrderedAndProject: each task keeps
-    its own top k; the limit is the feature)."""
-    return df.orderBy(F.col(col).desc_nulls_last()).limit(k)
+def top_k(df: DataFrame, col: str, k: int = 25, tie: Sequence[str] = ()) -> DataFrame:
+    """Largest ``k`` rows by ``col``, equal ones by the ``tie`` columns
+    (TakeOrderedAndProject: each task keeps its own top k; the limit is the
+    feature)."""
+    return df.orderBy(F.col(col).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tie]).limit(k)

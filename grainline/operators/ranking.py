@@ -1,82 +1,77 @@
-"""Exact global row numbers without a single-partition window.
+"""Exact global positions and quantiles without a single-partition window
+and without moving hot values into one task.
 
-``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one
-task.  ``global_rank`` instead range-partitions on the order (sampled
-bounds, so hot values spread over tasks), sorts inside partitions,
-checkpoints (partition ids must be stable for the second pass), counts the
-rows of each partition (one number per partition reaches the driver) and
-adds the partition's offset to the row's local index.
+Range bounds never split equal keys, so equal values are counted first
+(``groupBy(...).count()``, combined map-side): what is range-partitioned are
+distinct values with their counts.  The ranges are written with their number;
+running counts inside a range and the sums of the ranges before it (one row
+per range) give every value's position.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainline.session import ensure_checkpoint_dir
+from grainline.session import materialize
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "_rank",
-                num_partitions: int | None = None) -> DataFrame:
-    """Add a 0-based ``rank_col`` = position of the row in ``order``.
-    Ties are broken arbitrarily; pass a total order for determinism."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(p, *order).sortWithinPartitions(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_pid").count().collect()
-    offsets, acc = [], 0
-    for row in sorted(counts, key=lambda r: r["_pid"]):
-        offsets.append((int(row["_pid"]), acc))
-        acc += int(row["count"])
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    # `off` has one row per partition: its size is bounded by the
-    # partition count, not by the data.
-    return (ranged.join(F.broadcast(off), "_pid")
-            .withColumn(rank_col, F.col("_off") + local)
-            .drop("_pid", "_mid", "_off"))
+def running_count(df: DataFrame, order: Sequence[Column], weight: str, before: str = "_before") -> DataFrame:
+    """Add ``before`` = sum of ``weight`` over all rows that come earlier in
+    ``order``, which must be total (no two rows equal in it)."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # one row per range: bounded by the partition count, not by the data
+    sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_s"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_range", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).cast("long").alias("_off"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumn(before, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+            .join(F.broadcast(offsets), "_range")
+            .withColumn(before, (F.col(before) + F.col("_off")).cast("long")).drop("_range", "_off"))
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "_rank") -> DataFrame:
+    """Add a 0-based ``rank_col`` = position of the row in ``order``, which
+    must be total; rows that are equal in it would share one task."""
+    return running_count(df.withColumn("_one", F.lit(1)), order, "_one", rank_col).drop("_one")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+                    by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles (``percentile`` / ``quantile_cont``)
     of non-null ``col`` per ``by`` group, without collecting any group.
 
     Returns one row per group with columns ``q0, q1, ...`` for ``probs``.
-    After ranking, only the two rows around each wanted rank are kept.
+    Values are counted first, so ties cost one row; a value answers the
+    wanted positions that fall into its run.
     """
-    user_by = list(by)
-    by = user_by or ["_g"]
-    vals = df.select(*[F.col(b) for b in user_by], F.col(col).cast("double").alias("_v"))
-    if not user_by:
-        vals = vals.withColumn("_g", F.lit(0))
-    vals = vals.where(F.col("_v").isNotNull())
-    order = [F.col(b).asc_nulls_last() for b in by] + [F.col("_v").asc()]
-    ranked = global_rank(vals, order, "_r", num_partitions)
-    # size and first rank of every group: one row per group
-    g = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_s"))
-    wanted = []
+    by = list(by)
+    keys = [f"_b{i}" for i in range(len(by))]
+    counts = (df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(col).cast("double").alias("_v"))
+              .where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_v").asc()]
+    runs = materialize(running_count(counts, order, "_c"), "runs")
+    groups = runs.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_s"))
+    if keys:
+        g = groups.withColumnsRenamed({k: f"_g{k}" for k in keys})
+        cond = None
+        for k in keys:
+            e = runs[k].eqNullSafe(g[f"_g{k}"])
+            cond = e if cond is None else cond & e
+        rows = runs.join(g, cond).drop(*[f"_g{k}" for k in keys])
+    else:
+        one = groups.first()
+        rows = runs.withColumns({"_n": F.lit(one["_n"]).cast("long"), "_s": F.lit(one["_s"]).cast("long")})
+    at = F.col("_before") - F.col("_s")
+    found, out = [], []
     for i, p in enumerate(probs):
         h = (F.col("_n") - 1) * F.lit(float(p))
-        lo = F.floor(h).cast("long")
+        lo = F.floor(h)
         hi = F.least(lo + 1, F.col("_n") - 1)
-        frac = h - F.floor(h)
-        wanted.append(g.select(*by, F.lit(i).alias("_q"), (F.col("_s") + lo).alias("_rlo"),
-                               (F.col("_s") + hi).alias("_rhi"), frac.alias("_fr")))
-    w = wanted[0]
-    for x in wanted[1:]:
-        w = w.unionByName(x)
-    v = ranked.select("_r", "_v")
-    lo_v = w.join(v.withColumnsRenamed({"_r": "_rlo", "_v": "_vlo"}), "_rlo")
-    both = lo_v.join(v.withColumnsRenamed({"_r": "_rhi", "_v": "_vhi"}), "_rhi")
-    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_fr")
-    res = both.select(*by, "_q", q.alias("_val"))
-    out = (res.groupBy(*by).pivot("_q", list(range(len(probs)))).agg(F.first("_val"))
-           .withColumnsRenamed({str(i): f"q{i}" for i in range(len(probs))}))
-    return out if user_by else out.drop("_g")
+        for name, r in (("lo", lo), ("hi", hi)):
+            found.append(F.max(F.when((at <= r) & (r < at + F.col("_c")), F.col("_v"))).alias(f"_{name}{i}"))
+        found.append(F.max(h - lo).alias(f"_f{i}"))
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"q{i}"))
+    return rows.groupBy(*keys).agg(*found).select(*[F.col(k).alias(b) for b, k in zip(by, keys)], *out)

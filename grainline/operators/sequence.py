@@ -1,37 +1,37 @@
 """Per-entity sequence features: previous / next values in a fixed order.
 
-``sequence_shift`` is ``lag``/``lead`` over ``partitionBy(by).orderBy(order)``.
-Two physical strategies, chosen from pre-aggregated group sizes:
-
-* **window** (default): all shifts of one ordering share one ``Window``
-  node, all orderings share one shuffle on ``by``.  JVM only.
-* **ranges** (when the largest group exceeds ``hot_group_rows``): a window
-  would put a hot entity (say a third of all rows) into one task.  Instead
-  the rows are range-partitioned on ``(by, order...)`` — the sampled range
-  bounds split a hot entity over many tasks — and checkpointed so the
-  partition contents are stable.  Each partition then shifts its rows with
-  vectorised pandas, taking the rows just before and after it from a
-  boundary table that holds the first and last ``K`` rows of every
-  partition (``2 * K * partitions`` rows: bounded by the partition count,
-  not by the data).  Exact for any skew.
-
-Rows whose ``by`` key is NULL get NULL shifts (pandas drops NaN groups).
-The order must be total (end it with a unique column) for results to be
-deterministic.
+``sequence_shift`` is ``lag``/``lead`` over ``partitionBy(by).orderBy(order)``;
+all shifts of one ordering share one ``Window`` node and all orderings share
+one shuffle on ``by``.
+
+A window puts an entity into one task.  Entities with more than
+``hot_group_rows`` rows (a pre-aggregated count finds them; at most
+rows / hot_group_rows of them exist) are therefore cut into ranges first:
+
+* their rows are range-partitioned on ``(by, order...)``, whose sampled bounds
+  split a hot entity over many tasks, and written with the number of their
+  range;
+* ``lag``/``lead`` run per (entity, range), which is right for all rows but the
+  first and last K of a range;
+* these edge rows (2 * K per entity and range) hold, in order, all rows that
+  they need, so ``lag``/``lead`` over the edge rows alone give their values.
+
+Both ways are the same JVM window functions on the same columns, so values and
+types are equal whatever the size.  Rows whose ``by`` key is NULL get NULL
+shifts (pandas drops NaN groups).  The order must be total (end it with a
+unique column) for results to be deterministic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from grainline.session import ensure_checkpoint_dir
+from grainline.session import materialize
 
 DEFAULT_HOT_GROUP_ROWS = 5_000_000
 
@@ -46,6 +46,10 @@ class Order:
         c = F.col(self.col)
         return c.asc_nulls_last() if self.ascending else c.desc_nulls_last()
 
+    def reverse(self) -> Column:
+        c = F.col(self.col)
+        return c.desc_nulls_first() if self.ascending else c.asc_nulls_first()
+
 
 def as_orders(order_by: Sequence[str | Order]) -> list[Order]:
     return [o if isinstance(o, Order) else Order(o) for o in order_by]
@@ -59,178 +63,76 @@ def _by_list(by: str | Sequence[str]) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def max_group_rows(df: DataFrame, by: Sequence[str]) -> int:
-    """Largest group size (partial aggregation; one small result row)."""
-    r = df.groupBy(*by).count().agg(F.max("count").alias("m")).collect()[0]["m"]
-    return int(r or 0)
+def _all_set(by: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(b).isNotNull() for b in by])
+
+
+def _shifted(w, shifts: list[tuple[str, int, str]]) -> dict[str, Column]:
+    return {name: (F.lag(col, k) if k > 0 else F.lead(col, -k)).over(w) for col, k, name in shifts}
+
+
+def hot_groups(df: DataFrame, by: str | Sequence[str], limit: int) -> DataFrame:
+    """The key of every group of more than ``limit`` rows, NULL keys
+    included, written (partial aggregation, at most rows / limit rows)."""
+    by = _by_list(by)
+    return materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*by), "hot")
 
 
 def _window_shifts(df: DataFrame, by: list[str], orders: list[Order],
                    shifts: list[tuple[str, int, str]]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*[o.expr() for o in orders])
-    key_ok = F.lit(True)
-    for b in by:
-        key_ok = key_ok & F.col(b).isNotNull()
-    cols = {}
-    for col, k, name in shifts:
-        fn = F.lag(col, k) if k > 0 else F.lead(col, -k)
-        cols[name] = F.when(key_ok, fn.over(w))
-    return df.withColumns(cols)
-
-
-def _shift_frame(frame: pd.DataFrame, by: list[str], shifts, start: int, stop: int) -> dict:
-    """Shift inside ``frame`` (sorted by by+order) and keep rows [start, stop)."""
-    n = len(frame)
-    keys = [frame[b].to_numpy(dtype=object) for b in by]
-    key_null = np.zeros(n, dtype=bool)
-    for kv in keys:
-        key_null |= pd.isna(kv)
-    out = {}
-    for col, k, name in shifts:
-        src = frame[col]
-        shifted = src.shift(k)
-        same = np.ones(n, dtype=bool)
-        for kv in keys:
-            moved = pd.Series(kv).shift(k).to_numpy(dtype=object)
-            same &= (kv == moved)
-        same &= ~key_null
-        res = shifted.where(same)
-        out[name] = res.iloc[start:stop].reset_index(drop=True)
-    return out
+    return df.withColumns({name: F.when(_all_set(by), c) for name, c in _shifted(w, shifts).items()})
 
 
 def _range_shifts(df: DataFrame, by: list[str], orders: list[Order],
-                  shifts: list[tuple[str, int, str]], num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    sort_exprs = [F.col(b).asc_nulls_last() for b in by] + [o.expr() for o in orders]
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(p, *sort_exprs).sortWithinPartitions(*sort_exprs)
-    # Stable partition contents for the two passes below (reliable checkpoint).
-    ranged = ranged.checkpoint(eager=True)
-
-    K = max(abs(k) for _, k, _ in shifts)
-    ctx_cols = list(dict.fromkeys(by + [c for c, _, _ in shifts]))
-    ctx_schema = StructType([StructField("_pid", IntegerType()),
-                             StructField("_end", StringType()),
-                             StructField("_i", LongType())]
-                            + [ranged.schema[c] for c in ctx_cols])
-
-    def edges(it):
-        head = None
-        tail = None
-        pid = None
-        offset = 0
-        for b in it:
-            if len(b) == 0:
-                continue
-            pid = int(b["_pid"].iloc[0])
-            b = b[ctx_cols].reset_index(drop=True)
-            b["_i"] = np.arange(offset, offset + len(b), dtype=np.int64)
-            offset += len(b)
-            if head is None or len(head) < K:
-                head = b if head is None else pd.concat([head, b], ignore_index=True)
-                head = head.iloc[:K]
-            tail = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            tail = tail.iloc[-K:]
-        if pid is None:
-            return
-        for end, part in (("h", head), ("t", tail)):
-            part = part.copy()
-            part.insert(0, "_i", part.pop("_i"))
-            part.insert(0, "_end", end)
-            part.insert(0, "_pid", pid)
-            yield part
-
-    with_pid = ranged.select(F.spark_partition_id().alias("_pid"), *ranged.columns)
-    boundary = with_pid.select("_pid", *ctx_cols).mapInPandas(edges, ctx_schema).toPandas()
-
-    # For each partition: last K rows of everything before it, first K rows
-    # of everything after it.  O(partitions * K) on the driver.
-    pids = sorted(int(x) for x in boundary["_pid"].unique())
-    heads = {pid: g.sort_values("_i")[ctx_cols] for pid, g in
-             boundary[boundary["_end"] == "h"].groupby("_pid")}
-    tails = {pid: g.sort_values("_i")[ctx_cols] for pid, g in
-             boundary[boundary["_end"] == "t"].groupby("_pid")}
-    before, after = {}, {}
-    acc = pd.DataFrame(columns=ctx_cols)
-    for pid in pids:
-        before[pid] = acc.iloc[-K:].reset_index(drop=True) if len(acc) else acc
-        acc = pd.concat([acc, tails[pid]], ignore_index=True).iloc[-K:] if len(acc) \
-            else tails[pid].iloc[-K:]
-    acc = None
-    for pid in reversed(pids):
-        after[pid] = acc.iloc[:K].reset_index(drop=True) if acc is not None else \
-            pd.DataFrame(columns=ctx_cols)
-        acc = heads[pid] if acc is None else pd.concat([heads[pid], acc], ignore_index=True).iloc[:K]
-    context = spark.sparkContext.broadcast((before, after))
-
-    out_fields = [f for f in ranged.schema.fields] + [
-        StructField(name, ranged.schema[col].dataType, True) for col, _, name in shifts]
-    out_schema = StructType(out_fields)
-    names = ranged.columns
-
-    def shift_partition(it):
-        bef, aft = context.value
-        pid = None
-        prev = None      # last K rows already emitted (lag context)
-        buf = None       # rows not yet emitted; the last K are lead context
-
-        def compute(rows, lag_ctx, lead_ctx):
-            parts, lag_n = [], 0
-            if lag_ctx is not None and len(lag_ctx):
-                parts.append(lag_ctx[ctx_cols])
-                lag_n = len(lag_ctx)
-            parts.append(rows[ctx_cols])
-            if lead_ctx is not None and len(lead_ctx):
-                parts.append(lead_ctx[ctx_cols])
-            frame = pd.concat(parts, ignore_index=True)
-            res = _shift_frame(frame, by, shifts, lag_n, lag_n + len(rows))
-            out = rows[names].reset_index(drop=True)
-            for _, _, name in shifts:
-                out[name] = res[name]
-            return out
-
-        for b in it:
-            if len(b) == 0:
-                continue
-            if pid is None:
-                pid = int(b["_pid"].iloc[0])
-                prev = bef.get(pid)
-            b = b.drop(columns=["_pid"])
-            buf = b.reset_index(drop=True) if buf is None else pd.concat([buf, b], ignore_index=True)
-            if len(buf) > K:
-                rows, look = buf.iloc[:len(buf) - K], buf.iloc[len(buf) - K:]
-                yield compute(rows, prev, look)
-                tail = rows[ctx_cols]
-                prev = tail.iloc[-K:] if prev is None or not len(prev) else \
-                    pd.concat([prev, tail], ignore_index=True).iloc[-K:]
-                buf = look.reset_index(drop=True)
-        if buf is not None and len(buf):
-            yield compute(buf, prev, aft.get(pid))
-
-    return with_pid.mapInPandas(shift_partition, out_schema)
+                  shifts: list[tuple[str, int, str]]) -> DataFrame:
+    """Shifts of entities that span several ranges (see module doc)."""
+    exprs = [F.col(b).asc_nulls_last() for b in by] + [o.expr() for o in orders]
+    depth = max(abs(k) for _, k, _ in shifts)
+    ranged = materialize(df.repartitionByRange(*exprs).withColumn("_range", F.spark_partition_id()), "ranges")
+    part = Window.partitionBy(*by, "_range")
+    inner = part.orderBy(*[o.expr() for o in orders])
+    rows = (ranged.withColumns({**_shifted(inner, shifts), "_head": F.row_number().over(inner),
+                                "_tail": F.row_number().over(part.orderBy(*[o.reverse() for o in orders]))}))
+    edge = (F.col("_head") <= depth) | (F.col("_tail") <= depth)
+    whole = Window.partitionBy(*by).orderBy(*[o.expr() for o in orders])
+    over = _shifted(whole, shifts)
+    edges = materialize(rows.filter(edge), "edges").withColumns({f"_e{i}": over[name] for i, (_, _, name) in enumerate(shifts)})
+    fixed = edges.withColumns({name: F.when(F.col("_head" if k > 0 else "_tail") <= depth, F.col(f"_e{i}")).otherwise(F.col(name))
+                               for i, (_, k, name) in enumerate(shifts)})
+    cols = [*df.columns, *[name for _, _, name in shifts]]
+    return rows.filter(~edge).select(*cols).union(fixed.select(*cols))
 
 
 def sequence_shift(df: DataFrame, by: str | Sequence[str], cols: Sequence[str],
                    offsets: Sequence[int], order_by: Sequence[str | Order],
                    names: dict[tuple[str, int], str] | None = None,
-                   hot_group_rows: int | None = DEFAULT_HOT_GROUP_ROWS,
-                   strategy: str = "auto", num_partitions: int | None = None) -> DataFrame:
+                   hot_group_rows: int = DEFAULT_HOT_GROUP_ROWS,
+                   hot: DataFrame | None = None) -> DataFrame:
     """Add ``col`` shifted by each offset (``k > 0``: k-th previous row,
-    ``k < 0``: k-th next row) within each ``by`` group in ``order_by``."""
+    ``k < 0``: k-th next row) within each ``by`` group in ``order_by``.
+
+    ``hot``: the result of ``hot_groups`` if the caller has it already (it is
+    the same for several orderings)."""
     by = _by_list(by)
     orders = as_orders(order_by)
     names = names or {}
     shifts = [(c, k, names.get((c, k), shift_name(c, k))) for c in cols for k in offsets if k != 0]
-    if strategy == "auto":
-        hot = hot_group_rows is not None and max_group_rows(df, by) > hot_group_rows
-        strategy = "ranges" if hot else "window"
-    if strategy == "window":
+    if not shifts:
+        return df
+    if hot is None:
+        hot = hot_groups(df, by, hot_group_rows)
+    if not hot.head(1):
         return _window_shifts(df, by, orders, shifts)
-    if strategy == "ranges":
-        return _range_shifts(df, by, orders, shifts, num_partitions)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    # at most rows / hot_group_rows keys: the larger the data, the larger
+    # hot_group_rows may be set
+    keys = F.broadcast(hot.select(*[F.col(b).alias(f"_h_{b}") for b in by]))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_h_{b}")) for b in by])
+    busy = df.join(keys, same, "left_semi")
+    out = _window_shifts(df.join(keys, same, "left_anti"), by, orders, shifts)
+    split = _range_shifts(busy.filter(_all_set(by)), by, orders, shifts)
+    none = busy.filter(~_all_set(by)).withColumns({name: F.lit(None).cast(df.schema[c].dataType) for c, _, name in shifts})
+    return out.unionByName(split).unionByName(none)
 
 
 def gap_name(col: str, k: int) -> str:

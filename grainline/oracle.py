@@ -289,6 +289,74 @@ def _ratios() -> str:
     return with_cte(FEAT_CTE, f"SELECT reservation_id, {_cols(*M.RATIOS)} FROM f1")
 
 
+def _ratios_as_observed() -> str:
+    return with_cte(FEAT_CTE, "SELECT reservation_id, pax_per_night, pax_per_night AS party_per_night FROM f1")
+
+
+def _csv_roundtrip() -> str:
+    return with_cte(RAW_CTE, f"SELECT {_cols(*_RAW_COLS)} FROM raw")
+
+
+#: Types of the cleaned rows, by name (fixed values: the fixture's types).
+_KINDS = {"reservation_id": "bigint", "memberid": "bigint", "booking_date": "date", "checkin_date": "date", "checkout_date": "date",
+          "season_holidayed_code": "double", "state_code_residence": "double", "amount_spent_per_room_night_scaled": "double",
+          "member_age_buckets": "string", "cluster_code": "string", "reservationstatusid_code": "string", "resort_id": "string"}
+
+
+def _schema_report() -> str:
+    parts = [f"SELECT '{c}' AS column, '{_KINDS.get(c, 'int')}' AS dtype, {i} AS position, CAST(count(*) - count({c}) AS BIGINT) AS nulls FROM u"
+             for i, c in enumerate(_RAW_COLS + ["train_set"])]
+    return with_cte(CLEAN_CTE, " UNION ALL ".join(parts))
+
+
+def _feature_projection() -> str:
+    from grainline.plans.bookings import NON_FEATURES
+    cal = [f"{p}_{x}" for p in ("bk", "ci", "co") for x in ("year", "month", "week", "wday")]
+    cols = [c for c in dict.fromkeys([*_RAW_COLS, "train_set", *cal, "lead_days", "stay_days", "party_size", *M.RATIOS]) if c not in NON_FEATURES]
+    parts = [f"SELECT '{c}' AS column_name, count(*) AS rows, CAST(count(*) - count({c}) AS BIGINT) AS nulls FROM prep" for c in cols]
+    return with_cte(PREP_CTE, " UNION ALL ".join(parts))
+
+
+def _sequence_shift_hot() -> str:
+    sel = [_shift_sql(c, k, "w") for c in ("l_extendedprice", "l_suppkey") for k in (1, 2, -1)]
+    return f"""SELECT l_orderkey, l_linenumber, {_cols(*sel)} FROM lineitem
+WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate NULLS LAST, l_orderkey NULLS LAST, l_linenumber NULLS LAST)"""
+
+
+_MATRIX_COLS = ("checkin_ord", "child_per_adult", "pax_per_night")
+_STUMP_COLS = ("channel_code", "main_product_code", "resort_region_code", "room_type_booked_code")
+
+
+def _assemble_matrix() -> str:
+    cols = [f"{round6(f'coalesce(CAST({c} AS DOUBLE), -999.0)')} AS x_{c}" for c in _MATRIX_COLS + _STUMP_COLS]
+    return with_cte(PREP_CTE, f"SELECT reservation_id, {_cols(*cols)} FROM prep")
+
+
+def _stump_split() -> str:
+    """Every midpoint of every column, by the summed squared error left."""
+    x = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), -999.0) AS v, "
+                           "amount_spent_per_room_night_scaled AS y FROM prep WHERE train_set = 1" for i, c in enumerate(_STUMP_COLS))
+    return with_cte(PREP_CTE + f""",
+x AS ({x}),
+d AS (SELECT DISTINCT i, feature, v FROM x),
+t AS (SELECT i, feature, (v + lead(v) OVER (PARTITION BY i ORDER BY v)) / 2 AS threshold FROM d),
+s AS (SELECT t.i, t.feature, threshold, avg(y) FILTER (WHERE v <= threshold) AS l, avg(y) FILTER (WHERE v > threshold) AS r,
+             var_pop(y) FILTER (WHERE v <= threshold) * count(*) FILTER (WHERE v <= threshold)
+             + var_pop(y) FILTER (WHERE v > threshold) * count(*) FILTER (WHERE v > threshold) AS err
+      FROM t JOIN x ON t.i = x.i WHERE threshold IS NOT NULL GROUP BY ALL)""", f"""
+SELECT feature, threshold, {round6('l')} AS mean_left, {round6('r')} AS mean_right FROM s ORDER BY err, i, threshold LIMIT 1""")
+
+
+def _oof_coverage() -> str:
+    return with_cte(FOLDS_CTE, f"""SELECT reservation_id, fold, {round6('amount_spent_per_room_night_scaled')} AS label,
+       CAST(1 AS BIGINT) AS n_predictions FROM tf WHERE fold IS NOT NULL""")
+
+
+def _refit_coverage() -> str:
+    return with_cte(FOLDS_CTE, """SELECT reservation_id, (SELECT count(DISTINCT fold) FROM tf) AS n_models, true AS predicted
+FROM prep WHERE train_set = 0""")
+
+
 def _visit_gaps() -> str:
     offs = list(range(1, 5)) + [-k for k in range(1, 5)]
     cols = [shift_name(c, k) for c in ("checkin_ord", "booking_ord") for k in offs]
@@ -326,6 +394,14 @@ tot AS (
   FROM tf GROUP BY roomnights
 )"""
 
+DEV_MEANS = """
+means AS (
+  SELECT f.fold, (SELECT sum(all_sum) FROM tot) AS ts, (SELECT sum(all_n) FROM tot) AS tn,
+         coalesce(sum(per.fold_sum), 0.0) AS fs, coalesce(sum(per.fold_n), 0) AS fn
+  FROM (SELECT unnest(range(10)) AS fold) f LEFT JOIN per ON per.fold = f.fold GROUP BY f.fold
+),
+dm AS (SELECT fold, (ts - fs) / nullif(CAST(tn - fn AS DOUBLE), 0.0) AS dev_mean FROM means)"""
+
 _STANDIN = ("(tot.all_sum - coalesce(per.fold_sum, 0.0)) / "
             "nullif(CAST(tot.all_n - coalesce(per.fold_n, 0) AS DOUBLE), 0.0)")
 
@@ -341,39 +417,40 @@ FROM tf WHERE fold IS NOT NULL""")
 
 
 def _rmse_by_fold() -> str:
-    return with_cte(FOLDS_CTE + f""",
+    return with_cte(FOLDS_CTE + "," + DEV_MEANS + f""",
 scored AS (
-  SELECT tf.fold, tf.amount_spent_per_room_night_scaled AS y, {_STANDIN} AS p
-  FROM tf LEFT JOIN per ON tf.fold = per.fold AND tf.roomnights = per.roomnights
-  LEFT JOIN tot ON tf.roomnights = tot.roomnights
+  SELECT tf.fold, tf.amount_spent_per_room_night_scaled AS y, coalesce({_STANDIN}, dm.dev_mean) AS p
+  FROM tf LEFT JOIN per ON tf.fold = per.fold AND tf.roomnights IS NOT DISTINCT FROM per.roomnights
+  LEFT JOIN tot ON tf.roomnights IS NOT DISTINCT FROM tot.roomnights
+  LEFT JOIN dm ON dm.fold = tf.fold
 ),
-s2 AS (SELECT * FROM scored WHERE p IS NOT NULL),
-per_fold AS (SELECT fold, sqrt(avg((y - p) * (y - p))) AS rmse FROM s2 GROUP BY fold),
-overall AS (SELECT sqrt(avg((y - p) * (y - p))) AS overall_rmse FROM s2),
+per_fold AS (SELECT fold, sqrt(avg((y - p) * (y - p))) AS rmse, count(*) AS n_rows FROM scored GROUP BY fold),
+overall AS (SELECT sqrt(avg((y - p) * (y - p))) AS overall_rmse FROM scored),
 mean_fold AS (SELECT avg(rmse) AS mean_fold_rmse FROM per_fold)""", f"""
-SELECT fold, {round6('rmse')} AS rmse, {round6('mean_fold_rmse')} AS mean_fold_rmse,
+SELECT fold, n_rows, {round6('rmse')} AS rmse, {round6('mean_fold_rmse')} AS mean_fold_rmse,
        {round6('overall_rmse')} AS overall_rmse
 FROM per_fold, mean_fold, overall""")
 
 
-def _average_predictions() -> str:
-    return with_cte(FOLDS_CTE + f""",
+def _average_predictions(name: str = "prediction", with_models: bool = True) -> str:
+    return with_cte(FOLDS_CTE + "," + DEV_MEANS + f""",
 test_rows AS (SELECT reservation_id, roomnights, unnest(range(10)) AS fold
               FROM prep WHERE train_set = 0),
 long AS (
-  SELECT t.reservation_id, {_STANDIN} AS p
+  SELECT t.reservation_id, coalesce({_STANDIN}, dm.dev_mean) AS p
   FROM test_rows t
-  LEFT JOIN per ON per.fold = t.fold AND per.roomnights = t.roomnights
-  LEFT JOIN tot ON tot.roomnights = t.roomnights
+  LEFT JOIN per ON per.fold = t.fold AND per.roomnights IS NOT DISTINCT FROM t.roomnights
+  LEFT JOIN tot ON tot.roomnights IS NOT DISTINCT FROM t.roomnights
+  LEFT JOIN dm ON dm.fold = t.fold
 )""", f"""
-SELECT reservation_id, {round6('avg(p)')} AS prediction, count(p) AS n_models
+SELECT reservation_id, {round6('avg(p)')} AS {name}{', count(p) AS n_models' if with_models else ''}
 FROM long GROUP BY reservation_id""")
 
 
 _GAIN_CTE = PREP_CTE + """,
 gains AS (
   SELECT resort_id, CAST(sum(total_pax) AS BIGINT) AS gain_sum
-  FROM prep WHERE train_set = 1 GROUP BY resort_id
+  FROM prep GROUP BY resort_id
 ),
 pct AS (
   SELECT resort_id, gain_sum,
@@ -468,6 +545,16 @@ def oracle_queries(group_specs: dict) -> dict[str, str]:
         "source_union": _source_union(),
         "impute_round": _impute_round(),
         "ratios": _ratios(),
+        "ratios_as_observed": _ratios_as_observed(),
+        "csv_roundtrip": _csv_roundtrip(),
+        "schema_report": _schema_report(),
+        "feature_projection": _feature_projection(),
+        "sequence_shift_hot": _sequence_shift_hot(),
+        "assemble_matrix": _assemble_matrix(),
+        "stump_split": _stump_split(),
+        "oof_coverage": _oof_coverage(),
+        "refit_coverage": _refit_coverage(),
+        "written_predictions": _average_predictions("amount", False),
         "visit_gaps": _visit_gaps(),
         "sequence_shift": _sequence_shift(),
         "first_seen_index": _first_seen_index(),

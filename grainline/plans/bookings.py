@@ -7,8 +7,8 @@ so lineage stays short and a lost executor only re-runs one stage):
    test, calendar parts, imputation, day differences, ratios, day
    ordinals, then first-appearance codes (small aggregates + joins).
 2. ``sequences`` – visit gaps and attribute shifts per member: three
-   orderings over one shuffle on the member (or range partitions when a
-   member is hot, see ``sequence_shift``).
+   orderings over one shuffle on the member (rows of hot members go by
+   ranges, see ``sequence_shift``).
 3. ``group``     – 134 group-back specs fused into 87 aggregates, joined
    back by broadcast (size-checked) or by a narrow shuffle join.
 """
@@ -27,7 +27,7 @@ from grainline.operators.cleaning import (
 from grainline.operators.coding import first_seen_index
 from grainline.operators.group_back import group_back
 from grainline.operators.sequence import (
-    DEFAULT_HOT_GROUP_ROWS, Order, max_group_rows, sequence_shift, visit_gaps)
+    DEFAULT_HOT_GROUP_ROWS, Order, hot_groups, sequence_shift, visit_gaps)
 from grainline.plans import manifest as M
 from grainline.session import materialize
 from grainline.sources.bookings import ID_COL, MEMBER_COL, TARGET_COL
@@ -50,17 +50,21 @@ NON_FEATURES = (ID_COL, "booking_date", "checkin_date", "checkout_date", TARGET_
 class BookingsConfig:
     reset_mode: str = "zero_row"       # or "drop"
     as_observed: bool = False          # reproduce the overwritten ratio (quirk)
-    hot_group_rows: int | None = None  # sequence strategy switch (None: default)
+    hot_group_rows: int | None = None  # members with more rows go by ranges (None: default)
     broadcast_max_rows: int | None = None
     parallelism: int = 8
 
 
+def clean_tagged(rows: DataFrame, cfg: BookingsConfig = BookingsConfig()) -> DataFrame:
+    """Reset rows with negative nights; ``rows`` hold train and test, told
+    apart by the source flag (the target is NULL on test rows)."""
+    out = reset_rows(rows, F.col("roomnights") < 0, cfg.reset_mode, keep=[ID_COL, SOURCE_COL])
+    return out.withColumn(TARGET_COL, F.when(F.col(SOURCE_COL) == 1, F.col(TARGET_COL)))
+
+
 def clean(train: DataFrame, test: DataFrame, cfg: BookingsConfig = BookingsConfig()) -> DataFrame:
-    """Reset rows with negative nights, union, tag."""
-    bad = F.col("roomnights") < 0
-    tr = reset_rows(train, bad, cfg.reset_mode, keep=[ID_COL])
-    te = reset_rows(test, bad, cfg.reset_mode, keep=[ID_COL])
-    return tag_source(tr, te)
+    """Union, tag, reset rows with negative nights."""
+    return clean_tagged(tag_source(train, test), cfg)
 
 
 def row_features(df: DataFrame, cfg: BookingsConfig = BookingsConfig()) -> DataFrame:
@@ -92,7 +96,11 @@ def row_features(df: DataFrame, cfg: BookingsConfig = BookingsConfig()) -> DataF
 
 def prepare(train: DataFrame, test: DataFrame, cfg: BookingsConfig = BookingsConfig(),
             write: bool = True) -> DataFrame:
-    out = row_features(clean(train, test, cfg), cfg)
+    return prepare_tagged(tag_source(train, test), cfg, write)
+
+
+def prepare_tagged(rows: DataFrame, cfg: BookingsConfig = BookingsConfig(), write: bool = True) -> DataFrame:
+    out = row_features(clean_tagged(rows, cfg), cfg)
     if write:
         # every code table scans these rows: compute the fixture joins once
         out = materialize(out, "rows")
@@ -101,10 +109,9 @@ def prepare(train: DataFrame, test: DataFrame, cfg: BookingsConfig = BookingsCon
 
 
 def sequences(df: DataFrame, cfg: BookingsConfig = BookingsConfig(), write: bool = True) -> DataFrame:
-    # one pre-aggregated size check decides the strategy for all orderings
+    # the hot members are the same for all orderings
     limit = DEFAULT_HOT_GROUP_ROWS if cfg.hot_group_rows is None else cfg.hot_group_rows
-    hot = max_group_rows(df, [MEMBER_COL]) > limit
-    kw = {"strategy": "ranges" if hot else "window"}
+    kw = {"hot": hot_groups(df, MEMBER_COL, limit)}
     out = visit_gaps(df, MEMBER_COL, "checkin_ord", M.LAG_DEPTH_DATES, ORD_CHECKIN, **kw)
     out = visit_gaps(out, MEMBER_COL, "booking_ord", M.LAG_DEPTH_DATES, ORD_BOOKING, **kw)
     offsets = list(range(1, M.LAG_DEPTH_ATTRS + 1)) + [-k for k in range(1, M.LAG_DEPTH_ATTRS + 1)]

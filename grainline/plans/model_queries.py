@@ -1,29 +1,32 @@
-"""Model queries (rows-only check: tree learners differ between engines).
-
-One cross-validation run per session and input folder is shared by the
-four queries: member-grouped folds, early stopping on each fold, refit on
-all train rows with the fold's best round count, test predictions
-averaged over the refits, and the split/gain report of a refit.
+"""Model queries.
+
+One cross-validation run per session and input folder is shared by them:
+member-grouped folds, early stopping on each fold, refit on all train rows
+with the fold's round count, test predictions averaged over the refits, and
+the split/gain report per fold and stage.  Predictions themselves get the
+rows-only check (tree learners differ between engines); what must hold for
+any learner (which rows are predicted by what, the filled matrix, the best
+single split) is compared with SQL.
 """
 
 from __future__ import annotations
 
 import threading
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.operators.boosting import (
-    BoostParams, assemble, cross_validate, fit_boosted, predict_rounds)
+    BoostParams, assemble, cross_validate, fit_boosted, node_table, predict_rounds)
 from grainline.operators.folds import FOLD_COL, group_kfold
 from grainline.plans import bookings as B
-from grainline.plans.queries import N_FOLDS, FOLD_SEED, _memo, sequenced
+from grainline.plans.queries import FOLD_SEED, N_FOLDS, _memo, prepared, round6, sequenced
 from grainline.session import materialize
 from grainline.sources.bookings import ID_COL, MEMBER_COL, TARGET_COL
 
-# Rounds are kept modest so the registered queries stay interactive; the
-# library default (BoostParams.max_rounds) is larger.
-QUERY_PARAMS = BoostParams(max_rounds=20)
+# The library's defaults: up to 200 rounds, stopped by the validation rows.
+QUERY_PARAMS = BoostParams()
 
 _cv_lock = threading.RLock()
 
@@ -71,9 +74,10 @@ def cv_result(spark: SparkSession, sf_dir: str):
 
 
 def q_boosted_fit(spark, sf_dir):
-    """One model on all train rows, test predictions."""
+    """One model, stopped by the rows of fold 0; test predictions."""
     train, test, _ = model_inputs(spark, sf_dir)
-    model = fit_boosted(train, TARGET_COL, QUERY_PARAMS)
+    rows = train.where(F.col(FOLD_COL).isNotNull()).withColumn("_val", F.col(FOLD_COL) == 0)
+    model = fit_boosted(rows, TARGET_COL, QUERY_PARAMS, val_col="_val")
     return predict_rounds(model, test).select(ID_COL, "prediction")
 
 
@@ -81,18 +85,58 @@ def q_oof_predictions(spark, sf_dir):
     return cv_result(spark, sf_dir).oof
 
 
+def q_oof_coverage(spark, sf_dir):
+    """Every train row has one out-of-fold prediction, from its own fold."""
+    oof = cv_result(spark, sf_dir).oof
+    return oof.groupBy(ID_COL, FOLD_COL).agg(round6(F.max(TARGET_COL)).alias("label"), F.count("prediction").alias("n_predictions"))
+
+
 def q_refit_average(spark, sf_dir):
     return cv_result(spark, sf_dir).test
 
 
+def q_refit_coverage(spark, sf_dir):
+    """Every test row has the mean of all folds' refits."""
+    return cv_result(spark, sf_dir).test.select(ID_COL, "n_models", F.col("prediction").isNotNull().alias("predicted"))
+
+
 def q_feature_importance(spark, sf_dir):
-    imp = cv_result(spark, sf_dir).importance
-    return imp.select("feature", "split", "gain_sum", "gain")
+    """A row per fold, stage and feature."""
+    return cv_result(spark, sf_dir).importance
+
+
+#: Columns of few values, so that their candidate thresholds are the midpoints.
+STUMP_COLS = ("channel_code", "main_product_code", "resort_region_code", "room_type_booked_code")
+
+
+def q_assemble_matrix(spark, sf_dir):
+    """The filled values of some columns with and without NULLs, per row."""
+    cols = ["checkin_ord", "child_per_adult", "pax_per_night", *STUMP_COLS]
+    xy = assemble(prepared(spark, sf_dir), cols, keep=[ID_COL])
+    arr = vector_to_array("features")
+    return xy.select(ID_COL, *[round6(arr[i]).alias(f"x_{c}") for i, c in enumerate(cols)])
+
+
+def q_stump_split(spark, sf_dir):
+    """One round of depth one: the split that lowers the variance most."""
+    train = prepared(spark, sf_dir).where(F.col("train_set") == 1)
+    xy = materialize(assemble(train, STUMP_COLS, keep=[TARGET_COL]), "stump")
+    model = fit_boosted(xy, TARGET_COL, BoostParams(max_rounds=1, max_depth=1, subsample=1.0, feature_fraction="all", min_rows_per_leaf=1))
+    n = node_table(model, spark).select("nodeData.*")
+    root, leaf = n.where("id = 0"), lambda i, c: n.where(f"id = {i}").select(F.col("prediction").alias(c))
+    names = F.array(*[F.lit(c) for c in STUMP_COLS])
+    one = root.select(names[F.col("split.featureIndex")].alias("feature"), F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"))
+    left, right = leaf(1, "l").first()[0], leaf(2, "r").first()[0]  # one number each
+    return one.withColumns({"mean_left": round6(F.lit(left)), "mean_right": round6(F.lit(right))})
 
 
 MODEL_QUERIES = {
+    "assemble_matrix": q_assemble_matrix,
+    "stump_split": q_stump_split,
     "boosted_fit": q_boosted_fit,
     "oof_predictions": q_oof_predictions,
+    "oof_coverage": q_oof_coverage,
     "refit_average": q_refit_average,
+    "refit_coverage": q_refit_coverage,
     "feature_importance": q_feature_importance,
 }

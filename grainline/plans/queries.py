@@ -9,6 +9,7 @@ session and input folder and reused by later queries.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,18 @@ from pyspark.sql import functions as F
 from grainline.functions.dates import parse_dates
 from grainline.operators.cleaning import split_source
 from grainline.operators.explore import (
-    describe_by, frequency_compare, key_overlap, profile_nulls, visits_per_entity)
+    describe_by, frequency_compare, key_overlap, profile_nulls, profile_schema, visits_per_entity)
 from grainline.operators.folds import (
-    FOLD_COL, average_predictions, cv_report, fold_members, fold_split, group_kfold,
+    FOLD_COL, cv_report, fold_members, fold_split, group_kfold, mean_of_columns,
     percent_of_total, top_k)
 from grainline.operators.group_back import group_back, output_names
-from grainline.operators.sequence import gap_name, shift_name
+from grainline.operators.sequence import Order, gap_name, sequence_shift, shift_name
 from grainline.plans import bookings as B
 from grainline.plans import manifest as M
-from grainline.sources.bookings import ID_COL, MEMBER_COL, TARGET_COL
-from grainline.sources.tables import bookings_pair, load_table
+from grainline.session import ensure_checkpoint_dir, materialize
+from grainline.sources.bookings import DATE_COLS, ID_COL, MEMBER_COL, RAW_COLUMNS, TARGET_COL, read_bookings
+from grainline.sources.sinks import write_predictions
+from grainline.sources.tables import load_table, tagged_bookings
 
 _lock = threading.RLock()
 _stages: dict = {}
@@ -44,13 +47,12 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
 
 
 def clean_union(spark, sf_dir) -> DataFrame:
-    tr, te = bookings_pair(spark, sf_dir)
-    return B.clean(tr, te)
+    return B.clean_tagged(tagged_bookings(spark, sf_dir))
 
 
 def prepared(spark, sf_dir) -> DataFrame:
     return _memo(spark, sf_dir, "prepared",
-                 lambda: B.prepare(*bookings_pair(spark, sf_dir)))
+                 lambda: B.prepare_tagged(tagged_bookings(spark, sf_dir)))
 
 
 def sequenced(spark, sf_dir) -> DataFrame:
@@ -112,8 +114,7 @@ def q_reset_invalid_rows(spark, sf_dir):
 
 
 def q_source_union(spark, sf_dir):
-    u = clean_union(spark, sf_dir)
-    tr, te = split_source(u)
+    tr, te = split_source(materialize(clean_union(spark, sf_dir), "union"))
     # both halves of the split, re-tagged from the split itself
     return (tr.select(ID_COL, F.lit("train").alias("part"), TARGET_COL)
             .unionByName(te.select(ID_COL, F.lit("test").alias("part"), TARGET_COL)))
@@ -124,6 +125,47 @@ def q_impute_round(spark, sf_dir):
     return df.select(ID_COL, "season_holidayed_code", "state_code_residence")
 
 
+def q_ratios_as_observed(spark, sf_dir):
+    """The overwritten ratio (all guests per night under the party's name)."""
+    df = B.row_features(clean_union(spark, sf_dir), B.BookingsConfig(as_observed=True))
+    return df.select(ID_COL, "pax_per_night", "party_per_night")
+
+
+def q_feature_projection(spark, sf_dir):
+    """The model's columns of the prepared rows, one row per column with its
+    count, so that the projection itself can be compared."""
+    p = prepared(spark, sf_dir)
+    cols = B.feature_columns(p)
+    return profile_nulls(p.select(*cols), with_types=False).select("column_name", "rows", "nulls")
+
+
+def q_schema_report(spark, sf_dir):
+    """Column, type, position and null count of the cleaned rows."""
+    u = clean_union(spark, sf_dir).select(*RAW_COLUMNS, "train_set")
+    nulls = profile_nulls(u, with_types=False).select("column_name", "nulls")
+    return profile_schema(u).drop("nullable").join(nulls, F.col("column") == F.col("column_name")).select(
+        "column", "dtype", "position", "nulls")
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """Reservations written as CSV with shuffled columns and day-first dates,
+    read back by header name."""
+    b = tagged_bookings(spark, sf_dir)
+    text = b.select(*[F.date_format(c, "d/M/yyyy").alias(c) if c in DATE_COLS else F.col(c)
+                      for c in reversed(RAW_COLUMNS)])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-csv/{uuid.uuid4().hex}"
+    text.write.option("header", True).csv(path)
+    back = read_bookings(spark, path, strict=True, strict_dates=True)
+    return back.withColumn(ID_COL, F.col(ID_COL).cast("long")).withColumn(MEMBER_COL, F.col(MEMBER_COL).cast("long"))
+
+
+def q_written_predictions(spark, sf_dir):
+    """The stand-in predictions, written by the sink and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-predictions/{uuid.uuid4().hex}"
+    write_predictions(q_average_predictions(spark, sf_dir), path, out_name="amount")
+    return spark.read.parquet(path)
+
+
 def q_ratios(spark, sf_dir):
     df = B.row_features(clean_union(spark, sf_dir))
     return df.select(ID_COL, *M.RATIOS)
@@ -162,6 +204,20 @@ def q_sequence_shift(spark, sf_dir):
     return seq.select(ID_COL, *[shift_name(c, k) for c in M.SHIFT_ATTRS for k in offs])
 
 
+#: Lines of one return flag are far above this many at every size, so the
+#: query goes by ranges.
+HOT_LINES = 1000
+
+
+def q_sequence_shift_hot(spark, sf_dir):
+    """Previous and next prices of a third of all lines in one group: lines
+    per return flag by ship date and line."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey")
+    out = sequence_shift(li, "l_returnflag", ["l_extendedprice", "l_suppkey"], [1, 2, -1],
+                         [Order("l_shipdate"), Order("l_orderkey"), Order("l_linenumber")], hot_group_rows=HOT_LINES)
+    return out.select("l_orderkey", "l_linenumber", *[shift_name(c, k) for c in ("l_extendedprice", "l_suppkey") for k in (1, 2, -1)])
+
+
 def q_first_seen_index(spark, sf_dir):
     return prepared(spark, sf_dir).select(ID_COL, *M.CODED_COLS)
 
@@ -183,49 +239,47 @@ def q_fold_split(spark, sf_dir):
             .unionByName(val.select(ID_COL, F.lit("val").alias("side"))))
 
 
-def _standin_parts(spark, sf_dir):
+def _standin_models(spark, sf_dir):
     """Deterministic stand-in model: the model of fold f predicts the mean
     target per roomnights over the dev rows of f, i.e. (total - fold part)
-    / (count - fold count).  Returns train rows with folds, per-(fold,
-    roomnights) sums and per-roomnights totals."""
+    / (count - fold count), and where dev has no such row the mean of all dev
+    rows.  Returns train rows with folds, a table per roomnights with the
+    prediction of every fold (p0, p1, ...), and the folds' dev means."""
     t = _train_folds(spark, sf_dir)
-    per = t.groupBy(FOLD_COL, "roomnights").agg(F.sum(TARGET_COL).alias("fold_sum"),
-                                                F.count(TARGET_COL).alias("fold_n"))
-    tot = t.groupBy("roomnights").agg(F.sum(TARGET_COL).alias("all_sum"),
-                                          F.count(TARGET_COL).alias("all_n"))
-    return t, per, tot
-
-
-def _standin_prediction():
-    return F.try_divide(F.col("all_sum") - F.coalesce(F.col("fold_sum"), F.lit(0.0)),
-                        (F.col("all_n") - F.coalesce(F.col("fold_n"), F.lit(0))).cast("double"))
+    y = F.col(TARGET_COL)
+    part = lambda f: F.when(F.col(FOLD_COL) == f, y)
+    sums = materialize(t.groupBy("roomnights").agg(
+        F.sum(y).alias("s"), F.count(y).alias("n"),
+        *[F.coalesce(F.sum(part(f)), F.lit(0.0)).alias(f"s{f}") for f in range(N_FOLDS)],
+        *[F.count(part(f)).alias(f"n{f}") for f in range(N_FOLDS)]), "standin")
+    row = sums.agg(*[F.try_divide(F.sum(F.col("s") - F.col(f"s{f}")), F.sum(F.col("n") - F.col(f"n{f}")).cast("double")).alias(f"m{f}")
+                     for f in range(N_FOLDS)]).first()
+    table = sums.select("roomnights", *[F.try_divide(F.col("s") - F.col(f"s{f}"), (F.col("n") - F.col(f"n{f}")).cast("double")).alias(f"p{f}")
+                                        for f in range(N_FOLDS)])
+    return t, table, [row[f"m{f}"] for f in range(N_FOLDS)]
 
 
 def q_rmse_by_fold(spark, sf_dir):
-    t, per, tot = _standin_parts(spark, sf_dir)
-    scored = (t.join(per, [FOLD_COL, "roomnights"], "left").join(tot, "roomnights", "left")
-              .withColumn("prediction", _standin_prediction())
-              .where(F.col("prediction").isNotNull()))
-    rep = cv_report(scored, TARGET_COL, "prediction")
-    return rep.select(FOLD_COL, *[round6(c).alias(c) for c in ("rmse", "mean_fold_rmse", "overall_rmse")])
+    t, table, means = _standin_models(spark, sf_dir)
+    rows = t.select(FOLD_COL, "roomnights", TARGET_COL).join(table.withColumnRenamed("roomnights", "_r"),
+                                                            F.col("roomnights").eqNullSafe(F.col("_r")), "left")
+    pick = F.coalesce(*[F.when(F.col(FOLD_COL) == f, F.coalesce(F.col(f"p{f}"), F.lit(means[f]).cast("double"))) for f in range(N_FOLDS)])
+    rep = cv_report(rows.withColumn("prediction", pick), TARGET_COL, "prediction")
+    return rep.select(FOLD_COL, "n_rows", *[round6(c).alias(c) for c in ("rmse", "mean_fold_rmse", "overall_rmse")])
 
 
 def q_average_predictions(spark, sf_dir):
-    _, per, tot = _standin_parts(spark, sf_dir)
+    _, table, means = _standin_models(spark, sf_dir)
     test = prepared(spark, sf_dir).where(F.col("train_set") == 0).select(ID_COL, "roomnights")
-    # one prediction per (test row, fold model): a fixed k-fold fan-out
-    long = (test.withColumn(FOLD_COL, F.explode(F.sequence(F.lit(0), F.lit(N_FOLDS - 1))))
-            .join(per, [FOLD_COL, "roomnights"], "left").join(tot, "roomnights", "left")
-            .withColumn("prediction", _standin_prediction()))
-    avg = average_predictions(long, ID_COL)
-    return avg.select(ID_COL, round6("prediction").alias("prediction"), "n_models")
+    rows = test.join(table.withColumnRenamed("roomnights", "_r"), F.col("roomnights").eqNullSafe(F.col("_r")), "left")
+    rows = rows.withColumns({f"p{f}": F.coalesce(F.col(f"p{f}"), F.lit(means[f]).cast("double")) for f in range(N_FOLDS)})
+    return mean_of_columns(rows, [f"p{f}" for f in range(N_FOLDS)]).select(ID_COL, round6("prediction").alias("prediction"), "n_models")
 
 
 def _gain_table(spark, sf_dir):
     """Stand-in importance table: an integer total per resort (exact in
     both engines, so the percentages compare bit for bit)."""
-    p = prepared(spark, sf_dir).where(F.col("train_set") == 1)
-    return p.groupBy("resort_id").agg(F.sum("total_pax").alias("gain_sum"))
+    return prepared(spark, sf_dir).groupBy("resort_id").agg(F.sum("total_pax").alias("gain_sum"))
 
 
 def q_percent_of_total(spark, sf_dir):
@@ -235,8 +289,7 @@ def q_percent_of_total(spark, sf_dir):
 
 def q_top_importance(spark, sf_dir):
     g = percent_of_total(_gain_table(spark, sf_dir), "gain_sum", "gain")
-    top = g.orderBy(F.col("gain").desc_nulls_last(), F.col("resort_id").asc()).limit(25)
-    return top.select("resort_id", round6("gain").alias("gain"))
+    return top_k(g, "gain", 25, tie=["resort_id"]).select("resort_id", round6("gain").alias("gain"))
 
 
 # ---- exploration ---------------------------------------------------------------
@@ -258,8 +311,7 @@ def q_visits_per_entity(spark, sf_dir):
 
 
 def q_key_overlap(spark, sf_dir):
-    tr, te = split_source(clean_union(spark, sf_dir))
-    return key_overlap(tr, te, MEMBER_COL)
+    return key_overlap(clean_union(spark, sf_dir), MEMBER_COL, "train_set")
 
 
 def q_profile_nulls(spark, sf_dir):
@@ -286,6 +338,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_union": q_source_union,
     "impute_round": q_impute_round,
     "ratios": q_ratios,
+    "ratios_as_observed": q_ratios_as_observed,
+    "csv_roundtrip": q_csv_roundtrip,
+    "schema_report": q_schema_report,
+    "feature_projection": q_feature_projection,
     "count_back_single": q_count_back_single,
     "count_back_pair": q_count_back_pair,
     "count_back_triple": q_count_back_triple,
@@ -297,11 +353,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stats_back_gap": q_stats_back_gap,
     "visit_gaps": q_visit_gaps,
     "sequence_shift": q_sequence_shift,
+    "sequence_shift_hot": q_sequence_shift_hot,
     "first_seen_index": q_first_seen_index,
     "fold_members": q_fold_members,
     "fold_split": q_fold_split,
     "rmse_by_fold": q_rmse_by_fold,
     "average_predictions": q_average_predictions,
+    "written_predictions": q_written_predictions,
     "percent_of_total": q_percent_of_total,
     "top_importance": q_top_importance,
     "describe_target": q_describe_target,

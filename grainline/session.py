@@ -27,10 +27,13 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "grainline", extra: dict | None = None) -> SparkSession:
+                app_name: str = "grainline", extra: dict | None = None,
+                checkpoint_dir: str | None = None) -> SparkSession:
     """Build (or reuse) a session with grainline's defaults.
 
-    On a cluster pass ``master=None`` and let spark-submit decide.
+    On a cluster pass ``master=None`` and let spark-submit decide;
+    ``checkpoint_dir`` (else ``spark.checkpoint.dir``) must then be a folder
+    that all executors share.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -39,6 +42,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -67,12 +72,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def ensure_codegen_width(spark: SparkSession, n_fields: int) -> None:
-    """Keep whole-stage codegen on for a stage with ``n_fields`` columns
-    (sessions not built by ``get_session`` keep Spark's 100-field cap)."""
-    cur = int(spark.conf.get("spark.sql.codegen.maxFields", "100"))
-    if n_fields + 16 > cur:
-        spark.conf.set("spark.sql.codegen.maxFields", str(max(4000, n_fields + 16)))
+def tune(spark: SparkSession) -> None:
+    """Runtime settings for applications that bring their own session (the
+    library itself never changes a caller's settings): keep whole-stage
+    codegen on for wide feature stages."""
+    spark.conf.set("spark.sql.codegen.maxFields", DEFAULT_CONF["spark.sql.codegen.maxFields"])
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -82,18 +86,32 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     executor loss."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/grainline-tables/{label}-{uuid.uuid4().hex}"
+    path = f"{root}/{_stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     out._stage_path = path
     return out
 
 
+def _stage_folder(spark: SparkSession) -> str:
+    return f"grainline-tables/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete every stage table of this application: call it when a run's
+    results are written, frames that read stages are of no use after it."""
+    _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_stage_folder(spark)}")
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and nothing reads any more
     (frames from elsewhere are left alone)."""
     for df in tables:
         path = df.__dict__.pop("_stage_path", None)
         if path:
-            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            _delete(df.sparkSession, path)

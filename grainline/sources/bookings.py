@@ -1,8 +1,9 @@
-"""Reservation ("bookings") input: explicit schema, CSV or Parquet."""
+"""Reservation ("bookings") input: CSV by header name, or Parquet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType,
     IntegerType,
@@ -51,18 +52,34 @@ RAW_COLUMNS = [f.name for f in BOOKING_SCHEMA.fields]
 
 def read_bookings(spark: SparkSession, path: str, fmt: str = "csv",
                   schema: StructType = BOOKING_SCHEMA, date_formats=DAY_FIRST_FORMATS,
-                  strict_dates: bool = False) -> DataFrame:
-    """Read reservation files with an explicit schema (no inference pass)
-    and parse the three day-first dates.
+                  strict_dates: bool = False, strict: bool = False,
+                  bad_col: str | None = None) -> DataFrame:
+    """Read reservation files and parse the three day-first dates.
 
-    Columns are taken by position; a test file that lacks the trailing
-    target column is read with the target NULL.
+    CSV columns are taken by their header names, in any order (the header is
+    read first; no inference pass over the data): columns of the schema that a
+    file lacks are NULL (a test file has no target), others are an error.
+    Fields are read as text and cast; text that is no value of its column's
+    type becomes NULL and is counted per row in ``bad_col`` if that is given,
+    or raises with ``strict=True``.
     """
     if fmt == "csv":
-        df = (spark.read.schema(schema)
-              .option("header", True)
-              .option("mode", "PERMISSIVE")
-              .csv(path))
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        known = {f.name for f in schema.fields}
+        unknown = [c for c in raw.columns if c not in known]
+        if unknown:
+            raise ValueError(f"columns that the schema lacks: {unknown}")
+        text = {c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) for c in raw.columns}
+        cols, bad = [], F.lit(0)
+        for f in schema.fields:
+            if f.name not in text:
+                cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+                continue
+            kind = f.dataType.simpleString()
+            cast = text[f.name].cast(kind) if strict else text[f.name].try_cast(kind)
+            cols.append(cast.alias(f.name))
+            bad = bad + (text[f.name].isNotNull() & text[f.name].try_cast(kind).isNull()).cast("int")
+        df = raw.select(*cols, *([bad.alias(bad_col)] if bad_col else []))
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:

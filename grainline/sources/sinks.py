@@ -25,6 +25,6 @@ def write_predictions(df: DataFrame, path: str, id_col: str = "reservation_id",
 
 def write_importance(df: DataFrame, path: str, fmt: str = "csv",
                      mode: str = "overwrite") -> None:
-    """Write a feature-importance report.  The report has one row per
-    feature (and fold/stage), so a single output file is fine."""
-    _write(df.coalesce(1), path, fmt, mode)
+    """Write a feature-importance report (small; files as its tasks make
+    them, the stage before it keeps its parallelism)."""
+    _write(df, path, fmt, mode)

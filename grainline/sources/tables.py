@@ -101,3 +101,10 @@ def bookings_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     train = b.where(~F.col("is_test")).drop("is_test")
     test = b.where(F.col("is_test")).drop("is_test", "amount_spent_per_room_night_scaled")
     return train, test
+
+
+def tagged_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reservations once, with the source flag (1 train, 0 test): what
+    the union of ``bookings_pair`` holds, without building the joins twice."""
+    b = bookings_from_tables(spark, sf_dir)
+    return b.withColumn("train_set", F.when(F.col("is_test"), 0).otherwise(1)).drop("is_test")

@@ -13,6 +13,7 @@ from grainline.plans.queries import prepared, sequenced
 
 SF = "/root/testdata/sf0.001"
 G = importlib.import_module("grainline.operators.group_back")
+E = importlib.import_module("grainline.operators.explore")
 
 
 def _plan(df):
@@ -76,3 +77,24 @@ def test_hot_key_shuffle_path_matches_broadcast(spark):
     assert len(ra) == 3000 and [tuple(r) for r in ra] == [tuple(r) for r in rb]
     hot = sum(1 for i in range(3000) if i % 3 == 0 or i % 97 == 0)
     assert ra[0]["cnt__by__k"] == hot
+
+
+@pytest.mark.parametrize("name", ["frequency_compare", "key_overlap", "profile_nulls", "calendar_parts", "ratios"])
+def test_reports_scan_each_table_once(spark, name):
+    """The fixture's joins are built once (the report's own small written
+    tables aside)."""
+    from grainline.plans import queries as Q
+    captured = []
+    keep = E.materialize
+
+    def spy(df, label="t"):
+        captured.append(df)
+        return keep(df, label)
+    E.materialize = spy
+    try:
+        df = Q.QUERIES[name](spark, SF)
+    finally:
+        E.materialize = keep
+    source = captured[0] if captured else df
+    text = source._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("l_orderkey") and text.count("Relation [o_orderkey") == 1 and text.count("Relation [l_orderkey") == 1

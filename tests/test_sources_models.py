@@ -5,9 +5,10 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from grainline.operators import group_kfold, fold_split, rmse, average_predictions, percent_of_total, top_k
+from grainline.operators import (
+    average_predictions, cv_report, fold_split, group_kfold, mean_of_columns, percent_of_total, rmse, top_k)
 from grainline.operators.boosting import (
-    BoostParams, assemble, best_rounds, cross_validate, fit_boosted, importance, predict_rounds)
+    BoostParams, assemble, cross_validate, fit_boosted, predict_rounds, truncated)
 from grainline.sources import (
     BOOKING_SCHEMA, RAW_COLUMNS, bookings_pair, read_bookings, write_importance, write_predictions)
 
@@ -29,6 +30,39 @@ def test_read_csv_with_schema(spark):
     assert r.amount_spent_per_room_night_scaled == 1.5 and r.numberofadults == 2
 
 
+def test_read_csv_by_header_name(spark, tmp_path):
+    """Columns in any order, a missing target, text that is no number."""
+    cols = ["numberofchildren", "numberofadults", "reservation_id", "booking_date", "roomnights"]
+    (tmp_path / "t.csv").write_text(",".join(cols) + "\n1,2,r1,3/10/2018,abc\n,4,r2,,5\n")
+    path = str(tmp_path / "t.csv")
+    a, b = read_bookings(spark, path, bad_col="bad").orderBy("reservation_id").collect()
+    assert (a.numberofadults, a.numberofchildren, a.roomnights, a.bad) == (2, 1, None, 1)
+    assert (b.numberofadults, b.numberofchildren, b.roomnights, b.bad) == (4, None, 5, 0)
+    assert a.booking_date.isoformat() == "2018-10-03" and a.amount_spent_per_room_night_scaled is None
+    with pytest.raises(Exception):
+        read_bookings(spark, path, strict=True).collect()
+    (tmp_path / "u.csv").write_text("reservation_id,other\nr1,2\n")
+    with pytest.raises(ValueError):
+        read_bookings(spark, str(tmp_path / "u.csv"))
+
+
+def test_stage_folder(spark):
+    """No shared folder on a cluster is an error; stages can be deleted."""
+    from types import SimpleNamespace
+
+    from grainline.session import ensure_checkpoint_dir, materialize, release
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master, ok in (("yarn", False), ("local-cluster[2,1,1024]", False)):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: conf)
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+    df = materialize(spark.range(5), "gone")
+    folder = df._stage_path.removeprefix("file:")
+    assert os.path.isdir(folder) and df.count() == 5
+    release(df, spark.range(1))
+    assert not os.path.exists(folder)
+
+
 def test_writers(spark):
     d = tempfile.mkdtemp(prefix="gl-out-")
     df = spark.createDataFrame([(1, 0.5), (2, 0.7)], "reservation_id long, prediction double")
@@ -65,7 +99,11 @@ def test_metrics(spark):
     assert avg[3] == 2.0
     pct = percent_of_total(df, "p", "share").agg(F.sum("share")).first()[0]
     assert abs(pct - 100.0) < 1e-9
-    assert [x.id for x in top_k(df, "p", 2).collect()] == [2, 1] or top_k(df, "p", 2).count() == 2
+    assert [x.id for x in top_k(df, "p", 3, tie=["id"]).collect()] == [2, 1, 3]
+    wide = spark.createDataFrame([(1.0, 3.0, None), (None, None, None)], "a double, b double, c double")
+    assert [tuple(r)[3:] for r in mean_of_columns(wide, ["a", "b", "c"]).collect()] == [(2, 2.0), (0, None)]
+    rep = {x.fold: x for x in cv_report(df, "y", "p").collect()}
+    assert (rep[0].n_rows, rep[1].n_rows) == (2, 1) and abs(rep[0].overall_rmse - (5 / 3) ** 0.5) < 1e-12
 
 
 @pytest.fixture(scope="module")
@@ -80,23 +118,26 @@ def model_data(spark):
 
 
 def test_boosting_beats_mean_and_is_deterministic(spark, model_data):
-    params = BoostParams(max_rounds=15, min_rows_per_leaf=5, learning_rate=0.3, subsample=1.0,
+    params = BoostParams(max_rounds=60, min_rows_per_leaf=5, learning_rate=0.3, subsample=1.0,
                          feature_fraction="all")
     dev, val = fold_split(model_data, 0)
-    m = fit_boosted(dev, "y", params)
-    best, losses = best_rounds(m, val)
-    assert 1 <= best <= 15 and len(losses) == 15
-    pred = predict_rounds(m, val, best)
+    rows = model_data.withColumn("_val", F.col("fold") == 0)
+    m = fit_boosted(rows, "y", params, val_col="_val")
+    assert 1 <= m.getNumTrees < 60  # the validation rows stopped it
+    pred = predict_rounds(m, val)
     err = rmse(pred, "y", "prediction").first()["rmse"]
     mean = dev.agg(F.avg("y")).first()[0]
     base = rmse(val.withColumn("prediction", F.lit(mean)), "y", "prediction").first()["rmse"]
     assert err < 0.5 * base
     full = predict_rounds(m, val).select("prediction").collect()
-    again = predict_rounds(fit_boosted(dev, "y", params), val).select("prediction").collect()
+    again = predict_rounds(fit_boosted(rows, "y", params, val_col="_val"), val).select("prediction").collect()
     assert full == again
-    # prefix of all trees equals the model's own transform
-    allp = predict_rounds(m, val, len(m.trees) - 1).count()
-    assert allp == val.count()
+    # fewer rounds: the weighted sum of the first trees
+    part = truncated(m, 2)
+    assert part.getNumTrees == 2
+    for row in predict_rounds(m, val, 2).limit(20).collect():
+        by_hand = sum(w * t.predict(row.features) for w, t in zip(m.treeWeights[:2], m.trees[:2]))
+        assert abs(row.prediction - by_hand) < 1e-12
 
 
 def test_cross_validate_covers_train_once(spark, model_data):
@@ -109,8 +150,10 @@ def test_cross_validate_covers_train_once(spark, model_data):
     assert oof.select("id").distinct().count() == model_data.count()
     assert res.test.where("n_models = 3").count() == test.count()
     imp = res.importance.collect()
-    assert {r.feature for r in imp} == {"x1", "x2"}
-    assert abs(sum(r.gain for r in imp if r.gain is not None) - 100.0) < 1e-6
+    assert {(r.fold, r.stage, r.feature) for r in imp} == {(f, s, c) for f in range(3) for s in ("dev", "refit") for c in ("x1", "x2")}
+    for f in range(3):
+        assert abs(sum(r.gain for r in imp if (r.fold, r.stage) == (f, "refit") and r.gain is not None) - 100.0) < 1e-6
+    assert res.test.where("prediction is null").count() == 0
 
 
 def test_shorter_fit_is_prefix_of_longer(spark, model_data):
