@@ -4,12 +4,15 @@ Writing: only headers (digest, largest page_id, count) are shuffled by payload
 digest to find the originals, combined map-side so that a hot payload is one
 row a task; pages join them on the digest, the original becomes a
 ``response`` record and its copies ``revisit`` records without a payload.
+Only digests that occur several times are joined; when these are at most
+``BROADCAST_ORIGINALS`` they are broadcast and payloads are not shuffled at
+all, beyond that the same join shuffles.
 Spark's text writer puts one record a line with ``\\r\\n\\r\\n`` as line
 separator, which is just what ends a WARC record; record ids are derived from
 content, so a repeated task writes the same file.
 
 Reading: an archive file is one row (``binaryFile``; the writer keeps files
-near ``ARCHIVE_BYTES``) and is cut by Content-Length.  Revisits find their
+near ``ARCHIVE_BYTES`` by a record count) and is cut by Content-Length.  Revisits find their
 payload's length at the original by record id.
 
 Defined cases: NULL html is an empty payload; payloads shorter than
@@ -32,6 +35,7 @@ from grainline.session import ensure_checkpoint_dir, materialize
 
 MIN_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
+BROADCAST_ORIGINALS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
 
@@ -43,15 +47,21 @@ def _record_id(page: str, digest: str) -> F.Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   min_bytes: int = MIN_BYTES, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write a record per row under ``path`` (a folder of archive files)."""
+                   min_bytes: int = MIN_BYTES, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES,
+                   compression: str = "none") -> None:
+    """Write a record per row under ``path`` (a folder of archive files,
+    ``compression`` none or gzip)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     headers = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"),
                                                      F.max("size").cast("long").alias("size")), "warc-headers")
-    total = headers.agg(F.sum(F.col("size") + 600 * F.col("copies"))).first()[0] or 0
-    originals = headers.filter((F.col("copies") > 1) & (F.col("size") >= min_bytes) & F.col("original").isNotNull()).select("digest", "original")
+    sums = headers.agg(F.sum(F.col("size") * F.col("copies") + 600 * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows")).first()
+    per_file = max(1, archive_bytes * (sums["rows"] or 1) // (sums["bytes"] or 1))
+    originals = materialize(headers.filter((F.col("copies") > 1) & (F.col("size") >= min_bytes) & F.col("original").isNotNull())
+                            .select("digest", "original"), "warc-originals")
+    if originals.count() <= BROADCAST_ORIGINALS:
+        originals = F.broadcast(originals)
     rows = rows.join(originals, "digest", "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
@@ -69,22 +79,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             F.lit("Content-Type: application/http; msgtype=response"),
             F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string"))]
     record = F.concat(F.concat_ws(_END, *head), F.lit(_END * 2), F.col("block"))
-    files = max(1, -(-int(total) // archive_bytes))
-    (rows.withColumn("block", block).select(record.alias("record")).repartition(files)
-     .write.mode("overwrite").option("lineSep", _END * 2).text(path))
+    (rows.withColumn("block", block).select(record.alias("record"))
+     .write.mode("overwrite").option("lineSep", _END * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(path))
 
 
 def _parse(batches: Iterator) -> Iterator:
+    import gzip
     import hashlib
 
-    import pyarrow as pa
-
     names = ["page_id", "record_id", "record_type", "refers_to_record", "payload_digest", "payload_bytes", "url", "payload"]
     for batch in batches:
         for content in batch.column(0):
-            data = content.as_buffer()
-            raw = memoryview(data)
-            whole = data.to_pybytes()
+            whole = content.as_buffer().to_pybytes()
+            if whole[:2] == b"\x1f\x8b":
+                whole = gzip.decompress(whole)
+            raw = memoryview(whole)
             at, out, held = 0, [[] for _ in names], 0
             while at < len(whole):
                 stop = whole.index(b"\r\n\r\n", at)
