@@ -58,8 +58,8 @@ class Vocabulary:
 def _hash_text(codes: np.ndarray) -> np.uint64:
     h = _U(0)
     with np.errstate(over="ignore"):
-        for c in codes:
-            h = h * _BASE + mix64(np.array([c], np.uint64))[0]
+        for c in codes.tolist():
+            h = h * _BASE + mix64(np.array([c + 1], np.uint64))[0]
     return h
 
 
@@ -114,7 +114,7 @@ def viterbi(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Best pieces of equally long words (k x length code points): flat ids
     and where each word's begin (k + 1)."""
     k, length = words.shape
-    codes = mix64(words.astype(np.uint64).ravel()).reshape(k, length)
+    codes = mix64(words.astype(np.uint64).ravel() + _U(1)).reshape(k, length)  # mix64(0) is 0, U+0000 must count
     prefix = np.zeros((k, length + 1), np.uint64)
     best = np.full((k, length + 1), -np.inf)
     best[:, 0] = 0
@@ -222,7 +222,7 @@ class Encoder:
         with np.errstate(over="ignore"):
             at = np.arange(len(codes)) - np.repeat(starts, sizes)
             powers = np.cumprod(np.full(int(sizes.max()) + 1, _U(0xD6E8FEB86659FD93)), dtype=np.uint64)
-            keys = mix64(np.add.reduceat(mix64(codes.astype(np.uint64)) * powers[at], starts) + sizes.astype(np.uint64))
+            keys = mix64(np.add.reduceat(mix64(codes.astype(np.uint64) + _U(1)) * powers[at], starts) + sizes.astype(np.uint64))
         uniq, where, inv = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self._clear()
