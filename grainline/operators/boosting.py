@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import SparkContext
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,11 +75,10 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
     """``keep`` columns plus one vector column.  The tree learner rejects
     NaN, so NULL / NaN become ``fill`` (choose it below every column's
     range)."""
-    filled = df.select(*keep, *[
-        F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
-                   F.lit(fill)).alias(c) for c in features])
-    va = VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
-    return va.transform(filled).select(*keep, out)
+    # one array expression: Spark splits its code into methods, while hundreds
+    # of separate columns outgrow one
+    filled = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(fill)) for c in features])
+    return df.select(*keep, array_to_vector(filled).alias(out))
 
 
 def fit_boosted(df: DataFrame, label: str, params: BoostParams = BoostParams(),

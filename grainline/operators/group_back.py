@@ -7,17 +7,19 @@ Plan, per call:
    aggregates are computed once and aliased (the reference groups 134 times
    over 87 distinct key sets and repeats three statistics verbatim).
 2. One pass of per-column HyperLogLog sketches bounds the group count of
-   every key set (product of its columns' distinct counts).  Key sets with
-   a small bound that share an aggregate list are computed in one scan
-   with ``GROUPING SETS``;
+   every key set (product of its columns' distinct counts, at most the row
+   count).  Key sets with a small bound that share an aggregate list are
+   computed together with ``GROUPING SETS``, at most ``SHARED_SETS`` sets and
+   ``broadcast_max_rows`` groups a scan, so ``Expand`` stays narrow and the
+   map-side hash tables fit;
    large ones get their own ``groupBy(keys).agg(...)``.  Partial
    aggregation runs map-side, so a hot key costs one row per map task.
    Rows with a NULL key never match the join back (pandas drops NaN keys),
    so they get NULL features.  Aggregates are written as Parquet to the
    checkpoint folder; jobs run concurrently from a driver thread pool.
-3. The row count of each written aggregate (Parquet metadata, no scan)
-   decides the join: at most ``broadcast_max_rows`` rows and
-   ``broadcast_max_bytes`` estimated bytes, and all broadcast tables of the
+3. The row count and the bytes of each written aggregate (string columns
+   measured, others of fixed width) decide the join: at most
+   ``broadcast_max_rows`` rows and ``broadcast_max_bytes`` bytes, and all broadcast tables of the
    call together within ``broadcast_total_bytes`` -> broadcast hash join,
    map-side, no shuffle of the detail.  Larger aggregates -> the narrow projection
    ``(id, keys)`` is joined to the aggregate (sort-merge; AQE splits skewed
@@ -50,6 +52,8 @@ STATS = ("min", "max", "mean", "std")
 
 DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
 DEFAULT_BROADCAST_MAX_BYTES = 128 * 1024 * 1024
+# Key sets that one GROUPING SETS scan computes at most.
+SHARED_SETS = 12
 # All broadcast aggregates of one call are probed in the same stage, so
 # every executor holds all of them at once: cap their sum as well.
 DEFAULT_BROADCAST_TOTAL_BYTES = 1024 * 1024 * 1024
@@ -171,12 +175,16 @@ _FIXED_WIDTH = {BooleanType: 1, ByteType: 1, ShortType: 2, IntegerType: 4, DateT
                 LongType: 8, DoubleType: 8, FloatType: 4}
 
 
-def estimated_row_bytes(df: DataFrame) -> int:
-    """Rough in-memory width of a row (strings assumed 32 bytes)."""
-    total = 16
-    for f in df.schema.fields:
-        total += 8 + _FIXED_WIDTH.get(type(f.dataType), 32)
-    return total
+def _size_columns(df: DataFrame) -> list[Column]:
+    """Aggregates that measure a table: its rows, and its bytes in memory
+    (16 a row, 8 and the width a field; text as long as it is)."""
+    fixed = 16 + sum(8 + _FIXED_WIDTH.get(type(f.dataType), 0) for f in df.schema.fields)
+    text = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields
+            if type(f.dataType) not in _FIXED_WIDTH]
+    width = F.lit(fixed).cast("long")
+    for t in text:
+        width = width + t
+    return [F.count(F.lit(1)).alias("_rows"), F.coalesce(F.sum(width), F.lit(0)).alias("_bytes")]
 
 
 @dataclass
@@ -184,10 +192,7 @@ class MaterializedAgg:
     plan: KeySetPlan
     table: DataFrame
     rows: int
-
-    @property
-    def est_bytes(self) -> int:
-        return self.rows * estimated_row_bytes(self.table)
+    est_bytes: int
 
     def fits_broadcast(self, max_rows: int, max_bytes: int) -> bool:
         return self.rows <= max_rows and self.est_bytes <= max_bytes
@@ -209,11 +214,11 @@ def split_by_size(aggs: Sequence[MaterializedAgg], max_rows: int, max_bytes: int
 
 def group_count_bounds(df: DataFrame, plans: Sequence[KeySetPlan]) -> list[int]:
     """Upper bound of every key set's group count: the product of its
-    columns' distinct counts (+1 for NULL).  One pass with one HyperLogLog
+    columns' distinct counts (+1 for NULL), at most the rows.  One pass with one HyperLogLog
     sketch per key column (one result row); the sketch error is covered by
     a 15% margin (3 standard errors)."""
     cols = sorted({k for p in plans for k in p.keys})
-    row = df.agg(*[F.approx_count_distinct(c, 0.05).alias(f"_d{i}")
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c, 0.05).alias(f"_d{i}")
                    for i, c in enumerate(cols)]).first()
     card = {c: int(row[f"_d{i}"] * 1.15) + 2 for i, c in enumerate(cols)}
     bounds = []
@@ -221,7 +226,7 @@ def group_count_bounds(df: DataFrame, plans: Sequence[KeySetPlan]) -> list[int]:
         b = 1
         for k in p.keys:
             b *= card[k]
-        bounds.append(b)
+        bounds.append(min(b, row["_n"]))
     return bounds
 
 
@@ -243,16 +248,30 @@ def shared_scan_aggregates(df: DataFrame, family: Sequence[KeySetPlan]) -> list[
     g = df.groupingSets([list(p.keys) for p in family], *cols).agg(
         F.grouping_id().alias("_gid"), *exprs)
     table = materialize(g, "aggsets")
-    counts = {r["_gid"]: r["count"] for r in table.groupBy("_gid").count().collect()}
+    sizes = {r["_gid"]: r for r in table.groupBy("_gid").agg(*_size_columns(table)).collect()}  # a row per set
     out = []
     for p in family:
         gid = _grouping_id(cols, p.keys)
         sub = table.where(F.col("_gid") == gid).select(
             *p.keys, *[F.col(f"_f{j}").alias(p.aggs[a]) for j, a in enumerate(aggs)])
-        out.append(MaterializedAgg(p, sub, int(counts.get(gid, 0))))
+        r = sizes.get(gid)
+        out.append(MaterializedAgg(p, sub, r["_rows"] if r else 0, r["_bytes"] if r else 0))
     return out
 
 
+def _shared_scans(family: Sequence[tuple[KeySetPlan, int]], max_groups: int) -> list[list[KeySetPlan]]:
+    """Cut a family into scans: neighbours in key order share columns."""
+    scans: list[list[KeySetPlan]] = []
+    held = 0
+    for p, bound in sorted(family, key=lambda x: x[0].keys):
+        if not scans or len(scans[-1]) == SHARED_SETS or held + bound > max_groups:
+            scans.append([])
+            held = 0
+        scans[-1].append(p)
+        held += bound
+    return scans
+
+
 def materialize_aggregates(df: DataFrame, plans: Sequence[KeySetPlan], parallelism: int = 8,
                            shared_max_groups: int | None = DEFAULT_BROADCAST_MAX_ROWS
                            ) -> list[MaterializedAgg]:
@@ -260,27 +279,29 @@ def materialize_aggregates(df: DataFrame, plans: Sequence[KeySetPlan], paralleli
 
     Key sets whose group count is bounded by ``shared_max_groups`` (product
     of per-column distinct counts) and that share an aggregate list are
-    computed together in one scan (grouping sets); the others get their own
+    computed together, some in each scan (grouping sets); the others get their own
     ``groupBy``, so their shuffle rows stay narrow.  Jobs run
     concurrently from a driver thread pool."""
     def single(plan: KeySetPlan) -> list[MaterializedAgg]:
         t = materialize(aggregate_key_set(df, plan), "agg")
-        return [MaterializedAgg(plan, t, t.count())]
+        size = t.agg(*_size_columns(t)).first()
+        return [MaterializedAgg(plan, t, size["_rows"], size["_bytes"])]
 
     tasks = []
     if shared_max_groups is None or len(plans) <= 1:
         tasks = [(single, p) for p in plans]
     else:
         bounds = group_count_bounds(df, plans)
-        families: dict[tuple, list[KeySetPlan]] = {}
+        families: dict[tuple, list[tuple[KeySetPlan, int]]] = {}
         for p, e in zip(plans, bounds):
             if e <= shared_max_groups:
-                families.setdefault(tuple(p.aggs.keys()), []).append(p)
+                families.setdefault(tuple(p.aggs.keys()), []).append((p, e))
             else:
                 tasks.append((single, p))
-        for fam in families.values():
-            tasks.append((lambda f: shared_scan_aggregates(df, f), fam) if len(fam) > 1
-                         else (single, fam[0]))
+        for family in families.values():
+            for scan in _shared_scans(family, shared_max_groups):
+                tasks.append((lambda f: shared_scan_aggregates(df, f), scan) if len(scan) > 1
+                             else (single, scan[0]))
 
     if parallelism <= 1 or len(tasks) <= 1:
         results = [fn(arg) for fn, arg in tasks]

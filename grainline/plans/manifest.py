@@ -25,6 +25,7 @@ COUNT_SINGLE_RAW = (
 CAL_PREFIXES = ("ci", "co", "bk")
 # Attributes crossed with calendar parts.  Fixed values.
 CROSS_ATTRS = ("resort_region_code", "resort_type_code", "season_holidayed_code", "cluster_code")
+# Key sets and attributes that statistics are taken by.  Fixed values.
 RESORT_KEYS = ("resort_region_code", "resort_type_code", "state_code_resort", "cluster_code",
                "reservationstatusid_code", "resort_id")
 MEMBER_KEYS = ("main_product_code", "persontravellingid", "state_code_residence",
@@ -40,6 +41,7 @@ DAY_DIFFS = ("lead_days", "stay_days")
 RATIOS = ("party_size", "child_per_adult", "nights_per_stay_day", "pax_per_night",
           "party_per_night", "child_per_night", "adult_per_night")
 
+# Depths and attributes of the shifts.  Fixed values.
 LAG_DEPTH_DATES = 4
 LAG_DEPTH_ATTRS = 3
 SHIFT_ATTRS = ("resort_type_code", "resort_region_code", "roomnights", "season_holidayed_code",
