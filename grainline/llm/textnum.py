@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 4 << 20
+#: Texts worked on at once.  The arrays of a chunk take some 50 bytes a byte of
+#: text, and an executor's workers share its memory with the JVM.
+CHUNK_BYTES = 2 << 20
 _U = np.uint64
 
 
