@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from grainline.llm.license_templates import PHRASES, TEMPLATES, words_of
+
 _HOST = r"'^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)'"
 _PATH = r"'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)'"
 
@@ -86,4 +90,45 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, sym.y FRO
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = n.doc_id) AS component_id FROM n
 """
 
-ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_url_lists": _OP3, "op8_warc": _OP8, "op10_ngram_join": _OP10}
+
+
+def _template_pattern(template: str) -> str:
+    """A license template as a pattern over words that each end in a space."""
+    def seq(parts: list[str]) -> str:
+        out = ""
+        while parts:
+            p = parts.pop(0)
+            if p == "<<beginOptional>>":
+                out += "(?:" + seq(parts) + ")?"
+            elif p == "<<endOptional>>":
+                return out
+            elif p.startswith("<<var;"):
+                out += "(?:[^ ]+ ){0,%d}" % int(p[6:-2])
+            else:
+                out += "".join(w + " " for w in words_of(p))
+        return out
+    return seq(re.split(r"(<<[^<>]*>>)", template))
+
+
+def _op9() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(0, len(ws) - {len(p.split()) - 1}), lambda i: "
+        + " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split())) + ")) AS place FROM w" for p, label in PHRASES.items())
+    found = " UNION ".join(f"SELECT doc_id, '{label}' AS label FROM l WHERE regexp_matches(line, ' {_template_pattern(t)}')" for label, t in TEMPLATES)
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w),
+p AS ({places}),
+t AS ({found}),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+      FROM p GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM t) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels,
+       CASE WHEN w.doc_id IN (SELECT doc_id FROM t) THEN 1.0 WHEN n_base IS NOT NULL THEN 0.5 ELSE 0.0 END AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
+ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_url_lists": _OP3, "op8_warc": _OP8, "op9_license_templates": _op9(), "op10_ngram_join": _OP10}
