@@ -249,8 +249,10 @@ def _scan_rows(shared, text_at: int):
                 lengths = {label: len(ws) for label, ws in sc.phrases}
                 for t, p, label in sorted(places):
                     base[t].append({"label": label, "start": p, "end": p + lengths[label]})
+                reach: dict = {}
                 for t, s, e, label in sorted(found, key=lambda x: (x[0], x[1], -x[2], x[3])):
-                    if not any(m["label"] == label and s < m["end"] for m in more[t][-8:]):  # inside a longer one
+                    if s >= reach.get((t, label), 0):  # else it begins inside an earlier one of its label
+                        reach[t, label] = e
                         more[t].append({"label": label, "start": s, "end": e})
                 rest = [i for i in range(batch.num_columns) if i != text_at]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in rest), pa.array(count.astype(np.int64)),

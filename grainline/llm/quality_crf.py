@@ -14,7 +14,7 @@ Arrow batches with memory bounded by a few MB of text (or one long text).
 Defined cases: NULL and empty text is one empty line and gets a score like
 any other; blank lines are skipped unless a text has no other; NULL doc_id is
 scored and never used to learn; repeated rows get equal scores; a doc_id with
-both labels is learned with both; without any training row every score is
+both labels is learned with both, one with several texts with the smallest; without any training row every score is
 0.5; empty tables give an empty result; extra columns are ignored.
 """
 
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .filter("doc_id is not null and label in (0, 1)").filter(~held_out("doc_id")).distinct()
               .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label").limit(max_docs))
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .join(F.broadcast(chosen), "doc_id").select("label", "text")
+            .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
             .mapInArrow(_feature_rows, "label int, f binary, w binary").toPandas())
     if not len(rows):
         return None
@@ -264,14 +264,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.concatenate(f).astype(float), w, first, rows["label"].to_numpy())
 
 
-def _scorer(shared):
+def _scorer(shared, at: int, n_keep: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         model = shared.value
+        rest = range(n_keep)
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
-            rest = [i for i in range(batch.num_columns) if i != at]
             for lo, hi, data, offs in chunks(batch.column(at)):
                 f, w, first = line_features(data, offs)
                 if model is None:
@@ -287,10 +286,13 @@ def _scorer(shared):
 
 def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with score (0 to 1, higher: better) and n_lines."""
-    df = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
+    # a text that is kept travels once
+    own = text_col in keep and dict(docs.dtypes)[text_col] == "string"
+    df = docs.select(*[F.col(c) for c in keep], *([] if own else [F.col(text_col).cast("string").alias("_text")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_text")
-    return df.mapInArrow(_scorer(shared), f"{kinds}, score double, n_lines long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    run = _scorer(shared, list(keep).index(text_col) if own else len(keep), len(keep))
+    return df.mapInArrow(run, f"{kinds}, score double, n_lines long")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
