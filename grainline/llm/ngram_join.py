@@ -48,6 +48,9 @@ NUM, DEN = 75, 100
 ORDER_LIMIT = 500_000
 #: A shingle is listed as frequent from this many classes on.
 FREQUENT = 16
+#: Shingles that a task counts at once; beyond that, those met once go first
+#: (the counts only make the order, and any order is exact).
+HELD = 3_000_000
 #: Light sets have at most this many shingles, whatever the cost says.
 LIGHT_MAX = 12
 SCAN_COST = 4.0
@@ -139,11 +142,12 @@ def _frequent(batches: Iterator) -> Iterator:
     def merge():
         nonlocal vals, cnts, pending, held
         u, c = np.unique(np.concatenate(pending), return_counts=True)
-        both = np.concatenate([vals, u])
-        w = np.concatenate([cnts, c])
-        vals, inv = np.unique(both, return_inverse=True)
-        cnts = np.bincount(inv, weights=w, minlength=len(vals)).astype(np.int64)
-        if len(vals) > 8_000_000:  # memory bound of a task: single ones go first
+        at = np.searchsorted(vals, u)
+        old = at < len(vals)
+        old[old] = vals[at[old]] == u[old]
+        cnts[at[old]] += c[old]
+        vals, cnts = np.insert(vals, at[~old], u[~old]), np.insert(cnts, at[~old], c[~old])
+        if len(vals) > HELD:
             keep = cnts > 1
             vals, cnts = vals[keep], cnts[keep]
         pending, held = [], 0
@@ -156,7 +160,7 @@ def _frequent(batches: Iterator) -> Iterator:
                     seen.add(i)
                     pending.append(s)
                     held += len(s)
-            if held > 4_000_000:
+            if held > HELD // 4:
                 merge()
     if pending:
         merge()

@@ -43,20 +43,20 @@ def chunks(col, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.nda
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    if len(col) == 0:
-        return
-    col = pc.fill_null(col.cast(pa.large_string()), "")
-    _, obuf, dbuf = col.buffers()
-    offs = np.frombuffer(obuf, dtype=np.int64)[col.offset:col.offset + len(col) + 1]
-    data = np.frombuffer(dbuf, dtype=np.uint8) if dbuf is not None else np.zeros(0, np.uint8)
-    lo, n = 0, len(col)
-    while lo < n:
-        hi = int(np.searchsorted(offs, offs[lo] + max_bytes, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
-        yield lo, hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
-        lo = hi
+    for start in range(0, len(col), 1024):  # copies are made of few rows at a time
+        part = col.slice(start, 1024)
+        if isinstance(part, pa.ChunkedArray):
+            part = part.combine_chunks()
+        part = pc.fill_null(part.cast(pa.large_string()), "")
+        _, obuf, dbuf = part.buffers()
+        offs = np.frombuffer(obuf, dtype=np.int64)[part.offset:part.offset + len(part) + 1]
+        data = np.frombuffer(dbuf, dtype=np.uint8) if dbuf is not None else np.zeros(0, np.uint8)
+        lo, n = 0, len(part)
+        while lo < n:
+            hi = int(np.searchsorted(offs, offs[lo] + max_bytes, side="right")) - 1
+            hi = min(max(hi, lo + 1), n)
+            yield start + lo, start + hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
+            lo = hi
 
 
 def word_bounds(is_word: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
