@@ -127,9 +127,12 @@ def group_features(df: DataFrame, cfg: BookingsConfig = BookingsConfig(), specs=
 def build_features(train: DataFrame, test: DataFrame,
                    cfg: BookingsConfig = BookingsConfig()) -> DataFrame:
     """The full feature table (one row per reservation)."""
-    base = prepare(train, test, cfg)
-    seq = sequences(base, cfg)
-    return group_features(seq, cfg)
+    return build_features_tagged(tag_source(train, test), cfg)
+
+
+def build_features_tagged(rows: DataFrame, cfg: BookingsConfig = BookingsConfig()) -> DataFrame:
+    """The same from train and test rows in one table with the source flag."""
+    return group_features(sequences(prepare_tagged(rows, cfg), cfg), cfg)
 
 
 def feature_columns(df: DataFrame, exclude=NON_FEATURES) -> list[str]:
