@@ -452,7 +452,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members, roots = similarity_classes(docs, id_col, text_col)
     classes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # written, so that the join below has a shuffle of its own that AQE may split
+    low = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "join-low")
     table = rooted.select("node", "root").join(low, "root").select("node", "component_id")
     return members.join(table, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),

@@ -51,16 +51,24 @@ GENERALISE, REMOVE = 0.8, 0.95
 _SPAN = "struct<start:int,end:int,hit:string>"
 
 
+def _running(items: str, kind: str, next_at: str, piece: str) -> str:
+    """SQL: struct(at, out) of a left fold over ``items`` (as x) that carries
+    a number (a.at) and appends ``piece``.  Appending copies, so it is done in
+    runs of 256 items whose results are put together at the end."""
+    return f"""transform(array({items}), z -> aggregate(sequence(1, greatest(size(z), 1), 256),
+        named_struct('at', 0, 'out', cast(array() as array<array<{kind}>>)),
+        (b, i) -> transform(array(aggregate(slice(z, i, 256), named_struct('at', b.at, 'out', cast(array() as array<{kind}>)),
+                (a, x) -> named_struct('at', {next_at}, 'out', concat(a.out, {piece})))),
+            r -> named_struct('at', r.at, 'out', concat(b.out, array(r.out))))[0]))[0]"""
+
+
 def _positions(text: str, pattern: str) -> str:
     """SQL for array<struct<start,end,hit>> of all matches in ``text``."""
     p = pattern.replace("\\", "\\\\")
-    return f"""aggregate(
-        zip_with(regexp_extract_all({text}, '{p}', 0), slice(split({text}, '{p}', -1), 1, size(regexp_extract_all({text}, '{p}', 0))),
-                 (h, g) -> named_struct('hits', h, 'gaps', g)),
-        named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
-        (a, x) -> named_struct('at', a.at + length(x.gaps) + length(x.hits), 'out', concat(a.out, array(named_struct(
-            'start', a.at + length(x.gaps), 'end', a.at + length(x.gaps) + length(x.hits), 'hit', x.hits)))),
-        a -> a.out)"""
+    pairs = f"""transform(array(regexp_extract_all({text}, '{p}', 0)), m -> zip_with(m, slice(split({text}, '{p}', -1), 1, size(m)),
+        (h, g) -> named_struct('hit', h, 'gap', g)))[0]"""
+    return "flatten(" + _running(pairs, _SPAN, "a.at + length(x.gap) + length(x.hit)", """array(named_struct(
+        'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.hit), 'hit', x.hit))""") + ".out)"
 
 
 _DIGITS = "regexp_replace(s.hit, '[^0-9]', '')"
@@ -99,18 +107,26 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _near(c: str = "c") -> str:
-    """SQL for the (start, end, term) of the whole words within WINDOW
-    characters of entity ``c`` that touch no base span."""
+    """SQL for the (start, end, term) of the whole words of ``masked`` (the
+    text with blanks for its base spans) within WINDOW characters of ``c``."""
     size = WINDOW + 1  # one more character tells whether a word is cut
     left = f"greatest({c}.start - {size}, 0)"
-    words_l = _positions(f"substring(text, {left} + 1, {c}.start - {left})", WORD)
-    words_r = _positions(f"substring(text, {c}.end + 1, {size})", WORD)
-    return f"""filter(concat(
+    words_l = _positions(f"substring(masked, {left} + 1, {c}.start - {left})", WORD)
+    words_r = _positions(f"substring(masked, {c}.end + 1, {size})", WORD)
+    return f"""concat(
         transform(filter({words_l}, w -> w.start > 0 or {left} = 0),
                   w -> named_struct('start', w.start + {left}, 'end', w.end + {left}, 'term', w.hit)),
         transform(filter({words_r}, w -> w.end < {size}),
-                  w -> named_struct('start', w.start + {c}.end, 'end', w.end + {c}.end, 'term', w.hit))),
-        w -> not exists(spans, b -> b.start < w.end and b.end > w.start))"""
+                  w -> named_struct('start', w.start + {c}.end, 'end', w.end + {c}.end, 'term', w.hit)))"""
+
+
+def _rewritten(text: str, marks: str, inside: str = "cast(array() as array<string>)") -> str:
+    """SQL: ``text`` with each of ``marks`` (sorted start, end, mark) in place
+    of what it covers; a mark that begins inside an earlier one adds
+    ``inside``."""
+    fold = _running(marks, "string", "greatest(a.at, x.end)",
+                    f"case when x.start >= a.at then array(substring({text}, a.at + 1, x.start - a.at), x.mark) else {inside} end")
+    return f"transform(array({fold}), f -> array_join(flatten(f.out), '') || substring({text}, f.at + 1))[0]"
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT,
@@ -119,11 +135,15 @@ def disclosures(docs: DataFrame, text_col: str = "text", min_support: int = MIN_
     counts and disclosure; spans a row per text that has base spans and
     disclosing terms: digest, terms as sorted array of (start, end, action)."""
     based = with_base_spans(docs.select(F.col(text_col).cast("string").alias("text")), "text")
+    # blanks keep all places, also where spans of two kinds overlap
+    over = "array(repeat(' ', greatest(x.end - a.at, 0)))"
+    blanks = """transform(array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end))),
+        s -> named_struct('start', s.start, 'end', s.end, 'mark', repeat(' ', s.end - s.start)))"""
     # copies of a text are one row with a count before anything is shuffled
     texts = materialize(based.filter(F.size("_spans") > 0).groupBy(F.col("_txt").alias("text"))
                         .agg(F.count(F.lit(1)).alias("n"), F.first("_spans").alias("spans"))
-                        .withColumn("digest", F.md5("text")), "pii-texts")
-    seen = texts.select("digest", "n", "text", "spans", F.explode("spans").alias("c")).select(
+                        .withColumn("digest", F.md5("text")).withColumn("masked", F.expr(_rewritten("text", blanks, over))), "pii-texts")
+    seen = texts.select("digest", "n", "masked", F.explode("spans").alias("c")).select(
         "digest", "n", F.col("c.value").alias("entity"), F.expr(_near()).alias("near"))
     seen = materialize(seen, "pii-seen")
     entities = seen.groupBy("entity").agg(F.sum("n").alias("f_c"))
@@ -166,14 +186,11 @@ def sanitise(docs: DataFrame, text_col: str = "text", out_col: str = "clean_text
              .withColumn("_terms", F.coalesce("_terms", F.expr(f"cast(array() as {_TERMS})"))))
     token = "substring(_txt, t.start + 1, t.end - t.start)"
     marks = f"""array_sort(concat(
-        transform(_spans, s -> named_struct('start', s.start, 'end', s.end, 'mark', '[' || upper(s.kind) || ']')),
-        transform(_terms, t -> named_struct('start', t.start, 'end', t.end, 'mark',
+        transform(_spans, s -> named_struct('start', s.start, 'longer', -s.end, 'end', s.end, 'mark', '[' || upper(s.kind) || ']')),
+        transform(_terms, t -> named_struct('start', t.start, 'longer', -t.end, 'end', t.end, 'mark',
             case when t.action = 2 then '' when {token} rlike '^[0-9]+$' then '[NUMBER]'
                  when {token} rlike '^\\\\p{{Lu}}' then '[NAME]' else '[TERM]' end))))"""
-    clean = f"""aggregate({marks}, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, m) -> named_struct('at', greatest(a.at, m.end), 'out', case when m.start >= a.at
-            then concat(a.out, array(substring(_txt, a.at + 1, m.start - a.at), m.mark)) else a.out end),
-        a -> array_join(a.out, '') || substring(_txt, a.at + 1))"""
+    clean = _rewritten("_txt", marks)
     both = found.withColumn("_clean", F.expr(clean)).unionByName(plain.withColumn("_clean", F.col(text_col).cast("string")))
     return both.withColumn(out_col, F.col("_clean")).drop("_clean")
 

@@ -165,6 +165,19 @@ def test_disclosing_terms(spark):
     assert "Alpha0" not in out[60] and "mail0@x.org" not in out[60] and "[EMAIL]" in out[60] and texts[60].split()[3] in out[60]
 
 
+def test_many_spans_in_one_text(spark):
+    """Folds run in blocks of 256; overlapping kinds keep places."""
+    t = "user7@mail.org and 1.2.3.4@x.yz +12 345 678 9.9.9.9 é " * 400
+    df = docs(spark, [(1, t), (2, t)])
+    r = P.span_report(df).where("doc_id = 1").first()
+    exp = brute_spans(t)
+    assert r.spans.startswith(",".join(f"{k}:{a}:{b}" for k, a, b, _ in exp)) and len(exp) > 1500
+    terms = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term:")]
+    assert all(t[a:b] in ("and", "é") for a, b in terms)
+    clean = P.sanitise(df, "text", "out").where("doc_id = 1").first().out
+    assert not brute_spans(clean) and clean.count("[EMAIL]") == 800
+
+
 def test_pii_edges(spark):
     d = docs(spark, EDGE)
     out = P.span_report(d).collect()
