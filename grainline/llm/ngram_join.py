@@ -50,7 +50,7 @@ ORDER_LIMIT = 500_000
 FREQUENT = 16
 #: Shingles that a task counts at once; beyond that, those met once go first
 #: (the counts only make the order, and any order is exact).
-HELD = 3_000_000
+HELD = 1_500_000
 #: Light sets have at most this many shingles, whatever the cost says.
 LIGHT_MAX = 12
 SCAN_COST = 4.0
