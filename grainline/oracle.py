@@ -320,7 +320,8 @@ def _feature_projection() -> str:
 def _sequence_shift_hot() -> str:
     sel = [_shift_sql(c, k, "w") for c in ("l_extendedprice", "l_suppkey") for k in (1, 2, -1)]
     return f"""SELECT l_orderkey, l_linenumber, {_cols(*sel)} FROM lineitem
-WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate NULLS LAST, l_orderkey NULLS LAST, l_linenumber NULLS LAST)"""
+WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate NULLS LAST, l_orderkey NULLS LAST, l_linenumber NULLS LAST,
+             l_extendedprice NULLS LAST, l_suppkey NULLS LAST)"""
 
 
 _MATRIX_COLS = ("checkin_ord", "child_per_adult", "pax_per_night")
