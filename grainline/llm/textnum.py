@@ -57,6 +57,7 @@ def chunks(col, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.nda
             hi = min(max(hi, lo + 1), n)
             yield start + lo, start + hi, data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
             lo = hi
+    pa.default_memory_pool().release_unused()  # idle workers share an executor's memory
 
 
 def word_bounds(is_word: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
