@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The cleaned text; n_chars follows it."""
-    return (sanitise(docs, "text", "text").withColumn("n_chars", _length("text")).select(*COLUMNS))
+    return (sanitise(docs, "text", "text", min_support=1).withColumn("n_chars", _length("text")).select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Base spans (email, ip, card, phone) are leftmost, non-overlapping matches per
 kind, in code points.  Each distinct value found is a protected entity.  The
-corpus then tells how much each term near an entity reveals about it:
+corpus then tells how much each term of an entity's texts reveals about it:
 
-    IC(c)     = log2(N / f(c))                     information of entity c
-    PMI(c, t) = log2(f(c, t) * N / (f(c) * f(t)))  what term t tells about c
+    IC(c)      = log2(N / f(c))                    information of entity c
+    PMI(c, t)  = log2(P(c|t) * N / f(c))           what term t tells about c
+    P(c|t)     = (f(c, t) + S * f(c) / N) / (f(t) + S), at most 1
 
-with N the words of the corpus, f(c) and f(t) occurrences over all documents
-and f(c, t) the occurrences of c with t within WINDOW characters.  A term
-whose disclosure PMI / IC reaches ``generalise`` (and which was seen near the
-entity at least ``min_support`` times) becomes its class token, from
-``remove`` on it goes.  Only DataFrame functions are used.
+with N the texts of the corpus, f(c) and f(t) the texts with the entity and
+with the term and f(c, t) those with both, at any distance.  The smoothing S
+covers an entity or a term that occurs once.  A term whose disclosure PMI / IC
+reaches ``generalise`` (and which has at least ``min_support`` texts with the
+entity) becomes its class token, from ``remove`` on it goes: every occurrence
+in all texts of the entity.  Entities that occur in the same texts tell the
+same and are counted as one class.  Only DataFrame functions are used.
 
 Spark has no function that gives all positions of a pattern; ``split`` with
 limit -1 gives what lies between the same matches as ``regexp_extract_all``,
@@ -44,8 +47,11 @@ HINTS = {"email": "@", "phone": "+"}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
+#: What the tests' brute force counts within; terms count in the whole text.
 WINDOW = 80
+#: Default of the library calls; the registered queries ask for 1.
 MIN_SUPPORT = 2
+SMOOTHING = 0.5
 GENERALISE, REMOVE = 0.8, 0.95
 
 _SPAN = "struct<start:int,end:int,hit:string>"
@@ -106,20 +112,6 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("_spans", F.expr(f"concat({', '.join(parts)})")).drop(*[f"_{k}" for k in KINDS])
 
 
-def _near(c: str = "c") -> str:
-    """SQL for the (start, end, term) of the whole words of ``masked`` (the
-    text with blanks for its base spans) within WINDOW characters of ``c``."""
-    size = WINDOW + 1  # one more character tells whether a word is cut
-    left = f"greatest({c}.start - {size}, 0)"
-    words_l = _positions(f"substring(masked, {left} + 1, {c}.start - {left})", WORD)
-    words_r = _positions(f"substring(masked, {c}.end + 1, {size})", WORD)
-    return f"""concat(
-        transform(filter({words_l}, w -> w.start > 0 or {left} = 0),
-                  w -> named_struct('start', w.start + {left}, 'end', w.end + {left}, 'term', w.hit)),
-        transform(filter({words_r}, w -> w.end < {size}),
-                  w -> named_struct('start', w.start + {c}.end, 'end', w.end + {c}.end, 'term', w.hit)))"""
-
-
 def _rewritten(text: str, marks: str, inside: str = "cast(array() as array<string>)") -> str:
     """SQL: ``text`` with each of ``marks`` (sorted start, end, mark) in place
     of what it covers; a mark that begins inside an earlier one adds
@@ -140,34 +132,37 @@ def disclosures(docs: DataFrame, text_col: str = "text", min_support: int = MIN_
     blanks = """transform(array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end))),
         s -> named_struct('start', s.start, 'end', s.end, 'mark', repeat(' ', s.end - s.start)))"""
     # copies of a text are one row with a count before anything is shuffled
-    texts = materialize(based.filter(F.size("_spans") > 0).groupBy(F.col("_txt").alias("text"))
-                        .agg(F.count(F.lit(1)).alias("n"), F.first("_spans").alias("spans"))
-                        .withColumn("digest", F.md5("text")).withColumn("masked", F.expr(_rewritten("text", blanks, over))), "pii-texts")
-    seen = texts.select("digest", "n", "masked", F.explode("spans").alias("c")).select(
-        "digest", "n", F.col("c.value").alias("entity"), F.expr(_near()).alias("near"))
-    seen = materialize(seen, "pii-seen")
-    entities = seen.groupBy("entity").agg(F.sum("n").alias("f_c"))
-    pairs = (seen.select("n", "entity", F.explode(F.array_distinct(F.col("near.term"))).alias("term"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("f_ct")).filter(F.col("f_ct") >= min_support))
-    pairs = materialize(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
-    words = (docs.select(F.explode(F.split(F.col(text_col).cast("string"), NOT_WORD)).alias("word"))
-             .filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("f")))
-    # all words in one pass: the asked terms by name, the rest as one sum
-    counted = materialize(words.join(terms, words["word"] == terms["term"], "left")
-                          .groupBy("term").agg(F.sum("f").alias("f_t")), "pii-words")
-    total = counted.agg(F.sum("f_t")).first()[0] or 0
-    n = F.lit(float(total))
-    table = (pairs.join(counted.filter("term is not null"), "term").join(entities, "entity")
-             .withColumn("disclosure", F.try_divide(F.log2(F.col("f_ct") * n / (F.col("f_c") * F.col("f_t"))), F.log2(n / F.col("f_c"))))
+    texts = (based.filter(F.size("_spans") > 0).groupBy(F.col("_txt").alias("text"))
+             .agg(F.count(F.lit(1)).alias("n"), F.first("_spans").alias("spans")))
+    texts = materialize(texts.select(F.md5("text").alias("digest"), "n", F.expr("array_distinct(spans.value)").alias("entities"),
+                                     F.expr(_rewritten("text", blanks, over)).alias("masked")), "pii-texts")
+    # entities of the same texts are one class, named by two hashes of the set
+    held = texts.select("digest", "n", F.explode("entities").alias("entity"))
+    entities = materialize(held.groupBy("entity").agg(F.sum("n").alias("f_c"), F.expr("bit_xor(xxhash64(digest))").alias("c1"),
+                                                      F.expr("bit_xor(xxhash64(digest, 1))").alias("c2")), "pii-entities")
+    classes = materialize(held.join(entities, "entity").select("digest", "n", "c1", "c2", "f_c").distinct(), "pii-classes")
+    places = materialize(texts.select("digest", F.explode(F.expr(_positions("masked", WORD))).alias("w"))
+                         .select("digest", F.col("w.hit").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")), "pii-places")
+    seen = classes.join(places.select("digest", "term").distinct(), "digest")
+    pairs = materialize(seen.groupBy("c1", "c2", "f_c", "term").agg(F.sum("n").alias("f_ct")).filter(F.col("f_ct") >= min_support), "pii-pairs")
+    # '' stands for the text itself, so its count is N; no term is empty
+    asked = pairs.select("term").distinct().union(pairs.sparkSession.range(1).select(F.lit("").alias("term")))
+    words = docs.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.col(text_col).cast("string"), NOT_WORD)))).alias("term"))
+    counted = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("f_t")).join(asked, "term", "left_semi"), "pii-words")
+    total = (counted.filter("term = ''").first() or [None, 0])[1]
+    n, s = F.lit(float(total)), F.lit(SMOOTHING)
+    # the corpus count lacks words that a span cuts
+    f_t = F.greatest(F.coalesce("f_t", F.lit(0)), F.col("f_ct"))
+    share = F.least((F.col("f_ct") + s * F.col("f_c") / n) / (f_t + s), F.lit(1.0))
+    risky = (pairs.join(counted, "term", "left")
+             .withColumn("disclosure", F.lit(1.0) + F.try_divide(F.log2(share), F.log2(n / F.col("f_c"))))
              .filter(F.col("disclosure") >= generalise)
              .withColumn("action", F.when(F.col("disclosure") >= remove, 2).otherwise(1)))
-    table = materialize(table, "pii-table")
-    spans = (seen.select("digest", "entity", F.explode("near").alias("w"))
-             .select("digest", "entity", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-             .join(table.select("entity", "term", "action"), ["entity", "term"])
-             .groupBy("digest", "start", "end").agg(F.max("action").alias("action"))
-             .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
+    risky = materialize(risky, "pii-table")
+    actions = seen.join(risky.select("c1", "c2", "term", "action"), ["c1", "c2", "term"]).groupBy("digest", "term").agg(F.max("action").alias("action"))
+    spans = (places.join(actions, ["digest", "term"]).groupBy("digest")
+             .agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms")))
+    table = entities.join(risky.drop("f_c"), ["c1", "c2"]).drop("c1", "c2")
     return table, spans
 
 

@@ -33,7 +33,7 @@ def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grainline.llm.pii import span_report
 
-    return span_report(_table(spark, sf_dir, "documents"))
+    return span_report(_table(spark, sf_dir, "documents"), min_support=1)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

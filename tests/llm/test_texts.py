@@ -165,6 +165,25 @@ def test_disclosing_terms(spark):
     assert "Alpha0" not in out[60] and "mail0@x.org" not in out[60] and "[EMAIL]" in out[60] and texts[60].split()[3] in out[60]
 
 
+def test_terms_of_values_seen_once(spark):
+    """Support 1: an entity of one text, at any distance, every mention; a term shared by all texts stays."""
+    rng = np.random.default_rng(7)
+    common = [f"c{i}" for i in range(30)]
+    fill = lambda n: " ".join(rng.choice(common, size=n))
+    texts = [" ".join(common) + " " + fill(60) for _ in range(150)]
+    texts.append(f"once@x.org {fill(80)} Farname {fill(80)} Farname")  # hundreds of characters away
+    for k in range(3):  # the value's other texts hold the name out of its reach
+        texts.append(f"Sharedname {fill(60)} pair@x.org {fill(60)} Sharedname")
+    texts.append(texts[150])  # an exact copy changes nothing
+    df = docs(spark, list(enumerate(texts)))
+    out = {r.doc_id: r.text for r in P.sanitise(df, "text", "text", min_support=1).collect()}
+    assert "Farname" not in out[150] and out[150] == out[154]
+    assert all("Sharedname" not in out[i] for i in (151, 152, 153))
+    words = [w for i in (150, 151) for w in texts[i].split() if w in common]
+    kept = [w for i in (150, 151) for w in out[i].split() if w in common]
+    assert kept == words and all(out[i] == texts[i] for i in range(150))
+
+
 def test_many_spans_in_one_text(spark):
     """Folds run in blocks of 256; overlapping kinds keep places."""
     t = "user7@mail.org and 1.2.3.4@x.yz +12 345 678 9.9.9.9 é " * 400
