@@ -6,14 +6,14 @@ columns of documents.
 
 * quality: texts that the CRF classifier rejects go;
 * near_duplicates: of each component of near copies the document with the
-  smallest doc_id stays (equal rows once);
+  smallest doc_id stays (equal rows once; NULL ids last, then by text);
 * decontaminate: texts that overlap a benchmark item go;
 * pii: personal data is replaced, disclosing terms are generalised or removed;
 * tokens: SentencePiece ids instead of the text.
 
 Defined cases are those of the operators: NULL and empty texts are scored by
 the classifier like any other and are no near copies; a NULL doc_id stays
-unless it is a near copy of a row with an id; an empty table gives an empty
+unless it is a near copy of a row that stays; an empty table gives an empty
 result; columns beyond those of documents are dropped by the first stage.
 """
 

@@ -462,14 +462,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest
-    doc_id (rows that repeat an id and a text count once).  Rows without words
-    are no copies of each other and stay; so do the rows of a component
-    without any doc_id."""
-    members = materialize(ngram_components(docs, id_col, text_col), "join-members")
-    gone = materialize(members.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "join-gone")
-    if gone.count() <= FILTER_IDS:  # 8 bytes each
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    if members.groupBy("doc_id").count().filter("count > 1").head(1):
-        kept = kept.dropDuplicates([id_col, text_col])  # rows that repeat an id and a text
-    return kept
+    (doc_id, md5 of the text), NULL ids last (rows that repeat an id and a
+    text count once).  Rows without words are no copies of each other and
+    stay; they count once if they repeat a doc_id and a text."""
+    key = F.struct(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("digest"))
+    members, roots = similarity_classes(docs.select(key.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text")
+    members = members.select("doc_id.id", "doc_id.digest", "node")
+    classes = members.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("low"))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # written, so that the join below has a shuffle of its own that AQE may split
+    low = materialize(rooted.groupBy("root").agg(F.min("low").alias("low")), "join-low")
+    table = rooted.select("node", "root").join(low, "root").select("node", F.col("low.id").alias("id0"), F.col("low.digest").alias("digest0"))
+    gone = (members.join(table, "node").filter(~(F.col("id").eqNullSafe(F.col("id0")) & (F.col("digest") == F.col("digest0"))))
+            .select("id", "digest").distinct())
+    kept = _matching(docs.withColumn("_digest", F.unhex(F.md5(F.col(text_col).cast("string")))), materialize(gone, "join-gone"), id_col, "left_anti")
+    again = materialize(members.filter("id is not null or node is not null").groupBy("id", "digest").count().filter("count > 1").select("id", "digest"), "join-again")
+    if not again.head(1):
+        return kept.drop("_digest")
+    once = _matching(kept, again, id_col, "left_semi").dropDuplicates([id_col, "_digest"])
+    return _matching(kept, again, id_col, "left_anti").unionByName(once).drop("_digest")
+
+
+def _matching(docs: DataFrame, keys: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with (id, digest) rows, NULLs equal."""
+    keys = keys.select(F.col("id").alias("_id"), F.col("digest").alias("_d"))
+    if keys.count() <= FILTER_IDS // 4:  # 24 bytes each
+        keys = F.broadcast(keys)
+    return docs.join(keys, docs[id_col].eqNullSafe(F.col("_id")) & docs["_digest"].eqNullSafe(F.col("_d")), how)

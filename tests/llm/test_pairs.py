@@ -117,6 +117,23 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8, 9]
 
 
+def test_keep_one_decides_by_row(spark):
+    """NULL and repeated ids: each component keeps one row, no clean row goes."""
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(40))
+    rows = [(1, text("a")), (None, text("a") + " more"),             # a NULL id beside an id
+            (None, text("clean")), (None, ""), (None, ""), (None, None),  # none of these is a copy
+            (2, text("b")), (4, text("b") + " more"), (4, text("c")),  # id 4: one near copy, one sole text
+            (None, text("d")), (None, text("d") + " more"), (None, text("d")),  # only NULL ids
+            (5, text("e")), (5, text("e") + " more")]                 # near texts under one id
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one(docs(spark, rows)).collect()), key=repr)
+    assert [(None, t) for t in ("", "", None)] == [r for r in kept if not r[1]]
+    assert [r for r in kept if r[1] == text("clean")] == [(None, text("clean"))]
+    assert (1, text("a")) in kept and (2, text("b")) in kept and (4, text("c")) in kept
+    assert [len([1 for _, t in kept if (t or "").startswith(f"{n}0 ")]) for n in ("a", "b", "c", "d", "e")] == [1] * 5
+    assert len(kept) == 9
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
