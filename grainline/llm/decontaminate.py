@@ -7,6 +7,12 @@ each hit the item and the text are laid side by side (the hit fixes the
 shift) and compared token by token.  The item tokens found over all hit
 shifts, as a share of the item, are the overlap of (document, item).
 
+Blocks make this whole: an item of m tokens of which r may be replaced is cut
+into r + 1 blocks, one of which any r replacements leave intact, so every
+passage that reaches the threshold on one shift is hit, whatever tokens are
+replaced.  A shift that only a block hit counts if it holds half of the item;
+short common runs of words hit by chance.
+
 The documents are not shuffled: their seeds are exploded and probed within
 one stage, and only hits leave it.  The benchmark side is broadcast when its
 measured seed rows are at most ``BROADCAST_SEEDS``; beyond that the same join
@@ -15,7 +21,7 @@ runs shuffled.
 Tokens are lower-cased runs of ASCII letters, digits and non-ASCII
 characters.  Defined cases: NULL or empty texts and items have no tokens and
 match nothing; items of fewer than MIN_TOKENS tokens take no part (shorter
-than a shingle); items shorter than a mask are sought by all their tokens;
+than a shingle); items shorter than a mask are sought by their blocks;
 repeated documents each count, repeated (item_id, text) rows count once;
 empty tables give an empty result; further columns are ignored.
 """
@@ -31,7 +37,12 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 #: Weight 6 over 9 and 11 tokens: few windows of a text with every fourth
 #: token replaced escape both.
 MASKS = ("110101011", "11001010011")
+#: Tokens of a block that make its seed (the first ones of a longer block).
+BLOCK = 4
 MIN_TOKENS = 5
+#: Texts are probed in pieces of so many tokens (or the longest item's), with
+#: an item's length around, so a hit carries a piece and not the whole text.
+PIECE = 512
 THRESHOLD = 0.75
 BROADCAST_SEEDS = 1_000_000
 
@@ -40,29 +51,38 @@ def _hashes(text_col: str) -> F.Column:
     return F.transform(F.split(F.lower(F.col(text_col).cast("string")), NOT_WORD), lambda t: F.xxhash64(t))
 
 
-def _seeds(arr: str, size: str, mask: str) -> str:
-    """SQL: the mask's seed hash at every position of ``arr``."""
+def _seeds(arr: str, size: str, mask: str, first: str = "0", last: str | None = None) -> str:
+    """SQL: the mask's seed hash at every position of ``arr`` (from ``first``
+    to ``last``)."""
     span = len(mask)
     picked = ", ".join(f"{arr}[i + {k}]" for k, c in enumerate(mask) if c == "1")
-    return (f"case when {size} >= {span} then transform(sequence(0, {size} - {span}), i -> xxhash64('{mask}', {picked})) "
+    end = f"least({last}, {size} - {span})" if last else f"{size} - {span}"
+    return (f"case when {size} - {first} >= {span} then transform(sequence({first}, {end}), i -> xxhash64('{mask}', {picked})) "
             f"else cast(array() as array<bigint>) end")
 
 
-def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(seed, item_id, at, span, item): a row per seed of every item."""
+def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(seed, item_id, at, mask, item): a row per seed of every item."""
     words = F.filter(F.split(F.lower(F.col(text_col).cast("string")), NOT_WORD), lambda t: t != "")
     items = (benchmark.select(F.col(id_col).alias("item_id"), words.alias("words")).distinct()
              .withColumn("item", F.transform("words", lambda t: F.xxhash64(t))).withColumn("m", F.size("item"))
              .filter(F.col("m") >= MIN_TOKENS).drop("words"))
     items = materialize(items, "seed-items")
-    shortest = max(len(x) for x in MASKS)
-    short = sorted(r["m"] for r in items.filter(F.col("m") < shortest).select("m").distinct().collect())
+    cols = ["item_id", "item", "mask", "at", "seed"]
     out = None
-    for mask in [*MASKS, *("1" * m for m in short)]:
-        whole = "0" not in mask
-        rows = items.filter(F.col("m") == len(mask)) if whole else items
-        rows = rows.select("item_id", "item", F.lit(mask).alias("mask"), F.posexplode(F.expr(_seeds("item", "m", mask))).alias("at", "seed"))
+    for mask in MASKS:
+        rows = items.select("item_id", "item", F.lit(mask).alias("mask"), F.posexplode(F.expr(_seeds("item", "m", mask))).alias("at", "seed"))
         out = rows if out is None else out.union(rows)
+    # one block more than there may be replaced tokens
+    k = f"least(m, m - cast(ceil({threshold!r}D * m - 1e-9D) as int) + 1)"
+    blocks = f"transform(sequence(0, {k} - 1), b -> named_struct('at', cast(b * m div {k} as int), 'next', cast((b + 1) * m div {k} as int)))"
+    blocks = items.select("item_id", "item", F.explode(F.expr(blocks)).alias("b")).select(
+        "item_id", "item", F.col("b.at").alias("at"), F.expr(f"least({BLOCK}, b.next - b.at)").alias("size"))
+    for size in range(1, BLOCK + 1):
+        mask = "1" * size
+        picked = ", ".join(f"item[at + {j}]" for j in range(size))
+        out = out.union(blocks.filter(F.col("size") == size).select(
+            "item_id", "item", F.lit(mask).alias("mask"), "at", F.expr(f"xxhash64('{mask}', {picked})").alias("seed")).select(*cols))
     return materialize(out, "seed-table")
 
 
@@ -70,28 +90,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, digest, item_id, n_item, n_matched, overlap) of the pairs
     whose overlap reaches the threshold; digest is the text's md5."""
-    table = benchmark_seeds(benchmark)
+    table = benchmark_seeds(benchmark, threshold=threshold)
     masks = [r["mask"] for r in table.select("mask").distinct().orderBy("mask").collect()]
     probe = table.select("seed", "mask", "at", "item_id", "item")
     if table.count() <= BROADCAST_SEEDS:
         probe = F.broadcast(probe)
+    longest = table.agg(F.max(F.size("item"))).first()[0] or 0
+    core, around = max(PIECE, longest), longest + max(map(len, MASKS))
     toks = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("txt"), _hashes(text_col).alias("h"))
-    toks = toks.filter("txt is not null").withColumn("n", F.size("h"))
+    pieces = f"""transform(sequence(0, size(h) - 1, {core}), p -> named_struct('first', least(p, {around}),
+        'h', slice(h, greatest(p - {around}, 0) + 1, least(p, {around}) + {core + around})))"""
+    toks = (toks.filter("txt is not null").select("doc_id", F.md5("txt").alias("digest"), F.explode(F.expr(pieces)).alias("p"))
+            .select("doc_id", "digest", "p.first", "p.h").withColumn("n", F.size("h")))
     for k, m in enumerate(masks):
-        toks = toks.withColumn(f"s{k}", F.expr(_seeds("h", "n", m)))
+        toks = toks.withColumn(f"s{k}", F.expr(_seeds("h", "n", m, "first", f"first + {core - 1}")))
     # one array of all seeds; the place tells the mask and the position
-    first = ["0"]
+    bounds = ["0"]
     for k in range(len(masks)):
-        first.append(f"{first[-1]} + size(s{k})")
+        bounds.append(f"{bounds[-1]} + size(s{k})")
     every = ", ".join(f"s{k}" for k in range(len(masks))) or "cast(array() as array<bigint>)"
-    rows = toks.withColumn("bounds", F.expr(f"array({', '.join(first)})")).select(
-        "doc_id", "txt", "h", "bounds", F.posexplode(F.expr(f"concat({every})")).alias("place", "seed"))
+    rows = toks.withColumn("bounds", F.expr(f"array({', '.join(bounds)})")).select(
+        "doc_id", "digest", "h", "first", "bounds", F.posexplode(F.expr(f"concat({every})")).alias("place", "seed"))
     hits = rows.join(probe, "seed")
-    i = " ".join(f"when mask = '{m}' then place - bounds[{k}]" for k, m in enumerate(masks))
+    i = " ".join(f"when mask = '{m}' then first + place - bounds[{k}]" for k, m in enumerate(masks))
     hits = hits.withColumn("shift", F.expr(f"(case {i} end) - at" if masks else "0"))
     same = "filter(sequence(0, size(item) - 1), j -> coalesce(get(h, j + shift) = item[j], false))"
-    hits = hits.select("doc_id", F.md5("txt").alias("digest"), "item_id", F.size("item").alias("n_item"), F.xxhash64("item").alias("version"),
-                       F.expr(same).alias("same"))
+    # NULL, not filtered: as a filter this would move into the join, and every
+    # probed seed would be copied with its piece
+    counts = F.col("mask").isin(*MASKS) | (2 * F.size("same") >= F.size("item"))
+    hits = hits.withColumn("same", F.expr(same)).withColumn("same", F.when(counts, F.col("same")))
+    hits = hits.select("doc_id", "digest", "item_id", F.size("item").alias("n_item"), F.xxhash64("item").alias("version"), "same")
     # hits on one shift give one array, so the set has a few arrays a shift
     per = (hits.groupBy("doc_id", "digest", "item_id", "version", "n_item")
            .agg(F.size(F.array_distinct(F.flatten(F.collect_set("same")))).alias("n_matched")))

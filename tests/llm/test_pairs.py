@@ -186,6 +186,25 @@ def test_decontamination(spark):
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_any_replaced_tokens(spark):
+    """Every choice of a quarter of an item's tokens may be replaced."""
+    items = {m: [f"i{m}x{j}" for j in range(m)] for m in [*range(5, 13), 16]}
+    rows, expected = [], set()
+    for m, item in items.items():
+        for gone in combinations(range(m), m // 4):
+            t = ["new" if j in gone else w for j, w in enumerate(item)]
+            expected.add((len(rows), m, m - m // 4))
+            rows.append((len(rows), " ".join(["a", "b", *t, "c"])))
+        rows.append((len(rows), " ".join(["new"] * (m // 4 + 1) + item[m // 4 + 1:])))  # one too many
+    for at in range(1000, 1050):  # across the pieces of a long text
+        t = [f"f{j}" for j in range(at)] + [w if j % 4 else "new" for j, w in enumerate(items[16])] + ["f"] * 700
+        expected.add((len(rows), 16, 12))
+        rows.append((len(rows), " ".join(t)))
+    bench = spark.createDataFrame([(m, " ".join(item)) for m, item in items.items()], "item_id long, text string")
+    got = contaminated(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in got} == expected and len(got) == len(expected)
+
+
 def test_decontamination_shuffled(spark, monkeypatch):
     from grainline.llm import decontaminate as D
     monkeypatch.setattr(D, "BROADCAST_SEEDS", 0)
