@@ -106,6 +106,14 @@ def test_render(html):
     assert H.render(html) == CASES[html]
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<a title='it's'>Hello don't go</a>", "Hello don't go"), ("<p data-t=it's>don't</p>x's", "don't\n\nx's"),
+    ("<b it's>one</b>", "one"), ("<b a = 'x>y' c=\"p'>q\" d==z>don't</b>", "don't"), ("<b a= >t's</b>", "t's"),
+    ('<a href=/s?q="x>don"t</a>', 'don"t'), ('<i a="open>text</i>', "text")])
+def test_quotes_only_delimit_values(html, text):
+    assert H.render(html) == text
+
+
 def test_render_keeps_all_words_and_bounds_padding():
     rows = "".join(f"<tr><td>{'w' * (5000 if i == 3 else 3)}<td>{i}" for i in range(50))
     out = H.render(f"<table>{rows}</table>")
