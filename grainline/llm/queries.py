@@ -73,6 +73,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainline.llm.minhash_hamming import near_duplicate_classes
+
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainline.llm.norm_buckets import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainline.llm.prefix_trie import trie_report
+
+    return trie_report(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,4 +98,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_decontamination, op3_url_lists, op4_pii, op5_sentencepiece, op6_hilbert_ann,
-                                   op7_html_text, op8_warc, op9_license_templates, op10_ngram_join, pipeline)}
+                                   op7_html_text, op8_warc, op9_license_templates, op10_ngram_join, op13_prefix_trie, pipeline)}

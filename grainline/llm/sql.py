@@ -75,22 +75,77 @@ FROM same JOIN runs USING (doc_id, item_id, m, shift) GROUP BY doc_id, item_id,
 """
 
 # all pairs that share a shingle, counted, then components by label spreading
-_OP10 = r"""
+_JACCARD = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-g AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+g AS (SELECT doc_id, CASE WHEN len(ws) >= @k THEN list_distinct(list_transform(range(1, len(ws) - @k + 2), lambda i: array_to_string(ws[i:i + @k - 1], ' ')))
                           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
 n AS (SELECT doc_id, len(s) AS n FROM g),
 e AS (SELECT doc_id, md5(unnest(s)) AS k FROM g),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 75 * (nx.n + ny.n - o)),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= @t * (nx.n + ny.n - o)),
 sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, sym.y FROM reach JOIN sym ON sym.x = reach.b)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = n.doc_id) AS component_id FROM n
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = n.doc_id) AS component_id@more FROM n
 """
 
 
+def _jaccard(words: int, percent: int, more: str = "") -> str:
+    return _JACCARD.replace("@k", str(words)).replace("@t", str(percent)).replace("@more", more)
+
+
+# every document of every item, no bounds
+_OP12 = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS q FROM i GROUP BY ALL),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM t WHERE len(ws) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, c GROUP BY term, docs),
+m AS (SELECT r, doc_id, 75 + ((25 * len(ws) * docs) // terms) AS m FROM t, c WHERE len(ws) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM tf JOIN m USING (r) JOIN w USING (term) JOIN q USING (term) GROUP BY ALL),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20
+"""
+
+
+def _crc32_table() -> str:
+    """DuckDB list of the remainders of the 256 byte values."""
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    out = "SELECT x, CAST(x AS BIGINT) AS v FROM range(256) AS b(x)"
+    for _ in range(8):
+        out = f"SELECT x, {step} AS v FROM ({out})"
+    return f"SELECT list(v ORDER BY x) AS tab FROM ({out})"
+
+
+# each conversation's prefixes as lists, nodes by equality of whole lists
+_OP13 = f"""
+WITH crc AS ({_crc32_table()}),
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+               {{{{'r': coalesce(role, ''), 'x': coalesce(text, '')}}}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+        FROM (SELECT DISTINCT conv_id FROM own)),
+plan AS (SELECT conv_id, base, xor(list_reduce(list_concat([4294967295], bytes), lambda crc, c: xor(tab[(xor(crc, c) & 255) + 1], crc >> 8)), 4294967295) % 6 AS h
+         FROM ids, crc),
+turns AS (SELECT p.conv_id, 0 AS part, pos, t FROM plan p JOIN own ON own.conv_id = p.base AND pos <= h
+          UNION ALL SELECT p.conv_id, 1, pos, t FROM plan p JOIN own ON own.conv_id = p.conv_id AND pos > h),
+seq AS (SELECT plan.conv_id, coalesce(s, []) AS s FROM plan LEFT JOIN (SELECT conv_id, list(t ORDER BY part, pos) AS s FROM turns GROUP BY conv_id) USING (conv_id)),
+pre AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS path FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+node AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS longest,
+                string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM pre GROUP BY path, d),
+under AS (SELECT path[1:a] AS path, a, d, longest, n_convs, length(path[d].x) AS cp FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM node)),
+sums AS (SELECT path, count(*) FILTER (d = a + 1) AS n_children, count(*) FILTER (longest = d) AS n_leaves,
+                sum((n_convs - 1) * coalesce(cp, 0)) AS saved_tokens FROM under GROUP BY path)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM node n JOIN sums s ON s.path = n.path LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+""".replace("{{", "{").replace("}}", "}")
+
+
 
 def _template_pattern(template: str) -> str:
     """A license template as a pattern over words that each end in a space."""
@@ -131,4 +186,5 @@ FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
 
-ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_url_lists": _OP3, "op8_warc": _OP8, "op9_license_templates": _op9(), "op10_ngram_join": _OP10}
+ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_url_lists": _OP3, "op8_warc": _OP8, "op9_license_templates": _op9(), "op10_ngram_join": _jaccard(5, 75),
+                          "op11_minhash_dedup": _jaccard(4, 80, ", component_id = n.doc_id AS kept"), "op12_norm_buckets": _OP12, "op13_prefix_trie": _OP13}
