@@ -98,4 +98,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_decontamination, op3_url_lists, op4_pii, op5_sentencepiece, op6_hilbert_ann,
-                                   op7_html_text, op8_warc, op9_license_templates, op10_ngram_join, op12_norm_buckets, op13_prefix_trie, pipeline)}
+                                   op7_html_text, op8_warc, op9_license_templates, op10_ngram_join, op11_minhash_dedup, op12_norm_buckets, op13_prefix_trie, pipeline)}

@@ -87,12 +87,15 @@ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM e a JOIN e b O
 links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= @t * (nx.n + ny.n - o)),
 sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, sym.y FROM reach JOIN sym ON sym.x = reach.b)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = n.doc_id) AS component_id@more FROM n
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = n.doc_id) AS component_id FROM n
 """
 
 
-def _jaccard(words: int, percent: int, more: str = "") -> str:
-    return _JACCARD.replace("@k", str(words)).replace("@t", str(percent)).replace("@more", more)
+def _jaccard(words: int, percent: int) -> str:
+    return _JACCARD.replace("@k", str(words)).replace("@t", str(percent))
+
+
+_OP11 = f"SELECT *, component_id = doc_id AS kept FROM ({_jaccard(4, 80)})"
 
 
 # every document of every item, no bounds
@@ -187,4 +190,4 @@ FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
 
 
 ORACLE: dict[str, str] = {"op2_decontamination": _OP2, "op3_url_lists": _OP3, "op8_warc": _OP8, "op9_license_templates": _op9(), "op10_ngram_join": _jaccard(5, 75),
-                          "op11_minhash_dedup": _jaccard(4, 80, ", component_id = n.doc_id AS kept"), "op12_norm_buckets": _OP12, "op13_prefix_trie": _OP13}
+                          "op11_minhash_dedup": _OP11, "op12_norm_buckets": _OP12, "op13_prefix_trie": _OP13}
