@@ -6,12 +6,13 @@ corpus then tells how much each term of an entity's texts reveals about it:
 
     IC(c)      = log2(N / f(c))                    information of entity c
     PMI(c, t)  = log2(P(c|t) * N / f(c))           what term t tells about c
-    P(c|t)     = (f(c, t) + S * f(c) / N) / (f(t) + S), at most 1
 
 with N the texts of the corpus, f(c) and f(t) the texts with the entity and
-with the term and f(c, t) those with both, at any distance.  The smoothing S
-covers an entity or a term that occurs once.  A term whose disclosure PMI / IC
-reaches ``generalise`` (and which has at least ``min_support`` texts with the
+with the term and f(c, t) those with both, at any distance.  P(c|t) is the lower
+confidence bound (Wilson, ``CONFIDENCE`` standard errors) of f(c, t) / f(t), and
+0 for a single meeting of a term that other texts hold too, which chance explains:
+a word that no other text holds, or many meetings, tell much.  Terms are runs of ASCII letters and digits and of characters beyond ASCII, counted in
+lower case.  A term whose disclosure PMI / IC reaches ``generalise`` (and which has at least ``min_support`` texts with the
 entity) becomes its class token, from ``remove`` on it goes: every occurrence
 in all texts of the entity.  Entities that occur in the same texts tell the
 same and are counted as one class.  Only DataFrame functions are used.
@@ -44,14 +45,12 @@ PATTERNS = {
 }
 #: Cheap tests that hold for every text with a match.
 HINTS = {"email": "@", "phone": "+"}
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
-#: What the tests' brute force counts within; terms count in the whole text.
-WINDOW = 80
 #: Default of the library calls; the registered queries ask for 1.
 MIN_SUPPORT = 2
-SMOOTHING = 0.5
+CONFIDENCE = 1.0
 GENERALISE, REMOVE = 0.8, 0.95
 
 _SPAN = "struct<start:int,end:int,hit:string>"
@@ -142,19 +141,20 @@ def disclosures(docs: DataFrame, text_col: str = "text", min_support: int = MIN_
                                                       F.expr("bit_xor(xxhash64(digest, 1))").alias("c2")), "pii-entities")
     classes = materialize(held.join(entities, "entity").select("digest", "n", "c1", "c2", "f_c").distinct(), "pii-classes")
     places = materialize(texts.select("digest", F.explode(F.expr(_positions("masked", WORD))).alias("w"))
-                         .select("digest", F.col("w.hit").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")), "pii-places")
+                         .select("digest", F.lower("w.hit").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")), "pii-places")
     seen = classes.join(places.select("digest", "term").distinct(), "digest")
     pairs = materialize(seen.groupBy("c1", "c2", "f_c", "term").agg(F.sum("n").alias("f_ct")).filter(F.col("f_ct") >= min_support), "pii-pairs")
     # '' stands for the text itself, so its count is N; no term is empty
     asked = pairs.select("term").distinct().union(pairs.sparkSession.range(1).select(F.lit("").alias("term")))
-    words = docs.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.col(text_col).cast("string"), NOT_WORD)))).alias("term"))
+    words = docs.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(F.col(text_col).cast("string")), NOT_WORD)))).alias("term"))
     counted = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("f_t")).join(asked, "term", "left_semi"), "pii-words")
     total = (counted.filter("term = ''").first() or [None, 0])[1]
-    n, s = F.lit(float(total)), F.lit(SMOOTHING)
+    n, z2 = F.lit(float(total)), CONFIDENCE ** 2
     # the corpus count lacks words that a span cuts
-    f_t = F.greatest(F.coalesce("f_t", F.lit(0)), F.col("f_ct"))
-    share = F.least((F.col("f_ct") + s * F.col("f_c") / n) / (f_t + s), F.lit(1.0))
-    risky = (pairs.join(counted, "term", "left")
+    f_t = F.greatest(F.coalesce("f_t", F.lit(0)), F.col("f_ct")).cast("double")
+    rate = F.col("f_ct") / f_t
+    share = (rate + z2 / (2 * f_t) - CONFIDENCE * F.sqrt(rate * (1 - rate) / f_t + z2 / (4 * f_t * f_t))) / (1 + z2 / f_t)
+    risky = (pairs.join(counted, "term", "left").filter((F.col("f_ct") > 1) | (f_t == 1))
              .withColumn("disclosure", F.lit(1.0) + F.try_divide(F.log2(share), F.log2(n / F.col("f_c"))))
              .filter(F.col("disclosure") >= generalise)
              .withColumn("action", F.when(F.col("disclosure") >= remove, 2).otherwise(1)))

@@ -121,28 +121,44 @@ def test_base_spans(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.spans.startswith(text), t
 
 
+def scanned(text):
+    """(start, end, lower-cased word), character by character."""
+    out, at = [], None
+    for i, c in enumerate(text + " "):
+        if ord(c) > 127 or c in "0123456789" or "a" <= c.lower() <= "z":
+            at = i if at is None else at
+        elif at is not None:
+            out.append((at, i, text[at:i].lower()))
+            at = None
+    return out
+
+
 def brute_disclosures(texts, support=2, level=0.8):
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    total, f_t, f_c, f_ct, near = 0, {}, {}, {}, {}
-    for n, t in enumerate(texts):
-        for w in word.findall(t or ""):
-            total += 1
+    """Spans of disclosing terms of each text, from the docstring's formulas."""
+    n, z2 = len(texts), P.CONFIDENCE ** 2
+    f_t, f_c, f_ct, places = {}, {}, {}, []
+    for t in ((x or "") for x in texts):
+        masked, held = list(t), set()
+        for kind, a, b, hit in brute_spans(t):
+            masked[a:b] = " " * (b - a)
+            held.add(kind + ":" + (hit.lower() if kind == "email" else hit if kind == "ip" else re.sub("[^0-9]", "", hit)))
+        words = scanned("".join(masked)) if held else []
+        places.append((held, words))
+        for w in {w for _, _, w in scanned(t)}:
             f_t[w] = f_t.get(w, 0) + 1
-        spans = brute_spans(t)
-        for kind, a, b, hit in spans:
-            c = kind + ":" + (hit.lower() if kind == "email" else hit if kind == "ip" else re.sub("[^0-9]", "", hit))
+        for c in held:
             f_c[c] = f_c.get(c, 0) + 1
-            here = [m for m in word.finditer(t) if (m.end() <= a and m.start() >= a - P.WINDOW or m.start() >= b and m.end() <= b + P.WINDOW)
-                    and not any(x < m.end() and y > m.start() for _, x, y, _ in spans)]
-            # words that the window cuts are not whole
-            here = [m for m in here if not (m.start() < a and m.start() == a - P.WINDOW and a > P.WINDOW and word.fullmatch(t[m.start() - 1]))
-                    and not (m.start() >= b and m.end() == b + P.WINDOW and word.match(t[m.end():m.end() + 1]))]
-            for w in {m[0] for m in here}:
+            for w in {w for _, _, w in words}:
                 f_ct[c, w] = f_ct.get((c, w), 0) + 1
-            near.setdefault(n, []).extend((c, m) for m in here)
-    risky = {(c, w) for (c, w), k in f_ct.items() if k >= support
-             and np.log2(k * total / (f_c[c] * f_t[w])) / np.log2(total / f_c[c]) >= level}
-    return [sorted({(m.start(), m.end()) for c, m in near.get(n, []) if (c, m[0]) in risky}) for n in range(len(texts))]
+
+    def risky(c, w):
+        k, m = f_ct[c, w], max(f_t.get(w, 0), f_ct[c, w])
+        if k < support or f_c[c] == n or k == 1 < m:
+            return False
+        p = k / m
+        low = (p + z2 / (2 * m) - P.CONFIDENCE * np.sqrt(p * (1 - p) / m + z2 / (4 * m * m))) / (1 + z2 / m)
+        return 1 + np.log2(low) / np.log2(n / f_c[c]) >= level
+    return [sorted({(a, b) for a, b, w in words if any(risky(c, w) for c in held)}) for held, words in places]
 
 
 def test_disclosing_terms(spark):
@@ -165,6 +181,31 @@ def test_disclosing_terms(spark):
     assert "Alpha0" not in out[60] and "mail0@x.org" not in out[60] and "[EMAIL]" in out[60] and texts[60].split()[3] in out[60]
 
 
+@pytest.mark.parametrize("support", [1, 2])
+def test_disclosing_terms_by_scan(spark, support):
+    """Capitals, mixed case, words beyond ASCII, terms that other texts hold."""
+    rng = np.random.default_rng(11)
+    common = [f"Word{i}" for i in range(12)] + ["ÉTÉ", "été", "THE", "The", "the", "x_y", "né-à", "[a]"]
+    texts = [" ".join(rng.choice(common, size=30)) for _ in range(60)]
+    for i in range(30):
+        who = i % 12
+        extra = [f"NAME{who}", f"Sur{who}", f"ÉLAN{who}", f"élan{who}", f"Odd{i}", f"p{who}@mail.org", f"+1 (456) 555-21{who:02d}"]
+        texts.append(" ".join(rng.permutation(extra + list(rng.choice(common, size=20)))))
+    texts += ["Odd3 again", "sur5 elsewhere", "", None]
+    got = {r.doc_id: sorted(tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("term:"))
+           for r in P.span_report(docs(spark, list(enumerate(texts))), min_support=support).collect()}
+    exp = brute_disclosures(texts, support)
+    assert [got[i] for i in range(len(texts))] == exp and sum(map(len, exp)) > 60
+
+
+def test_names_in_capitals(spark):
+    """Names go whole, however they are written."""
+    texts = ["JOHN SMITHSON wrote from jq77@example.org to Mary Poppinsky"] + ["the note wrote from home to all of us"] * 60
+    clean = P.sanitise(docs(spark, list(enumerate(texts))), "text", "text", min_support=1)
+    assert clean.where("doc_id = 0").first().text == "[NAME] [NAME] wrote from [EMAIL] to [NAME] [NAME]"
+    assert {r.text for r in clean.where("doc_id > 0").collect()} == set(texts[1:])
+
+
 def test_terms_of_values_seen_once(spark):
     """Support 1: an entity of one text, at any distance, every mention; a term shared by all texts stays."""
     rng = np.random.default_rng(7)
