@@ -335,7 +335,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     out = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     for b in range(n_blocks):
         pairs = blocks.filter(F.col("block") == b).select("item_id", "term", "q")
-        numbers = pairs.select("item_id").distinct().toPandas()["item_id"].tolist()
+        numbers = [r["item_id"] for r in pairs.select("item_id").distinct().collect()]
         if not numbers:
             continue
         number = spark.createDataFrame(list(enumerate(numbers)), f"item int, item_id {kind}")
