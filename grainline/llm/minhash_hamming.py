@@ -17,10 +17,14 @@ component.
 * Candidates of similar size whose signatures are not too far apart
   (``FAR_APART``, 5 standard deviations beyond the mean at 0.8) are confirmed on
   the full sets, which are built again from the whole texts.
-* **Large lists**: first each class meets one class of its lists, the one that
-  leads most of them; what is linked then is one component and is not compared
-  within itself.  A second pass takes all pairs of a list that lie in different
-  components.  Nothing is capped.
+* **Large lists**: first each class meets the leaders of its lists (the member
+  with the smallest hash), at most 60; what is linked then is one component and
+  is not compared within itself.  Then all pairs of a list that lie in different
+  components are compared inside tasks, a list cut into blocks and each pair of
+  blocks a group of its own.  What leaves a task are the pairs whose signatures
+  are near and whose bucket counts (an upper bound of the common shingles, exact)
+  still allow a link, each from the first key that the pair shares.  Nothing is
+  capped.
 
 Defined cases: NULL or empty text and text without words have n_shingles 0 and
 their own doc_id as component; NULL doc_id rows take part like any other and get
@@ -53,6 +57,11 @@ POSITIONS = CHUNKS * SPAN
 FAR_APART = 28
 #: Smallest set that can link with another one.
 LEAST = 4
+#: Entries of a list that a task compares at once with as many others, and pairs
+#: held at once.
+BLOCK, PAIRS = 512, 100_000
+#: Buckets of a set's counts; sets from LARGE shingles on have FINE times as many.
+BUCKETS, LARGE, FINE = 256, 2048, 8
 #: Class ids sent to the workers as a filter: at most this many (8 bytes each);
 #: with more, the sets are joined to the ids instead.
 FILTER_IDS = 2_000_000
@@ -164,16 +173,24 @@ def _sets(wanted):
                 if rows:
                     ends = pa.array(np.cumsum([0] + [len(sets[i]) for i in rows]), pa.int32())
                     lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([sets[i] for i in rows]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), lists], ["node", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), lists, pa.array([_sketch(sets[i]) for i in rows], pa.binary())],
+                                                     ["node", "shingles", "sketch"])
     return run
 
 
+def _sketch(s: np.ndarray) -> bytes | None:
+    """Shingles of each bucket, one byte; None if a bucket holds too many."""
+    width = BUCKETS * (FINE if len(s) >= LARGE else 1)
+    count = np.bincount((s >> np.uint64(9)).astype(np.int64) % width, minlength=width)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else None
+
+
 def _class_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the classes in ``nodes``, built from the texts again."""
+    """(node, shingles, sketch) of the classes in ``nodes``, built from the texts again."""
     spark, count, wanted = texts.sparkSession, nodes.count(), None
     if 0 < count <= FILTER_IDS:
         wanted = spark.sparkContext.broadcast(np.sort(nodes.toPandas()["node"].to_numpy(np.int64).view(np.uint64)))
-    sets = texts.mapInArrow(_sets(wanted), "node long, shingles array<long>")
+    sets = texts.mapInArrow(_sets(wanted), "node long, shingles array<long>, sketch binary")
     if wanted is None:
         sets = sets.join(nodes, "node", "left_semi")
     return materialize(sets.dropDuplicates(["node"]), "minhash-sets")
@@ -189,6 +206,71 @@ def _near(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
 
+def _allow(x: bytes | None, y: bytes | None, n: int) -> bool:
+    """The bucket counts of two sets of n shingles in all allow a link."""
+    if x is None or y is None:
+        return True
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(x) != len(y):  # fold the finer one
+        x, y = (z.reshape(-1, BUCKETS).sum(0) for z in (x, y))
+    common = int(np.minimum(x, y).sum())
+    return DEN * common >= NUM * (n - common)
+
+
+def _within(batches: Iterator) -> Iterator:
+    """Pairs of different components from rows sorted by (key, lo, hi), the
+    entries of one list (or of two blocks of it) after one another."""
+    import pyarrow as pa
+
+    names = ("key", "lo", "hi", "block", "pos", "node", "n", "root")
+
+    def groups():
+        """Column arrays of whole groups; the last group waits for more rows."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {c: batch.column(c).to_numpy() for c in names}
+            cols["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+            cols["sketch"] = np.array(batch.column("sketch").to_pylist() + [None], object)[:-1]
+            held = cols if held is None else {c: np.concatenate([held[c], cols[c]]) for c in cols}
+            new = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["lo"][1:] != held["lo"][:-1]) | (held["hi"][1:] != held["hi"][:-1])) + 1
+            if len(new):
+                yield {c: v[:new[-1]] for c, v in held.items()}, np.concatenate(([0], new))
+                held = {c: v[new[-1]:] for c, v in held.items()}
+        if held is not None:
+            yield held, np.array([0, len(held["key"])])
+
+    def compared(t, i, j):
+        keep = (t["root"][i] != t["root"][j]) & (DEN * t["n"][i] >= NUM * t["n"][j]) & (DEN * t["n"][j] >= NUM * t["n"][i])
+        keep &= (t["lo"][i] == t["hi"][i]) | (t["block"][i] != t["block"][j])
+        i, j = i[keep], j[keep]
+        errors = (t["sig"][i] != t["sig"][j]).reshape(-1, CHUNKS, SPAN).sum(2)
+        chunk, place = np.divmod(t["pos"][i], SPAN)
+        first = (errors <= 1).argmax(1) == chunk  # the first key that the pair shares
+        first &= (errors[np.arange(len(i)), chunk] == 1) | (place == 0)
+        keep = np.flatnonzero(first & (errors.sum(1) <= FAR_APART))
+        out = [(x, y) for x, y in zip(i[keep].tolist(), j[keep].tolist()) if _allow(t["sketch"][x], t["sketch"][y], int(t["n"][x] + t["n"][y]))]
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        a, b = t["node"][ends[:, 0]], t["node"][ends[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for t, starts in groups():
+        left, right, count = [], [], 0
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            for x in range(lo, hi - 1, max(1, PAIRS // (hi - lo))):  # some rows against the rest of the group
+                rows = np.arange(x, min(x + max(1, PAIRS // (hi - lo)), hi - 1))
+                i = np.repeat(rows, hi - 1 - rows)
+                left.append(i)
+                right.append(np.arange(len(i)) - np.repeat(np.cumsum(hi - 1 - rows) - (hi - 1 - rows), hi - 1 - rows) + i + 1)
+                count += len(i)
+                if count >= PAIRS:
+                    yield compared(t, np.concatenate(left), np.concatenate(right))
+                    left, right, count = [], [], 0
+        if count:
+            yield compared(t, np.concatenate(left), np.concatenate(right))
+
+
 def _confirmed(batches: Iterator) -> Iterator:
     """Pairs whose full sets link."""
     import pyarrow as pa
@@ -209,9 +291,12 @@ def _beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sa", "sb")
 
 
-def _links(classes: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the (a, b) candidates whose full sets link, written."""
-    near = materialize(_beside(pairs, classes, "sig").mapInArrow(_near, "a long, b long"), "minhash-near")
+def _near_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    return materialize(_beside(pairs, classes, "sig").mapInArrow(_near, "a long, b long"), "minhash-near")
+
+
+def _links(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """Those of the (a, b) pairs whose full sets link, written."""
     out = materialize(_beside(near, sets, "shingles").mapInArrow(_confirmed, "a long, b long"), "minhash-links")
     release(near)
     return out
@@ -232,30 +317,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_signed, f"doc_id {kind}, node long, n int, sig binary, keys array<long>"), "minhash-signed")
     classes = materialize(signed.filter("sig is not null").select("node", "n", "sig", "keys").dropDuplicates(["node"]), "minhash-classes")
-    entries = classes.select(F.explode("keys").alias("key"), "node", "n")
-    heads = entries.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "head")
+    entries = classes.select(F.posexplode("keys").alias("pos", "key"), "node", "n")
+    # the member of a list with the smallest hash leads it
+    heads = (entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("head"), F.count(F.lit(1)).alias("c"))
+             .filter("c > 1").select("key", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")))
     lists = materialize(entries.join(heads, "key"), "minhash-lists")
     sets = _class_sets(docs.select("text"), materialize(lists.select("node").distinct(), "minhash-nodes"))
 
-    # first pass: each class and the class that leads most of its lists
-    led = lists.filter("node <> head.node").filter(_similar_size("n", "head.n")).groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
-    best = led.groupBy("node").agg(F.max(F.struct("c", "head")).getField("head").alias("head"))
-    found = materialize(best.select(*_ordered("node", "head.node")).distinct(), "minhash-pairs")
-    links = _links(classes, sets, found)
+    # first pass: each class and the leaders of its lists
+    led = lists.filter("node <> head").filter(_similar_size("n", "head_n")).select(*_ordered("node", "head")).distinct()
+    links = _links(sets, _near_pairs(classes, led))
     roots = materialize(connected_components(links, "a", "b"), "minhash-roots")
 
-    # second pass: all pairs of a list that lie in different components; one
-    # side is outside the list's largest component
-    placed = lists.select("key", "node", "n").join(roots.select("node", F.col("root").alias("r")), "node", "left").select("key", "node", "n", F.coalesce("r", "node").alias("root"))
-    several = (placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-               .agg(F.max(F.struct("c", "root")).getField("root").alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1"))
-    placed = materialize(placed.join(several.select("key", "main"), "key"), "minhash-open")
-    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "main")]) for s in "ab")
-    pairs = x.filter("root_a <> main_a").join(y, "key").filter(
-        (F.col("root_a") != F.col("root_b")) & _similar_size("n_a", "n_b") & ((F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))))
-    more = _links(classes, sets, materialize(pairs.select(*_ordered("node_a", "node_b")).distinct(), "minhash-pairs"))
+    # second pass: all pairs of a list that lie in different components
+    placed = (lists.select("key", "pos", "node", "n").join(roots.select("node", F.col("root").alias("r")), "node", "left")
+              .withColumn("root", F.coalesce("r", "node")).drop("r"))
+    several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", "c")
+    blocks = F.ceil(F.col("c") / F.lit(float(BLOCK)))
+    placed = (placed.join(several, "key").withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "pos", "node", "n", "root"))
+    full = placed.join(classes.select("node", "sig"), "node").join(sets.select("node", "sketch"), "node")
+    near = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_within, "a long, b long")
+    more = _links(sets, materialize(near, "minhash-near"))
     roots = materialize(connected_components(links.union(more), "a", "b"), "minhash-roots")
-    release(lists, placed, found, classes, sets, links, more)
+    release(lists, classes, sets, links, more)
     return signed.select("doc_id", "node", "n"), roots
 
 
