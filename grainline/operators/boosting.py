@@ -4,10 +4,11 @@ early stopping, refit and ensemble averaging — Spark ML underneath.
 * Trees are grown by ``pyspark.ml.regression.GBTRegressor`` (distributed
   histogram search per level).  It grows level-wise, so ``max_depth`` also
   caps the leaf count; it has no L1/L2 leaf penalty (documented gap).
-* Early stopping: Spark's own validation indicator.  Fitting stops when a
-  round lowers the validation loss by less than ``validation_tol`` (relative)
-  and the model keeps the rounds up to the best loss.  There is no patience
-  window as in other learners (documented gap).
+* Rounds are chosen on the whole validation curve: a budget of rounds is
+  fitted on the dev rows, one pass over the validation rows gives the loss
+  after every round, and the model keeps the rounds up to the smallest loss.
+  If that lies within the last ``patience`` rounds the budget is doubled (up to
+  ``max_rounds``): the longer fit starts with the same trees.
 * A model of fewer rounds is the same model with fewer trees, so it predicts
   in one transform.
 * Folds come from ``group_kfold`` (a column), so dev/val rows are filters.
@@ -18,6 +19,7 @@ early stopping, refit and ensemble averaging — Spark ML underneath.
 from __future__ import annotations
 
 import concurrent.futures as cf
+import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -26,7 +28,7 @@ from functools import reduce
 from pyspark import SparkContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.operators.folds import FOLD_COL, fold_split, mean_of_columns, rmse
@@ -40,22 +42,23 @@ MISSING_FILL = -999.0
 class BoostParams:
     """Learner settings.  Fixed values where Spark has an equivalent: min
     rows per leaf 150, bagging 0.7, feature share 0.7.  Depth 4 stands for a
-    cap of 15 leaves, 64 bins bound the histograms; the learning rate is
-    larger because Spark fits far fewer rounds."""
+    cap of 15 leaves, 32 bins bound the histograms; the learning rate is
+    larger because Spark fits far fewer rounds.  ``first_rounds``: the first
+    budget; ``patience``: rounds without gain at its end that settle it."""
     max_rounds: int = 200
-    validation_tol: float = 0.01
+    first_rounds: int = 100
+    patience: int = 10
     max_depth: int = 4
     min_rows_per_leaf: int = 150
-    learning_rate: float = 0.05
+    learning_rate: float = 0.1
     subsample: float = 0.7
     feature_fraction: str = "0.7"
-    max_bins: int = 64
+    max_bins: int = 32
     seed: int = 0
     extra: dict = field(default_factory=dict)
 
     def estimator(self, label: str, features: str = FEATURES_COL,
-                  rounds: int | None = None, seed: int | None = None,
-                  val_col: str | None = None) -> GBTRegressor:
+                  rounds: int | None = None, seed: int | None = None) -> GBTRegressor:
         est = GBTRegressor(
             featuresCol=features, labelCol=label, lossType="squared",
             maxIter=rounds or self.max_rounds, maxDepth=self.max_depth,
@@ -63,31 +66,83 @@ class BoostParams:
             subsamplingRate=self.subsample, featureSubsetStrategy=self.feature_fraction,
             maxBins=self.max_bins, seed=self.seed if seed is None else seed,
             cacheNodeIds=True, checkpointInterval=10)
-        if val_col:
-            est = est.setParams(validationIndicatorCol=val_col, validationTol=self.validation_tol)
         if self.extra:
             est = est.setParams(**self.extra)
         return est
 
 
+@dataclass(frozen=True)
+class MissingPlan:
+    """What stands for a missing value of each column, and the columns that
+    have any; fitted once, so that later rows are filled alike."""
+    fills: dict[str, float]
+    flagged: tuple[str, ...]
+
+    def names(self, features: Sequence[str]) -> list[str]:
+        """Vector positions: the features, then the indicators."""
+        return [*features, *[f"{c}__missing" for c in self.flagged if c in set(features)]]
+
+
+def _known(c: str) -> Column:
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def fit_missing(df: DataFrame, features: Sequence[str], indicators: bool = True) -> MissingPlan:
+    """One pass over the columns: a fill below each column's smallest value
+    (by 1, or a millionth of it if that is more; 0 for a column without values),
+    and with ``indicators`` the columns that have missing values."""
+    exprs = [e for i, c in enumerate(features) for e in (F.min(_known(c)).alias(f"m{i}"), F.count(F.when(_known(c).isNull(), 1)).alias(f"n{i}"))]
+    row = df.agg(*exprs).first()  # one row
+    low = {c: row[f"m{i}"] for i, c in enumerate(features)}
+    fills = {c: 0.0 if x is None else x - max(1.0, abs(x) * 1e-6) for c, x in low.items()}
+    return MissingPlan(fills, tuple(c for i, c in enumerate(features) if indicators and row[f"n{i}"]))
+
+
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
-             fill: float = MISSING_FILL, out: str = FEATURES_COL) -> DataFrame:
+             fill: float | MissingPlan = MISSING_FILL, out: str = FEATURES_COL) -> DataFrame:
     """``keep`` columns plus one vector column.  The tree learner rejects
-    NaN, so NULL / NaN become ``fill`` (choose it below every column's
-    range)."""
+    NaN, so NULL / NaN become ``fill``: one value, or each column's own value
+    below its range (``fit_missing``), with an indicator (1 = missing) per
+    flagged column after the features."""
     # one array expression: Spark splits its code into methods, while hundreds
     # of separate columns outgrow one
-    filled = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(fill)) for c in features])
-    return df.select(*keep, array_to_vector(filled).alias(out))
+    plan = fill if isinstance(fill, MissingPlan) else MissingPlan(dict.fromkeys(features, fill), ())
+    filled = [F.coalesce(_known(c), F.lit(plan.fills[c])) for c in features]
+    flags = [_known(c).isNull().cast("double") for c in plan.flagged if c in set(features)]
+    return df.select(*keep, array_to_vector(F.array(*filled, *flags)).alias(out))
 
 
 def fit_boosted(df: DataFrame, label: str, params: BoostParams = BoostParams(),
                 rounds: int | None = None, seed: int | None = None,
-                features: str = FEATURES_COL, val_col: str | None = None) -> GBTRegressionModel:
-    """Fit on ``df``; with ``val_col`` (boolean) on the rows where it is
-    false, stopping early on those where it is true."""
+                features: str = FEATURES_COL) -> GBTRegressionModel:
+    """Fit all ``rounds`` (the budget ``max_rounds`` without) on ``df``."""
     ensure_checkpoint_dir(df.sparkSession)   # node-id cache checkpoints
-    return params.estimator(label, features, rounds, seed, val_col).fit(df)
+    return params.estimator(label, features, rounds, seed).fit(df)
+
+
+@dataclass
+class Selection:
+    model: GBTRegressionModel   # of the chosen rounds
+    rounds: int
+    fitted: int                 # rounds of the last budget
+    curve: list[float]          # validation RMSE after each fitted round (none without rows)
+
+
+def fit_selected(dev: DataFrame, val: DataFrame, label: str, params: BoostParams = BoostParams(),
+                 features: str = FEATURES_COL) -> Selection:
+    """Fit on ``dev`` and keep the rounds with the smallest loss on ``val``
+    (the first of equal ones).  Without validation rows all of the first
+    budget are kept."""
+    budget = min(params.first_rounds, params.max_rounds)
+    if val.isEmpty():
+        return Selection(fit_boosted(dev, label, params, budget, features=features), budget, budget, [])
+    while True:
+        model = fit_boosted(dev, label, params, budget, features=features)
+        curve = [math.sqrt(x) for x in model.evaluateEachIteration(val.select(label, features), "squared")]
+        best = curve.index(min(curve)) + 1
+        if budget >= params.max_rounds or best + params.patience <= budget:
+            return Selection(truncated(model, best), best, budget, curve)
+        budget = min(2 * budget, params.max_rounds)
 
 
 def truncated(model: GBTRegressionModel, n: int | None) -> GBTRegressionModel:
@@ -142,7 +197,7 @@ def importance(model: GBTRegressionModel, feature_names: Sequence[str], spark: S
 class CVResult:
     oof: DataFrame            # id, fold, label, prediction (validation rows)
     test: DataFrame           # id, prediction (mean of refits), n_models
-    folds: list[dict]         # fold, best_rounds, rmse
+    folds: list[dict]         # fold, best_rounds, fitted_rounds, rmse, curve
     importance: DataFrame | None = None   # fold, stage, feature, split, gain_sum, gain
 
 
@@ -150,7 +205,7 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
                    params: BoostParams = BoostParams(), k: int = 10,
                    fold_col: str = FOLD_COL, refit_seed: int = 2018, parallelism: int = 4,
                    feature_names: Sequence[str] | None = None) -> CVResult:
-    """Group-wise CV: for each fold fit on dev, stop early on val and
+    """Group-wise CV: for each fold fit on dev, choose the rounds on val and
     predict val; refit on all train rows and predict test with each fold's
     round count; average those predictions.
 
@@ -170,18 +225,18 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
         return rep.select(F.lit(fold).alias(fold_col), F.lit(stage).alias("stage"), "feature", "split", "gain_sum", "gain")
 
     def one(f: int):
-        rows = train.where(F.col(fold_col).isNotNull()).withColumn("_val", F.col(fold_col) == f)
-        model = fit_boosted(rows, label, params, val_col="_val")
-        val = fold_split(train, f, fold_col)[1]
-        val_pred = materialize(predict_rounds(model, val).select(id_col, fold_col, label, "prediction"), "oof")
+        dev, val = fold_split(train, f, fold_col)
+        chosen = fit_selected(dev, val, label, params)
+        val_pred = materialize(predict_rounds(chosen.model, val).select(id_col, fold_col, label, "prediction"), "oof")
         score = rmse(val_pred, label, "prediction").first()["rmse"]
-        return f, model.getNumTrees, score, val_pred, report(model, f, "dev") if feature_names is not None else None
+        summary = {"fold": f, "best_rounds": chosen.rounds, "fitted_rounds": chosen.fitted, "rmse": score, "curve": chosen.curve}
+        return summary, val_pred, report(chosen.model, f, "dev") if feature_names is not None else None
 
     with cf.ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(one, folds))
 
-    oof = reduce(DataFrame.unionByName, [r[3] for r in results])
-    best = {r[0]: r[1] for r in results}
+    oof = reduce(DataFrame.unionByName, [r[1] for r in results])
+    best = {r[0]["fold"]: r[0]["best_rounds"] for r in results}
     test_avg, imp = None, None
     if test is not None or feature_names is not None:
         refit = fit_boosted(train, label, params, rounds=max(best.values()), seed=refit_seed)
@@ -191,7 +246,7 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
                 cur = predict_rounds(refit, cur, n, f"_p{f}")
             test_avg = mean_of_columns(cur, [f"_p{f}" for f in best]).select(id_col, "prediction", "n_models")
         if feature_names is not None:
-            imp = reduce(DataFrame.unionByName, [r[4] for r in results] + [report(refit, f, "refit", n) for f, n in best.items()])
+            imp = reduce(DataFrame.unionByName, [r[2] for r in results] + [report(refit, f, "refit", n) for f, n in best.items()])
     return CVResult(oof=oof, test=test_avg,
-                    folds=[{"fold": r[0], "best_rounds": r[1], "rmse": r[2]} for r in results],
+                    folds=[r[0] for r in results],
                     importance=imp)

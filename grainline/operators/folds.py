@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainline.operators.ranking import global_rank
 from grainline.session import materialize
 
 FOLD_COL = "fold"
@@ -28,6 +29,18 @@ def group_kfold(df: DataFrame, group: str, k: int = 10, seed: int = 2017,
     return df.withColumn(fold_col, F.when(F.col(group).isNotNull(), fold_of(group, k, seed)))
 
 
+def even_folds(df: DataFrame, group: str, k: int = 10, seed: int = 2017,
+               fold_col: str = FOLD_COL) -> DataFrame:
+    """Add ``fold_col``: the distinct groups are dealt to the folds in turn, in
+    the order of a hash of (seed, group), so numbers of groups differ by at most
+    one (a NULL group gets fold NULL).  Positions come from range-partitioned
+    running counts; rows get their group's fold by a join."""
+    groups = (df.select(F.col(group).alias("_g")).where(F.col(group).isNotNull()).distinct()
+              .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_g").cast("string")))))
+    dealt = global_rank(groups, [F.col("_h"), F.col("_g")], "_r").select("_g", F.pmod("_r", F.lit(k)).cast("int").alias(fold_col))
+    return df.join(dealt, F.col(group) == F.col("_g"), "left").drop("_g")
+
+
 def fold_split(df: DataFrame, fold: int, fold_col: str = FOLD_COL) -> tuple[DataFrame, DataFrame]:
     """(dev, val) rows for one fold: a filter, no join against a member list."""
     return df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)

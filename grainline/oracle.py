@@ -222,8 +222,12 @@ _SQL_AGG = {"count": "count({m})", "min": "min({m})", "max": "max({m})",
 _ROUNDED = {"mean", "std"}
 
 
-def group_back_sql(specs, base: str = "seq", cte: str = SEQ_CTE) -> str:
-    """id + every spec output: one GROUP BY per spec, LEFT JOINed on keys."""
+def group_back_sql(specs, base: str = "seq", cte: str = SEQ_CTE, fit: str | None = None) -> str:
+    """id + every spec output: one GROUP BY per spec (over the rows of ``fit``),
+    LEFT JOINed on keys.  A column ``other`` of ``base`` beside a column ``fold``
+    of ``fit``: rows of fold ``other`` are left out of the row's groups."""
+    split = fit is not None and fit.endswith("folded")
+    fit = fit or base
     joins, cols = [], []
     for i, s in enumerate(specs):
         keys = list(s.keys)
@@ -235,8 +239,15 @@ def group_back_sql(specs, base: str = "seq", cte: str = SEQ_CTE) -> str:
             cols.append(round6(f"g{i}.{name}") + f" AS {name}" if stat in _ROUNDED
                         else f"g{i}.{name}")
         on = " AND ".join(f"b.{k} = g{i}.{k}" for k in keys)
-        joins.append(f"LEFT JOIN (SELECT {', '.join(keys)}, {', '.join(aggs)} FROM {base} "
-                     f"WHERE {not_null} GROUP BY {', '.join(keys)}) g{i} ON {on}")
+        if split:
+            each = f"(SELECT DISTINCT {', '.join(keys)}, other FROM {base})"
+            match = " AND ".join(f"f.{k} = o.{k}" for k in keys)
+            keyed = ", ".join(f"o.{k}" for k in keys)
+            joins.append(f"LEFT JOIN (SELECT {keyed}, o.other, {', '.join(a.replace('(', '(f.', 1) for a in aggs)} FROM {each} o JOIN {fit} f "
+                         f"ON {match} AND f.fold <> o.other GROUP BY ALL) g{i} ON {on} AND b.other = g{i}.other")
+        else:
+            joins.append(f"LEFT JOIN (SELECT {', '.join(keys)}, {', '.join(aggs)} FROM {fit} "
+                         f"WHERE {not_null} GROUP BY {', '.join(keys)}) g{i} ON {on}")
     body = (f"SELECT b.reservation_id, {', '.join(cols)}\nFROM {base} b\n" + "\n".join(joins))
     return with_cte(cte, body)
 
@@ -348,6 +359,99 @@ s AS (SELECT t.i, t.feature, threshold, avg(y) FILTER (WHERE v <= threshold) AS
 SELECT feature, threshold, {round6('l')} AS mean_left, {round6('r')} AS mean_right FROM s ORDER BY err, i, threshold LIMIT 1""")
 
 
+#: The learner of the ``*_values`` queries (fixed values: its columns, depth,
+#: step, smallest leaf, budgets and patience).
+_TREE_COLS = ("room_type_booked_code", "bk_wday", "bk_month", "state_code_residence")
+_DEPTH, _STEP, _LEAF, _BUDGETS, _PATIENCE = 2, 0.8, 150, (2, 4), 1
+
+
+def _trees_cte() -> str:
+    """Boosted trees in SQL, all folds side by side: run g < 10 learns from
+    the rows of other folds, run 10 from all train rows.  After round r column
+    ``f{r}`` is the prediction; ``splits`` has every split with its gain."""
+    cols = ", ".join(f"x{i}" for i in range(len(_TREE_COLS)))
+    known = ", ".join(f"coalesce(CAST({c} AS DOUBLE), -999.0) AS x{i}" for i, c in enumerate(_TREE_COLS))
+    y = "amount_spent_per_room_night_scaled"
+    out = f"""
+base AS MATERIALIZED (SELECT reservation_id AS id, fold, {y} AS y, {known} FROM tf
+  UNION ALL SELECT reservation_id, -1, NULL, {known} FROM prep WHERE train_set = 0),
+r0 AS MATERIALIZED (SELECT g, id, fold, fold >= 0 AND fold <> g AS dev, y, y AS t, 0.0 AS f0, {cols} FROM base, range(11) AS r(g))"""
+    splits, kept = [], "f0"
+    for r in range(1, _BUDGETS[-1] + 1):
+        at = f"n{r}_0"
+        out += f""",
+{at} AS MATERIALIZED (SELECT *, 1 AS node, true AS open FROM r{r - 1})"""
+        for d in range(1, _DEPTH + 1):
+            k = f"{r}_{d}"
+            long = " UNION ALL ".join(f"SELECT g, node, t, {i} AS i, x{i} AS v FROM {at} WHERE dev AND open" for i in range(len(_TREE_COLS)))
+            side = "PARTITION BY g, node, i"
+            pick = "CASE b.i " + " ".join(f"WHEN {i} THEN x{i}" for i in range(len(_TREE_COLS))) + " END"
+            out += f""",
+v{k} AS MATERIALIZED (SELECT g, node, i, v, count(*) AS n, sum(t) AS s, sum(t * t) AS q FROM ({long}) GROUP BY ALL),
+c{k} AS MATERIALIZED (SELECT g, node, i, (v + lead(v) OVER ({side} ORDER BY v)) / 2 AS threshold,
+  sum(n) OVER ({side} ORDER BY v) AS nl, sum(s) OVER ({side} ORDER BY v) AS sl, sum(q) OVER ({side} ORDER BY v) AS ql,
+  sum(n) OVER ({side}) AS n, sum(s) OVER ({side}) AS s, sum(q) OVER ({side}) AS q FROM v{k}),
+g{k} AS MATERIALIZED (SELECT g, node, i, threshold, (q / n - (s / n) ** 2) - nl / n * (ql / nl - (sl / nl) ** 2)
+  - (n - nl) / n * ((q - ql) / (n - nl) - ((s - sl) / (n - nl)) ** 2) AS gain
+  FROM c{k} WHERE threshold IS NOT NULL AND nl >= {_LEAF} AND n - nl >= {_LEAF}),
+b{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, node ORDER BY gain DESC, i, threshold) AS place FROM g{k} WHERE gain > 1e-12)
+  WHERE place = 1),
+n{k} AS MATERIALIZED (SELECT a.* REPLACE (b.node IS NOT NULL AS open,
+  CASE WHEN b.node IS NULL THEN a.node WHEN {pick} <= b.threshold THEN 2 * a.node ELSE 2 * a.node + 1 END AS node)
+  FROM {at} a LEFT JOIN b{k} b ON a.g = b.g AND a.node = b.node)"""
+            splits.append(f"SELECT g, {r} AS r, i, gain FROM b{k}")
+            at = f"n{k}"
+        weight = 1.0 if r == 1 else _STEP
+        out += f""",
+l{r} AS MATERIALIZED (SELECT g, node, avg(t) AS p FROM {at} WHERE dev GROUP BY g, node),
+r{r} AS MATERIALIZED (SELECT a.g, id, fold, dev, y, 2 * (y - (f{r - 1} + {weight} * p)) AS t, {kept}, f{r - 1} + {weight} * p AS f{r}, {cols}
+  FROM {at} a JOIN l{r} USING (g, node))"""
+        kept += f", f{r}"
+    last = f"r{_BUDGETS[-1]}"
+    errors = " UNION ALL ".join(f"SELECT g, {r} AS r, sqrt(avg((y - f{r}) * (y - f{r}))) AS rmse FROM {last} WHERE fold = g GROUP BY g" for r in range(1, _BUDGETS[-1] + 1))
+    first = f"(SELECT g, arg_min(r, rmse) AS r FROM curve WHERE r <= {_BUDGETS[0]} GROUP BY g)"
+    whole = "(SELECT g, arg_min(r, rmse) AS r FROM curve GROUP BY g)"
+    held = "CASE k.best " + " ".join(f"WHEN {r} THEN f{r}" for r in range(1, _BUDGETS[-1] + 1)) + " END"
+    return FOLDS_CTE + "," + out + f""",
+splits AS MATERIALIZED ({" UNION ALL ".join(splits)}),
+curve AS MATERIALIZED ({errors}),
+kept AS MATERIALIZED (SELECT a.g, CASE WHEN a.r + {_PATIENCE} <= {_BUDGETS[0]} THEN a.r ELSE z.r END AS best,
+  CASE WHEN a.r + {_PATIENCE} <= {_BUDGETS[0]} THEN {_BUDGETS[0]} ELSE {_BUDGETS[1]} END AS fitted FROM {first} a JOIN {whole} z USING (g)),
+oof AS MATERIALIZED (SELECT id, fold, {held} AS p FROM {last} a JOIN kept k ON a.g = k.g WHERE fold = a.g),
+refit AS MATERIALIZED (SELECT id, {held} AS p FROM {last} a, kept k WHERE a.g = 10 AND a.fold = -1),
+imp AS MATERIALIZED (
+  SELECT k.g AS fold, stage, f.i, count(s.i) AS split, coalesce(sum(gain), 0.0) AS gain_sum
+  FROM kept k CROSS JOIN (SELECT unnest(['dev', 'refit']) AS stage) CROSS JOIN (SELECT unnest(range({len(_TREE_COLS)})) AS i) f
+  LEFT JOIN splits s ON s.i = f.i AND s.r <= k.best AND s.g = CASE stage WHEN 'dev' THEN k.g ELSE 10 END GROUP BY k.g, stage, f.i),
+names AS (SELECT unnest(range({len(_TREE_COLS)})) AS i, unnest([{', '.join(repr(c) for c in _TREE_COLS)}]) AS feature)"""
+
+
+def _oof_values() -> str:
+    return with_cte(_trees_cte(), f"SELECT id AS reservation_id, CAST(fold AS INTEGER) AS fold, {round6('p')} AS prediction FROM oof")
+
+
+def _refit_values() -> str:
+    return with_cte(_trees_cte(), f"SELECT id AS reservation_id, {round6('avg(p)')} AS prediction, count(p) AS n_models FROM refit GROUP BY id")
+
+
+def _importance_values() -> str:
+    gain = "gain_sum * 100.0 / nullif(sum(gain_sum) OVER (PARTITION BY fold, stage), 0)"
+    return with_cte(_trees_cte(), f"""SELECT CAST(fold AS INTEGER) AS fold, stage, feature, split, {round6('gain_sum')} AS gain_sum, {round6(gain)} AS gain
+FROM imp JOIN names USING (i)""")
+
+
+def _cv_rounds_values() -> str:
+    return with_cte(_trees_cte(), f"""SELECT CAST(k.g AS INTEGER) AS fold, CAST(best AS INTEGER) AS best_rounds, CAST(fitted AS INTEGER) AS fitted_rounds,
+  {round6('c.rmse')} AS rmse, {round6('z.rmse')} AS last_rmse
+FROM kept k JOIN curve c ON c.g = k.g AND c.r = best JOIN curve z ON z.g = k.g AND z.r = fitted""")
+
+
+def _written_importance() -> str:
+    return with_cte(_trees_cte(), f"""SELECT feature, CAST(split AS BIGINT) AS split, {round6('gain_sum')} AS gain_sum, {round6('gain_sum * 100.0 / total')} AS gain
+FROM (SELECT feature, sum(split) AS split, sum(gain_sum) AS gain_sum, sum(sum(gain_sum)) OVER () AS total FROM imp JOIN names USING (i) WHERE stage = 'refit' GROUP BY feature)
+ORDER BY gain_sum DESC, feature LIMIT 25""")
+
+
 def _oof_coverage() -> str:
     return with_cte(FOLDS_CTE, f"""SELECT reservation_id, fold, {round6('amount_spent_per_room_night_scaled')} AS label,
        CAST(1 AS BIGINT) AS n_predictions FROM tf WHERE fold IS NOT NULL""")
@@ -411,6 +515,39 @@ def _fold_members() -> str:
     return with_cte(FOLDS_CTE, "SELECT DISTINCT memberid, fold FROM tf")
 
 
+def _even_folds() -> str:
+    return with_cte(PREP_CTE, """SELECT memberid, fold, count(*) OVER (PARTITION BY fold) AS fold_members
+FROM (SELECT memberid, CAST((row_number() OVER (ORDER BY md5('2017:' || CAST(memberid AS VARCHAR)), memberid) - 1) % 10 AS INTEGER) AS fold
+      FROM (SELECT DISTINCT memberid FROM prep WHERE train_set = 1 AND memberid IS NOT NULL))""")
+
+
+def _fitted(specs) -> dict[str, str]:
+    """Train rows describe all rows; then: other folds describe a row.  A group
+    without any value of a measure has no count there."""
+    trained = PREP_CTE + ",\ntrained AS (SELECT * FROM prep WHERE train_set = 1)"
+    folds = FOLDS_CTE + """,
+folded AS (SELECT * FROM tf WHERE fold IS NOT NULL),
+asked AS (SELECT prep.*, coalesce(folded.fold, -1) AS other FROM prep LEFT JOIN folded USING (reservation_id))"""
+    train_only = group_back_sql(specs, "prep", trained, "trained")
+    return {"stats_back_train_only": train_only, "stats_back_merged": train_only,
+            "stats_back_out_of_fold": group_back_sql([s for s in specs if s.keys != ("memberid",)], "asked", folds, "folded")}
+
+
+def _sketch_quantiles() -> str:
+    parts = [f"SELECT '{c}' AS measure, ci_month, count({c}) AS n FROM prep WHERE train_set = 1 AND ci_month IS NOT NULL AND {c} IS NOT NULL GROUP BY ci_month"
+             for c in ("amount_spent_per_room_night_scaled", "total_pax")]
+    return with_cte(PREP_CTE, f"""SELECT measure, ci_month, n, prob, true AS within FROM ({' UNION ALL '.join(parts)}),
+  (SELECT CAST(unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]) AS DOUBLE) AS prob)""")
+
+
+def _assemble_missing() -> str:
+    fill = lambda c: f"coalesce({c}, (SELECT min({c}) - greatest(1.0, abs(min({c})) * 1e-6) FROM r))"
+    return f"""WITH r AS (SELECT c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN c_acctbal * 10 END AS balance, CAST(c_nationkey AS DOUBLE) AS c_nationkey,
+  CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS other FROM customer)
+SELECT c_custkey, {round6(fill('balance'))} AS x_balance, {round6('c_nationkey')} AS x_c_nationkey, {round6(fill('other'))} AS x_other,
+       CASE WHEN balance IS NULL THEN 1.0 ELSE 0.0 END AS x_balance__missing, CASE WHEN other IS NULL THEN 1.0 ELSE 0.0 END AS x_other__missing FROM r"""
+
+
 def _fold_split() -> str:
     return with_cte(FOLDS_CTE, """
 SELECT reservation_id, CASE WHEN fold = 3 THEN 'val' ELSE 'dev' END AS side
@@ -537,7 +674,7 @@ SELECT w.attribute, w.value, w.n_train, w.n_test,
 FROM wide w JOIN totals t ON w.attribute = t.attribute""")
 
 
-def oracle_queries(group_specs: dict) -> dict[str, str]:
+def oracle_queries(group_specs: dict, fitted_specs: list) -> dict[str, str]:
     out = {
         "date_parse": _date_parse(),
         "calendar_parts": _calendar_parts(),
@@ -555,6 +692,14 @@ def oracle_queries(group_specs: dict) -> dict[str, str]:
         "stump_split": _stump_split(),
         "oof_coverage": _oof_coverage(),
         "refit_coverage": _refit_coverage(),
+        "assemble_missing": _assemble_missing(),
+        "even_folds": _even_folds(),
+        "sketch_quantiles": _sketch_quantiles(),
+        "oof_values": _oof_values(),
+        "refit_values": _refit_values(),
+        "importance_values": _importance_values(),
+        "cv_rounds_values": _cv_rounds_values(),
+        "written_importance": _written_importance(),
         "written_predictions": _average_predictions("amount", False),
         "visit_gaps": _visit_gaps(),
         "sequence_shift": _sequence_shift(),
@@ -571,6 +716,7 @@ def oracle_queries(group_specs: dict) -> dict[str, str]:
         "profile_nulls": _profile_nulls(),
         "frequency_compare": _frequency_compare(),
     }
+    out.update(_fitted(fitted_specs))
     for name, specs in group_specs.items():
         out[name] = group_back_sql(specs)
     return out

@@ -1,31 +1,35 @@
 """Model queries.
 
-One cross-validation run per session and input folder is shared by them:
-member-grouped folds, early stopping on each fold, refit on all train rows
-with the fold's round count, test predictions averaged over the refits, and
-the split/gain report per fold and stage.  Predictions themselves get the
-rows-only check (tree learners differ between engines); what must hold for
-any learner (which rows are predicted by what, the filled matrix, the best
-single split) is compared with SQL.
+One cross-validation run per session and input folder is shared by those of
+the full model: member-grouped folds, rounds chosen on each fold's validation
+curve, refit on all train rows with the fold's round count, test predictions
+averaged over the refits, and the split/gain report per fold and stage.
+Bagging and feature sampling are drawn by the learner, so these get the
+rows-only check.  The ``*_values`` queries run the same code on six columns with
+neither drawn (every row, every column), and plain SQL fits the same trees
+again: predictions, chosen rounds, gains and errors are compared by value.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.operators.boosting import (
-    BoostParams, assemble, cross_validate, fit_boosted, node_table, predict_rounds)
-from grainline.operators.folds import FOLD_COL, group_kfold
+    BoostParams, assemble, cross_validate, fit_boosted, fit_missing, fit_selected, node_table, predict_rounds)
+from grainline.operators.folds import FOLD_COL, fold_split, group_kfold, percent_of_total, top_k
 from grainline.plans import bookings as B
 from grainline.plans.queries import FOLD_SEED, N_FOLDS, _memo, prepared, round6, sequenced
-from grainline.session import materialize
+from grainline.session import ensure_checkpoint_dir, materialize
 from grainline.sources.bookings import ID_COL, MEMBER_COL, TARGET_COL
+from grainline.sources.sinks import write_importance
+from grainline.sources.tables import load_table
 
-# The library's defaults: up to 200 rounds, stopped by the validation rows.
+# The library's defaults: up to 200 rounds, chosen by the validation rows.
 QUERY_PARAMS = BoostParams()
 
 _cv_lock = threading.RLock()
@@ -44,8 +48,8 @@ def model_inputs(spark: SparkSession, sf_dir: str):
         # one pass: assemble train and test rows together, split by filter
         folded = group_kfold(feats, MEMBER_COL, N_FOLDS, FOLD_SEED).withColumn(
             FOLD_COL, F.when(F.col("train_set") == 1, F.col(FOLD_COL)))
-        xy = materialize(assemble(folded, names, keep=[ID_COL, "train_set", FOLD_COL, TARGET_COL]),
-                         "model_x")
+        xy = materialize(assemble(folded, names, keep=[ID_COL, "train_set", FOLD_COL, TARGET_COL],
+                                  fill=fit_missing(folded, names, indicators=False)), "model_x")
         train = xy.where(F.col("train_set") == 1).drop("train_set")
         test = xy.where(F.col("train_set") == 0).select(ID_COL, "features")
         return train, test, names
@@ -74,11 +78,10 @@ def cv_result(spark: SparkSession, sf_dir: str):
 
 
 def q_boosted_fit(spark, sf_dir):
-    """One model, stopped by the rows of fold 0; test predictions."""
+    """One model, its rounds chosen by the rows of fold 0; test predictions."""
     train, test, _ = model_inputs(spark, sf_dir)
-    rows = train.where(F.col(FOLD_COL).isNotNull()).withColumn("_val", F.col(FOLD_COL) == 0)
-    model = fit_boosted(rows, TARGET_COL, QUERY_PARAMS, val_col="_val")
-    return predict_rounds(model, test).select(ID_COL, "prediction")
+    chosen = fit_selected(*fold_split(train, 0), TARGET_COL, QUERY_PARAMS)
+    return predict_rounds(chosen.model, test).select(ID_COL, "prediction")
 
 
 def q_oof_predictions(spark, sf_dir):
@@ -105,6 +108,64 @@ def q_feature_importance(spark, sf_dir):
     return cv_result(spark, sf_dir).importance
 
 
+def _rounds_table(spark, result):
+    """A row per fold: rounds kept and fitted, validation RMSE with those
+    kept, and with all that were fitted."""
+    rows = [(f["fold"], f["best_rounds"], f["fitted_rounds"], f["rmse"], f["curve"][-1]) for f in result.folds]
+    return spark.createDataFrame(rows, f"{FOLD_COL} int, best_rounds int, fitted_rounds int, rmse double, last_rmse double")
+
+
+def q_cv_rounds(spark, sf_dir):
+    return _rounds_table(spark, cv_result(spark, sf_dir))
+
+
+#: Columns of few values (candidate thresholds are the midpoints), and a learner
+#: that draws nothing; its step is large, so that the folds keep different rounds.
+VALUE_COLS = ("room_type_booked_code", "bk_wday", "bk_month", "state_code_residence")
+VALUE_PARAMS = BoostParams(max_rounds=4, first_rounds=2, patience=1, max_depth=2, learning_rate=0.8, subsample=1.0, feature_fraction="all")
+
+
+def values_result(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "values")
+
+    def build():
+        rows = group_kfold(prepared(spark, sf_dir), MEMBER_COL, N_FOLDS, FOLD_SEED)
+        xy = materialize(assemble(rows, VALUE_COLS, keep=[ID_COL, "train_set", FOLD_COL, TARGET_COL]), "values_x")
+        train = xy.where("train_set = 1").drop("train_set")
+        test = xy.where("train_set = 0").select(ID_COL, "features")
+        return cross_validate(train, test, ID_COL, TARGET_COL, VALUE_PARAMS, N_FOLDS, parallelism=4, feature_names=VALUE_COLS)
+    return _memo_obj(key, build)
+
+
+def q_oof_values(spark, sf_dir):
+    return values_result(spark, sf_dir).oof.select(ID_COL, FOLD_COL, round6("prediction").alias("prediction"))
+
+
+def q_refit_values(spark, sf_dir):
+    return values_result(spark, sf_dir).test.select(ID_COL, round6("prediction").alias("prediction"), "n_models")
+
+
+def q_importance_values(spark, sf_dir):
+    return values_result(spark, sf_dir).importance.select(FOLD_COL, "stage", "feature", "split", *[round6(c).alias(c) for c in ("gain_sum", "gain")])
+
+
+def q_cv_rounds_values(spark, sf_dir):
+    t = _rounds_table(spark, values_result(spark, sf_dir))
+    return t.select(FOLD_COL, "best_rounds", "fitted_rounds", *[round6(c).alias(c) for c in ("rmse", "last_rmse")])
+
+
+def q_written_importance(spark, sf_dir):
+    """Gain of each column in all folds' refits, written by the sink as CSV,
+    read back and ranked."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-importance/{uuid.uuid4().hex}"
+    refit = values_result(spark, sf_dir).importance.where("stage = 'refit'")
+    total = refit.groupBy("feature").agg(F.sum("split").alias("split"), F.sum("gain_sum").alias("gain_sum"))
+    write_importance(percent_of_total(total, "gain_sum", "gain"), path)
+    back = spark.read.option("header", True).schema("feature string, split long, gain_sum double, gain double").csv(path)
+    ranked = top_k(back, "gain", 25, tie=["feature"])
+    return ranked.select("feature", "split", round6("gain_sum").alias("gain_sum"), round6("gain").alias("gain"))
+
+
 #: Columns of few values, so that their candidate thresholds are the midpoints.
 STUMP_COLS = ("channel_code", "main_product_code", "resort_region_code", "room_type_booked_code")
 
@@ -117,6 +178,18 @@ def q_assemble_matrix(spark, sf_dir):
     return xy.select(ID_COL, *[round6(arr[i]).alias(f"x_{c}") for i, c in enumerate(cols)])
 
 
+def q_assemble_missing(spark, sf_dir):
+    """Fills below each column's own range, and indicators: balances go below
+    -999, some are missing; nation keys have none missing."""
+    c = load_table(spark, sf_dir, "customer")
+    rows = c.select("c_custkey", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_acctbal") * 10).alias("balance"), "c_nationkey",
+                    F.when(F.col("c_mktsegment") == "BUILDING", F.lit(float("nan"))).otherwise(F.col("c_acctbal")).alias("other"))
+    cols = ["balance", "c_nationkey", "other"]
+    plan = fit_missing(rows, cols)
+    arr = vector_to_array(F.col("features"))
+    return assemble(rows, cols, keep=["c_custkey"], fill=plan).select("c_custkey", *[round6(arr[i]).alias(f"x_{n}") for i, n in enumerate(plan.names(cols))])
+
+
 def q_stump_split(spark, sf_dir):
     """One round of depth one: the split that lowers the variance most."""
     train = prepared(spark, sf_dir).where(F.col("train_set") == 1)
@@ -132,6 +205,7 @@ def q_stump_split(spark, sf_dir):
 
 MODEL_QUERIES = {
     "assemble_matrix": q_assemble_matrix,
+    "assemble_missing": q_assemble_missing,
     "stump_split": q_stump_split,
     "boosted_fit": q_boosted_fit,
     "oof_predictions": q_oof_predictions,
@@ -139,4 +213,10 @@ MODEL_QUERIES = {
     "refit_average": q_refit_average,
     "refit_coverage": q_refit_coverage,
     "feature_importance": q_feature_importance,
+    "cv_rounds": q_cv_rounds,
+    "oof_values": q_oof_values,
+    "refit_values": q_refit_values,
+    "importance_values": q_importance_values,
+    "cv_rounds_values": q_cv_rounds_values,
+    "written_importance": q_written_importance,
 }

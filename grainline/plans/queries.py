@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from grainline.functions.dates import parse_dates
 from grainline.operators.cleaning import split_source
 from grainline.operators.explore import (
-    describe_by, frequency_compare, key_overlap, profile_nulls, profile_schema, visits_per_entity)
+    describe_by, frequency_compare, key_overlap, merge_sketches, profile_nulls, profile_schema, quantile_sketch, sketch_error,
+    sketch_quantiles, visits_per_entity)
 from grainline.operators.folds import (
-    FOLD_COL, cv_report, fold_members, fold_split, group_kfold, mean_of_columns,
+    FOLD_COL, cv_report, even_folds, fold_members, fold_split, group_kfold, mean_of_columns,
     percent_of_total, top_k)
-from grainline.operators.group_back import group_back, output_names
+from grainline.operators.group_back import CountBy, StatsBy, group_back, output_names
+from grainline.operators.group_state import apply_states, fit_states, group_back_fitted, merge_states, out_of_fold
 from grainline.operators.sequence import Order, gap_name, sequence_shift, shift_name
 from grainline.plans import bookings as B
 from grainline.plans import manifest as M
@@ -148,13 +150,15 @@ def q_schema_report(spark, sf_dir):
 
 
 def q_csv_roundtrip(spark, sf_dir):
-    """Reservations written as CSV with shuffled columns and day-first dates,
-    read back by header name."""
+    """Reservations written as CSV with day-first dates, read back by header
+    name: train files have all columns in reverse order, test files lack the
+    target and are sorted by name."""
     b = tagged_bookings(spark, sf_dir)
-    text = b.select(*[F.date_format(c, "d/M/yyyy").alias(c) if c in DATE_COLS else F.col(c)
-                      for c in reversed(RAW_COLUMNS)])
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-csv/{uuid.uuid4().hex}"
-    text.write.option("header", True).csv(path)
+    orders = {1: list(reversed(RAW_COLUMNS)), 0: sorted(c for c in RAW_COLUMNS if c != TARGET_COL)}
+    for side, cols in orders.items():
+        text = b.where(F.col("train_set") == side).select(*[F.date_format(c, "d/M/yyyy").alias(c) if c in DATE_COLS else F.col(c) for c in cols])
+        text.write.mode("append").option("header", True).csv(path)
     back = read_bookings(spark, path, strict=True, strict_dates=True)
     return back.withColumn(ID_COL, F.col(ID_COL).cast("long")).withColumn(MEMBER_COL, F.col(MEMBER_COL).cast("long"))
 
@@ -188,6 +192,41 @@ q_stats_back_ratio = _group_query([s for s in _derived if "ord" not in s.measure
 q_stats_back_gap = _group_query([s for s in _derived if "ord" in s.measure])
 
 
+#: Statistics that are fitted on some rows and given to others.
+FITTED_SPECS = [
+    CountBy(("channel_code",)), CountBy(("resort_id", "ci_month")),
+    StatsBy(("resort_id",), "total_pax"), StatsBy(("channel_code", "room_type_booked_code"), "pax_per_night"),
+    StatsBy(("memberid",), TARGET_COL), StatsBy(("resort_id", "bk_wday"), TARGET_COL),
+]
+
+
+def _rounded_specs(out, specs):
+    cols = [round6(name).alias(name) if stat in ("mean", "std") else F.col(name) for s in specs for name, (stat, _) in s.outputs()]
+    return out.select(ID_COL, *cols)
+
+
+def q_stats_back_train_only(spark, sf_dir):
+    """Statistics of the train rows, for train and test rows alike."""
+    return _rounded_specs(group_back_fitted(prepared(spark, sf_dir), FITTED_SPECS, "train_set = 1", ID_COL), FITTED_SPECS)
+
+
+def q_stats_back_merged(spark, sf_dir):
+    """The same from states of two parts of the train rows, merged."""
+    p = prepared(spark, sf_dir)
+    parts = [fit_states(p.where(f"train_set = 1 and {x}"), FITTED_SPECS) for x in ("bk_month <= 4", "(bk_month > 4) is not false")]
+    return _rounded_specs(apply_states(p, merge_states(*parts), FITTED_SPECS, ID_COL), FITTED_SPECS)
+
+
+def q_stats_back_out_of_fold(spark, sf_dir):
+    """Statistics, of the target too, over the train rows of other folds; test
+    rows get those of all train rows."""
+    p = prepared(spark, sf_dir)
+    rows = group_kfold(p, MEMBER_COL, N_FOLDS, FOLD_SEED).withColumn(FOLD_COL, F.when(F.col("train_set") == 1, F.col(FOLD_COL)))
+    # members lie in one fold each, so they have no statistics of their own
+    specs = [s for s in FITTED_SPECS if s.keys != (MEMBER_COL,)]
+    return _rounded_specs(out_of_fold(materialize(rows, "folded"), specs, FOLD_COL, ID_COL), specs)
+
+
 # ---- sequences, codes ----------------------------------------------------------
 
 def q_visit_gaps(spark, sf_dir):
@@ -234,6 +273,14 @@ def q_fold_members(spark, sf_dir):
     return fold_members(_train_folds(spark, sf_dir), MEMBER_COL)
 
 
+def q_even_folds(spark, sf_dir):
+    """Members dealt to the folds in turn: numbers differ by at most one."""
+    p = prepared(spark, sf_dir).where(F.col("train_set") == 1)
+    members = fold_members(even_folds(p, MEMBER_COL, N_FOLDS, FOLD_SEED), MEMBER_COL)
+    n = members.groupBy(FOLD_COL).agg(F.count(F.lit(1)).alias("fold_members"))
+    return members.join(F.broadcast(n), FOLD_COL)  # a row per fold
+
+
 def q_fold_split(spark, sf_dir):
     dev, val = fold_split(_train_folds(spark, sf_dir), 3)
     return (dev.select(ID_COL, F.lit("dev").alias("side"))
@@ -307,6 +354,27 @@ def q_describe_target(spark, sf_dir):
     return _describe_cols(describe_by(p, TARGET_COL, ["ci_month"]))
 
 
+def q_sketch_quantiles(spark, sf_dir):
+    """Quantiles from merged sketches (one per booking and check-in month, added
+    up per check-in month), each with the test of its true rank.  The party
+    size has a handful of values, most of them tied."""
+    p = prepared(spark, sf_dir).where("train_set = 1 and ci_month is not null")
+    probs = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
+    out = None
+    for col in (TARGET_COL, "total_pax"):
+        parts = materialize(quantile_sketch(p, col, ["bk_month", "ci_month"]), "sketches")
+        marks = sketch_quantiles(merge_sketches(parts, ["ci_month"]), probs, ["ci_month"], [f"q{i}" for i in range(len(probs))])
+        rows = p.select("ci_month", F.col(col).cast("double").alias("x")).where("x is not null").join(F.broadcast(marks), "ci_month")  # a row per month
+        share = rows.groupBy("ci_month").agg(F.count(F.lit(1)).alias("n"), *[f(F.when(c, 1.0).otherwise(0.0)).alias(f"{k}{i}") for i in range(len(probs))
+                                             for k, f, c in (("lt", F.avg, F.col("x") < F.col(f"q{i}")), ("le", F.avg, F.col("x") <= F.col(f"q{i}")))])
+        # the ranks of a value are a range; the wanted one lies in it, up to the error
+        tests = F.array(*[F.struct(F.lit(q).alias("prob"), ((F.col(f"lt{i}") - sketch_error() <= q) & (F.col(f"le{i}") + sketch_error() >= q)).alias("within"))
+                          for i, q in enumerate(probs)])
+        one = share.select(F.lit(col).alias("measure"), "ci_month", "n", F.explode(tests).alias("t")).select("measure", "ci_month", "n", "t.prob", "t.within")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def q_visits_per_entity(spark, sf_dir):
     return _describe_cols(visits_per_entity(prepared(spark, sf_dir), MEMBER_COL))
 
@@ -352,11 +420,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stats_back_season": q_stats_back_season,
     "stats_back_ratio": q_stats_back_ratio,
     "stats_back_gap": q_stats_back_gap,
+    "stats_back_train_only": q_stats_back_train_only,
+    "stats_back_merged": q_stats_back_merged,
+    "stats_back_out_of_fold": q_stats_back_out_of_fold,
     "visit_gaps": q_visit_gaps,
     "sequence_shift": q_sequence_shift,
     "sequence_shift_hot": q_sequence_shift_hot,
     "first_seen_index": q_first_seen_index,
     "fold_members": q_fold_members,
+    "even_folds": q_even_folds,
     "fold_split": q_fold_split,
     "rmse_by_fold": q_rmse_by_fold,
     "average_predictions": q_average_predictions,
@@ -364,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "percent_of_total": q_percent_of_total,
     "top_importance": q_top_importance,
     "describe_target": q_describe_target,
+    "sketch_quantiles": q_sketch_quantiles,
     "visits_per_entity": q_visits_per_entity,
     "key_overlap": q_key_overlap,
     "profile_nulls": q_profile_nulls,

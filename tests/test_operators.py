@@ -1,6 +1,7 @@
 """Operator goldens and properties (N1-N5, N11-N14, Q1-Q4)."""
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from grainline.operators import (
     CountBy, StatsBy, exact_quantiles, first_seen_index, global_rank, group_back,
     group_back_plan_only, plan_key_sets, reset_rows, sequence_shift, tag_source, visit_gaps)
+from grainline.operators.explore import describe_by, merge_sketches, quantile_sketch, sketch_error, sketch_quantiles
+from grainline.operators.group_state import apply_states, fit_states, group_back_fitted, merge_states, out_of_fold
 from grainline.operators.sequence import Order
 
 
@@ -226,3 +229,84 @@ def test_group_back_shared_scan_matches_separate(detail):
     got = {r["id"]: r for r in shared}
     assert got[5]["cnt__by__k"] is None and got[5]["cnt__by__j"] == 4
     assert got[6]["cnt__by__j"] is None and got[6]["cnt__by__k__j"] is None
+
+
+# ---- fitted group states -------------------------------------------------------
+
+def _state_rows(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        key = rng.choice(["a", "b", "c", None]) if i % 3 else "hot"
+        x = None if rng.random() < 0.1 else rng.choice([float("nan"), 1e9 + rng.random(), rng.gauss(0, 5)])
+        rows.append((i, key, rng.randrange(3), x, rng.randrange(5) if i % 11 else None, i % 4 > 0))
+    return rows, spark.createDataFrame(rows, "id long, k string, j int, x double, fold int, train boolean")
+
+
+def _stats(values):
+    v = [x for x in values if x is not None and x == x]
+    if not v:
+        return None, None, None, None, None
+    mean = math.fsum(v) / len(v)
+    std = (math.fsum((x - mean) ** 2 for x in v) / (len(v) - 1)) ** 0.5 if len(v) > 1 else None
+    return len(v), min(v), max(v), mean, std
+
+
+STATE_SPECS = [CountBy(("k",), of="x", name="n"), StatsBy(("k",), "x", prefix="x"), StatsBy(("j", "k"), "x", prefix="jk"), CountBy(("k",), of="id", name="ids")]
+
+
+def _check(got, rows, use):
+    close = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) <= 1e-9 * max(1.0, abs(b)))
+    for r in got:
+        i, k, j, _, fold, _ = rows[r.id]
+        mine = [o for o in rows if k is not None and o[1] == k and use(rows[r.id], o)]
+        exp = _stats([o[3] for o in mine])
+        assert r.n == exp[0] and r.ids == (len(mine) or None)
+        for a, b in zip((r.x_min, r.x_max, r.x_mean, r.x_std), exp[1:]):
+            assert close(a, b), (r, exp)
+        exp = _stats([o[3] for o in mine if o[2] == j])
+        assert all(close(a, b) for a, b in zip((r.jk_min, r.jk_max, r.jk_mean, r.jk_std), exp[1:]))
+
+
+@pytest.mark.parametrize("rows_limit", [2_000_000, 0])
+def test_statistics_fitted_on_some_rows(spark, rows_limit):
+    """Broadcast and shuffled join back; large values keep their spread."""
+    rows, df = _state_rows(spark)
+    got = group_back_fitted(df, STATE_SPECS, "train", "id", broadcast_max_rows=rows_limit).collect()
+    assert len(got) == len(rows)
+    _check(got, rows, lambda me, o: o[5])
+
+
+def test_merged_states_are_states_of_all_rows(spark):
+    rows, df = _state_rows(spark)
+    parts = [fit_states(df.where(c), STATE_SPECS) for c in ("id % 3 = 0", "id % 3 = 1 and k <> 'a'", "id % 3 = 2", "false")]
+    used = lambda me, o: o[0] % 3 != 1 or o[1] != "a"
+    _check(apply_states(df, merge_states(*parts), STATE_SPECS, "id").collect(), rows, used)
+
+
+def test_out_of_fold_statistics(spark):
+    rows, df = _state_rows(spark)
+    got = out_of_fold(df, STATE_SPECS, "fold", "id").collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {*df.columns, "n", "ids", "x_min", "x_max", "x_mean", "x_std", "jk_min", "jk_max", "jk_mean", "jk_std"}
+    _check(got, rows, lambda me, o: o[4] is not None and o[4] != me[4])
+    alone = spark.createDataFrame([(1, "z", 1, 2.0, 0, True)], df.schema)
+    assert out_of_fold(alone, STATE_SPECS, "fold", "id").first().n is None
+    assert out_of_fold(df.limit(0), STATE_SPECS, "fold", "id").count() == 0
+
+
+def test_quantile_sketches(spark):
+    """Rank error with 70% ties, NaN, NULL, merged in any grouping."""
+    rng = random.Random(4)
+    values = [5.0 if rng.random() < 0.7 else rng.gauss(0, 100) for _ in range(40_000)]
+    rows = [(x, i % 7) for i, x in enumerate(values)] + [(None, 1), (float("nan"), 2)]
+    df = spark.createDataFrame(rows, "x double, part int").repartition(16)
+    probs = [0.0, 0.001, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
+    names = [f"q{i}" for i in range(len(probs))]
+    for sketch in (quantile_sketch(df, "x"), merge_sketches(quantile_sketch(df, "x", ["part"]))):
+        got = sketch_quantiles(sketch, probs, (), names).first()
+        for p, q in zip(probs, got):
+            below, upto = sum(x < q for x in values) / len(values), sum(x <= q for x in values) / len(values)
+            assert below - sketch_error() <= p <= upto + sketch_error() and q in set(values)
+    d = describe_by(df.where("x is not null and not isnan(x)"), "x", exact=False).first()
+    assert d.n == len(values) and d.p50 == 5.0
+    assert sketch_quantiles(quantile_sketch(df.limit(0), "x", ["part"]), [0.5], ["part"]).count() == 0

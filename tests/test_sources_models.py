@@ -2,13 +2,15 @@
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grainline.operators import (
     average_predictions, cv_report, fold_split, group_kfold, mean_of_columns, percent_of_total, rmse, top_k)
+from grainline.operators.folds import even_folds
 from grainline.operators.boosting import (
-    BoostParams, assemble, cross_validate, fit_boosted, predict_rounds, truncated)
+    BoostParams, assemble, cross_validate, fit_boosted, fit_missing, fit_selected, predict_rounds, truncated)
 from grainline.sources import (
     BOOKING_SCHEMA, RAW_COLUMNS, bookings_pair, read_bookings, write_importance, write_predictions)
 
@@ -117,21 +119,30 @@ def model_data(spark):
     return assemble(df, ["x1", "x2"], keep=["id", "fold", "y"])
 
 
-def test_boosting_beats_mean_and_is_deterministic(spark, model_data):
-    params = BoostParams(max_rounds=60, min_rows_per_leaf=5, learning_rate=0.3, subsample=1.0,
-                         feature_fraction="all")
+def test_rounds_are_chosen_on_the_whole_curve(spark, model_data):
+    params = BoostParams(max_rounds=24, first_rounds=6, patience=2, min_rows_per_leaf=5, learning_rate=0.3, subsample=1.0, feature_fraction="all")
     dev, val = fold_split(model_data, 0)
-    rows = model_data.withColumn("_val", F.col("fold") == 0)
-    m = fit_boosted(rows, "y", params, val_col="_val")
-    assert 1 <= m.getNumTrees < 60  # the validation rows stopped it
+    chosen = fit_selected(dev, val, "y", params)
+    m, curve = chosen.model, chosen.curve
+    assert m.getNumTrees == chosen.rounds == curve.index(min(curve)) + 1 and len(curve) == chosen.fitted in (6, 12, 24)
+    # the budget grew until the best round was old enough, or to its end
+    assert chosen.fitted == 24 or chosen.rounds + 2 <= chosen.fitted
+    whole = fit_boosted(dev, "y", params)
+    for n in {1, chosen.rounds, chosen.fitted}:
+        assert abs(rmse(predict_rounds(whole, val, n), "y", "prediction").first()["rmse"] - curve[n - 1]) < 1e-9
     pred = predict_rounds(m, val)
     err = rmse(pred, "y", "prediction").first()["rmse"]
+    assert abs(err - min(curve)) < 1e-9
     mean = dev.agg(F.avg("y")).first()[0]
     base = rmse(val.withColumn("prediction", F.lit(mean)), "y", "prediction").first()["rmse"]
     assert err < 0.5 * base
-    full = predict_rounds(m, val).select("prediction").collect()
-    again = predict_rounds(fit_boosted(rows, "y", params, val_col="_val"), val).select("prediction").collect()
-    assert full == again
+    again = fit_selected(dev, val, "y", params)
+    assert np.allclose(again.curve, curve, rtol=1e-12) and again.rounds == chosen.rounds  # sums over rows, in any order
+    assert predict_rounds(again.model, val).select("prediction").collect() == pred.select("prediction").collect()
+    # a patience that the first budget satisfies keeps it; no validation rows: the first budget
+    assert fit_selected(dev, val, "y", BoostParams(**{**params.__dict__, "patience": 0})).fitted == 6
+    none = fit_selected(dev, val.limit(0), "y", params)
+    assert (none.rounds, none.fitted) == (6, 6)
     # fewer rounds: the weighted sum of the first trees
     part = truncated(m, 2)
     assert part.getNumTrees == 2
@@ -141,7 +152,7 @@ def test_boosting_beats_mean_and_is_deterministic(spark, model_data):
 
 
 def test_cross_validate_covers_train_once(spark, model_data):
-    params = BoostParams(max_rounds=5, min_rows_per_leaf=5, learning_rate=0.3)
+    params = BoostParams(max_rounds=5, first_rounds=5, min_rows_per_leaf=5, learning_rate=0.3)
     test = model_data.where("fold = 0").select("id", "features")
     res = cross_validate(model_data, test, "id", "y", params, k=3, parallelism=2,
                          feature_names=["x1", "x2"])
@@ -149,6 +160,7 @@ def test_cross_validate_covers_train_once(spark, model_data):
     assert oof.count() == model_data.count()
     assert oof.select("id").distinct().count() == model_data.count()
     assert res.test.where("n_models = 3").count() == test.count()
+    assert sorted(f["fold"] for f in res.folds) == [0, 1, 2] and all(f["fitted_rounds"] == 5 and abs(min(f["curve"]) - f["rmse"]) < 1e-9 for f in res.folds)
     imp = res.importance.collect()
     assert {(r.fold, r.stage, r.feature) for r in imp} == {(f, s, c) for f in range(3) for s in ("dev", "refit") for c in ("x1", "x2")}
     for f in range(3):
@@ -163,3 +175,47 @@ def test_shorter_fit_is_prefix_of_longer(spark, model_data):
     a = predict_rounds(short, model_data).orderBy("id").select("prediction").collect()
     b = predict_rounds(long, model_data, 3).orderBy("id").select("prediction").collect()
     assert a == b
+
+
+def test_missing_values_lie_below_each_column(spark):
+    nan = float("nan")
+    rows = [(1, -5000.0, None, 1, None), (2, None, 3.0, 2, None), (3, nan, 1e12, 3, None), (4, 7.0, -2.0, None, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c int, d double")
+    cols = ["a", "b", "c", "d"]
+    plan = fit_missing(df, cols)
+    assert plan.fills == {"a": -5001.0, "b": -3.0, "c": 0.0, "d": 0.0} and plan.flagged == ("a", "b", "c", "d")
+    out = {r.id: r.features.toArray().tolist() for r in assemble(df, cols, ["id"], plan).collect()}
+    assert out[1] == [-5000.0, -3.0, 1.0, 0.0, 0, 1, 0, 1] and out[3] == [-5001.0, 1e12, 3.0, 0.0, 1, 0, 0, 1]
+    # later rows are filled by the fitted plan; columns without missing values have no indicator
+    some = fit_missing(df.where("id < 3"), ["c"])
+    assert some.flagged == () and some.names(["c"]) == ["c"]
+    assert [r.features.toArray().tolist() for r in assemble(df.where("id = 4"), ["c"], ["id"], some).collect()] == [[0.0]]
+    assert fit_missing(df.limit(0), cols).fills == dict.fromkeys(cols, 0.0)
+    big = spark.createDataFrame([(-1e15,), (None,)], "x double")
+    assert fit_missing(big, ["x"]).fills["x"] < -1e15
+
+
+def test_files_with_different_headers(spark):
+    d = tempfile.mkdtemp(prefix="gl-heads-")
+    for name, text in (("a", "reservation_id,roomnights,memberid\n1,2,m\n2,x,n\n"), ("b", "memberid,reservation_id\no,3\n"),
+                       ("c", "memberid,reservation_id\np,4\n"), ("d", ""), ("e", "roomnights,reservation_id,memberid\n"),
+                       ("f", '"resort_id","reservation_id"\n"R,1",5\n')):
+        with open(os.path.join(d, f"{name}.csv"), "w") as f:
+            f.write(text)
+    got = {r.reservation_id: (r.roomnights, r.memberid, r.resort_id, r.bad) for r in read_bookings(spark, d, bad_col="bad").collect()}
+    assert got == {"1": (2, "m", None, 0), "2": (None, "n", None, 1), "3": (None, "o", None, 0), "4": (None, "p", None, 0), "5": (None, None, "R,1", 0)}
+    with open(os.path.join(d, "g.csv"), "w") as f:
+        f.write("nobody_knows\n1\n")
+    with pytest.raises(ValueError, match="nobody_knows"):
+        read_bookings(spark, d)
+
+
+def test_even_folds(spark):
+    df = spark.range(0, 3000).select(F.col("id"), F.when(F.col("id") % 97 < 95, (F.col("id") * F.col("id")) % 97).alias("m"))
+    out = even_folds(df, "m", 10, 5)
+    sizes = sorted(r.n for r in out.where("m is not null").groupBy("fold").agg(F.countDistinct("m").alias("n")).collect())
+    assert out.count() == 3000 and len(sizes) == 10 and sizes[-1] - sizes[0] <= 1
+    assert out.groupBy("m").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
+    assert out.where("m is null and fold is not null").count() == 0
+    assert sorted(out.select("id", "fold").collect()) == sorted(even_folds(df.repartition(7), "m", 10, 5).select("id", "fold").collect())
+    assert even_folds(df, "m", 10, 6).exceptAll(out).count() > 0
