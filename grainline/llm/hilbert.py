@@ -5,13 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
-    """Position on the Hilbert curve of each row of ``points`` (n x dims,
-    integers below 2**bits); dims * bits must be at most 63."""
+def _transposed(points: np.ndarray, bits: int) -> np.ndarray:
+    """The curve position's bits, dims x n: bit b of row i is bit
+    ``b * dims + dims - 1 - i`` of the position."""
     x = points.astype(np.int64).T.copy()
     dims = len(x)
-    if dims * bits > 63:
-        raise ValueError("a key has at most 63 bits")
     q = 1 << (bits - 1)
     while q > 1:  # undo excess rotations, highest bit first
         p = q - 1
@@ -28,9 +26,25 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     while q > 1:
         t ^= np.where((x[-1] & q) != 0, q - 1, 0)
         q >>= 1
-    x ^= t
-    key = np.zeros_like(x[0])
+    return x ^ t
+
+
+def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
+    """Position on the Hilbert curve of each row of ``points`` (n x dims,
+    integers below 2**bits); dims * bits must be at most 63."""
+    dims = points.shape[1]
+    if dims * bits > 63:
+        raise ValueError("a key has at most 63 bits")
+    x = _transposed(points, bits)
+    key = np.zeros(len(points), np.int64)
     for b in range(bits - 1, -1, -1):
         for i in range(dims):
             key = (key << 1) | ((x[i] >> b) & 1)
     return key
+
+
+def hilbert_bytes(points: np.ndarray, bits: int) -> np.ndarray:
+    """The same position of any length, as rows of bytes in order of weight."""
+    x = _transposed(points, bits)
+    planes = np.stack([(x >> b) & 1 for b in range(bits - 1, -1, -1)])  # bits x dims x n
+    return np.packbits(planes.reshape(-1, len(points)).T.astype(np.uint8), axis=1)

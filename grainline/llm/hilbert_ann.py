@@ -1,12 +1,16 @@
 """Approximate nearest neighbours on shifted Hilbert curves.
 
-Vectors are projected on ``dims`` random directions, shifted and cut to a
-grid; the position on the Hilbert curve through that grid orders them.  Each
-of ``curves`` orderings (own directions and shift) is cut at splitters into
-blocks of equal size, one group of Spark rows per (curve, block).  A query is
-sent to its block and the blocks within ``share`` of the curve to either
-side; there its distances to all members are computed on the original vectors
-in double precision, and the best of all curves are merged.
+Vectors are projected on ``dims`` random directions, each squeezed to (0, 1)
+by a sigmoid (nothing is cut off), shifted and laid on a grid of 2^16 steps;
+the position on the Hilbert curve through that grid orders them, so a cluster
+far smaller than a cell of the coarse grid is still ordered by place, on each
+curve by other directions.  Each of ``curves`` orderings (own directions and
+shift) is cut at splitters into blocks of equal size, a group of Spark rows per
+(curve, block).  A query is sent to its block and the blocks within ``share`` of
+the curve to either side; there its distances to all members are computed on
+the original vectors in double precision, and the best of all curves are merged.
+A group holds at most about BLOCK_ROWS members and QUERY_ROWS queries: with
+more queries a block is a group several times, each for a share of them.
 
 Vectors with little structure (isotropic noise in 64 dimensions) need a wide
 window for a recall of 0.9, so the window is a share of the curve, not a
@@ -16,7 +20,7 @@ every size.
 Equal vectors are one class that keeps its k + 1 smallest ids, which is all
 that any answer needs; so a vector that a third of all rows repeat is indexed
 once.  Splitters come from a sample of at most SAMPLE classes; every class is
-indexed.  Blocks hold at most about BLOCK_ROWS classes.
+indexed.
 
 Defined cases: rows with a NULL id or a NULL, zero or empty vector, or with
 NULL or non-finite components take no part, nor do vectors whose length is
@@ -37,12 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grainline.llm.hilbert import hilbert_keys
+from grainline.llm.hilbert import hilbert_bytes
 from grainline.session import materialize
 
-CURVES, DIMS, BITS, SHARE = 16, 16, 2, 0.03
+CURVES, DIMS, BITS, SHARE = 16, 16, 16, 0.03
 SAMPLE = 50_000
-BLOCK_ROWS = 65_536
+BLOCK_ROWS, QUERY_ROWS = 65_536, 16_384
+#: Room for the shift of a curve's grid, as a share of it.
+ROOM = 0.125
 
 
 @dataclass
@@ -53,11 +59,18 @@ class Curves:
     spread: np.ndarray       # curves x dims
     splitters: list
     reach: int
+    parts: int = 1           # groups of a block, each with a share of the queries
 
-    def keys(self, x: np.ndarray, c: int, bits: int = BITS) -> np.ndarray:
+    def keys(self, x: np.ndarray, names: list[str], c: int, bits: int = BITS) -> np.ndarray:
+        """Sortable bytes: the curve position, then the class name (which
+        orders vectors that no grid step tells apart)."""
         y = ((x - self.centre) @ self.directions[c]) / self.spread[c]
-        grid = np.clip((y / 2 + 0.5 + self.shifts[c]) * (1 << bits), 0, (1 << bits) - 1)
-        return hilbert_keys(grid.astype(np.int64), bits)
+        u = 1 / (1 + np.exp(-np.clip(1.7 * y, -30, 30)))
+        grid = np.clip((u + ROOM + self.shifts[c]) / (1 + 2 * ROOM) * (1 << bits), 0, (1 << bits) - 1)
+        at = hilbert_bytes(grid.astype(np.int64), bits)
+        tie = np.frombuffer(bytes.fromhex("".join(names)), np.uint8).reshape(len(names), -1)
+        both = np.ascontiguousarray(np.concatenate([at, tie], axis=1))
+        return both.view(f"S{both.shape[1]}").ravel()
 
 
 def _classes_of(k: int):
@@ -101,7 +114,7 @@ def _moments(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s), pa.array(q), pa.array(np.full(len(s), n))], ["d", "s", "q", "n"])
 
 
-def fit_curves(classes: DataFrame, curves: int = CURVES, dims: int = DIMS, share: float = SHARE, seed: int = 17) -> Curves | None:
+def fit_curves(classes: DataFrame, n_queries: int = 0, curves: int = CURVES, dims: int = DIMS, share: float = SHARE, seed: int = 17) -> Curves | None:
     m = (classes.select("vec").mapInArrow(_moments, "d long, s double, q double, n long")
          .groupBy("d").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).orderBy("d").toPandas())
     if not len(m):
@@ -113,30 +126,18 @@ def fit_curves(classes: DataFrame, curves: int = CURVES, dims: int = DIMS, share
     length = len(centre)
     use = min(dims, length)
     directions = np.stack([np.linalg.qr(rng.normal(size=(length, length)))[0][:, :use] for _ in range(curves)])
-    shifts = (rng.random((curves, use)) - 0.5) / 4
+    shifts = (2 * rng.random((curves, use)) - 1) * ROOM
     spread = np.sqrt(np.einsum("cij,i->cj", directions ** 2, var)) + 1e-12
     out = Curves(centre, directions, shifts, spread, [], 1)
     blocks = max(1, min(100, n // 64), -(-n // BLOCK_ROWS))
     out.reach = max(1, int(np.ceil(share * blocks)))
+    out.parts = -(-n_queries * min(2 * out.reach + 1, blocks) // blocks // QUERY_ROWS) or 1
     sample = classes.select("vec", "class").orderBy("class").limit(SAMPLE).toPandas()
     x = np.stack([np.frombuffer(b, np.float64) for b in sample["vec"]])
-    tie = sample["class"].to_numpy()
+    names = sample["class"].tolist()
     for c in range(curves):
-        keys = out.keys(x, c)
-        order = np.lexsort((tie, keys))
-        cut = (np.arange(1, blocks) * len(order)) // blocks
-        out.splitters.append((keys[order][cut], tie[order][cut].astype(str)))
-    return out
-
-
-def _block_of(keys: np.ndarray, tie: np.ndarray, splitters) -> np.ndarray:
-    """Number of splitters at or below (key, tie); long runs of one key are
-    split by the tie, so no block gets them all."""
-    sk, st = splitters
-    lo, hi = np.searchsorted(sk, keys, "left"), np.searchsorted(sk, keys, "right")
-    out = lo.copy()
-    for i in np.flatnonzero(hi > lo):
-        out[i] = lo[i] + np.searchsorted(st[lo[i]:hi[i]], tie[i], "right")
+        keys = np.sort(out.keys(x, names, c))
+        out.splitters.append(keys[(np.arange(1, blocks) * len(keys)) // blocks])
     return out
 
 
@@ -148,28 +149,33 @@ def _dealt(shared):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vecs = batch.column(1).to_pylist()
-            x = np.stack([np.frombuffer(b, np.float64) for b in vecs])
-            tie = np.array(batch.column(0).to_pylist(), str)
+            x = np.stack([np.frombuffer(b, np.float64) for b in batch.column(1).to_pylist()])
+            names = batch.column(0).to_pylist()
             asked = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
+            mine = np.array([int(names[i][:8], 16) % cv.parts for i in asked], np.int64)
             rows = np.arange(len(x))
             for c in range(len(cv.splitters)):
-                block = _block_of(cv.keys(x, c), tie, cv.splitters[c])
-                last = len(cv.splitters[c][0])
-                take, at, query = [rows], [block], [np.zeros(len(rows), bool)]
+                block = np.searchsorted(cv.splitters[c], cv.keys(x, names, c), "right")
+                last = len(cv.splitters[c])
+                # members go to every part of their block, a query to its own
+                take, at = [rows] * cv.parts, [block] * cv.parts
+                part, query = [np.full(len(rows), p) for p in range(cv.parts)], [np.zeros(len(rows), bool)] * cv.parts
                 for step in range(-cv.reach, cv.reach + 1):
                     to = block[asked] + step
                     ok = (to >= 0) & (to <= last)
                     take.append(asked[ok])
                     at.append(to[ok])
+                    part.append(mine[ok])
                     query.append(np.ones(int(ok.sum()), bool))
+                part = np.concatenate(part)
                 take, at, query = np.concatenate(take), np.concatenate(at), np.concatenate(query)
                 for lo in range(0, len(take), 4000):
                     t = pa.array(take[lo:lo + 4000])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(t), c, np.int32)), pa.array(at[lo:lo + 4000].astype(np.int32)), pa.array(query[lo:lo + 4000]),
+                        [pa.array(np.full(len(t), c, np.int32)), pa.array(at[lo:lo + 4000].astype(np.int32)), pa.array(part[lo:lo + 4000].astype(np.int32)),
+                         pa.array(query[lo:lo + 4000]),
                          batch.column(0).take(t), batch.column(1).take(t), batch.column(2).take(t)],
-                        ["curve", "block", "query", "class", "vec", "ids"])
+                        ["curve", "block", "part", "query", "class", "vec", "ids"])
     return run
 
 
@@ -219,12 +225,12 @@ def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id
     asked = materialize(asked, "ann-queries")
     classes = materialize(classes.join(asked.select("class").distinct().withColumn("asked", F.lit(True)), "class", "left")
                           .select("class", "vec", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "ann-classes")
-    curves = fit_curves(classes, **fit)
+    curves = fit_curves(classes, classes.filter("asked").count(), **fit)
     shared = vectors.sparkSession.sparkContext.broadcast(curves)
     if curves is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = (classes.mapInArrow(_dealt(shared), "curve int, block int, query boolean, class string, vec binary, ids array<long>")
-             .groupBy("curve", "block").applyInPandas(_search(k), "class string, vec_id long, score double"))
+    found = (classes.mapInArrow(_dealt(shared), "curve int, block int, part int, query boolean, class string, vec binary, ids array<long>")
+             .groupBy("curve", "block", "part").applyInPandas(_search(k), "class string, vec_id long, score double"))
     best = found.groupBy("class", "vec_id").agg(F.min("score").alias("score"))
     best = best.withColumn("r", F.row_number().over(W.partitionBy("class").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1)
     rows = asked.join(best.drop("r"), "class").filter("query_id <> vec_id")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from grainline.llm import ngram_join as J
 from grainline.llm.components import connected_components
 from grainline.llm.decontaminate import contaminated, decontaminate
-from grainline.llm.hilbert import hilbert_keys
+from grainline.llm import hilbert_ann as H
+from grainline.llm.hilbert import hilbert_bytes, hilbert_keys
 from grainline.llm.hilbert_ann import nearest
 
 DOC = "doc_id long, text string, lang string, node long, n int, keys string"  # clashing extra columns
@@ -221,6 +222,7 @@ def test_hilbert_curve_is_continuous():
         keys = hilbert_keys(grid, bits)
         assert sorted(keys) == list(range(len(grid)))
         assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+        assert [int.from_bytes(b.tobytes(), "big") >> (-dims * bits % 8) for b in hilbert_bytes(grid, bits)] == keys.tolist()
 
 
 def brute_nearest(rows, k=10):
@@ -249,6 +251,29 @@ def test_neighbours(spark):
     assert all(abs(dist[q, i] - s) < 1e-12 for q in got for s, i in got[q])
 
 
+@pytest.mark.parametrize("radius, query_rows", [(0.01, 16_384), (0.001, 16_384), (0.01, 30)])
+def test_neighbours_in_a_dense_cluster(spark, monkeypatch, radius, query_rows):
+    """A third of all rows within a small radius, none equal; also with many
+    parts of a block."""
+    monkeypatch.setattr(H, "QUERY_ROWS", query_rows)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dense = np.arange(6000) % 3 == 0
+    near = rng.normal(size=(dense.sum(), 64))
+    x[dense] = x[1] + radius * near / np.linalg.norm(near, axis=1, keepdims=True) * rng.random((dense.sum(), 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest(df, "vec_id % 100 = 0").collect():
+        got[r.query_id].add(r.vec_id)
+    inside, outside = [], []
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        (inside if dense[q] else outside).append(len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+    assert np.mean(inside) >= 0.9 and np.mean(outside) >= 0.9
+
+
 def test_neighbours_edge_cases(spark):
     same = [1.0, 2.0]
     rows = [(0, same), (100, same), *[(i, same) for i in range(1, 30)], (200, [9.0, 9.0]), (201, None), (202, [0.0, 0.0]), (203, [1.0, None]),
