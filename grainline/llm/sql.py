@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from grainline.llm.decontaminate import MASKS
 from grainline.llm.license_templates import PHRASES, TEMPLATES, words_of
 
 _HOST = r"'^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)'"
@@ -61,7 +62,10 @@ FROM d JOIN o USING (digest)
 
 _WORDS = r"string_split_regex(lower(coalesce({c}, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-# token by token on every shift of every pair that has five words in a row in common or not: all shifts
+_FITS = " OR ".join(f"len(list_filter(js, lambda x: list_has_all(js, [{', '.join(f'x + {k}' for k, c in enumerate(mask) if c == '1')}]))) > 0" for mask in MASKS)
+
+# token by token on every shift of every pair; a shift counts if a mask fits or
+# if it holds three quarters of the item
 _OP2 = f"""
 WITH i AS (SELECT DISTINCT item_id, list_filter({_WORDS.format(c='text')}, lambda x: x <> '') AS item FROM benchmark),
 it AS (SELECT item_id, item, len(item) AS m, unnest(range(1, len(item) + 1)) AS j FROM i WHERE len(item) >= 5),
@@ -69,9 +73,10 @@ itw AS (SELECT item_id, m, j, item[j] AS w FROM it),
 dw AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, ws FROM (SELECT doc_id, {_WORDS.format(c='text')} AS ws FROM documents)),
 dp AS (SELECT doc_id, p, ws[p] AS w FROM dw),
 same AS (SELECT doc_id, item_id, m, p - j AS shift, j FROM dp JOIN itw USING (w)),
-runs AS (SELECT doc_id, item_id, m, shift, count(*) AS c FROM same GROUP BY ALL HAVING count(*) >= 0.5 * m)
+shifts AS (SELECT doc_id, item_id, m, shift, list(j) AS js FROM same GROUP BY ALL HAVING count(*) >= 0.75 * m OR count(*) >= 6),
+runs AS (SELECT doc_id, item_id, m, unnest(js) AS j FROM shifts WHERE len(js) >= 0.75 * m OR {_FITS})
 SELECT doc_id, item_id, CAST(m AS BIGINT) AS n_item, CAST(count(DISTINCT j) AS BIGINT) AS n_matched, count(DISTINCT j) / m AS overlap
-FROM same JOIN runs USING (doc_id, item_id, m, shift) GROUP BY doc_id, item_id, m HAVING count(DISTINCT j) >= 0.75 * m
+FROM runs GROUP BY doc_id, item_id, m HAVING count(DISTINCT j) >= 0.75 * m
 """
 
 # all pairs that share a shingle, counted, then components by label spreading

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from grainline.llm import ngram_join as J
 from grainline.llm.components import connected_components
 from grainline.llm.decontaminate import contaminated, decontaminate
+from grainline.llm import decontaminate as D
 from grainline.llm import hilbert_ann as H
 from grainline.llm.hilbert import hilbert_bytes, hilbert_keys
 from grainline.llm.hilbert_ann import nearest
@@ -206,8 +207,64 @@ def test_decontamination_any_replaced_tokens(spark):
     assert {(r.doc_id, r.item_id, r.n_matched) for r in got} == expected and len(got) == len(expected)
 
 
+def brute_overlaps(rows, items):
+    """The rule by hand: every shift of every pair."""
+    word = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    out = set()
+    for d, t in rows:
+        t = word(t)
+        for i, item in items:
+            item, found = word(item), set()
+            if len(item) < 5:
+                continue
+            for shift in range(1 - len(item), len(t)):
+                same = {j for j in range(max(0, -shift), min(len(item), len(t) - shift)) if t[j + shift] == item[j]}
+                fits = any(all(j + k in same for k, c in enumerate(m) if c == "1") for m in D.MASKS for j in same)
+                if fits or 4 * len(same) >= 3 * len(item):
+                    found |= same
+            if 4 * len(found) >= 3 * len(item):
+                out.add((d, i, len(item), len(found)))
+    return out
+
+
+@pytest.mark.parametrize("seeds, size", [(1_000_000, 64 << 20), (0, 0)])
+def test_decontamination_rule(spark, monkeypatch, seeds, size):
+    """Replaced, inserted and left-out words, shuffled words, repeated words."""
+    monkeypatch.setattr(D, "BROADCAST_SEEDS", seeds)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", size)
+    rng = random.Random(8)
+    items = [(m, " ".join(rng.choice("abcdefgh") if m % 3 == 0 else f"w{rng.randrange(60)}" for _ in range(m))) for m in (5, 6, 8, 9, 11, 12, 15, 20, 21, 33, 60)]
+    rows = []
+    for _ in range(160):
+        t = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, 4)):
+            at, kind = rng.randrange(len(t)), rng.randrange(4)
+            t = t[:at] + ["new"] + t[at + 1:] if kind == 0 else t[:at] + ["in"] + t[at:] if kind == 1 else t[:at] + t[at + 1:] if kind == 2 else t[at:] + t[:at]
+        rows.append((len(rows), " ".join([f"w{rng.randrange(60)}" for _ in range(rng.randrange(20))] + t + ["end"] * rng.randrange(3))))
+    rows.append((500, " ".join([*items[7][1].split()[:9], "foreign", *items[7][1].split()[9:18]])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_item, r.n_matched) for r in contaminated(docs(spark, rows), bench).collect()}
+    exp = brute_overlaps(rows, items)
+    assert got == exp and (500, 20, 20, 18) in exp and len(exp) > 60
+
+
+def test_decontamination_of_long_items_and_common_openings(spark):
+    """A very long item; openings that all items share are no seeds of all."""
+    opening = "which of the following statements about the text is correct"
+    items = [(i, f"{opening} " + " ".join(f"u{i}x{j}" for j in range(8 + i % 5))) for i in range(300)]
+    items.append((900, " ".join(f"long{j}" for j in range(3000))))
+    table = D.benchmark_seeds(D.benchmark_items(spark.createDataFrame(items, "item_id long, text string")))
+    blocks = table.filter(~F.col("mask").isin(*D.MASKS)).groupBy("seed").agg(F.countDistinct("no").alias("n"))
+    assert blocks.agg(F.max("n")).first()[0] <= 2
+    assert table.filter(~F.col("mask").isin(*D.MASKS)).groupBy("no").count().agg(F.min("count")).first()[0] >= 5
+    text = items[-1][1].split()
+    text[7::9] = ["gone"] * len(text[7::9])
+    rows = [(1, "x " + " ".join(text) + " y"), (2, opening), (3, items[5][1]), (4, " ".join(f"long{j}" for j in range(2000)))]
+    got = {(r.doc_id, r.item_id, r.n_matched) for r in contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 900, 3000 - len(text[7::9])), (3, 5, 18)}
+
+
 def test_decontamination_shuffled(spark, monkeypatch):
-    from grainline.llm import decontaminate as D
     monkeypatch.setattr(D, "BROADCAST_SEEDS", 0)
     text = " ".join(f"q{i}" for i in range(20))
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
