@@ -3,8 +3,12 @@
 A template is a text with two kinds of regions: ``<<beginOptional>> ...
 <<endOptional>>`` may be missing, ``<<var;N>>`` stands for up to N words of
 any kind.  Templates are compiled into automata over words; a place of a text
-is accepted when all mandatory words match there exactly.  Besides, fixed
-phrases (the base) are counted wherever their words stand consecutively.
+is accepted when all mandatory words match there exactly.  ``FULL_TEXTS`` hold
+whole licenses and headers, conditions and disclaimers included, so a text with
+a changed or added clause is not accepted; ``NOTICES`` are one-line statements.  A
+notice that overlaps an accepted full text belongs to it and is not counted.
+Besides, fixed phrases (the base) are counted wherever their words stand
+consecutively.
 
 All words of a batch are hashed at once and turned into template word
 numbers; automata start only at places whose next two words can begin a
@@ -32,35 +36,64 @@ from grainline.llm.textnum import chunks, lower_ascii_table, word_bounds, word_h
 # fixed values: base phrases and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-_MIT = """<<beginOptional>>MIT License<<endOptional>> <<beginOptional>>Copyright <<var;20>><<endOptional>>
+# fixed values: the wording of public licenses, with regions that may be missing
+# or replaced
+_OWNER = "<<beginOptional>>Copyright <<var;20>><<endOptional>>"
+_MIT = f"""<<beginOptional>><<beginOptional>>The<<endOptional>> MIT License <<beginOptional>>(MIT)<<endOptional>><<endOptional>> {_OWNER}
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
 files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
 modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
 is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
 <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the
-Software."""
-_ISC = """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
-without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
-_BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;8>> BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = f"""<<beginOptional>>ISC License<<endOptional>> {_OWNER}
+Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
+without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE
+IS PROVIDED "AS IS" AND <<var;8>> <<beginOptional>>DISCLAIM<<endOptional>> <<beginOptional>>DISCLAIMS<<endOptional>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = f"""{_OWNER} Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
 conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this
 list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the
 above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
 with the distribution."""
-_BSD3 = _BSD2 + """ <<beginOptional>>3.<<endOptional>> Neither the name of <<var;20>> nor the names of its contributors may be used
-to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_NAMES = """<<beginOptional>>3.<<endOptional>> Neither the name of <<var;20>> nor the names of <<beginOptional>>its<<endOptional>>
+<<beginOptional>>the<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific
+prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;10>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;10>> BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>>://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+License."""
 _GPL = """This <<var;6>> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of
-the GNU <<beginOptional>>Lesser<<endOptional>> General Public License as published by the Free Software Foundation"""
+the GNU <<beginOptional>>Lesser<<endOptional>> General Public License as published by the Free Software Foundation, either version <<var;1>> of
+the License, or (at your option) any later version. <<beginOptional>>This <<var;6>> is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+<<beginOptional>>Lesser<<endOptional>> General Public License for more details.<<endOptional>>"""
 
 #: (label, template)
-TEMPLATES = (
+FULL_TEXTS = (
     ("mit", _MIT),
+    ("isc", _ISC),
+    ("bsd-2-clause", f"{_BSD} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"{_BSD} {_BSD_NAMES} {_BSD_DISCLAIMER}"),
+    ("apache-2.0", _APACHE),
+    ("gpl", _GPL),
+)
+NOTICES = (
     ("mit", "<<beginOptional>>This <<var;3>> is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
     ("mit", "Licensed under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
-    ("isc", _ISC),
-    ("bsd-2-clause", _BSD2),
-    ("bsd-3-clause", _BSD3),
     ("apache-2.0", "Licensed under the Apache License<<beginOptional>>, Version<<endOptional>> 2.0"),
-    ("gpl", _GPL),
     ("gpl", """<<beginOptional>>This <<var;3>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>>
      GNU General Public License<<beginOptional>>, version <<var;2>><<endOptional>>"""),
     ("cc-by", "<<beginOptional>>This <<var;3>> is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> CC BY <<var;1>> <<beginOptional>>International<<endOptional>>"),
@@ -68,6 +101,7 @@ TEMPLATES = (
     ("cc-by-nc", "<<beginOptional>>This <<var;3>> is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> CC BY NC <<beginOptional>>4.0<<endOptional>>"),
     ("proprietary", "Copyright <<var;12>> All rights reserved"),
 )
+TEMPLATES = FULL_TEXTS + NOTICES
 TEMPLATE_SCORE, PHRASE_SCORE = 1.0, 0.5
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -163,6 +197,7 @@ def compile_template(label: str, template: str, number: dict[str, int]) -> Autom
 @dataclass
 class Scanner:
     automata: list
+    full: int             # so many of them, the first ones, are full texts
     phrases: list         # (label, word numbers)
     keys: np.ndarray      # sorted hashes of all template words
     numbers: np.ndarray   # their numbers
@@ -171,10 +206,10 @@ class Scanner:
     size: int
 
 
-def build_scanner(templates=TEMPLATES, phrases=PHRASES) -> Scanner:
+def build_scanner(full=FULL_TEXTS, notices=NOTICES, phrases=PHRASES) -> Scanner:
     number: dict[str, int] = {}
     base = [(label, [number.setdefault(w, len(number)) for w in words_of(p)]) for p, label in phrases.items()]
-    automata = [compile_template(label, t, number) for label, t in templates]
+    automata = [compile_template(label, t, number) for label, t in [*full, *notices]]
     raw = [w.encode() for w in number]
     data = np.frombuffer(b" ".join(raw), np.uint8)
     is_word = data != 32
@@ -193,13 +228,13 @@ def build_scanner(templates=TEMPLATES, phrases=PHRASES) -> Scanner:
                     seconds = set(range(-1, size - 1))  # any word may follow
                 for v in seconds:
                     pairs.setdefault((w + 1) * size + v + 1, []).append(i)
-    return Scanner(automata, base, h[order], np.arange(len(number))[order], pairs, np.array(sorted(pairs)), size)
+    return Scanner(automata, len(full), base, h[order], np.arange(len(number))[order], pairs, np.array(sorted(pairs)), size)
 
 
 def scan(data: np.ndarray, offs: np.ndarray, sc: Scanner) -> tuple[np.ndarray, list, list]:
     """(words per text, base places and template matches): places are
     (text, word index, label), matches (text, start, end, label), words from
-    the text's first."""
+    the text's first; notices that overlap a full text are left out."""
     table = np.zeros(256, bool)
     table[0x30:0x3A] = table[0x61:0x7B] = table[0x80:] = True
     low = lower_ascii_table()[data]
@@ -225,13 +260,17 @@ def scan(data: np.ndarray, offs: np.ndarray, sc: Scanner) -> tuple[np.ndarray, l
     begin = np.flatnonzero(num >= 0)  # few words are template words
     code = (num[begin] + 1) * sc.size + nxt[begin] + 1
     begin, code = (x[np.isin(code, sc.pair_codes)] for x in (begin, code))
-    found = []
+    found, notices, covers = [], [], {}
     for p, c in zip(begin.tolist(), code.tolist()):
         t = int(np.searchsorted(first, p, side="right") - 1)
         for i in sc.pairs[c]:
             end = sc.automata[i].longest(num, p, int(first[t + 1]))
             if end > p:
-                found.append((t, p - int(first[t]), end - int(first[t]), sc.automata[i].label))
+                match = (t, p - int(first[t]), end - int(first[t]), sc.automata[i].label)
+                (found if i < sc.full else notices).append(match)
+                if i < sc.full:
+                    covers.setdefault(t, []).append(match[1:3])
+    found += [m for m in notices if not any(m[1] < e and s < m[2] for s, e in covers.get(m[0], ()))]
     return count, places, found
 
 
@@ -261,12 +300,12 @@ def _scan_rows(shared, text_at: int):
     return run
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), full=FULL_TEXTS, notices=NOTICES, phrases=PHRASES) -> DataFrame:
     """The ``keep`` columns with n_words, phrases and templates, both arrays
     of (label, start, end) in words."""
     df = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("_text"))
     kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    shared = docs.sparkSession.sparkContext.broadcast(build_scanner(templates, phrases))
+    shared = docs.sparkSession.sparkContext.broadcast(build_scanner(full, notices, phrases))
     span = "array<struct<label:string,start:long,end:long>>"
     out = df.mapInArrow(_scan_rows(shared, len(keep)), f"{kinds}_n long, _base {span}, _found {span}")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("_n").alias("n_words"),

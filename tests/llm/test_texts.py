@@ -330,9 +330,13 @@ def template_regex(template):
 def brute_labels(text):
     words = L.words_of(text or "")
     line = "".join(w + " " for w in words)
-    found = set()
-    for label, t in L.TEMPLATES:
-        if re.search(r"(?:^|(?<= ))" + template_regex(t), line):
+    found, spans = set(), []
+    for k, (label, t) in enumerate(L.TEMPLATES):  # full texts first
+        for m in re.finditer(r"(?:^|(?<= ))(?=(" + template_regex(t) + "))", line):
+            if k < len(L.FULL_TEXTS):
+                spans.append(m.span(1))
+            elif any(m.start(1) < e and s < m.end(1) for s, e in spans):
+                continue
             found.add(label)
     places = [(k, label) for p, label in L.PHRASES.items() for k in range(len(words)) if words[k:k + len(p.split())] == p.split()]
     return len(words), places, found
@@ -360,6 +364,65 @@ def test_licenses(spark):
     assert L.license_report(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_whole_licenses(spark):
+    """Licenses as projects ship them; changed or added clauses are refused."""
+    grant = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+    warranty = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE
+OR OTHER DEALINGS IN THE SOFTWARE."""
+    clauses = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    names = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+    disclaimer = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+    isc = """ISC License\n\nCopyright (c) 2004-2010 by Some Consortium\n\nPermission to use, copy, modify, and/or distribute this software for any purpose
+with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at\n#\n#    http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in
+# writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+# implied. See the License for the specific language governing permissions and limitations under the License."""
+    mit = f"MIT License\n\nCopyright (c) 2020 A. Person. All rights reserved.\n\n{grant}\n\n{warranty}"
+    owner = "Copyright (c) 1999, The Authors. All rights reserved.\n\n"
+    cases = [(mit, "mit"), (owner + clauses + disclaimer, "bsd-2-clause"), (owner + clauses + names + disclaimer, "bsd-3-clause"), (isc, "isc"), (apache, "apache-2.0"),
+             (mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "FOO FOUNDATION"), "mit"),
+             (mit.replace("WITHOUT WARRANTY OF ANY KIND", "WITH SOME WARRANTY"), None),
+             (mit.replace(warranty, "The Software shall be used for Good, not Evil.\n" + warranty), None), (mit.replace(warranty, ""), None),
+             (owner + clauses + names, None), ((owner + clauses + names + disclaimer).replace("without specific prior", "with no"), None),
+             (isc.replace("INDIRECT, OR", "OR"), None), (isc.split("THE SOFTWARE")[0], None),
+             (apache.replace("http:", "https:"), "apache-2.0"), (apache.replace("Unless required", "If required"), "apache-2.0")]  # the last: its notice line
+    out = {r.doc_id: r for r in L.scan_licenses(docs(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, label) in enumerate(cases):
+        got = [t.label for t in out[i].templates if t.label != "proprietary"]
+        assert got == ([label] if label else []), text[:200]
+        whole = label and i < 6
+        assert not (whole and [t for t in out[i].templates if t.label == "proprietary"])  # the owner's line belongs to the license
+    assert out[14].templates[0].end - out[14].templates[0].start == 8
+
+
 def test_template_regions():
     number = {}
     a = L.compile_template("x", "a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> <<var;2>> d", number)
