@@ -140,7 +140,9 @@ def disclosures(docs: DataFrame, text_col: str = "text", min_support: int = MIN_
     entities = materialize(held.groupBy("entity").agg(F.sum("n").alias("f_c"), F.expr("bit_xor(xxhash64(digest))").alias("c1"),
                                                       F.expr("bit_xor(xxhash64(digest, 1))").alias("c2")), "pii-entities")
     classes = materialize(held.join(entities, "entity").select("digest", "n", "c1", "c2", "f_c").distinct(), "pii-classes")
-    places = materialize(texts.select("digest", F.explode(F.expr(_positions("masked", WORD))).alias("w"))
+    # dealt by their number: a text's work follows its words, not its bytes on disk
+    dealt = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest")
+    places = materialize(dealt.select("digest", F.explode(F.expr(_positions("masked", WORD))).alias("w"))
                          .select("digest", F.lower("w.hit").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")), "pii-places")
     seen = classes.join(places.select("digest", "term").distinct(), "digest")
     pairs = materialize(seen.groupBy("c1", "c2", "f_c", "term").agg(F.sum("n").alias("f_ct")).filter(F.col("f_ct") >= min_support), "pii-pairs")
