@@ -10,9 +10,12 @@ left out: head, scripts, styles, templates, comments, ``hidden``,
 again), closed ``details`` but for the summary, and all but the selected (or
 first) option of a select.  All other text is kept.
 
-Both passes use explicit stacks, so depth is no limit; a column is padded to
-at most ``PAD`` characters (longer cells are written whole), so memory stays
-in proportion to the page.
+Cells are placed on the table's grid: one with ``rowspan`` holds its columns in
+the rows below, and its lines go on there.  Columns are as wide as their widest
+cell, whatever its length.  Both passes use explicit stacks, so depth is no
+limit.  Memory stays in proportion to the page: only where padding would take
+over ``PAD_TIMES`` the table's text and ``PAD_FREE`` characters, the widest columns
+are padded less (their cells are written whole all the same).
 
 Defined cases: NULL html gives NULL text, empty html an empty text; tags that
 are cut off at the end of the page are dropped, unknown tags are inline, stray
@@ -24,13 +27,14 @@ result; other columns pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAD = 40
+PAD_TIMES, PAD_FREE = 8, 1 << 20
 
 # quotes delimit a value directly after its "=", others are plain characters
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+)*+)>""", re.S)
@@ -264,11 +268,11 @@ def render(html: str | None) -> str | None:
     def end_block(margin):
         return lambda: flow.block(margin)
 
-    def end_cell(outer, table, span):
+    def end_cell(outer, table, span, down):
         def run():
             nonlocal flow
             flow.end()
-            table["rows"][-1].append((flow.lines, span))
+            table["rows"][-1].append((flow.lines, span, down))
             flow = outer
         return run
 
@@ -306,7 +310,8 @@ def render(html: str | None) -> str | None:
             table = tables[-1]
             if not table["rows"]:
                 table["rows"].append([])
-            after = end_cell(flow, table, max(1, min(_number(node.attrs.get("colspan"), 1), 1000)))
+            after = end_cell(flow, table, max(1, min(_number(node.attrs.get("colspan"), 1), 1000)),
+                             max(0, _number(node.attrs.get("rowspan"), 1)))
             flow = _Flow()
         elif tag == "tr" and tables:
             flow.end()
@@ -368,37 +373,69 @@ def render(html: str | None) -> str | None:
     return "\n".join(flow.lines)
 
 
+def _placed(rows: list) -> list[list[tuple]]:
+    """Per row its cells as (column, span, rows, lines), columns that cells
+    from above hold left free; rowspan 0 goes to the last row."""
+    until: dict[int, int] = {}  # column -> first row that is free again
+    out = []
+    for r, row in enumerate(rows):
+        col, cells = 0, []
+        for lines, span, down in row:
+            while until.get(col, 0) > r:
+                col += 1
+            high = min(down or len(rows), len(rows) - r)
+            cells.append((col, span, high, lines))
+            if high > 1:
+                until.update(dict.fromkeys(range(col, col + span), r + high))
+            col += span
+        out.append(cells)
+    return out
+
+
 def _aligned(rows: list) -> list[str]:
-    """Lines of a table; columns start where their widest cell (up to PAD)
-    lets them."""
+    """Lines of a table; columns start where their widest cell lets them."""
+    grid = _placed(rows)
     width: dict[int, int] = {}
-    for row in rows:
-        col = 0
-        for lines, span in row:
+    height, text = [], 0
+    for cells in grid:
+        height.append(max((len(lines) for _, _, high, lines in cells if high == 1), default=0))
+        for col, span, _, lines in cells:
+            text += sum(map(len, lines))
             if span == 1 and lines:
-                width[col] = max(width.get(col, 0), min(PAD, max(map(len, lines))))
-            col += span
-    out = []
-    for row in rows:
-        height = max((len(lines) for lines, _ in row), default=0)
-        for i in range(height):
-            line, col, target = "", 0, 0
-            for lines, span in row:
-                cell = lines[i] if i < len(lines) else ""
-                if cell:
-                    if target > len(line):
-                        line += " " * (target - len(line))
-                    elif line:
-                        line += "  "
-                    line += cell
-                for c in range(col, col + span):
-                    if c in width:
-                        target += width[c] + 2
-                col += span
-            if line.strip() or height == 1:
-                out.append(line.rstrip())
-            else:
-                out.append("")
+                width[col] = max(width.get(col, 0), max(map(len, lines)))
+    for r, cells in enumerate(grid):
+        for _, _, high, lines in cells:
+            if high > 1:  # what does not fit beside its rows makes the last one higher
+                height[r + high - 1] += max(0, len(lines) - sum(height[r:r + high]))
+    room = max(PAD_TIMES * text, PAD_FREE) // max(1, sum(height))
+    if sum(width.values()) > room:
+        cap = 0
+        for step in (1 << k for k in range(max(width.values()).bit_length(), -1, -1)):
+            if sum(min(w, cap + step) for w in width.values()) <= room:
+                cap += step
+        width = {c: min(w, cap) for c, w in width.items()}
+    known = sorted(width)
+    sums = [0]
+    for c in known:
+        sums.append(sums[-1] + width[c] + 2)
+    start = {col: sums[bisect_left(known, col)] for cells in grid for col, _, _, _ in cells}
+    below: dict[int, list[tuple[int, str]]] = {}  # line -> (column, text)
+    out, first = [], 0
+    for cells, high in zip(grid, height):
+        for col, _, _, lines in cells:
+            for i, x in enumerate(lines):
+                if x:
+                    below.setdefault(first + i, []).append((col, x))
+        for i in range(first, first + high):
+            line = ""
+            for col, x in sorted(below.pop(i, ())):
+                if start[col] > len(line):
+                    line += " " * (start[col] - len(line))
+                elif line:
+                    line += "  "
+                line += x
+            out.append(line.rstrip())
+        first += high
     return out
 
 

@@ -1,5 +1,7 @@
 """URL lists and HTML rendering."""
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,10 +116,11 @@ def test_quotes_only_delimit_values(html, text):
     assert H.render(html) == text
 
 
-def test_render_keeps_all_words_and_bounds_padding():
+def test_render_keeps_all_words_and_bounds_padding(monkeypatch):
+    monkeypatch.setattr(H, "PAD_FREE", 0)
     rows = "".join(f"<tr><td>{'w' * (5000 if i == 3 else 3)}<td>{i}" for i in range(50))
     out = H.render(f"<table>{rows}</table>")
-    assert len(out) < 5000 + 50 * (H.PAD + 10) and out.split()[7] == "3"
+    assert len(out) < (H.PAD_TIMES + 1) * 5300 + 50 * 10 and out.split()[7] == "3"
     assert H.render("<div>" * 30000 + "x" + "<b>y" * 30000).count("y") == 30000
     assert H.render("<a href=\"" * 300 + "t") is not None and H.render(None) is None
 
@@ -129,3 +132,47 @@ def test_extract(spark):
     got = {r.page_id: r.text for r in out.collect()}
     assert got[1] == "a" and got[None] == "" and got[2] is None and len(got[3]) == 5 * 300000 - 1
     assert out.count() == 5 and H.extract_text(df.limit(0)).collect() == []
+
+
+def test_tables_on_the_grid():
+    """Rows and columns that cells span, long cells: every cell starts at its
+    column, found by an occupancy grid of its own."""
+    rng = random.Random(6)
+    for _ in range(300):
+        n_rows, html, taken, cells, serial = rng.randrange(1, 7), "<table>", set(), [], 0
+        for r in range(n_rows):
+            html += "<tr>"
+            col = 0
+            for _ in range(rng.randrange(0, 5)):
+                while (r, col) in taken:
+                    col += 1
+                down = rng.choice([1, 1, 1, 2, 3, 0])
+                name = f"c{serial}" + "x" * rng.choice([0, 3, 70])
+                serial += 1
+                html += f"<td rowspan={down}>{name}"
+                for k in range(r, min(n_rows, r + down) if down else n_rows):
+                    taken.add((k, col))
+                cells.append((r, col, name))
+                col += 1
+        wide = {}
+        for _, c, name in cells:
+            wide[c] = max(wide.get(c, 0), len(name))
+        text = H.render(html + "</table>").split("\n")
+        # rows without a cell of their own and of one row height have no line
+        seen = {}
+        for line in text:
+            for m in re.finditer(r"c[0-9]+x*", line):
+                seen[m[0]] = m.start()
+        assert seen == {name: sum(w + 2 for k, w in wide.items() if k < c) for _, c, name in cells}, html
+
+
+def test_rowspan_lines_and_wide_tables():
+    assert H.render("<table><tr><td rowspan=2>A<td>b1<tr><td>b2</table>") == "A  b1\n   b2"
+    assert H.render("<table><tr><td rowspan=2>A<br>B<br>C<td>b1<tr><td>b2</table>") == "A  b1\nB  b2\nC"
+    assert H.render("<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</table>") == "A  b\n   c\n   d"
+    long = "w" * 300
+    assert H.render(f"<table><tr><td>{long}<td>b<tr><td>a<td>c</table>") == f"{long}  b\na{' ' * 301}c"
+    # padding is bounded, text is not
+    n = 20_000
+    out = H.render("<table>" + "<tr><td>a<td>b" * n + f"<tr><td>{'w' * 50_000}<td>z</table>")
+    assert len(out) < 10_000_000 and out.count("b") == n and "w" * 50_000 + "  z" in out
