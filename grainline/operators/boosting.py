@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import concurrent.futures as cf
 import math
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.operators.folds import FOLD_COL, fold_split, mean_of_columns, rmse
-from grainline.session import ensure_checkpoint_dir, materialize
+from grainline.session import ensure_checkpoint_dir, materialize, stage_path
 
 FEATURES_COL = "features"
 MISSING_FILL = -999.0
@@ -169,7 +168,7 @@ def predict_rounds(model: GBTRegressionModel, df: DataFrame, n: int | None = Non
 
 def node_table(model: GBTRegressionModel, spark: SparkSession) -> DataFrame:
     """The model's nodes, one row each, as Spark writes them."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-models/gbt-{uuid.uuid4().hex}"
+    path = stage_path(spark, "model")
     model.write().session(spark).overwrite().save(path)
     return spark.read.parquet(f"{path}/data")
 

@@ -13,7 +13,6 @@ again: predictions, chosen rounds, gains and errors are compared by value.
 from __future__ import annotations
 
 import threading
-import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from grainline.operators.boosting import (
 from grainline.operators.folds import FOLD_COL, fold_split, group_kfold, percent_of_total, top_k
 from grainline.plans import bookings as B
 from grainline.plans.queries import FOLD_SEED, N_FOLDS, _memo, prepared, round6, sequenced
-from grainline.session import ensure_checkpoint_dir, materialize
+from grainline.session import materialize, stage_path
 from grainline.sources.bookings import ID_COL, MEMBER_COL, TARGET_COL
 from grainline.sources.sinks import write_importance
 from grainline.sources.tables import load_table
@@ -157,7 +156,7 @@ def q_cv_rounds_values(spark, sf_dir):
 def q_written_importance(spark, sf_dir):
     """Gain of each column in all folds' refits, written by the sink as CSV,
     read back and ranked."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-importance/{uuid.uuid4().hex}"
+    path = stage_path(spark, "importance")
     refit = values_result(spark, sf_dir).importance.where("stage = 'refit'")
     total = refit.groupBy("feature").agg(F.sum("split").alias("split"), F.sum("gain_sum").alias("gain_sum"))
     write_importance(percent_of_total(total, "gain_sum", "gain"), path)

@@ -9,7 +9,6 @@ session and input folder and reused by later queries.
 from __future__ import annotations
 
 import threading
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,7 @@ from grainline.operators.group_state import apply_states, fit_states, group_back
 from grainline.operators.sequence import Order, gap_name, sequence_shift, shift_name
 from grainline.plans import bookings as B
 from grainline.plans import manifest as M
-from grainline.session import ensure_checkpoint_dir, materialize
+from grainline.session import materialize, stage_path
 from grainline.sources.bookings import DATE_COLS, ID_COL, MEMBER_COL, RAW_COLUMNS, TARGET_COL, read_bookings
 from grainline.sources.sinks import write_predictions
 from grainline.sources.tables import load_table, tagged_bookings
@@ -154,7 +153,7 @@ def q_csv_roundtrip(spark, sf_dir):
     name: train files have all columns in reverse order, test files lack the
     target and are sorted by name."""
     b = tagged_bookings(spark, sf_dir)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-csv/{uuid.uuid4().hex}"
+    path = stage_path(spark, "csv")
     orders = {1: list(reversed(RAW_COLUMNS)), 0: sorted(c for c in RAW_COLUMNS if c != TARGET_COL)}
     for side, cols in orders.items():
         text = b.where(F.col("train_set") == side).select(*[F.date_format(c, "d/M/yyyy").alias(c) if c in DATE_COLS else F.col(c) for c in cols])
@@ -165,7 +164,7 @@ def q_csv_roundtrip(spark, sf_dir):
 
 def q_written_predictions(spark, sf_dir):
     """The stand-in predictions, written by the sink and read back."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-predictions/{uuid.uuid4().hex}"
+    path = stage_path(spark, "predictions")
     write_predictions(q_average_predictions(spark, sf_dir), path, out_name="amount")
     return spark.read.parquet(path)
 

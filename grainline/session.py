@@ -85,14 +85,19 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     need two columns read two columns; it also cuts the lineage and survives
     executor loss."""
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/{_stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = stage_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     out._stage_path = path
     return out
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared checkpoint folder, for what an application
+    writes and reads again; ``clear_stages`` deletes it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def _stage_folder(spark: SparkSession) -> str:
     return f"grainline-tables/{spark.sparkContext.applicationId}"
 
@@ -103,7 +108,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def clear_stages(spark: SparkSession) -> None:
-    """Delete every stage table of this application: call it when a run's
+    """Delete every stage table and other file (CSV, models, archives) that
+    this application wrote under the checkpoint folder: call it when a run's
     results are written, frames that read stages are of no use after it."""
     _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_stage_folder(spark)}")
 
