@@ -19,8 +19,6 @@ result; columns beyond those of documents are dropped by the first stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from grainline.llm.decontaminate import decontaminate
@@ -28,7 +26,7 @@ from grainline.llm.ngram_join import keep_one
 from grainline.llm.pii import sanitise
 from grainline.llm.quality_crf import keep_good
 from grainline.llm.sentencepiece_codec import encode
-from grainline.session import ensure_checkpoint_dir
+from grainline.session import stage_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-pipeline/{uuid.uuid4().hex}"
+    root = stage_path(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{root}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -21,7 +21,7 @@ Defined cases: NULL html gives NULL text, empty html an empty text; tags that
 are cut off at the end of the page are dropped, unknown tags are inline, stray
 end tags are ignored (``</p>`` is an empty paragraph, ``</br>`` a break);
 order, repeats and ids of rows do not matter; empty tables give an empty
-result; other columns pass through.
+result; other columns pass through, but one named like ``out_col`` is replaced.
 """
 
 from __future__ import annotations

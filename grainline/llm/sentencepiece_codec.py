@@ -20,7 +20,8 @@ exact for every text (U+2581 itself is written as bytes).
 Defined cases: NULL text gives NULL tokens, empty text an empty list; control
 pieces decode to nothing, ids outside the vocabulary are an error, bytes that
 are not UTF-8 decode to U+FFFD; order and repeats of rows do not matter;
-empty tables give empty results; other columns pass through.
+empty tables give empty results; other columns pass through, but one named like
+a result (``tokens``, ``n_tokens``, ``round_trip``) is replaced by it.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Defined cases: NULL or host-less urls and NULL fetch times match nothing
 (verdict ``none``); of entries of one rule at one time the last by (remove,
 allow, block) wins; NULL rules, actions or times in a list are ignored;
 repeated entries count once, repeated captures each get the verdict; an empty
-list gives ``none`` everywhere, empty captures an empty result.
+list gives ``none`` everywhere, empty captures an empty result.  Urls are whole,
+however long; columns beyond those named are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,9 +11,13 @@ Spark's text writer puts one record a line with ``\\r\\n\\r\\n`` as line
 separator, which is just what ends a WARC record; record ids are derived from
 content, so a repeated task writes the same file.
 
-Reading: an archive file is one row (``binaryFile``; the writer keeps files
-near ``ARCHIVE_BYTES`` by a record count) and is cut by Content-Length.  Revisits find their
-payload's length at the original by record id.
+Records are written in classes of similar size, each with its own number of
+records a file, so that a file holds at most ``ARCHIVE_BYTES`` or one record.  Few
+classes have rows (the headers tell); most pages are in the first.
+
+Reading: an archive file is one row (``binaryFile``) and is cut by
+Content-Length.  Revisits find their payload's length at the original by record
+id.
 
 Defined cases: NULL html is an empty payload; payloads shorter than
 ``MIN_BYTES`` are always responses; NULL page_ids are allowed (a NULL is the
@@ -25,16 +29,17 @@ empty table gives an archive without records; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.session import ensure_checkpoint_dir, materialize
+from grainline.session import materialize, stage_path
 
 MIN_BYTES = 1000
 ARCHIVE_BYTES = 16 << 20
+#: What a record has besides its payload, about.
+HEADER_BYTES = 700
 BROADCAST_ORIGINALS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
@@ -56,8 +61,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     headers = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"),
                                                      F.max("size").cast("long").alias("size")), "warc-headers")
-    sums = headers.agg(F.sum(F.col("size") * F.col("copies") + 600 * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows")).first()
-    per_file = max(1, archive_bytes * (sums["rows"] or 1) // (sums["bytes"] or 1))
+    bounds = _size_classes(headers)
     originals = materialize(headers.filter((F.col("copies") > 1) & (F.col("size") >= min_bytes) & F.col("original").isNotNull())
                             .select("digest", "original"), "warc-originals")
     if originals.count() <= BROADCAST_ORIGINALS:
@@ -79,8 +83,27 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             F.lit("Content-Type: application/http; msgtype=response"),
             F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string"))]
     record = F.concat(F.concat_ws(_END, *head), F.lit(_END * 2), F.col("block"))
-    (rows.withColumn("block", block).select(record.alias("record"))
-     .write.mode("overwrite").option("lineSep", _END * 2).option("maxRecordsPerFile", per_file).option("compression", compression).text(path))
+    records = rows.withColumn("block", block).select("size", record.alias("record"))
+    # an empty table is one empty file
+    for k, (low, high) in enumerate(bounds or [(-1, 0)]):
+        (records.filter((F.col("size") > low) & (F.col("size") <= high)).select("record")
+         .write.mode("append" if k else "overwrite").option("lineSep", _END * 2)
+         .option("maxRecordsPerFile", max(1, archive_bytes // (high + HEADER_BYTES))).option("compression", compression).text(path))
+
+
+def _size_classes(headers: DataFrame) -> list[tuple[int, int]]:
+    """(above, up to) payload bytes of the classes that have records, from the
+    first, up to 4 times the mean, each 8 times as wide as the one before."""
+    sums = headers.agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows"), F.max("size").alias("most")).first()
+    out, low, high = [], -1, max(HEADER_BYTES, 4 * (sums["bytes"] or 0) // (sums["rows"] or 1))
+    while sums["rows"] and low < sums["most"]:
+        out.append((low, min(high, sums["most"])))
+        low, high = high, 8 * high
+    if len(out) > 1:
+        at = F.coalesce(*[F.when(F.col("size") <= top, F.lit(i)) for i, (_, top) in enumerate(out)])
+        held = {r["at"] for r in headers.select(at.alias("at")).distinct().collect()}  # a number per class
+        out = [c for i, c in enumerate(out) if i in held]
+    return out
 
 
 def _parse(batches: Iterator) -> Iterator:
@@ -156,7 +179,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def archive_report(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the archives, read them back and report a row per page."""
     spark = pages.sparkSession
-    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/grainline-warc/{uuid.uuid4().hex}"
+    path = path or stage_path(spark, "warc")
     write_archives(pages, path)
     records = materialize(read_archives(spark, path).drop("payload"), "warc-records")
     return resolve_revisits(records.withColumn("payload", F.lit(None).cast("binary")))

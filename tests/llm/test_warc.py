@@ -58,6 +58,16 @@ def test_archives(spark, tmp_path, compression):
         assert head.count(b"WARC-Type: ") == len(ROWS) and b"WARC-Profile: http" in head
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Large pages side by side: a file holds little or one record."""
+    rows = [(i, "http://u/", f"{i} " + "p" * (200 + i % 50)) for i in range(600)] + [(1000 + i, "http://u/", f"{i} " + "q" * (40_000 * (1 + i % 4))) for i in range(60)]
+    path = str(tmp_path / "w")
+    A.write_archives(pages(spark, rows).coalesce(1), path, archive_bytes=100_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) <= 162_000 and sum(x > 100_000 for x in sizes) == 30  # of one record each
+    assert sorted(r.page_id for r in A.read_archives(spark, path).collect()) == sorted(i for i, _, _ in rows)
+
+
 def test_damaged_archive(spark, tmp_path):
     (tmp_path / "part-1").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n")
     with pytest.raises(Exception, match="is cut"):
