@@ -54,6 +54,7 @@ class BoostParams:
     feature_fraction: str = "0.7"
     max_bins: int = 32
     seed: int = 0
+    partition_rows: int = 25_000   # a round is a job per level: few rows a task are all overhead
     extra: dict = field(default_factory=dict)
 
     def estimator(self, label: str, features: str = FEATURES_COL,
@@ -64,7 +65,7 @@ class BoostParams:
             minInstancesPerNode=self.min_rows_per_leaf, stepSize=self.learning_rate,
             subsamplingRate=self.subsample, featureSubsetStrategy=self.feature_fraction,
             maxBins=self.max_bins, seed=self.seed if seed is None else seed,
-            cacheNodeIds=True, checkpointInterval=10)
+            checkpointInterval=10)
         if self.extra:
             est = est.setParams(**self.extra)
         return est
@@ -115,7 +116,8 @@ def fit_boosted(df: DataFrame, label: str, params: BoostParams = BoostParams(),
                 rounds: int | None = None, seed: int | None = None,
                 features: str = FEATURES_COL) -> GBTRegressionModel:
     """Fit all ``rounds`` (the budget ``max_rounds`` without) on ``df``."""
-    ensure_checkpoint_dir(df.sparkSession)   # node-id cache checkpoints
+    ensure_checkpoint_dir(df.sparkSession)   # checkpoints of the running predictions
+    df = df.coalesce(max(1, math.ceil(df.count() / params.partition_rows)))
     return params.estimator(label, features, rounds, seed).fit(df)
 
 

@@ -72,7 +72,7 @@ def cv_result(spark: SparkSession, sf_dir: str):
     def build():
         train, test, names = model_inputs(spark, sf_dir)
         return cross_validate(train, test, ID_COL, TARGET_COL, QUERY_PARAMS, N_FOLDS,
-                              parallelism=4, feature_names=names)
+                              parallelism=8, feature_names=names)
     return _memo_obj(key, build)
 
 
@@ -132,7 +132,7 @@ def values_result(spark, sf_dir):
         xy = materialize(assemble(rows, VALUE_COLS, keep=[ID_COL, "train_set", FOLD_COL, TARGET_COL]), "values_x")
         train = xy.where("train_set = 1").drop("train_set")
         test = xy.where("train_set = 0").select(ID_COL, "features")
-        return cross_validate(train, test, ID_COL, TARGET_COL, VALUE_PARAMS, N_FOLDS, parallelism=4, feature_names=VALUE_COLS)
+        return cross_validate(train, test, ID_COL, TARGET_COL, VALUE_PARAMS, N_FOLDS, parallelism=8, feature_names=VALUE_COLS)
     return _memo_obj(key, build)
 
 
