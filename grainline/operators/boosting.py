@@ -45,11 +45,11 @@ class BoostParams:
     larger because Spark fits far fewer rounds.  ``first_rounds``: the first
     budget; ``patience``: rounds without gain at its end that settle it."""
     max_rounds: int = 200
-    first_rounds: int = 100
+    first_rounds: int = 40
     patience: int = 10
     max_depth: int = 4
     min_rows_per_leaf: int = 150
-    learning_rate: float = 0.1
+    learning_rate: float = 0.2
     subsample: float = 0.7
     feature_fraction: str = "0.7"
     max_bins: int = 32
@@ -176,10 +176,10 @@ def node_table(model: GBTRegressionModel, spark: SparkSession) -> DataFrame:
 
 
 def importance(model: GBTRegressionModel, feature_names: Sequence[str], spark: SparkSession,
-               n_trees: int | None = None) -> DataFrame:
+               n_trees: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Per feature: number of splits and summed gain (plus gain percent),
-    read from the model's saved node table."""
-    nodes = node_table(model, spark)
+    read from the model's saved node table (``nodes`` if there is one)."""
+    nodes = node_table(model, spark) if nodes is None else nodes
     if n_trees is not None:
         nodes = nodes.where(F.col("treeID") < n_trees)
     splits = (nodes.where(F.col("nodeData.leftChild") >= 0)
@@ -221,8 +221,8 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
     spark = train.sparkSession
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect() if r[0] is not None)
 
-    def report(model, fold, stage, n=None):
-        rep = importance(model, feature_names, spark, n)
+    def report(model, fold, stage, n=None, nodes=None):
+        rep = importance(model, feature_names, spark, n, nodes)
         return rep.select(F.lit(fold).alias(fold_col), F.lit(stage).alias("stage"), "feature", "split", "gain_sum", "gain")
 
     def one(f: int):
@@ -247,7 +247,8 @@ def cross_validate(train: DataFrame, test: DataFrame | None, id_col: str, label:
                 cur = predict_rounds(refit, cur, n, f"_p{f}")
             test_avg = mean_of_columns(cur, [f"_p{f}" for f in best]).select(id_col, "prediction", "n_models")
         if feature_names is not None:
-            imp = reduce(DataFrame.unionByName, [r[2] for r in results] + [report(refit, f, "refit", n) for f, n in best.items()])
+            nodes = node_table(refit, spark)
+            imp = reduce(DataFrame.unionByName, [r[2] for r in results] + [report(refit, f, "refit", n, nodes) for f, n in best.items()])
     return CVResult(oof=oof, test=test_avg,
                     folds=[r[0] for r in results],
                     importance=imp)
