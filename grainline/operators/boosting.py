@@ -35,6 +35,8 @@ from grainline.session import ensure_checkpoint_dir, materialize, stage_path
 
 FEATURES_COL = "features"
 MISSING_FILL = -999.0
+# Columns of one aggregate of ``fit_missing``.
+FIT_COLUMNS = 32
 
 
 @dataclass(frozen=True)
@@ -83,19 +85,32 @@ class MissingPlan:
         return [*features, *[f"{c}__missing" for c in self.flagged if c in set(features)]]
 
 
-def _known(c: str) -> Column:
-    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+def _known(c: Column) -> Column:
+    return F.nanvl(c, F.lit(None).cast("double"))
+
+
+def _double(c: str) -> Column:
+    return F.col(c).cast("double")
 
 
 def fit_missing(df: DataFrame, features: Sequence[str], indicators: bool = True) -> MissingPlan:
-    """One pass over the columns: a fill below each column's smallest value
-    (by 1, or a millionth of it if that is more; 0 for a column without values),
-    and with ``indicators`` the columns that have missing values."""
-    exprs = [e for i, c in enumerate(features) for e in (F.min(_known(c)).alias(f"m{i}"), F.count(F.when(_known(c).isNull(), 1)).alias(f"n{i}"))]
-    row = df.agg(*exprs).first()  # one row
-    low = {c: row[f"m{i}"] for i, c in enumerate(features)}
-    fills = {c: 0.0 if x is None else x - max(1.0, abs(x) * 1e-6) for c, x in low.items()}
-    return MissingPlan(fills, tuple(c for i, c in enumerate(features) if indicators and row[f"n{i}"]))
+    """A fill below each column's smallest value (by 1, or a millionth of it if
+    that is more; 0 for a column without values), and with ``indicators`` the
+    columns that have missing values.  One job of aggregates over
+    ``FIT_COLUMNS`` columns each, so their code fits into compiled methods; each
+    reads its own columns alone, so a written ``df`` is read once in all."""
+    features = list(features)
+    slices = [features[i:i + FIT_COLUMNS] for i in range(0, len(features), FIT_COLUMNS)]
+    if not slices:
+        return MissingPlan({}, ())
+    parts = [df.agg(F.array(*[F.min(_known(_double(c))) for c in cs]).alias("low"), F.array(*[F.count(_known(_double(c))) for c in cs]).alias("known"),
+                    F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("slice"), "low", "known", "rows") for i, cs in enumerate(slices)]
+    low, missing = {}, set()
+    for r in reduce(DataFrame.unionByName, parts).collect():  # a row per slice of columns
+        low.update(zip(slices[r["slice"]], r["low"]))
+        missing.update(c for c, n in zip(slices[r["slice"]], r["known"]) if n < r["rows"])
+    fills = {c: 0.0 if low[c] is None else low[c] - max(1.0, abs(low[c]) * 1e-6) for c in features}
+    return MissingPlan(fills, tuple(c for c in features if indicators and c in missing))
 
 
 def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
@@ -104,12 +119,15 @@ def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
     NaN, so NULL / NaN become ``fill``: one value, or each column's own value
     below its range (``fit_missing``), with an indicator (1 = missing) per
     flagged column after the features."""
-    # one array expression: Spark splits its code into methods, while hundreds
-    # of separate columns outgrow one
+    # the fills meet the values inside one array: the same expression written
+    # out for hundreds of columns outgrows a compiled method
     plan = fill if isinstance(fill, MissingPlan) else MissingPlan(dict.fromkeys(features, fill), ())
-    filled = [F.coalesce(_known(c), F.lit(plan.fills[c])) for c in features]
-    flags = [_known(c).isNull().cast("double") for c in plan.flagged if c in set(features)]
-    return df.select(*keep, array_to_vector(F.array(*filled, *flags)).alias(out))
+    values = F.array(*[_double(c) for c in features])
+    vector = F.zip_with(values, F.lit([float(plan.fills[c]) for c in features]), lambda x, f: F.coalesce(_known(x), f))
+    flagged = [_double(c) for c in plan.flagged if c in set(features)]
+    if flagged:
+        vector = F.concat(vector, F.transform(F.array(*flagged), lambda x: _known(x).isNull().cast("double")))
+    return df.select(*keep, array_to_vector(vector).alias(out))
 
 
 def fit_boosted(df: DataFrame, label: str, params: BoostParams = BoostParams(),

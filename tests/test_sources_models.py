@@ -219,3 +219,17 @@ def test_even_folds(spark):
     assert out.where("m is null and fold is not null").count() == 0
     assert sorted(out.select("id", "fold").collect()) == sorted(even_folds(df.repartition(7), "m", 10, 5).select("id", "fold").collect())
     assert even_folds(df, "m", 10, 6).exceptAll(out).count() > 0
+
+
+def test_missing_values_of_many_columns(spark):
+    """More columns than one aggregate takes, and than one method reads."""
+    n = 150
+    df = spark.range(0, 40).select("id", *[F.when((F.col("id") + i) % 7 != 0, F.col("id") * (i + 1) - 50).cast(["double", "int", "long"][i % 3]).alias(f"c{i}") for i in range(n)])
+    cols = [f"c{i}" for i in range(n)]
+    plan = fit_missing(df, cols)
+    rows = {r.id: r for r in df.collect()}
+    assert plan.fills == {c: min(r[c] for r in rows.values() if r[c] is not None) - 1.0 for c in cols} and plan.flagged == tuple(cols)
+    for r in assemble(df, cols, ["id"], plan).collect():
+        got = rows[r.id]
+        assert r.features.toArray().tolist() == [plan.fills[c] if got[c] is None else got[c] for c in cols] + [float(got[c] is None) for c in cols]
+    assert fit_missing(df, []).fills == {}
