@@ -21,7 +21,9 @@ Plan, per call:
    measured, others of fixed width) decide the join: at most
    ``broadcast_max_rows`` rows and ``broadcast_max_bytes`` bytes, and all broadcast tables of the
    call together within ``broadcast_total_bytes`` -> broadcast hash join,
-   map-side, no shuffle of the detail.  Larger aggregates -> the narrow projection
+   map-side, no shuffle of the detail.  One stage probes at most
+   ``broadcast_stage_bytes`` of them, which is what an executor holds at once;
+   the detail is written between such stages.  Larger aggregates -> the narrow projection
    ``(id, keys)`` is joined to the aggregate (sort-merge; AQE splits skewed
    partitions), and the narrow ``(id, features)`` result is joined back on
    the unique id.  The wide detail row is shuffled at most once.
@@ -46,7 +48,7 @@ from pyspark.sql.types import (
     ShortType,
 )
 
-from grainline.session import materialize
+from grainline.session import materialize, release
 
 STATS = ("min", "max", "mean", "std")
 
@@ -54,9 +56,10 @@ DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
 DEFAULT_BROADCAST_MAX_BYTES = 128 * 1024 * 1024
 # Key sets that one GROUPING SETS scan computes at most.
 SHARED_SETS = 12
-# All broadcast aggregates of one call are probed in the same stage, so
-# every executor holds all of them at once: cap their sum as well.
+# All broadcast aggregates of one call, and those that one stage probes: every
+# executor holds the latter at once.
 DEFAULT_BROADCAST_TOTAL_BYTES = 1024 * 1024 * 1024
+DEFAULT_BROADCAST_STAGE_BYTES = 256 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -201,7 +204,7 @@ class MaterializedAgg:
 def split_by_size(aggs: Sequence[MaterializedAgg], max_rows: int, max_bytes: int,
                   total_bytes: int) -> tuple[list[MaterializedAgg], list[MaterializedAgg]]:
     """(broadcast, shuffle): smallest aggregates first while each fits the
-    per-table bound and their sum fits the per-stage budget."""
+    per-table bound and their sum fits the budget of the call."""
     small, large, used = [], [], 0
     for a in sorted(aggs, key=lambda a: a.est_bytes):
         if a.fits_broadcast(max_rows, max_bytes) and used + a.est_bytes <= total_bytes:
@@ -313,10 +316,24 @@ def materialize_aggregates(df: DataFrame, plans: Sequence[KeySetPlan], paralleli
     return sorted(flat, key=lambda m: order[id(m.plan)])
 
 
+def stages_by_size(aggs: Sequence[MaterializedAgg], stage_bytes: int) -> list[list[MaterializedAgg]]:
+    """Cut broadcast aggregates, in their order, into stages of at most
+    ``stage_bytes`` (a single larger one has a stage of its own)."""
+    stages, held = [], 0
+    for a in aggs:
+        if not stages or held + a.est_bytes > stage_bytes:
+            stages.append([])
+            held = 0
+        stages[-1].append(a)
+        held += a.est_bytes
+    return stages
+
+
 def attach(df: DataFrame, aggs: Sequence[MaterializedAgg], id_col: str,
            broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
            broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
-           broadcast_total_bytes: int = DEFAULT_BROADCAST_TOTAL_BYTES) -> DataFrame:
+           broadcast_total_bytes: int = DEFAULT_BROADCAST_TOTAL_BYTES,
+           broadcast_stage_bytes: int = DEFAULT_BROADCAST_STAGE_BYTES) -> DataFrame:
     """Join materialised aggregates back onto the detail (see module doc)."""
     small, large = split_by_size(aggs, broadcast_max_rows, broadcast_max_bytes,
                                  broadcast_total_bytes)
@@ -329,10 +346,17 @@ def attach(df: DataFrame, aggs: Sequence[MaterializedAgg], id_col: str,
         # inner: a NULL key never matches, and missing ids come back NULL below
         part = narrow.join(feats, keys, "inner").drop(*keys)
         out = out.join(part, id_col, "left")
-    for a in small:
-        keys = list(a.plan.keys)
-        feats = a.table.select(*keys, *[F.col(i).alias(o) for o, i in a.plan.outputs.items()])
-        out = out.join(F.broadcast(feats), keys, "left")
+    written = None
+    for n, stage in enumerate(stages_by_size(small, broadcast_stage_bytes)):
+        if n:
+            done, written = written, materialize(out, "attached")
+            out = written
+            if done is not None:
+                release(done)
+        for a in stage:
+            keys = list(a.plan.keys)
+            feats = a.table.select(*keys, *[F.col(i).alias(o) for o, i in a.plan.outputs.items()])
+            out = out.join(F.broadcast(feats), keys, "left")
     return out
 
 
@@ -340,7 +364,8 @@ def group_back(df: DataFrame, specs: Sequence[Spec], id_col: str = "reservation_
                broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
                broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES,
                broadcast_total_bytes: int = DEFAULT_BROADCAST_TOTAL_BYTES,
-               parallelism: int = 8) -> DataFrame:
+               parallelism: int = 8,
+               broadcast_stage_bytes: int = DEFAULT_BROADCAST_STAGE_BYTES) -> DataFrame:
     """Attach grouped counts / statistics to every row of ``df``.
 
     ``df`` should be materialised (a Parquet scan), since every key set
@@ -351,7 +376,7 @@ def group_back(df: DataFrame, specs: Sequence[Spec], id_col: str = "reservation_
     plans = plan_key_sets(specs)
     aggs = materialize_aggregates(df, plans, parallelism)
     out = attach(df, aggs, id_col, broadcast_max_rows, broadcast_max_bytes,
-                 broadcast_total_bytes)
+                 broadcast_total_bytes, broadcast_stage_bytes)
     return out.select(*df.columns, *output_names(specs))
 
 

@@ -44,6 +44,12 @@ def test_group_back_paths_agree(detail):
     def norm(rows):
         return [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows]
     assert norm(a) == norm(b) == norm(c)
+    # broadcast tables probed in stages of their own, the detail written between
+    specs3 = [*specs, CountBy(("k",), "id"), StatsBy(("k",), "m")]
+    one = group_back(detail, specs3, "id").orderBy("id").collect()
+    staged = group_back(detail, specs3, "id", broadcast_stage_bytes=1)
+    assert norm(one) == norm(staged.orderBy("id").collect())
+    assert staged._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
     # key order does not matter: same aggregate, two names (Q4)
     assert all(r["dup"] == r["cnt__by__k__j"] for r in a)
 
@@ -310,3 +316,10 @@ def test_quantile_sketches(spark):
     d = describe_by(df.where("x is not null and not isnan(x)"), "x", exact=False).first()
     assert d.n == len(values) and d.p50 == 5.0
     assert sketch_quantiles(quantile_sketch(df.limit(0), "x", ["part"]), [0.5], ["part"]).count() == 0
+
+
+def test_stages_hold_their_bytes():
+    from grainline.operators.group_back import MaterializedAgg, stages_by_size
+    aggs = [MaterializedAgg(None, None, 1, b) for b in (1, 2, 3, 4, 20, 5)]
+    assert [[a.est_bytes for a in st] for st in stages_by_size(aggs, 6)] == [[1, 2, 3], [4], [20], [5]]
+    assert stages_by_size([], 6) == []
