@@ -1,15 +1,19 @@
 """Conversation prefix trie by SQL ROLLUP over positional turn-id columns.
 
-Every conversation is one row of turn ids ``t1, t2, ...``.  ``GROUP BY prior,
-ROLLUP (t1, ..., tw)`` aggregates all its prefixes together; ``grouping_id()``
-tells the depth of a group.  A second ROLLUP over the nodes adds what each node
-contributes to all nodes above it.  Conversations longer than a block of
-columns continue in the next block (8, 16, then 32 columns), whose groups are
-keyed by the prior block's node; blocks are rolled up in order, and the sums of
-their tops are carried back from the last block to the first.
+Conversations are cut into blocks of ``WIDTH`` turns, one row of turn ids ``t1,
+..., tw`` each.  ``GROUP BY block, x1, x2, ROLLUP (t1, ..., tw)`` aggregates all
+prefixes of all blocks together; ``grouping_id()`` tells the depth of a group.
+``x1, x2`` stand for the turns of the blocks before: the xor of 120 bits of the
+md5 of every (block number, its turns), a running value per conversation, so that
+no block waits for another and the number of Spark stages is the same whatever
+the longest conversation.
+
+What a node adds to all nodes above it goes by its smallest member: a second
+ROLLUP sums a block's own nodes, and each row of a block brings what its
+conversation's nodes add in later blocks (a running sum from its end).
 
 A turn id is the md5 of (role, text) with the text's length in code points; a
-node's key is the md5 of its prior node and the turn ids after it.
+node's key is the md5 of its depth and of x1, x2 as they stand after its last turn.
 
 Skew: a prefix of any number of conversations is one row per map task (partial
 aggregation); positions inside a conversation come from running counts over
@@ -25,14 +29,15 @@ further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainline.operators.ranking import running_count
-from grainline.session import materialize, release
+from grainline.session import materialize
 
-#: Columns of the first blocks, and of each later one.
-WIDTHS, WIDTH = (8, 16), 32
+#: Turns of a block: a row becomes one more than these in the ROLLUP.
+WIDTH = 8
+_TURNS = [f"t{j}" for j in range(1, WIDTH + 1)]
 #: How many first turns conversations take from that which leads their hundred.
 SHARED = 5
 
@@ -77,26 +82,45 @@ def rebuild(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plan.select("conv_id", "n_turns"), materialize(shared.union(rest), "trie-rebuilt")
 
 
-def _start(block: int) -> int:
-    return sum(WIDTHS[:block]) + WIDTH * max(block - len(WIDTHS), 0)
+def _block_bits(turns: list[str | Column]) -> list[Column]:
+    """Two longs of 60 bits of the md5 of the block's number and first turns."""
+    none = F.unhex(F.lit(""))
+    digest = F.md5(F.concat(F.concat(F.col("block").cast("string"), F.lit(":")).cast("binary"), *[F.coalesce(t, none) for t in turns]))
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
 
 
-def _width(block: int) -> int:
-    return WIDTHS[block] if block < len(WIDTHS) else WIDTH
+def _key(depth: Column, x1: Column, x2: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", depth, x1, x2)))
 
 
-def _key(names: list[str]) -> Column:
-    """Node below ``prior`` along the given turn columns (NULLs end it)."""
-    return F.unhex(F.md5(F.concat("prior", *[F.coalesce(n, F.unhex(F.lit(""))) for n in names])))
+def _level_key(level: Column, turns: list[str | Column]) -> Column:
+    """Node of the block's first ``level`` turns (the later ones are NULL)."""
+    h1, h2 = _block_bits(turns)
+    x1, x2 = (F.when(level > 0, F.col(x).bitwiseXOR(h)).otherwise(F.col(x)) for x, h in (("x1", h1), ("x2", h2)))
+    return _key(F.col("block") * WIDTH + level, x1, x2)
 
 
-def _rolled(rows: DataFrame, names: list[str], aggregates: str) -> DataFrame:
-    """One row per prefix of the block's columns, with its ``level``."""
-    cols = ", ".join(names)
+def _blocks(members: DataFrame, turns: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, block, t1, ..., x1, x2): a row per conversation and
+    block; a conversation without turns has an empty first block."""
+    at = F.pmod(F.col("pos") - 1, F.lit(WIDTH))
+    block = F.floor((F.col("pos") - 1) / WIDTH).cast("long")
+    wide = turns.groupBy("conv_id", block.alias("block")).agg(*[F.max(F.when(at == j, F.col("turn"))).alias(n) for j, n in enumerate(_TURNS)])
+    rows = members.join(wide, "conv_id", "left").withColumn("block", F.coalesce("block", F.lit(0).cast("long")))
+    h1, h2 = _block_bits(_TURNS)
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({"h1": h1, "h2": h2}).withColumns(
+        {f"x{i}": F.coalesce(F.bit_xor(f"h{i}").over(before), F.lit(0).cast("long")) for i in (1, 2)}).drop("h1", "h2")
+
+
+def _rolled(rows: DataFrame, aggregates: str) -> DataFrame:
+    """One row per prefix of the blocks' columns, with its ``level``.  A later
+    block's level 0 is the last level of the block before."""
+    cols = ", ".join(_TURNS)
     out = rows.sparkSession.sql(
-        f"SELECT prior, {cols}, {len(names)} - bit_count(grouping_id()) AS level, {aggregates} FROM {{rows}} GROUP BY prior, ROLLUP ({cols})", rows=rows)
-    filled = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
-    return out.filter(F.col("level") == filled)
+        f"SELECT block, x1, x2, {cols}, {WIDTH} - bit_count(grouping_id()) AS level, {aggregates} FROM {{rows}} GROUP BY block, x1, x2, ROLLUP ({cols})", rows=rows)
+    filled = sum((F.col(n).isNotNull().cast("int") for n in _TURNS), F.lit(0))
+    return out.filter((F.col("level") == filled) & ((F.col("level") > 0) | (F.col("block") == 0)))
 
 
 def prefix_trie(members: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,62 +129,35 @@ def prefix_trie(members: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFr
     Returns ``nodes`` (node, parent, depth, turn, conv_id, parent_conv_id, n_convs,
     n_children, n_leaves, saved_tokens), one row per distinct prefix, and ``ends``
     (node, conv_id), one row per member: the node of its last turn."""
-    longest = members.agg(F.max("n_turns").alias("n")).first()["n"] or 0
-    blocks = 1
-    while _start(blocks) < longest:
-        blocks += 1
-    rows = members.withColumn("prior", F.unhex(F.lit("")))
-    levels, ends, priors = [], [], []
-    for b in range(blocks):
-        names, start = [f"t{j}" for j in range(1, _width(b) + 1)], _start(b)
-        here = turns.filter((F.col("pos") > start) & (F.col("pos") <= start + len(names)))
-        wide = here.groupBy("conv_id").agg(*[F.max(F.when(F.col("pos") == start + j, F.col("turn"))).alias(n) for j, n in enumerate(names, 1)])
-        wide = materialize(rows.join(wide, "conv_id", "left"), "trie-block")
-        nodes = _rolled(wide, names, "count(*) AS n_convs, min(conv_id) AS conv_id, max(n_turns) AS longest")
-        if b:
-            nodes = nodes.filter("level > 0")
-        last = F.coalesce(*[F.col(n) for n in reversed(names)])
-        above = [F.when(F.col("level") > j, F.col(n)) for j, n in enumerate(names, 1)]
-        nodes = (nodes.withColumn("turn", last).withColumn("depth", F.col("level") + F.lit(start))
-                 .withColumn("node", F.when(F.col("level") == 0, F.col("prior")).otherwise(_key(names)))
-                 .withColumn("parent", F.when(F.col("level") > 1, _key(above)).when(F.col("level") == 1, F.col("prior"))))
-        levels.append((materialize(nodes, "trie-nodes"), names))
-        done = wide.filter(F.col("n_turns") <= start + len(names))
-        ends.append(done.select(F.when(F.col("n_turns") <= start, F.col("prior")).otherwise(_key(names)).alias("node"), "conv_id"))
-        rows = wide.filter(F.col("n_turns") > start + len(names)).select("conv_id", "n_turns", _key(names).alias("prior"))
-        priors.append(wide)
-
-    # what each node adds to those above it, from the last block to the first
-    totals, carried = [], None
-    for nodes, names in reversed(levels):
-        part = nodes.select("prior", *names, "node", (F.col("longest") == F.col("depth")).cast("long").alias("leaf"),
-                            ((F.col("n_convs") - 1) * F.coalesce(_code_points(F.col("turn")), F.lit(0))).alias("saved"))
-        if carried is not None:
-            part = (part.join(carried, "node", "left").withColumn("leaf", F.col("leaf") + F.coalesce("leaf_below", F.lit(0)))
-                    .withColumn("saved", F.col("saved") + F.coalesce("saved_below", F.lit(0))))
-        sums = materialize(_rolled(part.drop("node"), names, "sum(leaf) AS n_leaves, sum(saved) AS saved_tokens")
-                           .select(F.when(F.col("level") == 0, F.col("prior")).otherwise(_key(names)).alias("node"), "level", "n_leaves", "saved_tokens"), "trie-sums")
-        first = nodes is levels[0][0]
-        totals.append((sums if first else sums.filter("level > 0")).select("node", "n_leaves", "saved_tokens"))
-        carried = sums.filter("level = 0").select("node", F.col("n_leaves").alias("leaf_below"), F.col("saved_tokens").alias("saved_below"))
-    cols = ["node", "parent", "depth", "turn", "conv_id", "n_convs"]
-    nodes = _union([n.select(*cols) for n, _ in levels])
+    wide = materialize(_blocks(members, turns), "trie-blocks")
+    level, start = F.col("level"), F.col("block") * WIDTH
+    above = [F.when(level > j, F.col(n)) for j, n in enumerate(_TURNS, 1)]
+    nodes = (_rolled(wide, "count(*) AS n_convs, min(conv_id) AS conv_id, max(n_turns) AS longest")
+             .withColumn("turn", F.coalesce(*[F.col(n) for n in reversed(_TURNS)])).withColumn("depth", start + level)
+             .withColumn("node", _level_key(level, _TURNS))
+             .withColumn("parent", F.when(level > 0, _level_key(level - 1, above))))
+    nodes = materialize(nodes, "trie-nodes")
+    last = wide.filter(F.col("n_turns") <= start + WIDTH)
+    ends = last.select(_level_key(F.col("n_turns") - start, _TURNS).alias("node"), "conv_id")
+
+    # what each node adds to those above it, in its block and in those before
+    added = nodes.select("conv_id", "block", "x1", "x2", *_TURNS, (F.col("longest") == F.col("depth")).cast("long").alias("leaf"),
+                         ((F.col("n_convs") - 1) * F.coalesce(_code_points(F.col("turn")), F.lit(0))).alias("saved"))
+    sums = added.groupBy("conv_id", "block").agg(F.sum("leaf").alias("leaf"), F.sum("saved").alias("saved"))
+    later = Window.partitionBy("conv_id").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (wide.join(sums, ["conv_id", "block"], "left").withColumns({c: F.sum(c).over(later) for c in ("leaf", "saved")})
+               .filter("leaf is not null"))
+    cols = ["block", "x1", "x2", *_TURNS, "leaf", "saved"]
+    totals = (_rolled(added.select(*cols).union(carried.select(*cols)), "sum(leaf) AS n_leaves, sum(saved) AS saved_tokens")
+              .select(_level_key(level, _TURNS).alias("node"), "n_leaves", "saved_tokens"))
+    nodes = nodes.select("node", "parent", "depth", "turn", "conv_id", "n_convs")
     children = nodes.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
-    own = nodes.join(_union(totals), "node").join(children, "node", "left")
+    own = nodes.join(totals, "node").join(children, "node", "left")
     parents = nodes.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     out = own.join(parents, "parent", "left").select(
         "node", "parent", F.col("depth").cast("long").alias("depth"), "turn", "conv_id", "parent_conv_id", "n_convs",
         F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), "n_leaves", "saved_tokens")
-    out, ends = materialize(out, "trie"), materialize(_union(ends), "trie-ends")
-    release(*[n for n, _ in levels], *priors)
-    return out, ends
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    return materialize(out, "trie"), materialize(ends, "trie-ends")
 
 
 def ends_digest(ends: DataFrame) -> DataFrame:

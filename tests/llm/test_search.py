@@ -251,3 +251,21 @@ def test_trie_edges(spark):
     assert one == brute_trie([(100, 1, "u", "x"), (100, 1, "u", "x")])
     texts = T.turn_texts(spark.createDataFrame([(1, 0, None, "x"), (2, 0, "", "x"), (3, 1, "x", None)], "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.role, r.text) for r in texts) == [("", "x"), ("x", "")]
+
+
+def test_trie_jobs_do_not_grow_with_the_longest_conversation(spark, monkeypatch):
+    """As many written stages for 200 turns as for two; sums reach over all blocks."""
+    written = []
+    write = T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, label: written.append(label) or write(df, label))
+    stages = {}
+    for n in (2, 200):
+        written.clear()
+        members = spark.createDataFrame([(1, n), (2, n), (3, n - 1)], "conv_id long, n_turns long")
+        rows = [(c, p, bytearray(f"{p:016}".encode() + (1).to_bytes(4, "big"))) for c, m in ((1, n), (2, n), (3, n - 1)) for p in range(1, m + 1)]
+        nodes, ends = T.prefix_trie(members, spark.createDataFrame(rows, "conv_id long, pos long, turn binary"))
+        top = nodes.filter("depth = 0").collect()
+        assert [(r.n_convs, r.n_leaves, r.saved_tokens) for r in top] == [(3, 1, 2 * (n - 1) + 1)]
+        assert nodes.count() == n + 1 and ends.select("node").distinct().count() == 2
+        stages[n] = list(written)
+    assert stages[2] == stages[200]
