@@ -26,7 +26,9 @@ Plan, per call:
    the detail is written between such stages.  Larger aggregates -> the narrow projection
    ``(id, keys)`` is joined to the aggregate (sort-merge; AQE splits skewed
    partitions), and the narrow ``(id, features)`` result is joined back on
-   the unique id.  The wide detail row is shuffled at most once.
+   the unique id.  The wide detail row is shuffled at most once, into so many
+   partitions that each holds about ``PARTITION_ROWS`` rows: the sorts of a task,
+   one for the detail and one per such aggregate, do not grow with the table.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ from pyspark.sql.types import (
     ShortType,
 )
 
-from grainline.session import materialize, release
+from grainline.session import materialize, partitions_for, release
 
 STATS = ("min", "max", "mean", "std")
 
@@ -339,12 +341,15 @@ def attach(df: DataFrame, aggs: Sequence[MaterializedAgg], id_col: str,
                                  broadcast_total_bytes)
 
     out = df
+    if large:
+        parts = partitions_for(df)
+        out = out.repartition(parts, id_col)
     for a in large:
         keys = list(a.plan.keys)
         narrow = df.select(id_col, *keys)
         feats = a.table.select(*keys, *[F.col(i).alias(o) for o, i in a.plan.outputs.items()])
         # inner: a NULL key never matches, and missing ids come back NULL below
-        part = narrow.join(feats, keys, "inner").drop(*keys)
+        part = narrow.join(feats, keys, "inner").drop(*keys).repartition(parts, id_col)
         out = out.join(part, id_col, "left")
     written = None
     for n, stage in enumerate(stages_by_size(small, broadcast_stage_bytes)):

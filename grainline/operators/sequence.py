@@ -16,6 +16,11 @@ rows / hot_group_rows of them exist) are therefore cut into ranges first:
 * these edge rows (2 * K per entity and range) hold, in order, all rows that
   they need, so ``lag``/``lead`` over the edge rows alone give their values.
 
+Rows are dealt by entity (and ranges cut) into so many partitions that each holds
+about ``PARTITION_ROWS`` rows, whatever the session's number of shuffle
+partitions: the sorts of a task hold its partition, and its size must not grow
+with the table.
+
 Both ways are the same JVM window functions on the same columns, so values and
 types are equal whatever the size.  Rows whose ``by`` key is NULL get NULL
 shifts (pandas drops NaN groups).  The order must be total (end it with a
@@ -31,7 +36,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainline.session import materialize
+from grainline.session import materialize, partitions_for
 
 DEFAULT_HOT_GROUP_ROWS = 5_000_000
 
@@ -78,6 +83,12 @@ def hot_groups(df: DataFrame, by: str | Sequence[str], limit: int) -> DataFrame:
     return materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*by), "hot")
 
 
+def place_groups(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
+    """``df`` dealt by ``by``, about ``PARTITION_ROWS`` rows a partition; windows
+    over ``by`` need no other shuffle.  Counts ``df``."""
+    return df.repartition(partitions_for(df), *_by_list(by))
+
+
 def _window_shifts(df: DataFrame, by: list[str], orders: list[Order],
                    shifts: list[tuple[str, int, str]]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*[o.expr() for o in orders])
@@ -89,7 +100,8 @@ def _range_shifts(df: DataFrame, by: list[str], orders: list[Order],
     """Shifts of entities that span several ranges (see module doc)."""
     exprs = [F.col(b).asc_nulls_last() for b in by] + [o.expr() for o in orders]
     depth = max(abs(k) for _, k, _ in shifts)
-    ranged = materialize(df.repartitionByRange(*exprs).withColumn("_range", F.spark_partition_id()), "ranges")
+    n = partitions_for(df)
+    ranged = materialize(df.repartitionByRange(n, *exprs).withColumn("_range", F.spark_partition_id()), "ranges").repartition(n, *by, "_range")
     part = Window.partitionBy(*by, "_range")
     inner = part.orderBy(*[o.expr() for o in orders])
     rows = (ranged.withColumns({**_shifted(inner, shifts), "_head": F.row_number().over(inner),
@@ -113,23 +125,25 @@ def sequence_shift(df: DataFrame, by: str | Sequence[str], cols: Sequence[str],
     ``k < 0``: k-th next row) within each ``by`` group in ``order_by``.
 
     ``hot``: the result of ``hot_groups`` if the caller has it already (it is
-    the same for several orderings)."""
+    the same for several orderings); without hot groups such a caller places the
+    rows itself (``place_groups``), once for all orderings."""
     by = _by_list(by)
     orders = as_orders(order_by)
     names = names or {}
     shifts = [(c, k, names.get((c, k), shift_name(c, k))) for c in cols for k in offsets if k != 0]
     if not shifts:
         return df
-    if hot is None:
+    placed = hot is not None
+    if not placed:
         hot = hot_groups(df, by, hot_group_rows)
     if not hot.head(1):
-        return _window_shifts(df, by, orders, shifts)
+        return _window_shifts(df if placed else place_groups(df, by), by, orders, shifts)
     # at most rows / hot_group_rows keys: the larger the data, the larger
     # hot_group_rows may be set
     keys = F.broadcast(hot.select(*[F.col(b).alias(f"_h_{b}") for b in by]))
     same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_h_{b}")) for b in by])
     busy = df.join(keys, same, "left_semi")
-    out = _window_shifts(df.join(keys, same, "left_anti"), by, orders, shifts)
+    out = _window_shifts(place_groups(df.join(keys, same, "left_anti"), by), by, orders, shifts)
     split = _range_shifts(busy.filter(_all_set(by)), by, orders, shifts)
     none = busy.filter(~_all_set(by)).withColumns({name: F.lit(None).cast(df.schema[c].dataType) for c, _, name in shifts})
     return out.unionByName(split).unionByName(none)

@@ -27,7 +27,7 @@ from grainline.operators.cleaning import (
 from grainline.operators.coding import first_seen_index
 from grainline.operators.group_back import group_back
 from grainline.operators.sequence import (
-    DEFAULT_HOT_GROUP_ROWS, Order, hot_groups, sequence_shift, visit_gaps)
+    DEFAULT_HOT_GROUP_ROWS, Order, hot_groups, place_groups, sequence_shift, visit_gaps)
 from grainline.plans import manifest as M
 from grainline.session import materialize
 from grainline.sources.bookings import ID_COL, MEMBER_COL, TARGET_COL
@@ -112,6 +112,8 @@ def sequences(df: DataFrame, cfg: BookingsConfig = BookingsConfig(), write: bool
     # the hot members are the same for all orderings
     limit = DEFAULT_HOT_GROUP_ROWS if cfg.hot_group_rows is None else cfg.hot_group_rows
     kw = {"hot": hot_groups(df, MEMBER_COL, limit)}
+    if not kw["hot"].head(1):
+        df = place_groups(df, MEMBER_COL)  # one shuffle for all orderings
     out = visit_gaps(df, MEMBER_COL, "checkin_ord", M.LAG_DEPTH_DATES, ORD_CHECKIN, **kw)
     out = visit_gaps(out, MEMBER_COL, "booking_ord", M.LAG_DEPTH_DATES, ORD_BOOKING, **kw)
     offsets = list(range(1, M.LAG_DEPTH_ATTRS + 1)) + [-k for k in range(1, M.LAG_DEPTH_ATTRS + 1)]

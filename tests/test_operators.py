@@ -323,3 +323,18 @@ def test_stages_hold_their_bytes():
     aggs = [MaterializedAgg(None, None, 1, b) for b in (1, 2, 3, 4, 20, 5)]
     assert [[a.est_bytes for a in st] for st in stages_by_size(aggs, 6)] == [[1, 2, 3], [4], [20], [5]]
     assert stages_by_size([], 6) == []
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """What a task sorts is bounded by rows, not by the session's shuffle partitions."""
+    from grainline import session as S
+    monkeypatch.setattr(S, "PARTITION_ROWS", 10)
+    rows = S.materialize(spark.range(1000).selectExpr("id as reservation_id", "id % 90 as k", "id % 7 as v"), "rows")
+    shifted = sequence_shift(rows, "k", ["v"], [1], ["reservation_id"])
+    assert shifted.rdd.getNumPartitions() >= 100
+    hot = sequence_shift(rows.withColumn("k", F.lit(1)), "k", ["v"], [1], ["reservation_id"], hot_group_rows=50)
+    assert hot.rdd.getNumPartitions() >= 100
+    assert {r.reservation_id: r["v__lag1"] for r in hot.collect()} == {i: (i - 1) % 7 if i else None for i in range(1000)}
+    joined = group_back(rows, [CountBy(("k",), name="n")], broadcast_max_rows=0)
+    assert joined.rdd.getNumPartitions() >= 100
+    assert {r.k: r.n for r in joined.collect()} == {k: len(range(k, 1000, 90)) for k in range(90)}
