@@ -233,3 +233,13 @@ def test_missing_values_of_many_columns(spark):
         got = rows[r.id]
         assert r.features.toArray().tolist() == [plan.fills[c] if got[c] is None else got[c] for c in cols] + [float(got[c] is None) for c in cols]
     assert fit_missing(df, []).fills == {}
+
+
+def test_fit_partitions_follow_the_values(spark):
+    from grainline.operators.boosting import BoostParams, fit_partitions
+    from pyspark.ml.linalg import Vectors
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(Vectors.dense([1.0, 2.0]),)] * 400, ["features"])
+    assert fit_partitions(df, BoostParams(partition_rows=1)) == 2 * cores      # narrow rows: not one task per row
+    assert fit_partitions(df, BoostParams(partition_rows=400)) == 1
+    assert fit_partitions(df, BoostParams(partition_rows=1, partition_values=4)) == max(200, 2 * cores)
