@@ -40,6 +40,9 @@ UNKNOWN_PENALTY = 10.0
 #: Distinct words a task keeps with their pieces (about 50 bytes each).
 CACHE_WORDS = 500_000
 
+#: Characters and bytes of a chunk that 64-bit working arrays are made for at once.
+WORK_ITEMS = 1 << 17
+
 _SPACE = 0x20
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _U = np.uint64
@@ -173,6 +176,14 @@ def _spell(words, who, ids, where, v):
     return np.repeat(who, count), out
 
 
+def _cuts(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of items that begin at ``at`` (and end at its last), of about
+    ``WORK_ITEMS`` each; a longer single item has a range of its own."""
+    inner = np.searchsorted(at, np.arange(at[0] + WORK_ITEMS, at[-1], WORK_ITEMS))
+    ends = np.unique(np.concatenate([[0], inner, [len(at) - 1]]))
+    yield from zip(ends[:-1].tolist(), ends[1:].tolist())
+
+
 class Encoder:
     """Encodes batches of texts; keeps the pieces of words seen before."""
 
@@ -220,10 +231,15 @@ class Encoder:
         first[bounds[:-1][size > 0]] = True
         starts = np.flatnonzero(first)
         sizes = np.diff(np.append(starts, len(codes)))
+        keys = np.empty(len(starts), np.uint64)
+        ends = np.append(starts, len(codes))
         with np.errstate(over="ignore"):
-            at = np.arange(len(codes)) - np.repeat(starts, sizes)
             powers = np.cumprod(np.full(int(sizes.max()) + 1, _U(0xD6E8FEB86659FD93)), dtype=np.uint64)
-            keys = mix64(np.add.reduceat(mix64(codes.astype(np.uint64) + _U(1)) * powers[at], starts) + sizes.astype(np.uint64))
+            for a, b in _cuts(ends):
+                begin = starts[a:b] - ends[a]
+                at = np.arange(ends[b] - ends[a]) - np.repeat(begin, sizes[a:b])
+                mixed = mix64(codes[ends[a]:ends[b]].astype(np.uint64) + _U(1)) * powers[at]
+                keys[a:b] = mix64(np.add.reduceat(mixed, begin) + sizes[a:b].astype(np.uint64))
         uniq, where, inv = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self._clear()
@@ -257,6 +273,14 @@ def decode_flat(ids: np.ndarray, at: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     return flat[keep], bounds - gone[bounds]
 
 
+def _round_trip(ids: np.ndarray, at: np.ndarray, data: np.ndarray, offs: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Whether each text's ids decode to its bytes."""
+    back, back_at = decode_flat(ids, at, v)
+    if len(back) == len(data) and (back_at == offs).all() and (back == data).all():
+        return np.ones(len(offs) - 1, bool)
+    return np.array([back[back_at[i]:back_at[i + 1]].tobytes() == data[offs[i]:offs[i + 1]].tobytes() for i in range(len(offs) - 1)], bool)
+
+
 def _encode_rows(shared, text_at: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -269,11 +293,9 @@ def _encode_rows(shared, text_at: int):
             rest = [i for i in range(batch.num_columns) if i != text_at]
             for lo, hi, data, offs in chunks(text):
                 ids, at = enc.encode(data, offs)
-                back, back_at = decode_flat(ids, at, v)
-                if len(back) == len(data) and (back_at == offs).all() and (back == data).all():
-                    same = np.ones(hi - lo, bool)
-                else:
-                    same = np.array([back[back_at[i]:back_at[i + 1]].tobytes() == data[offs[i]:offs[i + 1]].tobytes() for i in range(hi - lo)])
+                same = np.zeros(hi - lo, bool)
+                for a, b in _cuts(offs):
+                    same[a:b] = _round_trip(ids[at[a]:at[b]], at[a:b + 1] - at[a], data[offs[a]:offs[b]], offs[a:b + 1] - offs[a], v)
                 none = missing[lo:hi]
                 tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=pa.array(none) if none.any() else None)
                 yield pa.RecordBatch.from_arrays(
