@@ -10,7 +10,7 @@ rows / hot_group_rows of them exist) are therefore cut into ranges first:
 
 * their rows are range-partitioned on ``(by, order...)``, whose sampled bounds
   split a hot entity over many tasks, and written with the number of their
-  range;
+  range, by which they are placed: a task gets one range;
 * ``lag``/``lead`` run per (entity, range), which is right for all rows but the
   first and last K of a range;
 * these edge rows (2 * K per entity and range) hold, in order, all rows that
@@ -101,7 +101,7 @@ def _range_shifts(df: DataFrame, by: list[str], orders: list[Order],
     exprs = [F.col(b).asc_nulls_last() for b in by] + [o.expr() for o in orders]
     depth = max(abs(k) for _, k, _ in shifts)
     n = partitions_for(df)
-    ranged = materialize(df.repartitionByRange(n, *exprs).withColumn("_range", F.spark_partition_id()), "ranges").repartition(n, *by, "_range")
+    ranged = materialize(df.repartitionByRange(n, *exprs).withColumn("_range", F.spark_partition_id()), "ranges").repartitionById(n, F.col("_range"))
     part = Window.partitionBy(*by, "_range")
     inner = part.orderBy(*[o.expr() for o in orders])
     rows = (ranged.withColumns({**_shifted(inner, shifts), "_head": F.row_number().over(inner),
