@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+from grainline.operators.dealing import dealt_join
+from grainline.session import partitions_for
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -26,11 +29,11 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-order aggregate of lineitem (partial aggregation map-side; only
-    six narrow columns reach the shuffle)."""
-    li = load_table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_orderkey").agg(
+def _order_lines(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """Per-order aggregate of lineitem, its five narrow columns dealt by order
+    into ``parts`` partitions."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity", "l_returnflag", "l_suppkey")
+    return li.where(F.col("l_orderkey").isNotNull()).repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.min(F.to_date("l_shipdate")).alias("first_ship"),
         F.max(F.to_date("l_shipdate")).alias("last_ship"),
@@ -47,11 +50,14 @@ def bookings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     # nation has one row per nation: a fixed-size dimension, safe to broadcast.
     n = F.broadcast(load_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-    li = _order_lines(spark, sf_dir)
-
-    j = (o.join(c, o.o_custkey == c.c_custkey, "left")
-          .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
-          .join(li, o.o_orderkey == li.l_orderkey, "left"))
+    # tasks hold about as many orders whatever the session's shuffle partitions
+    parts = partitions_for(o)
+    li = _order_lines(spark, sf_dir, parts)
+
+    j = (dealt_join(o, c.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"], parts)
+         .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
+         .repartition(parts, "o_orderkey")
+         .join(li, F.col("o_orderkey") == li.l_orderkey, "left"))
 
     prio = F.substring("o_orderpriority", 1, 1).cast(IntegerType())
     adults = F.ceil(F.col("qty") / F.col("n_lines") / F.lit(10.0)).cast(IntegerType())

@@ -243,3 +243,25 @@ def test_fit_partitions_follow_the_values(spark):
     assert fit_partitions(df, BoostParams(partition_rows=1)) == 2 * cores      # narrow rows: not one task per row
     assert fit_partitions(df, BoostParams(partition_rows=400)) == 1
     assert fit_partitions(df, BoostParams(partition_rows=1, partition_values=4)) == max(200, 2 * cores)
+
+
+def test_reservations_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    """Joins of the tables hold about as many orders a task, whatever the session's partitions."""
+    from grainline import session as S
+    from grainline.sources.tables import tagged_bookings
+    monkeypatch.setattr(S, "PARTITION_ROWS", 10)
+    save = lambda df, name: df.write.parquet(f"{tmp_path}/{name}.parquet")
+    save(spark.range(400).selectExpr("id as o_orderkey", "if(id % 10 = 3, null, if(id < 200, 1, id % 50)) as o_custkey", "'F' as o_orderstatus", "100D as o_totalprice",
+                                     "timestamp'2020-01-01' as o_orderdate", "'1-URGENT' as o_orderpriority"), "orders")
+    save(spark.range(45).selectExpr("id as c_custkey", "int(id % 3) as c_nationkey", "1D as c_acctbal", "if(id % 2 = 0, 'HOUSEHOLD', 'BUILDING') as c_mktsegment"), "customer")
+    save(spark.range(3).selectExpr("int(id) as n_nationkey", "int(id) as n_regionkey"), "nation")
+    save(spark.range(1200).selectExpr("if(id % 100 = 99, null, id div 4) as l_orderkey", "timestamp'2020-02-01' as l_shipdate", "2D as l_quantity", "'R' as l_returnflag", "id % 5 as l_suppkey"), "lineitem")
+    out = tagged_bookings(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() >= 40
+    got = {r.reservation_id: r for r in out.collect()}
+    assert len(got) == 400
+    for i, r in got.items():
+        cust = None if i % 10 == 3 else 1 if i < 200 else i % 50
+        lines = sum(1 for x in range(1200) if x // 4 == i and x % 100 != 99)
+        assert r.memberid == cust and r.room_type_booked_code == (min(lines, 6) or 6)
+        assert r.member_age_buckets == (None if cust is None or cust >= 45 else "BUILDING" if cust % 2 else "HOUSEHOLD")
