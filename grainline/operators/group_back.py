@@ -24,9 +24,9 @@ Plan, per call:
    map-side, no shuffle of the detail.  One stage probes at most
    ``broadcast_stage_bytes`` of them, which is what an executor holds at once;
    the detail is written between such stages.  Larger aggregates -> the narrow projection
-   ``(id, keys)`` is joined to the aggregate (sort-merge; AQE splits skewed
-   partitions), and the narrow ``(id, features)`` result is joined back on
-   the unique id.  The wide detail row is shuffled at most once, into so many
+   ``(id, keys)`` is joined to the aggregate (``dealt_join``: sort-merge in
+   partitions of a bounded size, hot keys by broadcast), and the narrow
+   ``(id, features)`` result is joined back on the unique id.  The wide detail row is shuffled at most once, into so many
    partitions that each holds about ``PARTITION_ROWS`` rows: the sorts of a task,
    one for the detail and one per such aggregate, do not grow with the table.
 """
@@ -50,6 +50,7 @@ from pyspark.sql.types import (
     ShortType,
 )
 
+from grainline.operators.dealing import dealt_join
 from grainline.session import materialize, partitions_for, release
 
 STATS = ("min", "max", "mean", "std")
@@ -347,9 +348,9 @@ def attach(df: DataFrame, aggs: Sequence[MaterializedAgg], id_col: str,
     for a in large:
         keys = list(a.plan.keys)
         narrow = df.select(id_col, *keys)
-        feats = a.table.select(*keys, *[F.col(i).alias(o) for o, i in a.plan.outputs.items()])
-        # inner: a NULL key never matches, and missing ids come back NULL below
-        part = narrow.join(feats, keys, "inner").drop(*keys).repartition(parts, id_col)
+        feats = a.table.select(*keys, F.lit(True).alias("_met"), *[F.col(i).alias(o) for o, i in a.plan.outputs.items()])
+        # matches alone: missing ids come back NULL below
+        part = dealt_join(narrow, feats, keys, parts).where("_met").drop(*keys, "_met").repartition(parts, id_col)
         out = out.join(part, id_col, "left")
     written = None
     for n, stage in enumerate(stages_by_size(small, broadcast_stage_bytes)):

@@ -1,5 +1,6 @@
 """Operator goldens and properties (N1-N5, N11-N14, Q1-Q4)."""
 import datetime as dt
+import importlib
 import math
 import random
 
@@ -338,3 +339,77 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     joined = group_back(rows, [CountBy(("k",), name="n")], broadcast_max_rows=0)
     assert joined.rdd.getNumPartitions() >= 100
     assert {r.k: r.n for r in joined.collect()} == {k: len(range(k, 1000, 90)) for k in range(90)}
+
+
+def _exchanges(df):
+    return [x.strip() for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in x]
+
+
+def test_dealt_join_equals_a_left_join(spark, monkeypatch):
+    """Hot, missing, repeated, NaN and signed zero keys; no task gets a hot key's rows."""
+    from grainline import session as S
+    from grainline.operators.dealing import dealt_join
+    monkeypatch.setattr(S, "PARTITION_ROWS", 20)
+    rows = S.materialize(spark.range(1000).selectExpr(
+        "id", "case when id < 500 then 7 when id < 600 then null else id % 90 end as k",
+        "case id % 4 when 0 then -0.0D when 1 then double('nan') when 2 then 0.0D else 1.5D end as x"), "rows")
+    table = spark.createDataFrame([(k, x, f"{k}:{x}" if k % 5 else None) for k in range(60) for x in (0.0, float("nan"), 1.5)] +
+                                  [(7, 1.5, "again"), (61, 1.5, "twice"), (61, 1.5, "twice"), (None, 1.5, "none")], "k bigint, x double, v string")
+    for keys in (["k"], ["k", "x"]):
+        other = table.select(*keys, "v")
+        got = dealt_join(rows.select("id", *keys), other, keys, 50)
+        assert not [x for x in _exchanges(got) if "ENSURE_REQUIREMENTS" in x]
+        want = rows.select("id", *keys).join(other, keys, "left").select(*got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    alone = dealt_join(rows.select("id", "k"), spark.range(90).selectExpr("id as k", "id * 2 as w"), ["k"], 50)
+    assert max(map(len, alone.rdd.glom().collect())) <= 60
+
+
+def test_group_back_shuffle_joins_follow_the_rows(spark, monkeypatch):
+    from grainline import session as S
+    G = importlib.import_module("grainline.operators.group_back")
+    monkeypatch.setattr(S, "PARTITION_ROWS", 10)
+    rows = S.materialize(spark.range(1000).selectExpr("id as reservation_id", "if(id < 400, 3, id % 90) as k", "if(id % 3 = 0, null, id % 7 * 0.5D) as z"), "rows")
+    specs = [CountBy(("k",), name="n"), CountBy(("k", "z"), name="m")]
+    monkeypatch.setattr(G, "materialize", lambda df, label="table": S.materialize(df, label))
+    aggs = G.materialize_aggregates(rows, plan_key_sets(specs), 1)
+    out = G.attach(rows, aggs, "reservation_id", broadcast_max_rows=0)
+    assert not [x for x in _exchanges(out) if "ENSURE_REQUIREMENTS" in x]
+    got = {r.reservation_id: (r.n, r.m) for r in out.collect()}
+    key = lambda i: 3 if i < 400 else i % 90
+    both = lambda i: (key(i), i % 7) if i % 3 else None
+    n, m = (pd.Series([f(i) for i in range(1000)]).value_counts() for f in (key, both))
+    assert got == {i: (n[key(i)], m[both(i)] if i % 3 else None) for i in range(1000)}
+
+
+def test_hot_ranges_are_placed_one_by_one(many_ranges, monkeypatch):
+    """Ranges of a hot entity do not meet in a task."""
+    from grainline import session as S
+    monkeypatch.setattr(S, "PARTITION_ROWS", 10)
+    rows = S.materialize(many_ranges.range(1000).selectExpr("id", "1 as k", "id % 7 as v"), "rows")
+    out = sequence_shift(rows, "k", ["v"], [1], ["id"], hot_group_rows=50)
+    assert [x for x in _exchanges(out) if "shufflepartitionidpassthrough" in x]
+    assert {r.id: r["v__lag1"] for r in out.collect()} == {i: (i - 1) % 7 if i else None for i in range(1000)}
+
+
+def test_first_seen_codes_of_a_large_column(spark, monkeypatch):
+    """Codes joined by a shuffle equal broadcast ones; a NULL position comes first."""
+    from grainline import session as S
+    C = importlib.import_module("grainline.operators.coding")
+    rows = S.materialize(spark.range(400).selectExpr("if(id % 37 = 5, null, id) as id", "id as row", "int(id % 2) as train_set",
+                                                     "if(id < 150, 'hot', if(id % 11 = 0, null, concat('v', id % 100))) as v"), "rows")
+    order = [Order("train_set", ascending=False), Order("id")]
+    firsts = rows.where("v is not null").groupBy("v").agg(F.min(C.position_key(order)).alias("p")).collect()
+    place = sorted(firsts, key=lambda r: (r.p.k0, r.p.k1 is not None, r.p.k1 or 0))
+    # values whose first position is equal may be numbered either way
+    rank = {r.v: (r.p.k0, r.p.k1) for r in place}
+    small = {r.row: r.v_code for r in first_seen_index(rows, ["v"], order, suffix="_code").collect()}
+    for r in rows.collect():
+        assert small[r.row] == -1 if r.v is None else rank[place[small[r.row]].v] == rank[r.v]
+    monkeypatch.setattr(C, "BROADCAST_CODES", 0)
+    monkeypatch.setattr(S, "PARTITION_ROWS", 10)
+    by_id = rows.withColumn("id", F.col("row"))
+    large = first_seen_index(by_id, ["v"], order, suffix="_code")
+    assert max(map(len, large.rdd.glom().collect())) <= 40
+    monkeypatch.setattr(C, "BROADCAST_CODES", 10**6)
+    assert sorted(large.collect()) == sorted(first_seen_index(by_id, ["v"], order, suffix="_code").collect())
