@@ -265,3 +265,50 @@ def test_reservations_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
         lines = sum(1 for x in range(1200) if x // 4 == i and x % 100 != 99)
         assert r.memberid == cust and r.room_type_booked_code == (min(lines, 6) or 6)
         assert r.member_age_buckets == (None if cust is None or cust >= 45 else "BUILDING" if cust % 2 else "HOUSEHOLD")
+
+
+def test_trees_are_those_of_the_spark_learner(spark, model_data):
+    """Without draws the side-by-side learner and GBTRegressor (by way of ``extra``) agree."""
+    base = dict(max_rounds=8, first_rounds=4, patience=1, min_rows_per_leaf=5, learning_rate=0.3, subsample=1.0, feature_fraction="all")
+    dev, val = fold_split(model_data, 1)
+    own = fit_selected(dev, val, "y", BoostParams(**base))
+    ml = fit_selected(dev, val, "y", BoostParams(**base, extra={"maxMemoryInMB": 64}))
+    assert (own.rounds, own.fitted) == (ml.rounds, ml.fitted) and np.allclose(own.curve, ml.curve, rtol=1e-9)
+    a = [r.prediction for r in predict_rounds(own.model, model_data).orderBy("id").collect()]
+    b = [r.prediction for r in predict_rounds(ml.model, model_data).orderBy("id").collect()]
+    assert np.allclose(a, b, rtol=1e-9) and list(own.model.treeWeights) == list(ml.model.treeWeights)
+    assert np.allclose(own.model.featureImportances.toArray(), ml.model.featureImportances.toArray(), rtol=1e-9)
+    with pytest.raises(Exception, match="NULL"):
+        fit_boosted(dev.withColumn("y", F.when(F.col("id") != dev.first().id, F.col("y"))), "y", BoostParams(**base))
+
+
+def test_folds_share_the_jobs_of_a_round(spark):
+    """More folds take few more jobs, longer budgets go on from the trees there are."""
+    rows = spark.range(480).select("id", (F.col("id") % 6).cast("int").alias("f6"), (F.col("id") % 2).cast("int").alias("f2"),
+                                   (F.col("id") % 13).cast("double").alias("x"), (F.col("id") % 13 * 2.0 + F.col("id") % 3).alias("y"))
+    last_job = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+    jobs = {}
+    for k, first in ((2, 8), (6, 8), (2, 2)):
+        data = assemble(rows.withColumn("fold", F.col(f"f{k}")), ["x"], keep=["id", "fold", "y"])
+        params = BoostParams(max_rounds=8, first_rounds=first, patience=8, min_rows_per_leaf=5, max_depth=3, learning_rate=0.1)
+        before = last_job()
+        res = cross_validate(data, None, "id", "y", params, k=k, parallelism=1)
+        jobs[k, first] = last_job() - before
+        assert [f["fitted_rounds"] for f in res.folds] == [8] * k and res.oof.count() == 480
+    assert jobs[6, 8] - jobs[2, 8] < 4 * 8 and jobs[2, 2] - jobs[2, 8] < 3 * 8, jobs
+
+
+def test_learners_count_their_own_rows(spark, model_data):
+    from grainline.operators.histograms import Growth, Learner
+    params = BoostParams(min_rows_per_leaf=5, subsample=0.7, feature_fraction="0.5", max_depth=2)
+    learners = [Learner(0, 0), Learner(0, 2), Learner(7)]
+    g = Growth(model_data, "y", params, learners, fold_col="fold")
+    g.grow(7)                       # past the rounds after which predictions are written
+    g.grow(8, [1, 2], last=True)    # the first is settled
+    rows = [model_data.where(f"fold != {x.held_out}").count() if x.held_out is not None else 600 for x in learners]
+    for trees, n, m in zip(g.trees, rows, (7, 8, 8)):
+        assert len(trees) == m and all(0.55 * n < t.stats[0, 0] < 0.85 * n for t in trees)
+        assert all(abs(t.stats[1:3, 0].sum() - t.stats[0, 0]) < 1e-9 for t in trees if t.feature[0] >= 0)
+        assert len({t.feature[0] for t in trees}) == 2 and len({t.stats[0, 0] for t in trees}) > 1
+    assert [len(e) for e in g.errors] == [7, 8, 0] and g.errors[1][-1] < g.errors[1][0]
+    g.close()
