@@ -268,18 +268,20 @@ def test_reservations_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
 
 
 def test_trees_are_those_of_the_spark_learner(spark, model_data):
-    """Without draws the side-by-side learner and GBTRegressor (by way of ``extra``) agree."""
-    base = dict(max_rounds=8, first_rounds=4, patience=1, min_rows_per_leaf=5, learning_rate=0.3, subsample=1.0, feature_fraction="all")
+    """Without draws the folds' fits side by side and GBTRegressor agree."""
+    params = BoostParams(max_rounds=8, first_rounds=4, patience=1, min_rows_per_leaf=5, learning_rate=0.3, subsample=1.0, feature_fraction="all")
+    res = cross_validate(model_data, model_data.select("id", "features"), "id", "y", params, k=3, feature_names=["x1", "x2"])
+    fold = res.folds[1]
     dev, val = fold_split(model_data, 1)
-    own = fit_selected(dev, val, "y", BoostParams(**base))
-    ml = fit_selected(dev, val, "y", BoostParams(**base, extra={"maxMemoryInMB": 64}))
-    assert (own.rounds, own.fitted) == (ml.rounds, ml.fitted) and np.allclose(own.curve, ml.curve, rtol=1e-9)
-    a = [r.prediction for r in predict_rounds(own.model, model_data).orderBy("id").collect()]
-    b = [r.prediction for r in predict_rounds(ml.model, model_data).orderBy("id").collect()]
-    assert np.allclose(a, b, rtol=1e-9) and list(own.model.treeWeights) == list(ml.model.treeWeights)
-    assert np.allclose(own.model.featureImportances.toArray(), ml.model.featureImportances.toArray(), rtol=1e-9)
+    ml = fit_selected(dev, val, "y", params)
+    assert (fold["best_rounds"], fold["fitted_rounds"]) == (ml.rounds, ml.fitted) and np.allclose(fold["curve"], ml.curve, rtol=1e-9)
+    numbers = lambda df: [r.prediction for r in df.orderBy("id").collect()]
+    assert np.allclose(numbers(res.oof.where("fold = 1")), numbers(predict_rounds(ml.model, val)), rtol=1e-9)
+    whole = fit_boosted(model_data, "y", params, 8, seed=2018)
+    refits = [numbers(predict_rounds(whole, model_data, f["best_rounds"])) for f in res.folds]
+    assert np.allclose(numbers(res.test), np.mean(refits, axis=0), rtol=1e-9)
     with pytest.raises(Exception, match="NULL"):
-        fit_boosted(dev.withColumn("y", F.when(F.col("id") != dev.first().id, F.col("y"))), "y", BoostParams(**base))
+        cross_validate(model_data.withColumn("y", F.when(F.col("id") != 3, F.col("y"))), None, "id", "y", params, k=3)
 
 
 def test_folds_share_the_jobs_of_a_round(spark):
